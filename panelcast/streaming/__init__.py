@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The analysed workload reads whole files in batch (the chunked read is only a memory
+workaround) and has no watermark, window-state or late-data semantics, so no streaming
+operator is provided; every batch operator here already runs on partitioned scans.
+"""
