@@ -99,4 +99,6 @@ def _f_upper_tail_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
 def f_upper_tail(f, d1, d2) -> Column:
     """Column expression for 1 - CDF_F(f; d1, d2) (Arrow-batched)."""
     to = lambda c: F.col(c) if isinstance(c, str) else (c if isinstance(c, Column) else F.lit(float(c)))
-    return _f_upper_tail_udf(to(f).cast("double"), to(d1).cast("double"), to(d2).cast("double"))
+    fc = to(f).cast("double")
+    return F.when(fc.isNotNull() & ~F.isnan(fc),
+                  _f_upper_tail_udf(fc, to(d1).cast("double"), to(d2).cast("double")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "lenient_double", "lenient_int", "timestamp_from_parts", "scale", "iso_year", "iso_week", "iso_year_week",
-    "log1p", "round_half_even", "parse_date", "format_date", "log_column_name", "clamp", "clamp_p",
+    "log1p", "round_half_even", "parse_date", "format_date", "log_column_name", "log_name_expr", "clamp", "clamp_p",
     "significant", "vif_class", "stationarity_class", "linearity_class", "quantile_expr", "nan_to_null",
     "week_end_monday", "week_start_monday",
 ]
@@ -78,7 +78,7 @@ def round_half_even(c, digits: int = 0) -> Column:
 
 
 def parse_date(c, fmt: str = "yyyy-MM-dd") -> Column:
-    return F.try_to_date(_c(c).cast("string"), F.lit(fmt)) if hasattr(F, "try_to_date") else F.to_date(_c(c), fmt)
+    return F.try_to_date(_c(c).cast("string"), fmt)
 
 
 def format_date(c, fmt: str = "yyyy-MM-dd") -> Column:
@@ -90,6 +90,11 @@ def log_column_name(name: str) -> str:
     return "LOG_" + name.upper().replace(" ", "_")
 
 
+def log_name_expr(c) -> Column:
+    """Column version of ``log_column_name`` for names held in data."""
+    return F.concat(F.lit("LOG_"), F.upper(F.regexp_replace(_c(c), " ", "_")))
+
+
 def clamp(c, lo=None, hi=None) -> Column:
     c = _c(c)
     if lo is not None:

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 
 from panelcast.spec import VarSpec
 
-__all__ = ["lag_name", "lag_embed", "positional_index", "design_columns", "gram_by_series",
+__all__ = ["lag_name", "lag_embed", "positional_index", "design_columns", "gram_by_series", "gram_by_key",
            "unpack_triu"]
 
 LAG_BLOCK = 8192
@@ -138,3 +138,49 @@ def gram_by_series(lagged: DataFrame, spec: VarSpec, variables: Sequence[str], s
                        F.col("_cells")[1]["v"].cast("bigint").alias("n_obs"),
                        F.expr("transform(slice(_cells, 3, size(_cells) - 2), c -> c.v)").alias("g"))
     return gram, d
+
+
+def gram_by_key(df: DataFrame, key_cols: Sequence[str], cols: Sequence[str], flush_at: int = 20000) -> DataFrame:
+    """Z'Z (upper triangle) and row count per key for numeric columns ``cols`` (JVM-built).
+
+    Same plan as the VAR Gram: one partial matrix per (partition, key) in numpy, then a
+    cell-wise distributed sum; the result has one row of len(cols)^2/2 numbers per key.
+    """
+    key_cols, cols = list(key_cols), list(cols)
+    d = len(cols)
+    iu = np.triu_indices(d)
+
+    def fn(batches):
+        acc: dict = {}
+
+        def emit():
+            ks = list(acc)
+            data = {c: [k[i] for k in ks] for i, c in enumerate(key_cols)}
+            data["n_rows"] = [acc[k][0] for k in ks]
+            data["g"] = [acc[k][1][iu] for k in ks]
+            return pd.DataFrame(data)
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            for key, grp in pdf.groupby(key_cols, sort=False, dropna=False):
+                key = key if isinstance(key, tuple) else (key,)
+                z = grp[cols].to_numpy(float, na_value=np.nan)
+                slot = acc.setdefault(key, [0, np.zeros((d, d))])
+                slot[0] += len(z)
+                slot[1] += z.T @ z
+            if len(acc) >= flush_at:
+                yield emit()
+                acc = {}
+        if acc:
+            yield emit()
+
+    key_fields = [df.schema[c] for c in key_cols]
+    schema = StructType([StructField(f.name, f.dataType) for f in key_fields]
+                        + [StructField("n_rows", LongType()), StructField("g", ArrayType(DoubleType()))])
+    partial = df.select(*key_cols, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(fn, schema)
+    cells = partial.select(*key_cols, F.posexplode(F.concat(F.array(F.col("n_rows").cast("double")), "g")).alias("pos", "v"))
+    summed = cells.groupBy(*key_cols, "pos").agg(F.sum("v").alias("v"))
+    gram = summed.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("_cells"))
+    return gram.select(*key_cols, F.col("_cells")[0]["v"].cast("bigint").alias("n_rows"),
+                       F.expr("transform(slice(_cells, 2, size(_cells) - 1), c -> c.v)").alias("g"))

@@ -24,7 +24,7 @@ def week_label(ts_col: str, label: str = "end"):
 def weekly_rollup(df: DataFrame, keys: Sequence[str], ts_col: str, mean_cols: Sequence[str] = (),
                   sum_cols: Sequence[str] = (), first_cols: Sequence[str] = (), label: str = "end",
                   complete: bool = True, week_col: str = "week") -> DataFrame:
-    """Weekly roll-up per key: mean / sum / first-non-null per column.
+    """Weekly roll-up per key: mean / sum / first-non-null (earliest stamp, ties by value) per column.
 
     One partial+final aggregation keyed by (keys, week): a hot key only costs one partial row
     per (partition, week). With ``complete`` every week between a key's first and last week is
@@ -34,7 +34,8 @@ def weekly_rollup(df: DataFrame, keys: Sequence[str], ts_col: str, mean_cols: Se
     keys = list(keys)
     wk = week_label(ts_col, label).alias(week_col)
     aggs = ([F.avg(c).alias(c) for c in mean_cols] + [F.sum(c).alias(c) for c in sum_cols]
-            + [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts_col))).alias(c) for c in first_cols])
+            + [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.col(ts_col), F.col(c)))).alias(c)
+               for c in first_cols])
     agg = df.groupBy(*keys, wk).agg(*aggs)
     if complete:
         bounds = agg.groupBy(*keys).agg(F.min(week_col).alias("_lo"), F.max(week_col).alias("_hi"))
