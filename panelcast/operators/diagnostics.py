@@ -1,8 +1,8 @@
 """VAR assumption diagnostics per (series, column): ADF, KPSS, RESET linearity, VIF, verdicts,
 and the automatic log1p transform.
 
-Input is the long form ``(series_id, column, t, value)``; every test is an aggregation keyed by
-(series_id, column) over windowed features, with only tiny per-key solves in numpy.
+Input is the long form ``(series_id, variable, t, value)``; every test is an aggregation keyed by
+(series_id, variable) over windowed features, with only tiny per-key solves in numpy.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from panelcast.operators.lags import gram_by_key, unpack_triu
 __all__ = ["to_long_series", "kpss", "adf", "reset_linearity", "vif", "stationarity", "diagnostics_report",
            "log_transform", "MIN_OBS", "NO_LOG_COLUMNS"]
 
-KEYS = ["series_id", "column"]
+KEYS = ["series_id", "variable"]
 MIN_OBS = 20
 VIF_MIN_ROWS = 10
 
@@ -41,9 +41,9 @@ NO_LOG_COLUMNS = ["LOG_INF_A", "LOG_INF_B", "temperature", "dew_point_temperatur
 
 
 def to_long_series(wide: DataFrame, columns: Sequence[str], series_col: str = "series_id", time_col: str = "t") -> DataFrame:
-    """Wide training table -> (series_id, column, t, value) with NULL/NaN dropped (tests use
+    """Wide training table -> (series_id, variable, t, value) with NULL/NaN dropped (tests use
     the non-missing values of each column)."""
-    long = wide.unpivot([series_col, time_col], list(columns), "column", "value")
+    long = wide.unpivot([series_col, time_col], list(columns), "variable", "value")
     long = long.withColumnRenamed(series_col, "series_id").withColumnRenamed(time_col, "t")
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("value", F.col("value").cast("double"))
 
@@ -61,7 +61,7 @@ def _autocov_cols(e_col: str, max_lag: int, w) -> list:
 
 
 def kpss(long: DataFrame, nlags: int | str = "auto") -> DataFrame:
-    """(series_id, column, kpss_stat, kpss_p, kpss_lags, kpss_stationary = p >= 0.05)."""
+    """(series_id, variable, kpss_stat, kpss_p, kpss_lags, kpss_stationary = p >= 0.05)."""
     base = _positioned(long)
     w = Window.partitionBy(*KEYS).orderBy("t")
     feats = base.select(*KEYS, "t", "n", "e", F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
@@ -162,7 +162,7 @@ def adf(long: DataFrame) -> DataFrame:
     def fn(batches):
         for pdf in batches:
             rows = []
-            for sid, col, parts, n in zip(pdf["series_id"], pdf["column"], pdf["parts"], pdf["n"]):
+            for sid, col, parts, n in zip(pdf["series_id"], pdf["variable"], pdf["parts"], pdf["n"]):
                 n = int(n)
                 maxlag = _adf_maxlag(n)
                 if n < MIN_OBS or maxlag < 0:
@@ -202,9 +202,9 @@ def adf(long: DataFrame) -> DataFrame:
                     tau = float("nan")
                 pv = mackinnon_p(tau)
                 rows.append((sid, col, float(tau), pv, lag, bool(pv < 0.05) if np.isfinite(pv) else False))
-            yield pd.DataFrame(rows, columns=["series_id", "column", "adf_stat", "adf_p", "adf_lags", "adf_stationary"])
+            yield pd.DataFrame(rows, columns=["series_id", "variable", "adf_stat", "adf_p", "adf_lags", "adf_stationary"])
 
-    return per_key.mapInPandas(fn, "series_id string, column string, adf_stat double, adf_p double, adf_lags int, "
+    return per_key.mapInPandas(fn, "series_id string, variable string, adf_stat double, adf_p double, adf_lags int, "
                                    "adf_stationary boolean")
 
 
@@ -265,9 +265,9 @@ def vif(wide: DataFrame, columns: Sequence[str], series_col: str = "series_id")
                     b = np.linalg.pinv(goo, hermitian=True) @ goi
                     ssr = gm[i, i] - 2 * b @ goi + b @ goo @ b
                     rows.append((sid, c, float(gm[i, i] / ssr) if ssr > 0 else float("inf")))
-            yield pd.DataFrame(rows, columns=["series_id", "column", "vif"])
+            yield pd.DataFrame(rows, columns=["series_id", "variable", "vif"])
 
-    return grams.mapInPandas(fn, "series_id string, column string, vif double").withColumn("vif_class", vif_class("vif"))
+    return grams.mapInPandas(fn, "series_id string, variable string, vif double").withColumn("vif_class", vif_class("vif"))
 
 
 # ---------------------------------------------------------------- verdicts ----------------------
@@ -294,10 +294,10 @@ def log_transform(wide: DataFrame, report: DataFrame, columns: Sequence[str], se
     long = to_long_series(wide, columns, series_col, time_col)
     mins = long.groupBy(*KEYS).agg(F.min("value").alias("_min"))
     need = (report.filter((F.col("stationarity") == "Non-stationary") | ~F.coalesce(F.col("is_linear"), F.lit(False)))
-            .select(*KEYS).filter(~F.col("column").isin(list(exclude))))
+            .select(*KEYS).filter(~F.col("variable").isin(list(exclude))))
     need = need.join(mins, KEYS).filter(F.col("_min") >= 0).select(*KEYS)
     name_map = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(log_column_name(c)))])
     added = (long.join(need, KEYS, "left_semi")
-             .select("series_id", "t", F.element_at(name_map, F.col("column")).alias("column"),
+             .select("series_id", "t", F.element_at(name_map, F.col("variable")).alias("variable"),
                      F.log1p("value").alias("value")))
-    return long.select("series_id", "t", "column", "value").unionByName(added)
+    return long.select("series_id", "t", "variable", "value").unionByName(added)

@@ -20,9 +20,9 @@ def split_series(df: DataFrame, key_cols: Sequence[str], strain_cols: Sequence[s
                  target_name: str = "target", sep: str = "|") -> DataFrame:
     """One training table per strain -> one long panel: series_id = keys|strain, target = that strain's
     value, the shared columns repeated."""
-    stacked = df.unpivot([*key_cols, *shared_cols, *[c for c in df.columns if c in ("t", "week")]],
-                         list(strain_cols), "strain", target_name)
-    return stacked.withColumn("series_id", F.concat_ws(sep, *[F.col(c).cast("string") for c in key_cols], F.col("strain")))
+    stacked = df.unpivot([*key_cols, *shared_cols], list(strain_cols), "strain", target_name)
+    sid = F.concat_ws(sep, *[F.col(c).cast("string") for c in key_cols], F.col("strain"))
+    return stacked.select(sid.alias("series_id"), *key_cols, "strain", *shared_cols, target_name)
 
 
 def relative_week(df: DataFrame, keys: Sequence[str], order: str, name: str = "week_no") -> DataFrame:

@@ -118,6 +118,15 @@ class VarModel:
         return (self.fits.filter(F.col("status") == "ok").select("series_id", "sigma", F.explode(meta).alias("m"))
                 .select("series_id", "m.row", "m.col", F.element_at("sigma", F.col("m.idx") + 1).alias("value")))
 
+    def gram(self) -> DataFrame:
+        """(series_id, i, j, value) for i <= j over Z = [deterministic terms, lag blocks, y]."""
+        d = self.spec.n_regressors(self.k) + self.k
+        iu = np.triu_indices(d)
+        meta = F.array(*[F.struct(F.lit(n).alias("idx"), F.lit(int(i)).alias("i"), F.lit(int(j)).alias("j"))
+                         for n, (i, j) in enumerate(zip(*iu))])
+        return (self.fits.filter(F.col("status") == "ok").select("series_id", "g", F.explode(meta).alias("m"))
+                .select("series_id", "m.i", "m.j", F.element_at("g", F.col("m.idx") + 1).alias("value")))
+
     def summary(self) -> DataFrame:
         """Per series: K, p, T, regression rows, K*K*p lag parameters, C dimensions, spec."""
         k, p = self.k, self.spec.lags

@@ -449,3 +449,332 @@ SELECT l_returnflag, week, week_no FROM n WHERE rd <= 30""")
 def q_w8(spark, sf):
     lw = reshape.relative_week(D.lineitem_weekly(spark, sf), ["l_returnflag"], "week")
     return reshape.last_n(lw, ["l_returnflag"], "week", 30).select("l_returnflag", "week", "week_no")
+
+
+# =============================================================== 2.8 model layer =============
+from panelcast.operators import diagnostics as DG  # noqa: E402
+from panelcast.operators.bootstrap import bootstrap_granger, bootstrap_irf, simulate_series  # noqa: E402
+from panelcast.operators.forecast import forecast  # noqa: E402
+from panelcast.operators.granger import granger_matrix  # noqa: E402
+from panelcast.operators.irf import cumulative_impact, irf  # noqa: E402
+from panelcast.operators.var import fit_var  # noqa: E402
+from panelcast.sources.sinks import forecast_wide, irf_wide  # noqa: E402
+from panelcast.spec import Det, VarSpec  # noqa: E402
+
+K1 = ["qty"]
+K2 = ["qty", "disc"]
+
+
+def _panel(spark, sf):
+    lw = D.lineitem_weekly(spark, sf)
+    return lw.select(F.col("l_returnflag").alias("series_id"), "t", F.col("l_quantity").alias("qty"),
+                     F.col("l_discount").alias("disc"))
+
+
+def _model(spark, sf, variables, lags=1):
+    panel = _panel(spark, sf)
+    return panel, fit_var(panel.select("series_id", "t", *variables), variables, VarSpec(lags, Det.CONST))
+
+
+_LV_SQL = D.LW_SQL + """,
+lv AS (SELECT l_returnflag AS series_id, t, l_quantity AS qty, l_discount AS disc,
+  lag(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY t) AS qty1,
+  lag(l_discount) OVER (PARTITION BY l_returnflag ORDER BY t) AS disc1 FROM lw),
+lr AS (SELECT * FROM lv WHERE t >= 1),
+k1 AS (SELECT series_id, count(*) AS n, regr_intercept(qty, qty1) AS a, regr_slope(qty, qty1) AS b,
+  regr_syy(qty, qty1) - regr_sxy(qty, qty1) * regr_sxy(qty, qty1) / regr_sxx(qty, qty1) AS rss FROM lr GROUP BY series_id),
+k2m AS (SELECT series_id, count(*) AS n, avg(qty1) AS m1, avg(disc1) AS m2, avg(qty) AS mq, avg(disc) AS md FROM lr GROUP BY series_id),
+k2s AS (SELECT series_id, any_value(n) AS n, any_value(m1) AS m1, any_value(m2) AS m2, any_value(mq) AS mq, any_value(md) AS md,
+  sum((qty1 - m1) * (qty1 - m1)) AS s11, sum((qty1 - m1) * (disc1 - m2)) AS s12, sum((disc1 - m2) * (disc1 - m2)) AS s22,
+  sum((qty1 - m1) * (qty - mq)) AS s1q, sum((disc1 - m2) * (qty - mq)) AS s2q,
+  sum((qty1 - m1) * (disc - md)) AS s1d, sum((disc1 - m2) * (disc - md)) AS s2d,
+  sum((qty - mq) * (qty - mq)) AS sqq, sum((qty - mq) * (disc - md)) AS sqd, sum((disc - md) * (disc - md)) AS sdd
+  FROM lr JOIN k2m USING (series_id) GROUP BY series_id),
+k2b AS (SELECT *, (s1q * s22 - s2q * s12) / (s11 * s22 - s12 * s12) AS bq1, (s2q * s11 - s1q * s12) / (s11 * s22 - s12 * s12) AS bq2,
+  (s1d * s22 - s2d * s12) / (s11 * s22 - s12 * s12) AS bd1, (s2d * s11 - s1d * s12) / (s11 * s22 - s12 * s12) AS bd2 FROM k2s),
+k2 AS (SELECT *, mq - bq1 * m1 - bq2 * m2 AS aq, md - bd1 * m1 - bd2 * m2 AS ad,
+  (sqq - bq1 * s1q - bq2 * s2q) / (n - 3) AS sig_qq, (sqd - bq1 * s1d - bq2 * s2d) / (n - 3) AS sig_qd,
+  (sdd - bd1 * s1d - bd2 * s2d) / (n - 3) AS sig_dd FROM k2b),
+chol AS (SELECT *, sqrt(sig_qq) AS l11, sig_qd / sqrt(sig_qq) AS l21, sqrt(sig_dd - sig_qd * sig_qd / sig_qq) AS l22 FROM k2)"""
+
+_COEF_DIG = 6
+
+
+@register("T1_var_k1", f"""WITH {_LV_SQL}
+SELECT series_id, 'qty' AS equation, 'const' AS term, 0 AS lag, '' AS variable, a AS value FROM k1
+UNION ALL SELECT series_id, 'qty', 'lag', 1, 'qty', b FROM k1""", doubles=("value",), digits=_COEF_DIG)
+def q_t1(spark, sf):
+    return _model(spark, sf, K1)[1].coefficients()
+
+
+@register("T1_T3_var_k2", f"""WITH {_LV_SQL}
+SELECT series_id, 'qty' AS equation, 'const' AS term, 0 AS lag, '' AS variable, aq AS value FROM k2
+UNION ALL SELECT series_id, 'disc', 'const', 0, '', ad FROM k2
+UNION ALL SELECT series_id, 'qty', 'lag', 1, 'qty', bq1 FROM k2
+UNION ALL SELECT series_id, 'disc', 'lag', 1, 'qty', bd1 FROM k2
+UNION ALL SELECT series_id, 'qty', 'lag', 1, 'disc', bq2 FROM k2
+UNION ALL SELECT series_id, 'disc', 'lag', 1, 'disc', bd2 FROM k2""", doubles=("value",), digits=_COEF_DIG)
+def q_t1k2(spark, sf):
+    return _model(spark, sf, K2)[1].coefficients()
+
+
+@register("A13_gram_k1", f"""WITH {_LV_SQL}
+SELECT series_id, 0 AS i, 0 AS j, CAST(count(*) AS DOUBLE) AS value FROM lr GROUP BY series_id
+UNION ALL SELECT series_id, 0, 1, sum(qty1) FROM lr GROUP BY series_id
+UNION ALL SELECT series_id, 0, 2, sum(qty) FROM lr GROUP BY series_id
+UNION ALL SELECT series_id, 1, 1, sum(qty1 * qty1) FROM lr GROUP BY series_id
+UNION ALL SELECT series_id, 1, 2, sum(qty1 * qty) FROM lr GROUP BY series_id
+UNION ALL SELECT series_id, 2, 2, sum(qty * qty) FROM lr GROUP BY series_id""", doubles=("value",), digits=4)
+def q_a13(spark, sf):
+    return _model(spark, sf, K1)[1].gram()
+
+
+@register("A14_sigma_k2", f"""WITH {_LV_SQL}
+SELECT series_id, 'qty' AS row, 'qty' AS col, sig_qq AS value FROM k2
+UNION ALL SELECT series_id, 'qty', 'disc', sig_qd FROM k2
+UNION ALL SELECT series_id, 'disc', 'qty', sig_qd FROM k2
+UNION ALL SELECT series_id, 'disc', 'disc', sig_dd FROM k2""", doubles=("value",), digits=8)
+def q_a14(spark, sf):
+    return _model(spark, sf, K2)[1].sigma()
+
+
+@register("T4_residuals_k1", f"""WITH {_LV_SQL}
+SELECT series_id, t, qty - a - b * qty1 AS qty FROM lr JOIN k1 USING (series_id)""", doubles=("qty",), digits=5)
+def q_t4(spark, sf):
+    panel, m = _model(spark, sf, K1)
+    return m.residuals(panel.select("series_id", "t", "qty"))
+
+
+STEPS = 10
+
+
+@register("T5_forecast_k1", f"""WITH RECURSIVE {_LV_SQL},
+last AS (SELECT series_id, qty AS y FROM lv WHERE (series_id, t) IN (SELECT series_id, max(t) FROM lv GROUP BY series_id)),
+fc AS (SELECT series_id, 0 AS step, y FROM last
+  UNION ALL SELECT fc.series_id, fc.step + 1, k1.a + k1.b * fc.y FROM fc JOIN k1 USING (series_id) WHERE fc.step < {STEPS})
+SELECT series_id, CAST(step AS INTEGER) AS step, 'qty' AS variable, y AS value FROM fc WHERE step >= 1""",
+          doubles=("value",), digits=5)
+def q_t5(spark, sf):
+    panel, m = _model(spark, sf, K1)
+    return forecast(m, panel.select("series_id", "t", "qty"), STEPS)
+
+
+_FC2_SQL = f"""
+last2 AS (SELECT series_id, qty AS yq, disc AS yd FROM lv WHERE (series_id, t) IN (SELECT series_id, max(t) FROM lv GROUP BY series_id)),
+fc2 AS (SELECT series_id, 0 AS step, yq, yd FROM last2
+  UNION ALL SELECT fc2.series_id, fc2.step + 1, k2.aq + k2.bq1 * fc2.yq + k2.bq2 * fc2.yd, k2.ad + k2.bd1 * fc2.yq + k2.bd2 * fc2.yd
+  FROM fc2 JOIN k2 USING (series_id) WHERE fc2.step < {STEPS})"""
+
+
+@register("S7_forecast_wide_k2", f"""WITH RECURSIVE {_LV_SQL}, {_FC2_SQL}
+SELECT series_id, CAST(step AS INTEGER) AS step, yq AS qty, yd AS disc FROM fc2 WHERE step >= 1""",
+          doubles=("qty", "disc"), digits=5)
+def q_s7(spark, sf):
+    panel, m = _model(spark, sf, K2)
+    return forecast_wide(forecast(m, panel, STEPS), K2)
+
+
+HORIZON = 12
+
+
+@register("T6_irf_k1", f"""WITH {_LV_SQL}
+SELECT series_id, 'qty' AS shock, 'qty' AS response, CAST(h AS INTEGER) AS horizon, pow(b, h) * sqrt(rss / (n - 2)) AS value,
+  'cholesky' AS shock_kind FROM k1, range(0, {HORIZON}) r(h)""", doubles=("value",), digits=5)
+def q_t6(spark, sf):
+    return irf(_model(spark, sf, K1)[1], HORIZON)
+
+
+_PSI_SQL = f"""
+psi AS (SELECT series_id, 0 AS h, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS p12, 0.0::DOUBLE AS p21, 1.0::DOUBLE AS p22 FROM k2
+  UNION ALL SELECT psi.series_id, psi.h + 1, k2.bq1 * psi.p11 + k2.bq2 * psi.p21, k2.bq1 * psi.p12 + k2.bq2 * psi.p22,
+    k2.bd1 * psi.p11 + k2.bd2 * psi.p21, k2.bd1 * psi.p12 + k2.bd2 * psi.p22
+  FROM psi JOIN k2 USING (series_id) WHERE psi.h < {HORIZON - 1}),
+resp AS (SELECT series_id, CAST(h AS INTEGER) AS horizon, p11 * l11 + p12 * l21 AS qq, p12 * l22 AS qd,
+    p21 * l11 + p22 * l21 AS dq, p22 * l22 AS dd FROM psi JOIN chol USING (series_id)),
+irf2 AS (SELECT series_id, 'qty' AS shock, 'qty' AS response, horizon, qq AS value, 'cholesky' AS shock_kind FROM resp
+  UNION ALL SELECT series_id, 'disc', 'qty', horizon, qd, 'cholesky' FROM resp
+  UNION ALL SELECT series_id, 'qty', 'disc', horizon, dq, 'cholesky' FROM resp
+  UNION ALL SELECT series_id, 'disc', 'disc', horizon, dd, 'cholesky' FROM resp)"""
+
+
+@register("T6_irf_k2", f"WITH RECURSIVE {_LV_SQL}, {_PSI_SQL} SELECT * FROM irf2", doubles=("value",), digits=7)
+def q_t6k2(spark, sf):
+    return irf(_model(spark, sf, K2)[1], HORIZON)
+
+
+@register("T7_irf_response_k2", f"WITH RECURSIVE {_LV_SQL}, {_PSI_SQL} SELECT * FROM irf2 WHERE response = 'qty'",
+          doubles=("value",), digits=7)
+def q_t7(spark, sf):
+    return irf(_model(spark, sf, K2)[1], HORIZON).filter(F.col("response") == "qty")
+
+
+@register("S8_irf_wide_k2", f"""WITH RECURSIVE {_LV_SQL}, {_PSI_SQL}
+SELECT series_id, horizon, qq AS Shock_qty, qd AS Shock_disc FROM resp""", doubles=("Shock_qty", "Shock_disc"), digits=7)
+def q_s8(spark, sf):
+    return irf_wide(irf(_model(spark, sf, K2)[1], HORIZON), K2, "qty")
+
+
+@register("A10_cumulative_irf_k2", f"""WITH RECURSIVE {_LV_SQL}, {_PSI_SQL}
+SELECT series_id, shock, response, sum(value) AS cumulative FROM irf2 GROUP BY ALL""", doubles=("cumulative",), digits=6)
+def q_a10(spark, sf):
+    return cumulative_impact(irf(_model(spark, sf, K2)[1], HORIZON))
+
+
+_GR_SQL = """
+gr_src AS (SELECT series_id, 'disc' AS cause, 'qty' AS effect, (sqq - s1q * s1q / s11) - (sqq - bq1 * s1q - bq2 * s2q) AS num,
+    sqq - bq1 * s1q - bq2 * s2q AS rss_u, n FROM k2
+  UNION ALL SELECT series_id, 'qty', 'disc', (sdd - s2d * s2d / s22) - (sdd - bd1 * s1d - bd2 * s2d), sdd - bd1 * s1d - bd2 * s2d, n FROM k2),
+gr_f AS (SELECT series_id, cause, effect, CASE WHEN greatest(num, 0) = 0 OR rss_u <= 0 THEN 0.0
+    ELSE greatest(num, 0) / (rss_u / (n - 3)) END AS f, CAST(n - 3 AS BIGINT) AS nu FROM gr_src),""" + f1_tail_ctes("gr_f", ["series_id", "cause", "effect"], "gr_p") + """,
+gr AS (SELECT series_id, cause, effect, f AS f_stat, gr_p.p AS p_value, 1 AS lags, 1 AS df_num, nu AS df_den,
+  gr_p.p < 0.05 AS significant, 'ok' AS status FROM gr_f JOIN gr_p USING (series_id, cause, effect))"""
+
+
+@register("T8_T9_granger_k2", f"WITH {_LV_SQL}, {_GR_SQL} SELECT * FROM gr", doubles=("f_stat", "p_value"), digits=6)
+def q_t8(spark, sf):
+    return granger_matrix(_model(spark, sf, K2)[1])
+
+
+@register("O7_granger_labels", f"""WITH {_LV_SQL}, {_GR_SQL}
+SELECT *, CASE WHEN significant THEN 'GC' ELSE '' END AS label FROM gr""", doubles=("f_stat", "p_value"), digits=6)
+def q_o7(spark, sf):
+    return reshape.granger_labels(granger_matrix(_model(spark, sf, K2)[1]))
+
+
+REPS_SIM, SEED = 3, 7
+
+
+@register("T10_simulate_k1", f"""WITH RECURSIVE {_LV_SQL},
+res AS (SELECT series_id, t - 1 AS i, qty - a - b * qty1 AS u FROM lr JOIN k1 USING (series_id)),
+nreg AS (SELECT series_id, count(*) AS nr FROM res GROUP BY series_id),
+idx AS (SELECT series_id, rep, i, CAST(('0x' || substr(md5(concat_ws(':', {SEED}, series_id, rep, i)), 1, 8))::BIGINT % nr AS BIGINT) AS j
+  FROM (SELECT series_id, nr, rep, unnest(range(0, nr)) AS i FROM nreg, range(0, {REPS_SIM}) rr(rep)) x),
+eps AS (SELECT idx.series_id, idx.rep, idx.i, res.u FROM idx JOIN res ON idx.series_id = res.series_id AND idx.j = res.i),
+sim AS (SELECT lv.series_id, rr.rep, 0 AS t, lv.qty AS y FROM lv, range(0, {REPS_SIM}) rr(rep) WHERE lv.t = 0
+  UNION ALL SELECT sim.series_id, sim.rep, sim.t + 1, k1.a + k1.b * sim.y + eps.u
+  FROM sim JOIN k1 USING (series_id) JOIN eps ON eps.series_id = sim.series_id AND eps.rep = sim.rep AND eps.i = sim.t)
+SELECT series_id, CAST(rep AS INTEGER) AS rep, CAST(t AS BIGINT) AS t, y AS qty FROM sim""", doubles=("qty",), digits=4)
+def q_t10(spark, sf):
+    panel, m = _model(spark, sf, K1)
+    return simulate_series(m, panel.select("series_id", "t", "qty"), REPS_SIM, SEED)
+
+
+@register("T13_summary_k2", f"""WITH {D.LW_SQL}
+SELECT l_returnflag AS series_id, 2 AS k, 1 AS lags, 1 AS det, count(*) AS n_obs, count(*) - 1 AS n_reg, 4 AS n_lag_params,
+  2 AS c_rows, 1 AS c_cols, 3 AS n_params, CAST(count(*) - 1 - 3 AS DOUBLE) AS df_resid, 'ok' AS status, 'normal' AS solver
+FROM lw GROUP BY l_returnflag""")
+def q_t13(spark, sf):
+    return _model(spark, sf, K2)[1].summary()
+
+
+@register("O6_history_forecast_k1", f"""WITH RECURSIVE {_LV_SQL},
+last AS (SELECT series_id, qty AS y FROM lv WHERE (series_id, t) IN (SELECT series_id, max(t) FROM lv GROUP BY series_id)),
+fc AS (SELECT series_id, 0 AS step, y FROM last
+  UNION ALL SELECT fc.series_id, fc.step + 1, k1.a + k1.b * fc.y FROM fc JOIN k1 USING (series_id) WHERE fc.step < {STEPS}),
+h AS (SELECT series_id, t, qty, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) AS rd FROM lv),
+h30 AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY t) AS x, qty FROM h WHERE rd <= 30)
+SELECT series_id, 'qty' AS variable, x, qty AS value, 'history' AS kind FROM h30
+UNION ALL SELECT series_id, 'qty', 30 + step, y, 'forecast' FROM fc WHERE step >= 1""", doubles=("value",), digits=5)
+def q_o6(spark, sf):
+    panel, m = _model(spark, sf, K1)
+    p1 = panel.select("series_id", "t", "qty")
+    hist = reshape.to_long(p1, ["series_id", "t"], ["qty"])
+    return reshape.history_forecast_overlay(hist, forecast(m, p1, STEPS), 30)
+
+
+# --------------------------------------------------------------- diagnostics -----------------
+def _diag_long(spark, sf):
+    lw = D.lineitem_weekly(spark, sf).withColumnRenamed("l_returnflag", "series_id")
+    return DG.to_long_series(lw, ["l_quantity", "l_discount"], "series_id", "t")
+
+
+_KL_SQL = """
+kl AS (SELECT l_returnflag AS series_id, 'l_quantity' AS variable, t, l_quantity AS value FROM lw WHERE l_quantity IS NOT NULL
+  UNION ALL SELECT l_returnflag, 'l_discount', t, l_discount FROM lw WHERE l_discount IS NOT NULL)"""
+
+_KPSS_P = " ".join(
+    [f"WHEN stat <= {DG.KPSS_CRIT[0]} THEN {DG.KPSS_PVAL[0]}"]
+    + [f"WHEN stat <= {c1} THEN {p0} + (stat - {c0}) * (({p1} - {p0}) / ({c1} - {c0}))"
+       for (c0, c1), (p0, p1) in zip(zip(DG.KPSS_CRIT, DG.KPSS_CRIT[1:]), zip(DG.KPSS_PVAL, DG.KPSS_PVAL[1:]))]
+    + [f"ELSE {DG.KPSS_PVAL[-1]}"])
+
+
+@register("T15_kpss_lag1", f"""WITH {D.LW_SQL}, {_KL_SQL},
+ke AS (SELECT series_id, variable, t, value - avg(value) OVER (PARTITION BY series_id, variable) AS e,
+  count(*) OVER (PARTITION BY series_id, variable) AS n FROM kl),
+ks AS (SELECT *, sum(e) OVER (PARTITION BY series_id, variable ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s,
+  lag(e) OVER (PARTITION BY series_id, variable ORDER BY t) AS e1 FROM ke),
+ka AS (SELECT series_id, variable, any_value(n) AS n, sum(e * e) AS g0, sum(s * s) AS ss, coalesce(sum(e * e1), 0) AS g1 FROM ks GROUP BY ALL),
+kt AS (SELECT *, (ss / (n * n)) / ((g0 + 2 * g1 * (1 - 1 / 2)) / n) AS stat FROM ka),
+kp AS (SELECT *, CASE {_KPSS_P} END AS p FROM kt)
+SELECT series_id, variable, CASE WHEN n >= 20 THEN stat END AS kpss_stat, CASE WHEN n >= 20 THEN p END AS kpss_p, 1 AS kpss_lags,
+  coalesce(n >= 20 AND p >= 0.05, false) AS kpss_stationary FROM kp""", doubles=("kpss_stat", "kpss_p"), digits=8)
+def q_t15(spark, sf):
+    return DG.kpss(_diag_long(spark, sf), nlags=1)
+
+
+@register("T16_reset_linearity", f"""WITH {D.LW_SQL}, {_KL_SQL},
+rp AS (SELECT series_id, variable, row_number() OVER (PARTITION BY series_id, variable ORDER BY t) - 1 AS pos,
+  count(*) OVER (PARTITION BY series_id, variable) AS n, value - avg(value) OVER (PARTITION BY series_id, variable) AS e FROM kl),
+rs AS (SELECT series_id, variable, any_value(n) AS n, sum(e * e) AS see, sum(e * (pos - (n - 1) / 2.0)) AS sep1,
+  sum(e * ((pos - (n - 1) / 2.0) * (pos - (n - 1) / 2.0) - (n * n - 1) / 12.0)) AS sep2 FROM rp GROUP BY ALL),
+r1 AS (SELECT *, see - sep1 * sep1 / (n * (n * n - 1) / 12.0) AS rss1 FROM rs),
+r2 AS (SELECT *, rss1 - sep2 * sep2 / (n * (n * n - 1) * (n * n - 4) / 180.0) AS rss2 FROM r1),
+rf AS (SELECT series_id, variable, CASE WHEN n >= 20 AND rss2 > 0 AND n - 3 > 0 THEN (rss1 - rss2) / (rss2 / (n - 3)) END AS f,
+  CAST(n - 3 AS BIGINT) AS nu FROM r2),""" + f1_tail_ctes("rf", ["series_id", "variable"], "rpv") + """
+SELECT rf.series_id, rf.variable, rf.f AS reset_f, rpv.p AS reset_p, coalesce(rpv.p >= 0.05, false) AS is_linear
+FROM rf JOIN rpv USING (series_id, variable)""", doubles=("reset_f", "reset_p"), digits=6)
+def q_t16(spark, sf):
+    return DG.reset_linearity(_diag_long(spark, sf))
+
+
+@register("T17_vif_k2", f"""WITH {D.LW_SQL},
+v AS (SELECT l_returnflag AS series_id, count(*) AS n, sum(l_quantity * l_quantity) AS saa, sum(l_discount * l_discount) AS sbb,
+  sum(l_quantity * l_discount) AS sab FROM lw WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL GROUP BY 1),
+vv AS (SELECT series_id, CASE WHEN n >= 10 THEN 1 / (1 - sab * sab / (saa * sbb)) END AS vif FROM v)
+SELECT series_id, c.variable, vif, CASE WHEN vif IS NULL OR isnan(vif) THEN 'Could not calculate' WHEN vif < 5 THEN 'OK'
+  WHEN vif < 10 THEN 'Moderate' ELSE 'High' END AS vif_class
+FROM vv, (VALUES ('l_quantity'), ('l_discount')) c(variable)""", doubles=("vif",), digits=6)
+def q_t17(spark, sf):
+    lw = D.lineitem_weekly(spark, sf).withColumnRenamed("l_returnflag", "series_id")
+    return DG.vif(lw, ["l_quantity", "l_discount"])
+
+
+@register("T14_adf")
+def q_t14(spark, sf):
+    return DG.adf(_diag_long(spark, sf))
+
+
+@register("T18_stationarity")
+def q_t18(spark, sf):
+    long = _diag_long(spark, sf)
+    return DG.stationarity(DG.adf(long), DG.kpss(long))
+
+
+@register("T19_diagnostics_report")
+def q_t19(spark, sf):
+    lw = D.lineitem_weekly(spark, sf).withColumnRenamed("l_returnflag", "series_id")
+    return DG.diagnostics_report(lw, ["l_quantity", "l_discount", "l_tax", "l_extendedprice"])
+
+
+@register("T20_log_transform")
+def q_t20(spark, sf):
+    lw = D.lineitem_weekly(spark, sf).withColumnRenamed("l_returnflag", "series_id")
+    cols = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+    return DG.log_transform(lw, DG.diagnostics_report(lw, cols), cols)
+
+
+# --------------------------------------------------------------- bootstrap -------------------
+BOOT_REPS = 50
+
+
+@register("T11_bootstrap_irf_k2")
+def q_t11(spark, sf):
+    panel, m = _model(spark, sf, K2)
+    return bootstrap_irf(m, panel, reps=BOOT_REPS, horizon=HORIZON, alpha=0.05, seed=SEED)
+
+
+@register("T12_A12_bootstrap_granger_k2")
+def q_t12(spark, sf):
+    panel, m = _model(spark, sf, K2)
+    return bootstrap_granger(m, panel, reps=BOOT_REPS, alpha=0.05, seed=SEED)
