@@ -778,3 +778,36 @@ def q_t11(spark, sf):
 def q_t12(spark, sf):
     panel, m = _model(spark, sf, K2)
     return bootstrap_granger(m, panel, reps=BOOT_REPS, alpha=0.05, seed=SEED)
+
+
+# --------------------------------------------------------------- pipelines -------------------
+from panelcast.plans import pipelines as PL  # noqa: E402
+
+_TT_SQL = f"""WITH {D.NW_SQL}, {_RANK_SQL}, {_TOP_SQL}, {_nw_interp_sql()}, {D.LW_SQL},
+lwk AS (SELECT iso_year, iso_week, avg(l_discount) AS l_discount, avg(l_tax) AS l_tax, avg(l_quantity) AS l_quantity,
+  avg(l_extendedprice) AS l_extendedprice FROM lw GROUP BY ALL),
+m AS (SELECT ni.n_name, ni.week, ni.iso_year, ni.iso_week, ln(1 + ni.INF_A) AS LOG_INF_A, ln(1 + ni.INF_B) AS LOG_INF_B,
+  lwk.l_discount, lwk.l_tax, lwk.l_quantity, lwk.l_extendedprice FROM ni JOIN lwk USING (iso_year, iso_week))
+SELECT n_name || '|LOG_INF_A' AS series_id, n_name, 'LOG_INF_A' AS strain, week, iso_year, iso_week, LOG_INF_A AS target,
+  l_discount, l_tax, l_quantity, l_extendedprice FROM m
+UNION ALL SELECT n_name || '|LOG_INF_B', n_name, 'LOG_INF_B', week, iso_year, iso_week, LOG_INF_B,
+  l_discount, l_tax, l_quantity, l_extendedprice FROM m"""
+
+
+@register("O5_T22_training_table", _TT_SQL,
+          doubles=("target", "l_discount", "l_tax", "l_quantity", "l_extendedprice"), digits=6)
+def q_t22(spark, sf):
+    return PL.training_table(spark, sf)
+
+
+@register("T21_var_report")
+def q_t21(spark, sf):
+    panel = PL.flag_panel(spark, sf)
+    return PL.var_report(spark, panel, PL.FLAG_VARS, lags=6)["granger"]
+
+
+@register("S12_all_series_granger")
+def q_s12(spark, sf):
+    panel = PL.training_panel(spark, sf)
+    model = fit_var(panel, ["target", *PL.WEATHER_VARS], VarSpec(2, Det.CONST))
+    return granger_matrix(model)

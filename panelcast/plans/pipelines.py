@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.forecast import forecast
 from panelcast.operators.granger import granger_matrix
+from panelcast.operators.interp import interpolate_linear
 from panelcast.operators.irf import irf
 from panelcast.operators.var import VarModel, fit_var
 from panelcast.plans import derived as D
@@ -17,10 +18,12 @@ FLAG_VARS = ["qty", "price", "disc"]
 
 
 def flag_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly lineitem panel per return flag: quantity, revenue (millions), mean discount."""
+    """Weekly lineitem panel per return flag: quantity, revenue (millions), mean discount; weeks
+    without any line (mean undefined) are filled by linear interpolation along the series."""
     lw = D.lineitem_weekly(spark, sf_dir)
-    return lw.select(F.col("l_returnflag").alias("series_id"), "t", F.col("l_quantity").alias("qty"),
-                     (F.col("l_extendedprice") / 1e6).alias("price"), F.col("l_discount").alias("disc"))
+    panel = lw.select(F.col("l_returnflag").alias("series_id"), "t", F.col("l_quantity").alias("qty"),
+                      (F.col("l_extendedprice") / 1e6).alias("price"), F.col("l_discount").alias("disc"))
+    return interpolate_linear(panel, ["series_id"], ["t"], FLAG_VARS)
 
 
 def flagship_forecast(spark: SparkSession, sf_dir: str, steps: int = 10, lags: int = 2) -> DataFrame:
@@ -44,3 +47,37 @@ def var_report(spark: SparkSession, panel: DataFrame, variables: list[str], lags
 
 def fitted(panel: DataFrame, variables: list[str], lags: int, det: Det = Det.CONST) -> VarModel:
     return fit_var(panel, variables, VarSpec(lags, det))
+
+
+WEATHER_VARS = ["l_discount", "l_tax", "l_quantity", "l_extendedprice"]
+
+
+def training_table(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
+    """Training panel: best-covered nations' weekly order panel (gap-filled) joined to a shared
+    weekly covariate table on (iso_year, iso_week), log1p targets, one series per nation|strain.
+
+    Mirrors the case-count + weather integration: ranking -> top-k semi-join -> interpolation
+    -> weekly covariate means -> many-to-one join -> LOG targets -> strain split.
+    """
+    from panelcast.operators import interp, quality, reshape
+    from panelcast.operators.joins import join_many_to_one
+    nw = D.nation_weekly(spark, sf_dir)
+    ranking = quality.null_count_ranking(nw, ["n_name"], D.NW_MEASURES)
+    top = quality.top_k(ranking, top_k, ["Rank"])
+    flu = quality.keep_keys(nw, top, ["n_name"])
+    flu = interp.interpolate_linear(flu, ["n_name"], ["iso_year", "iso_week"], D.NW_MEASURES, round_digits=0)
+    flu = interp.ffill_bfill(flu, ["n_name"], ["iso_year", "iso_week"], D.NW_MEASURES)
+    flu = interp.zero_fill(flu, D.NW_MEASURES)
+    weather = (D.lineitem_weekly(spark, sf_dir).groupBy("iso_year", "iso_week")
+               .agg(*[F.avg(c).alias(c) for c in WEATHER_VARS]))
+    merged = join_many_to_one(flu, weather, ["iso_year", "iso_week"])
+    merged = merged.withColumn("LOG_INF_A", F.log1p("INF_A")).withColumn("LOG_INF_B", F.log1p("INF_B"))
+    return reshape.split_series(merged, ["n_name"], ["LOG_INF_A", "LOG_INF_B"],
+                                ["week", "iso_year", "iso_week", *WEATHER_VARS])
+
+
+def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model input from the training table: positional index per series over its weeks."""
+    from panelcast.sources.readers import load_series
+    tt = training_table(spark, sf_dir)
+    return load_series(tt, ["target", *WEATHER_VARS], "series_id", order_col="week")
