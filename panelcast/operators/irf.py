@@ -29,7 +29,8 @@ def irf(model: VarModel, horizon: int) -> DataFrame:
             frames = []
             for sid, coef, sigma in zip(pdf["series_id"], pdf["coef"], pdf["sigma"]):
                 a = K.lag_matrices(np.asarray(coef, float), k, spec.lags, spec.n_det)
-                resp, kind = K.irf(a, np.asarray(sigma, float).reshape(k, k), horizon)
+                sig = None if sigma is None else np.asarray(sigma, float).reshape(k, k)
+                resp, kind = K.irf(a, sig, horizon)
                 # resp[h, response, shock]
                 h_idx, r_idx, s_idx = np.meshgrid(np.arange(horizon), np.arange(k), np.arange(k), indexing="ij")
                 frames.append(pd.DataFrame({

@@ -180,3 +180,24 @@ def fit_var(panel: DataFrame, variables: Sequence[str], spec: VarSpec, series_co
 
 def lag_column_names(variables: Sequence[str], lags: int) -> list[str]:
     return [lag_name(v, j) for j in range(1, lags + 1) for v in variables]
+
+
+def model_from_params(spark, params: dict, variables: Sequence[str], spec: VarSpec, n_obs: dict | None = None) -> VarModel:
+    """Build a VarModel from given coefficients instead of a fit (known-parameter analysis).
+
+    ``params[series_id] = (A, C, sigma)`` with A a list of p (K x K) lag matrices, C a (K x n_det)
+    matrix or None and sigma a (K x K) matrix or None (None -> unit shocks in the IRF).
+    """
+    k = len(variables)
+    m = spec.n_regressors(k)
+    rows = []
+    for sid, (a, c, sigma) in params.items():
+        b = np.zeros((m, k))
+        if spec.n_det:
+            b[:spec.n_det, :] = np.asarray(c, float).reshape(k, spec.n_det).T
+        for j, aj in enumerate(a):
+            b[spec.n_det + j * k: spec.n_det + (j + 1) * k, :] = np.asarray(aj, float).reshape(k, k).T
+        sig = None if sigma is None else np.asarray(sigma, float).reshape(k, k).ravel().tolist()
+        t = int((n_obs or {}).get(sid, 0))
+        rows.append((sid, t, max(t - spec.lags, 0), m, float("nan"), "ok", "given", b.ravel().tolist(), sig, None))
+    return VarModel(spark.createDataFrame(rows, FIT_SCHEMA), list(variables), spec, "series_id")
