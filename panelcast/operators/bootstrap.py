@@ -29,7 +29,8 @@ def bootstrap_inputs(model: VarModel, panel: DataFrame, time_col: str = "t", max
     """One row per fitted series: coefficients, first p observations and the residual matrix."""
     variables, p = model.variables, model.spec.lags
     fits = model.fits.filter(F.col("status") == "ok")
-    worst = fits.agg(F.max("n_obs")).first()[0]
+    stats = fits.agg(F.max("n_obs").alias("worst"), F.count(F.lit(1)).alias("n_series")).first()
+    worst = stats["worst"]
     if worst is not None and worst * len(variables) > max_cells:
         raise ValueError(f"a series has {worst} rows x {len(variables)} variables, above max_cells={max_cells}")
     row = F.array(*[F.col(v) for v in variables])
@@ -39,15 +40,19 @@ def bootstrap_inputs(model: VarModel, panel: DataFrame, time_col: str = "t", max
     head = (panel.select(F.col(model.series_col).alias("series_id"), time_col, *variables).filter(F.col(time_col) < p)
             .groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct(F.col(time_col), row.alias("y")))).alias("_h"))
             .select("series_id", F.flatten(F.expr("transform(_h, x -> x.y)")).alias("y0")))
-    return fits.select("series_id", "n_obs", "n_reg", "coef", "sigma").join(resid, "series_id").join(head, "series_id")
+    out = fits.select("series_id", "n_obs", "n_reg", "coef", "sigma").join(resid, "series_id").join(head, "series_id")
+    return out, int(stats["n_series"] or 0)
 
 
-def _replicate(inputs: DataFrame, reps: int, block: int) -> DataFrame:
+def _replicate(inputs_and_count, reps: int, block: int) -> DataFrame:
+    """(series x block) work items, one task per item up to a cap; each item runs ``block`` reps."""
+    inputs, n_series = inputs_and_count
     n_blocks = max(1, math.ceil(reps / block))
+    n_tasks = max(1, min(n_series * n_blocks, 4096))
     return (inputs.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
             .withColumn("_rep_lo", F.col("_blk") * block)
             .withColumn("_rep_hi", F.least(F.lit(reps), (F.col("_blk") + 1) * block))
-            .repartition(max(1, min(n_blocks * 4, 4096)), "series_id", "_blk"))
+            .repartition(n_tasks, "series_id", "_blk"))
 
 
 def _unpack(row, k: int, p: int, n_det: int):

@@ -22,10 +22,23 @@ def lag_name(var: str, j: int) -> str:
     return f"{var}__lag{j}"
 
 
-def positional_index(df: DataFrame, series_col: str, order_cols: Sequence[str], time_col: str = "t") -> DataFrame:
-    """0..T-1 per series by ``row_number`` (one ordered window partition per series)."""
-    w = Window.partitionBy(series_col).orderBy(*order_cols)
-    return df.withColumn(time_col, (F.row_number().over(w) - 1).cast("bigint"))
+def positional_index(df: DataFrame, series_col: str, order_cols: Sequence[str], time_col: str = "t",
+                     n_ranges: int | None = None) -> DataFrame:
+    """0..T-1 per series in ``order_cols`` order (must be unique within a series).
+
+    Distributed like zipWithIndex: rows are range-partitioned on (series, order); each range
+    counts its rows per series, a running sum over those few counts gives every range's
+    offset, and the local row number is added to it. No task ever holds a whole series.
+    """
+    spark = df.sparkSession
+    n = n_ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = df.repartitionByRange(n, series_col, *order_cols).withColumn("_rid", F.spark_partition_id())
+    counts = ranged.groupBy(series_col, "_rid").agg(F.count(F.lit(1)).alias("_n"))
+    w_off = Window.partitionBy(series_col).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(series_col, "_rid", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy(series_col, "_rid").orderBy(*order_cols))
+    out = ranged.withColumn("_loc", local).join(offsets, [series_col, "_rid"])
+    return out.withColumn(time_col, (F.col("_off") + F.col("_loc") - 1).cast("bigint")).drop("_rid", "_loc", "_off")
 
 
 def lag_embed(panel: DataFrame, variables: Sequence[str], lags: int, series_col: str = "series_id",
@@ -41,11 +54,12 @@ def lag_embed(panel: DataFrame, variables: Sequence[str], lags: int, series_col:
         raise ValueError("lags must be smaller than the lag block")
     t = F.col(time_col)
     cols = [series_col, time_col, *variables]
-    base = panel.select(*cols).withColumn("_blk", F.floor(t / block)).withColumn("_halo", F.lit(False))
-    halo = (panel.select(*cols).filter(F.pmod(t, F.lit(block)) >= block - lags)
-            .withColumn("_blk", F.floor(t / block) + 1).withColumn("_halo", F.lit(True)))
+    blk = F.floor(t / block)
+    # one scan: rows in the last ``lags`` positions of a block are emitted twice (own block + halo)
+    blocks = F.when(F.pmod(t, F.lit(block)) >= block - lags, F.array(blk, blk + 1)).otherwise(F.array(blk))
+    u = panel.select(*cols, F.explode(blocks).alias("_blk")).withColumn("_halo", F.col("_blk") != blk)
     w = Window.partitionBy(series_col, "_blk").orderBy(time_col)
-    lagged = base.unionByName(halo).select(
+    lagged = u.select(
         *cols, "_halo",
         *[F.lag(v, j).over(w).alias(lag_name(v, j)) for j in range(1, lags + 1) for v in variables])
     keep = ~F.col("_halo")

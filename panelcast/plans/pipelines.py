@@ -11,6 +11,7 @@ from panelcast.operators.interp import interpolate_linear
 from panelcast.operators.irf import irf
 from panelcast.operators.var import VarModel, fit_var
 from panelcast.plans import derived as D
+from panelcast.session import cut_lineage
 from panelcast.sources.sinks import forecast_wide
 from panelcast.spec import Det, VarSpec
 
@@ -19,11 +20,15 @@ FLAG_VARS = ["qty", "price", "disc"]
 
 def flag_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly lineitem panel per return flag: quantity, revenue (millions), mean discount; weeks
-    without any line (mean undefined) are filled by linear interpolation along the series."""
+    without any line (mean undefined) are filled by linear interpolation along the series.
+
+    The panel is tiny next to its source (one row per flag and week), so it is written once
+    to the checkpoint folder: fit, forecast, residuals and bootstrap then reuse it instead of
+    rescanning lineitem."""
     lw = D.lineitem_weekly(spark, sf_dir)
     panel = lw.select(F.col("l_returnflag").alias("series_id"), "t", F.col("l_quantity").alias("qty"),
                       (F.col("l_extendedprice") / 1e6).alias("price"), F.col("l_discount").alias("disc"))
-    return interpolate_linear(panel, ["series_id"], ["t"], FLAG_VARS)
+    return cut_lineage(interpolate_linear(panel, ["series_id"], ["t"], FLAG_VARS))
 
 
 def flagship_forecast(spark: SparkSession, sf_dir: str, steps: int = 10, lags: int = 2) -> DataFrame:
@@ -80,4 +85,4 @@ def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model input from the training table: positional index per series over its weeks."""
     from panelcast.sources.readers import load_series
     tt = training_table(spark, sf_dir)
-    return load_series(tt, ["target", *WEATHER_VARS], "series_id", order_col="week")
+    return cut_lineage(load_series(tt, ["target", *WEATHER_VARS], "series_id", order_col="week"))

@@ -84,13 +84,12 @@ def load_series(df: DataFrame, variables: Sequence[str], series_col: str = "seri
                 order_col: str | None = None, time_col: str = "t") -> DataFrame:
     """Typed model input: every variable cast to double (strict: bad text raises under ANSI).
 
-    When ``order_col`` is given the positional index 0..T-1 is assigned per series with
-    ``row_number`` (bounded by series length: the input is a regularised grid).
+    When ``order_col`` is given the positional index 0..T-1 is assigned per series by the
+    distributed ``positional_index`` (range partitions + offsets).
     """
     cols = [F.col(v).cast("double").alias(v) for v in variables]
     if order_col is None:
         return df.select(F.col(series_col).cast("string").alias(series_col), F.col(time_col).cast("bigint").alias(time_col), *cols)
-    from pyspark.sql import Window
-    w = Window.partitionBy(series_col).orderBy(order_col)
-    return df.select(F.col(series_col).cast("string").alias(series_col),
-                     (F.row_number().over(w) - 1).cast("bigint").alias(time_col), *cols)
+    from panelcast.operators.lags import positional_index
+    typed = df.select(F.col(series_col).cast("string").alias(series_col), F.col(order_col), *cols)
+    return positional_index(typed, series_col, [order_col], time_col).select(series_col, time_col, *variables)

@@ -121,3 +121,15 @@ def test_draw_index_matches_md5_rule():
     for i in (0, 5, 99):
         h = int(hashlib.md5(f"7:A:2:{i}".encode()).hexdigest()[:8], 16)
         assert idx[i] == h % 100
+
+
+def test_positional_index_distributed(spark):
+    from pyspark.sql import functions as F
+    from panelcast.operators.lags import positional_index
+    rng = np.random.default_rng(1)
+    rows = [(s, float(x)) for s, n in (("a", 500), ("b", 37), ("c", 1)) for x in rng.permutation(n * 3)[:n]]
+    df = spark.createDataFrame(rows, "series_id string, ord double").repartition(5)
+    got = positional_index(df, "series_id", ["ord"], n_ranges=7).collect()
+    for s in ("a", "b", "c"):
+        vals = sorted((r.ord, r.t) for r in got if r.series_id == s)
+        assert [t for _, t in vals] == list(range(len(vals)))
