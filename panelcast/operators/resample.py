@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import iso_week, iso_year, week_end_monday, week_start_monday
@@ -21,15 +21,33 @@ def week_label(ts_col: str, label: str = "end"):
     raise ValueError("label must be 'end' or 'start'")
 
 
+def _fill_gaps(agg: DataFrame, keys: list[str], stamp: str, step: str, value_cols: list[str]) -> DataFrame:
+    """Insert the missing grid points between consecutive aggregated rows of each key.
+
+    Runs on the aggregated rows only (bounded by the calendar): each row emits itself and the
+    empty steps up to the next row (``lead``), and ``t`` counts steps from the key's first row.
+    """
+    w = Window.partitionBy(*keys).orderBy(stamp)
+    nxt = F.lead(stamp).over(w)
+    lo = F.min(stamp).over(Window.partitionBy(*keys))
+    marked = agg.select("*", nxt.alias("_next"), lo.alias("_lo"))
+    upto = F.coalesce(F.col("_next") - F.expr(f"INTERVAL {step}"), F.col(stamp))
+    gen = marked.select("*", F.explode(F.sequence(F.col(stamp), upto, F.expr(f"INTERVAL {step}"))).alias("_g"))
+    own = F.col("_g") == F.col(stamp)
+    return gen.select(*keys, F.col("_g").alias(stamp), F.col("_lo"),
+                      *[F.when(own, F.col(c)).alias(c) for c in value_cols])
+
+
 def weekly_rollup(df: DataFrame, keys: Sequence[str], ts_col: str, mean_cols: Sequence[str] = (),
                   sum_cols: Sequence[str] = (), first_cols: Sequence[str] = (), label: str = "end",
                   complete: bool = True, week_col: str = "week") -> DataFrame:
     """Weekly roll-up per key: mean / sum / first-non-null (earliest stamp, ties by value) per column.
 
     One partial+final aggregation keyed by (keys, week): a hot key only costs one partial row
-    per (partition, week). With ``complete`` every week between a key's first and last week is
-    present (empty weeks: mean NULL, sum 0, first NULL), and ``t`` is the week's position
-    0..n-1 computed arithmetically, so no ordered window over a series is needed.
+    per (partition, week). Mean/sum-only roll-ups stay on hash aggregation; a ``first`` column
+    carries a (stamp, value) ordering and is aggregated by sort. With ``complete`` every week
+    between a key's first and last week is present (empty weeks: mean NULL, sum 0, first NULL),
+    filled in after the aggregation, and ``t`` is the week's position 0..n-1.
     """
     keys = list(keys)
     wk = week_label(ts_col, label).alias(week_col)
@@ -37,41 +55,45 @@ def weekly_rollup(df: DataFrame, keys: Sequence[str], ts_col: str, mean_cols: Se
             + [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.col(ts_col), F.col(c)))).alias(c)
                for c in first_cols])
     agg = df.groupBy(*keys, wk).agg(*aggs)
+    values = [*mean_cols, *sum_cols, *first_cols]
     if complete:
-        bounds = agg.groupBy(*keys).agg(F.min(week_col).alias("_lo"), F.max(week_col).alias("_hi"))
-        grid = bounds.select(*keys, F.posexplode(F.sequence("_lo", "_hi", F.expr("INTERVAL 7 DAYS"))).alias("t", week_col))
-        agg = grid.join(agg, keys + [week_col], "left")
+        agg = _fill_gaps(agg, keys, week_col, "7 DAYS", values)
+        t = (F.datediff(F.col(week_col), F.col("_lo")) / 7).cast("bigint")
     else:
-        agg = agg.withColumn("t", F.lit(None).cast("bigint"))
-    out = agg.select(
-        *keys, F.col(week_col), F.col("t").cast("bigint").alias("t"),
+        t = F.lit(None).cast("bigint")
+    return agg.select(
+        *keys, F.col(week_col), t.alias("t"),
         iso_year(week_col).alias("iso_year"), iso_week(week_col).alias("iso_week"),
         (iso_year(week_col) * 100 + iso_week(week_col)).alias("isoyw"),
         *[F.col(c) for c in mean_cols],
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in sum_cols],
         *[F.col(c) for c in first_cols],
     )
-    return out
 
 
 def hourly_grid(df: DataFrame, keys: Sequence[str], ts_col: str, value_cols: Sequence[str],
                 mode: str = "truncate", check_unique: bool = False) -> DataFrame:
     """Complete hourly grid per key from the first to the last stamp, observations left-joined.
 
-    mode='truncate' (default): stamps are truncated to the hour and duplicates averaged.
+    mode='truncate' (default): stamps are truncated to the hour and duplicates averaged; the
+    missing hours are generated after that aggregation (no second scan, no join).
     mode='exact': grid starts at the exact first stamp; readings off the grid are dropped and,
-    with ``check_unique``, duplicate stamps raise.
+    with ``check_unique``, duplicate stamps raise (grid = bounds aggregate + left join).
     """
     keys = list(keys)
+    value_cols = list(value_cols)
     if mode == "truncate":
         obs = df.groupBy(*keys, F.date_trunc("hour", F.col(ts_col)).alias(ts_col)).agg(
             *[F.avg(c).alias(c) for c in value_cols])
-    elif mode == "exact":
-        obs = df.select(*keys, ts_col, *value_cols)
-        if check_unique and not obs.groupBy(*keys, ts_col).count().filter("count > 1").isEmpty():
-            raise ValueError("cannot reindex on an axis with duplicate timestamps")
-    else:
+        filled = _fill_gaps(obs, keys, ts_col, "1 HOUR", value_cols)
+        t = ((F.unix_micros(F.col(ts_col).cast("timestamp")) - F.unix_micros(F.col("_lo").cast("timestamp")))
+             / 3_600_000_000).cast("bigint")
+        return filled.select(*keys, t.alias("t"), ts_col, *value_cols)
+    if mode != "exact":
         raise ValueError("mode must be 'truncate' or 'exact'")
+    obs = df.select(*keys, ts_col, *value_cols)
+    if check_unique and not obs.groupBy(*keys, ts_col).count().filter("count > 1").isEmpty():
+        raise ValueError("cannot reindex on an axis with duplicate timestamps")
     bounds = obs.groupBy(*keys).agg(F.min(ts_col).alias("_lo"), F.max(ts_col).alias("_hi"))
     grid = bounds.select(*keys, F.posexplode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 HOUR"))).alias("t", ts_col))
     return grid.join(obs, keys + [ts_col], "left").select(*keys, F.col("t").cast("bigint").alias("t"), ts_col, *value_cols)

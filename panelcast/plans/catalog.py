@@ -92,6 +92,11 @@ def q_a5_gaps(spark, sf):
     return D.nation_weekly(spark, sf)
 
 
+@register("A5_weekly_first_nonnull", f"WITH {D.OF_SQL} SELECT * FROM of", doubles=("o_totalprice",), digits=6)
+def q_a5_first(spark, sf):
+    return D.orders_weekly_first(spark, sf)
+
+
 @register("W1_hourly_grid", f"WITH {D.EH_SQL} SELECT * FROM eh", doubles=("value",))
 def q_w1(spark, sf):
     return D.events_hourly(spark, sf)

@@ -16,7 +16,7 @@ from panelcast.sources.readers import read_test_table
 
 LW_MEANS = ["l_discount", "l_tax"]
 LW_SUMS = ["l_quantity", "l_extendedprice"]
-LW_FIRSTS = ["l_orderkey"]
+LW_FIRSTS: list[str] = []
 NW_MEASURES = ["INF_A", "INF_B", "INF_ALL"]
 
 
@@ -40,6 +40,11 @@ def nation_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly_rollup(nation_orders(spark, sf_dir), ["n_name"], "o_orderdate", NW_MEASURES)
 
 
+def orders_weekly_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_test_table(spark, sf_dir, "orders")
+    return weekly_rollup(o, ["o_orderstatus"], "o_orderdate", ["o_totalprice"], [], ["o_orderpriority", "o_custkey"])
+
+
 def events_hourly(spark: SparkSession, sf_dir: str, mode: str = "truncate") -> DataFrame:
     ev = read_test_table(spark, sf_dir, "events")
     return hourly_grid(ev, ["event_type"], "ts", ["value"], mode=mode)
@@ -79,6 +84,9 @@ NW_SQL = weekly_sql(
        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     ["n_name"], "o_orderdate", NW_MEASURES)
 
+OF_SQL = weekly_sql("of", "SELECT * FROM orders", ["o_orderstatus"], "o_orderdate", ["o_totalprice"], [],
+                    ["o_orderpriority", "o_custkey"])
+
 EH_SQL = """
 eh_obs AS (SELECT event_type, date_trunc('hour', ts) AS ts, avg(value) AS value FROM events GROUP BY ALL),
 eh_grid AS (SELECT event_type, lo, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts
