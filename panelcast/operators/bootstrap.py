@@ -64,6 +64,17 @@ def _unpack(row, k: int, p: int, n_det: int):
     return a, c, resid, y0
 
 
+def _simulated(row, k: int, spec, seed: int):
+    """(rep, simulated series) for the replications of one work item, simulated as one block."""
+    a, c, resid, y0 = _unpack(row, k, spec.lags, spec.n_det)
+    reps = list(range(int(row["_rep_lo"]), int(row["_rep_hi"])))
+    if not reps:
+        return []
+    idx = np.stack([K.draw_index(seed, row["series_id"], rep, resid.shape[0]) for rep in reps])
+    ys = K.simulate_batch(y0, resid, idx, a, c, spec.has_const, spec.has_trend)
+    return list(zip(reps, ys))
+
+
 def simulate_series(model: VarModel, panel: DataFrame, reps: int, seed: int, block: int = 50,
                     time_col: str = "t") -> DataFrame:
     """(series_id, rep, t, variables...) for each bootstrap replication."""
@@ -74,10 +85,7 @@ def simulate_series(model: VarModel, panel: DataFrame, reps: int, seed: int, blo
     def fn(batches):
         for pdf in batches:
             for _, row in pdf.iterrows():
-                a, c, resid, y0 = _unpack(row, k, p, spec.n_det)
-                for rep in range(int(row["_rep_lo"]), int(row["_rep_hi"])):
-                    idx = K.draw_index(seed, row["series_id"], rep, resid.shape[0])
-                    y = K.simulate(y0, resid, idx, a, c, spec.has_const, spec.has_trend)
+                for rep, y in _simulated(row, k, spec, seed):
                     out = pd.DataFrame(y, columns=variables)
                     out.insert(0, "t", np.arange(len(y), dtype=np.int64))
                     out.insert(0, "rep", rep)
@@ -87,11 +95,9 @@ def simulate_series(model: VarModel, panel: DataFrame, reps: int, seed: int, blo
     return _replicate(bootstrap_inputs(model, panel, time_col), reps, block).mapInPandas(fn, schema)
 
 
-def _refit(y, spec, k):
-    n_det, p = spec.n_det, spec.lags
-    g = K.gram_of(y, p, spec.has_const, spec.has_trend)
-    n_reg = y.shape[0] - p
-    b, sigma, solver, _ = K.fit_from_gram(g, k, p, n_det, n_reg)
+def _refit_gram(g, n_obs, spec, k):
+    n_reg = n_obs - spec.lags
+    b, sigma, solver, _ = K.fit_from_gram(g, k, spec.lags, spec.n_det, n_reg)
     return g, b, sigma, solver, n_reg
 
 
@@ -108,12 +114,11 @@ def bootstrap_irf(model: VarModel, panel: DataFrame, reps: int = 500, horizon: i
     def fn(batches):
         for pdf in batches:
             for _, row in pdf.iterrows():
-                a, c, resid, y0 = _unpack(row, k, p, spec.n_det)
                 frames = []
-                for rep in range(int(row["_rep_lo"]), int(row["_rep_hi"])):
-                    idx = K.draw_index(seed, row["series_id"], rep, resid.shape[0])
-                    y = K.simulate(y0, resid, idx, a, c, spec.has_const, spec.has_trend)
-                    _, b, sigma, _, _ = _refit(y, spec, k)
+                sims = _simulated(row, k, spec, seed)
+                grams = K.gram_batch(np.stack([y for _, y in sims]), p, spec.has_const, spec.has_trend) if sims else []
+                for (rep, y), g in zip(sims, grams):
+                    _, b, sigma, _, _ = _refit_gram(g, y.shape[0], spec, k)
                     resp, _ = K.irf(K.lag_matrices(b.ravel(), k, p, spec.n_det), sigma, horizon)
                     h_i, r_i, s_i = np.meshgrid(np.arange(horizon), np.arange(k), np.arange(k), indexing="ij")
                     frames.append(pd.DataFrame({"series_id": row["series_id"], "rep": rep, "shock": names[s_i.ravel()],
@@ -144,11 +149,10 @@ def bootstrap_granger(model: VarModel, panel: DataFrame, reps: int = 500, alpha:
         for pdf in batches:
             rows = []
             for _, row in pdf.iterrows():
-                a, c, resid, y0 = _unpack(row, k, p, spec.n_det)
-                for rep in range(int(row["_rep_lo"]), int(row["_rep_hi"])):
-                    idx = K.draw_index(seed, row["series_id"], rep, resid.shape[0])
-                    y = K.simulate(y0, resid, idx, a, c, spec.has_const, spec.has_trend)
-                    g, b, _, solver, n_reg = _refit(y, spec, k)
+                sims = _simulated(row, k, spec, seed)
+                grams = K.gram_batch(np.stack([y for _, y in sims]), p, spec.has_const, spec.has_trend) if sims else []
+                for (rep, y), g in zip(sims, grams):
+                    g, b, _, solver, n_reg = _refit_gram(g, y.shape[0], spec, k)
                     for cause, effect, f, _, status in K.granger_all_pairs(g, b.ravel(), solver, k, p, spec.n_det, n_reg):
                         rows.append((row["series_id"], rep, names[cause], names[effect], f if status == "ok" else 0.0))
             if rows:

@@ -278,7 +278,8 @@ def stationarity(adf_df: DataFrame, kpss_df: DataFrame) -> DataFrame:
 
 def diagnostics_report(wide: DataFrame, columns: Sequence[str], series_col: str = "series_id",
                        time_col: str = "t") -> DataFrame:
-    long = to_long_series(wide, columns, series_col, time_col)
+    from panelcast.session import cut_lineage
+    long = cut_lineage(to_long_series(wide, columns, series_col, time_col))
     st = stationarity(adf(long), kpss(long))
     lin = reset_linearity(long).withColumn("linearity", linearity_class("is_linear"))
     v = vif(wide, columns, series_col)

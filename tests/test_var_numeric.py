@@ -133,3 +133,17 @@ def test_positional_index_distributed(spark):
     for s in ("a", "b", "c"):
         vals = sorted((r.ord, r.t) for r in got if r.series_id == s)
         assert [t for _, t in vals] == list(range(len(vals)))
+
+
+def test_simulate_batch_matches_single():
+    rng = np.random.default_rng(2)
+    a = rng.standard_normal((3, 2, 2)) * 0.2
+    c = rng.standard_normal((2, 2))
+    resid = rng.standard_normal((40, 2))
+    y0 = rng.standard_normal((3, 2))
+    idx = rng.integers(0, 40, size=(5, 40))
+    batch = K.simulate_batch(y0, resid, idx, a, c, True, True)
+    for r in range(5):
+        assert np.allclose(batch[r], K.simulate(y0, resid, idx[r], a, c, True, True), atol=1e-12)
+    g = K.gram_batch(batch, 3, True, True)
+    assert np.allclose(g[1], K.gram_of(batch[1], 3, True, True))
