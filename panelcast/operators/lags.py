@@ -22,23 +22,44 @@ def lag_name(var: str, j: int) -> str:
     return f"{var}__lag{j}"
 
 
+def _as_number(c: str, dtype: str):
+    col = F.col(c)
+    if dtype == "date":
+        return F.unix_date(col).cast("double")
+    if dtype.startswith("timestamp"):
+        return F.unix_micros(col.cast("timestamp")).cast("double")
+    return col.cast("double")
+
+
 def positional_index(df: DataFrame, series_col: str, order_cols: Sequence[str], time_col: str = "t",
-                     n_ranges: int | None = None) -> DataFrame:
+                     rows_per_bucket: int = 1_000_000) -> DataFrame:
     """0..T-1 per series in ``order_cols`` order (must be unique within a series).
 
-    Distributed like zipWithIndex: rows are range-partitioned on (series, order); each range
-    counts its rows per series, a running sum over those few counts gives every range's
-    offset, and the local row number is added to it. No task ever holds a whole series.
+    Distributed like zipWithIndex but deterministic in the data: each series' order range is
+    cut into ceil(n / rows_per_bucket) equal-width buckets (one small aggregate per series),
+    rows are numbered inside their (series, bucket) window, and each bucket is offset by the
+    running count of the buckets before it. A lost executor recomputes the same buckets; no
+    task holds more than one bucket of a series. A single order column must be numeric, date
+    or timestamp; several order columns fall back to one ordered window per series.
     """
-    spark = df.sparkSession
-    n = n_ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = df.repartitionByRange(n, series_col, *order_cols).withColumn("_rid", F.spark_partition_id())
-    counts = ranged.groupBy(series_col, "_rid").agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy(series_col).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(series_col, "_rid", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy(series_col, "_rid").orderBy(*order_cols))
-    out = ranged.withColumn("_loc", local).join(offsets, [series_col, "_rid"])
-    return out.withColumn(time_col, (F.col("_off") + F.col("_loc") - 1).cast("bigint")).drop("_rid", "_loc", "_off")
+    order_cols = list(order_cols)
+    if len(order_cols) != 1:
+        w = Window.partitionBy(series_col).orderBy(*order_cols)
+        return df.withColumn(time_col, (F.row_number().over(w) - 1).cast("bigint"))
+    oc = order_cols[0]
+    v = _as_number(oc, dict(df.dtypes)[oc])
+    stats = df.groupBy(series_col).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(F.lit(1)).alias("_cnt"))
+    nb = F.greatest(F.ceil(F.col("_cnt") / F.lit(float(rows_per_bucket))), F.lit(1))
+    stats = stats.select(series_col, "_lo", (F.col("_hi") - F.col("_lo")).alias("_span"), nb.alias("_nb"))
+    width = F.when(F.col("_span") > 0, F.col("_span") / F.col("_nb")).otherwise(F.lit(1.0))
+    bucket = F.least(F.floor((v - F.col("_lo")) / width), F.col("_nb") - 1).cast("bigint")
+    tagged = df.join(stats, series_col).withColumn("_b", bucket).drop("_lo", "_span", "_nb")
+    counts = tagged.groupBy(series_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w_off = Window.partitionBy(series_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(series_col, "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy(series_col, "_b").orderBy(oc))
+    out = tagged.withColumn("_loc", local).join(offsets, [series_col, "_b"])
+    return out.withColumn(time_col, (F.col("_off") + F.col("_loc") - 1).cast("bigint")).drop("_b", "_loc", "_off")
 
 
 def lag_embed(panel: DataFrame, variables: Sequence[str], lags: int, series_col: str = "series_id",

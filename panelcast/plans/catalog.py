@@ -816,3 +816,28 @@ def q_s12(spark, sf):
     panel = PL.training_panel(spark, sf)
     model = fit_var(panel, ["target", *PL.WEATHER_VARS], VarSpec(2, Det.CONST))
     return granger_matrix(model)
+
+
+# --------------------------------------------------------------- typed load / lag design ------
+@register("S3_W7_load_series", f"""WITH {D.NW_SQL}
+SELECT n_name AS series_id, CAST(row_number() OVER (PARTITION BY n_name ORDER BY week) - 1 AS BIGINT) AS t, INF_ALL
+FROM nw""", doubles=("INF_ALL",), digits=4)
+def q_s3(spark, sf):
+    from panelcast.sources.readers import load_series
+    nw = D.nation_weekly(spark, sf).select("n_name", "week", "INF_ALL")
+    return load_series(nw.withColumnRenamed("n_name", "series_id"), ["INF_ALL"], "series_id", order_col="week")
+
+
+@register("W6_W9_lag_design", f"""WITH {D.LW_SQL}
+SELECT l_returnflag AS series_id, t, CAST(1.0 AS DOUBLE) AS const, CAST(t + 1 AS DOUBLE) AS trend,
+  lag(l_quantity, 1) OVER w AS qty__lag1, lag(l_discount, 1) OVER w AS disc__lag1,
+  lag(l_quantity, 2) OVER w AS qty__lag2, lag(l_discount, 2) OVER w AS disc__lag2
+FROM lw WINDOW w AS (PARTITION BY l_returnflag ORDER BY t) QUALIFY t >= 2""",
+          doubles=("qty__lag1", "disc__lag1", "qty__lag2", "disc__lag2"), digits=8)
+def q_w6(spark, sf):
+    from panelcast.operators.lags import design_columns, lag_embed
+    spec = VarSpec(2, Det.CONST_TREND)
+    lagged = lag_embed(_panel(spark, sf), K2, 2)
+    d = design_columns(spec, K2)
+    names = ["const", "trend", "qty__lag1", "disc__lag1", "qty__lag2", "disc__lag2"]
+    return lagged.select("series_id", "t", *[c.alias(n) for c, n in zip(d, names)])

@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["write_table", "forecast_wide", "irf_wide", "round_doubles"]
+__all__ = ["write_table", "forecast_wide", "irf_wide", "round_doubles", "granger_output", "bootstrap_irf_output",
+           "bootstrap_granger_output"]
+
+# Fixed output headers of the published result files.
+GRANGER_HEADER = ["CauseVar", "EffectVar", "FStatistic", "PValue", "Lags", "Significant"]
+BOOT_IRF_HEADER = ["ShockVar", "ResponseVar", "Horizon", "Point", "Lower", "Upper"]
+BOOT_GRANGER_HEADER = ["CauseVar", "EffectVar", "FStatistic", "AsymptoticP", "BootPValue", "Lags",
+                       "Significant_Asymptotic", "Significant_Bootstrap"]
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -28,10 +35,19 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     w.format(fmt).save(path)
 
 
-def forecast_wide(forecast_long: DataFrame, variables: Sequence[str], series_col: str = "series_id") -> DataFrame:
-    """(series, step, variable, value) -> one column per variable, fixed column list (no discovery pass)."""
-    return (forecast_long.groupBy(series_col, "step").pivot("variable", list(variables))
+def forecast_wide(forecast_long: DataFrame, variables: Sequence[str], series_col: str = "series_id",
+                  names: Sequence[str] | None = None) -> DataFrame:
+    """(series, step, variable, value) -> one column per variable, fixed column list (no discovery pass).
+
+    ``names`` relabels the columns; when their count differs from the variables, Var1..VarK is used.
+    """
+    variables = list(variables)
+    wide = (forecast_long.groupBy(series_col, "step").pivot("variable", variables)
             .agg(F.first("value")).orderBy(series_col, "step"))
+    if names is not None:
+        labels = list(names) if len(names) == len(variables) else [f"Var{i + 1}" for i in range(len(variables))]
+        wide = wide.select(series_col, "step", *[F.col(v).alias(n) for v, n in zip(variables, labels)])
+    return wide
 
 
 def irf_wide(irf_long: DataFrame, variables: Sequence[str], response: str, series_col: str = "series_id") -> DataFrame:
@@ -39,3 +55,20 @@ def irf_wide(irf_long: DataFrame, variables: Sequence[str], response: str, serie
     sel = irf_long.filter(F.col("response") == response)
     wide = sel.groupBy(series_col, "horizon").pivot("shock", list(variables)).agg(F.first("value"))
     return wide.select(series_col, "horizon", *[F.col(v).alias(f"Shock_{v}") for v in variables])
+
+
+def granger_output(granger_df: DataFrame, series_col: str = "series_id") -> DataFrame:
+    """Long Granger table in the published layout (diagonal never present)."""
+    return granger_df.select(series_col, *[F.col(a).alias(b) for a, b in zip(
+        ["cause", "effect", "f_stat", "p_value", "lags", "significant"], GRANGER_HEADER)])
+
+
+def bootstrap_irf_output(boot_irf: DataFrame, series_col: str = "series_id") -> DataFrame:
+    return boot_irf.select(series_col, *[F.col(a).alias(b) for a, b in zip(
+        ["shock", "response", "horizon", "point", "lower", "upper"], BOOT_IRF_HEADER)])
+
+
+def bootstrap_granger_output(boot_granger: DataFrame, series_col: str = "series_id") -> DataFrame:
+    return boot_granger.select(series_col, *[F.col(a).alias(b) for a, b in zip(
+        ["cause", "effect", "f_stat", "asymptotic_p", "boot_p", "lags", "significant_asymptotic",
+         "significant_bootstrap"], BOOT_GRANGER_HEADER)])
