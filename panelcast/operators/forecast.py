@@ -23,7 +23,7 @@ def forecast(model: VarModel, panel: DataFrame, steps: int, time_col: str = "t")
         raise ValueError("steps must be > 0")
     spec, variables = model.spec, model.variables
     k, p = len(variables), spec.lags
-    fits = model.fits.filter(F.col("status") == "ok").select("series_id", "n_obs", "coef")
+    fits = model.coefficient_side(["series_id", "n_obs", "coef"])
     tail = (panel.select(F.col(model.series_col).alias("series_id"), time_col, *variables)
             .join(fits, "series_id").filter(F.col(time_col) >= F.col("n_obs") - p))
 

@@ -98,6 +98,19 @@ class VarModel:
     def k(self) -> int:
         return len(self.variables)
 
+    def coefficient_side(self, cols: Sequence[str], max_broadcast_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+        """Fit rows to join against data rows, broadcast only when their size is bounded.
+
+        Size = series count (one cheap count of the checkpointed fit table) x coefficient width.
+        Above the bound the join is left to the planner, whose AQE skew handling splits a hot
+        series' partition instead of sending it to one task.
+        """
+        side = self.fits.filter(F.col("status") == "ok").select(*cols)
+        if getattr(self, "_n_series", None) is None:
+            self._n_series = side.count()
+        width = 8 * (self.spec.n_regressors(self.k) * self.k + self.k * self.k) + 64
+        return F.broadcast(side) if self._n_series * width <= max_broadcast_bytes else side
+
     # ---- tidy views -------------------------------------------------------------------
     def coefficients(self) -> DataFrame:
         """(series_id, equation, term, lag, variable, value); A_j[eq, var] = value of (eq, 'lag', j, var)."""
@@ -142,7 +155,7 @@ class VarModel:
         lagged = lag_embed(panel, self.variables, self.spec.lags, self.series_col, time_col)
         from panelcast.operators.lags import design_columns
         x = F.array(*design_columns(self.spec, self.variables, time_col))
-        coefs = self.fits.filter(F.col("status") == "ok").select(self.series_col, "coef")
+        coefs = self.coefficient_side([self.series_col, "coef"])
         j = lagged.join(coefs, self.series_col, "inner").withColumn("_x", x)
         k = self.k
         m = self.spec.n_regressors(k)

@@ -485,16 +485,19 @@ _LV_SQL = D.LW_SQL + """,
 lv AS (SELECT l_returnflag AS series_id, t, l_quantity AS qty, l_discount AS disc,
   lag(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY t) AS qty1,
   lag(l_discount) OVER (PARTITION BY l_returnflag ORDER BY t) AS disc1 FROM lw),
-lr AS (SELECT * FROM lv WHERE t >= 1),
+bad1 AS (SELECT DISTINCT series_id FROM lv WHERE qty IS NULL),
+bad2 AS (SELECT DISTINCT series_id FROM lv WHERE qty IS NULL OR disc IS NULL),
+lr AS (SELECT * FROM lv WHERE t >= 1 AND series_id NOT IN (SELECT series_id FROM bad1)),
+lr2 AS (SELECT * FROM lv WHERE t >= 1 AND series_id NOT IN (SELECT series_id FROM bad2)),
 k1 AS (SELECT series_id, count(*) AS n, regr_intercept(qty, qty1) AS a, regr_slope(qty, qty1) AS b,
   regr_syy(qty, qty1) - regr_sxy(qty, qty1) * regr_sxy(qty, qty1) / regr_sxx(qty, qty1) AS rss FROM lr GROUP BY series_id),
-k2m AS (SELECT series_id, count(*) AS n, avg(qty1) AS m1, avg(disc1) AS m2, avg(qty) AS mq, avg(disc) AS md FROM lr GROUP BY series_id),
+k2m AS (SELECT series_id, count(*) AS n, avg(qty1) AS m1, avg(disc1) AS m2, avg(qty) AS mq, avg(disc) AS md FROM lr2 GROUP BY series_id),
 k2s AS (SELECT series_id, any_value(n) AS n, any_value(m1) AS m1, any_value(m2) AS m2, any_value(mq) AS mq, any_value(md) AS md,
   sum((qty1 - m1) * (qty1 - m1)) AS s11, sum((qty1 - m1) * (disc1 - m2)) AS s12, sum((disc1 - m2) * (disc1 - m2)) AS s22,
   sum((qty1 - m1) * (qty - mq)) AS s1q, sum((disc1 - m2) * (qty - mq)) AS s2q,
   sum((qty1 - m1) * (disc - md)) AS s1d, sum((disc1 - m2) * (disc - md)) AS s2d,
   sum((qty - mq) * (qty - mq)) AS sqq, sum((qty - mq) * (disc - md)) AS sqd, sum((disc - md) * (disc - md)) AS sdd
-  FROM lr JOIN k2m USING (series_id) GROUP BY series_id),
+  FROM lr2 JOIN k2m USING (series_id) GROUP BY series_id),
 k2b AS (SELECT *, (s1q * s22 - s2q * s12) / (s11 * s22 - s12 * s12) AS bq1, (s2q * s11 - s1q * s12) / (s11 * s22 - s12 * s12) AS bq2,
   (s1d * s22 - s2d * s12) / (s11 * s22 - s12 * s12) AS bd1, (s2d * s11 - s1d * s12) / (s11 * s22 - s12 * s12) AS bd2 FROM k2s),
 k2 AS (SELECT *, mq - bq1 * m1 - bq2 * m2 AS aq, md - bd1 * m1 - bd2 * m2 AS ad,
@@ -664,10 +667,12 @@ def q_t10(spark, sf):
     return simulate_series(m, panel.select("series_id", "t", "qty"), REPS_SIM, SEED)
 
 
-@register("T13_summary_k2", f"""WITH {D.LW_SQL}
-SELECT l_returnflag AS series_id, 2 AS k, 1 AS lags, 1 AS det, count(*) AS n_obs, count(*) - 1 AS n_reg, 4 AS n_lag_params,
-  2 AS c_rows, 1 AS c_cols, 3 AS n_params, CAST(count(*) - 1 - 3 AS DOUBLE) AS df_resid, 'ok' AS status, 'normal' AS solver
-FROM lw GROUP BY l_returnflag""")
+@register("T13_summary_k2", f"""WITH {D.LW_SQL},
+s AS (SELECT l_returnflag AS series_id, count(*) AS n, count(*) FILTER (WHERE l_quantity IS NULL OR l_discount IS NULL) AS nulls
+  FROM lw GROUP BY l_returnflag)
+SELECT series_id, 2 AS k, 1 AS lags, 1 AS det, n AS n_obs, n - 1 AS n_reg, 4 AS n_lag_params, 2 AS c_rows, 1 AS c_cols,
+  3 AS n_params, CASE WHEN nulls = 0 THEN CAST(n - 1 - 3 AS DOUBLE) END AS df_resid,
+  CASE WHEN nulls = 0 THEN 'ok' ELSE 'null_input' END AS status, CASE WHEN nulls = 0 THEN 'normal' END AS solver FROM s""")
 def q_t13(spark, sf):
     return _model(spark, sf, K2)[1].summary()
 
