@@ -25,26 +25,43 @@ class Query:
     sql: str | None
     doubles: tuple[str, ...]
     digits: int
+    sig: bool
 
 
 CATALOG: dict[str, Query] = {}
 
 
-def register(name: str, sql: str | None = None, doubles=(), digits: int = 6):
+def register(name: str, sql: str | None = None, doubles=(), digits: int = 6, sig: bool = False):
+    """``digits`` decimals, or significant digits when ``sig`` (model outputs of any magnitude)."""
     def deco(fn):
-        CATALOG[name] = Query(fn, sql, tuple(doubles), digits)
+        CATALOG[name] = Query(fn, sql, tuple(doubles), digits, sig)
         return fn
     return deco
 
 
-def _round_df(df: DataFrame, doubles, digits) -> DataFrame:
-    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if c in doubles else F.col(c)
-                       for c in df.columns])
+def _round_col(c: str, digits: int, sig: bool):
+    x = F.col(c)
+    if not sig:
+        return F.round(x, digits) + F.lit(0.0)
+    scale = F.pow(F.lit(10.0), F.ceil(F.log10(F.abs(x))))
+    return (F.when(x.isNull() | F.isnan(x) | (x == 0), x)
+            .otherwise(F.round(x / scale, digits) * scale) + F.lit(0.0))
+
+
+def _round_sql(c: str, digits: int, sig: bool) -> str:
+    if not sig:
+        return f"round({c}, {digits}) + 0.0"
+    scale = f"pow(10.0, ceil(log10(abs({c}))))"
+    return f"(CASE WHEN {c} IS NULL OR isnan({c}) OR {c} = 0 THEN {c} ELSE round({c} / {scale}, {digits}) * {scale} END) + 0.0"
+
+
+def _round_df(df: DataFrame, q: Query) -> DataFrame:
+    return df.select(*[_round_col(c, q.digits, q.sig).alias(c) if c in q.doubles else F.col(c) for c in df.columns])
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def make(q: Query):
-        return lambda spark, sf_dir: _round_df(q.fn(spark, sf_dir), q.doubles, q.digits)
+        return lambda spark, sf_dir: _round_df(q.fn(spark, sf_dir), q)
     return {name: make(q) for name, q in CATALOG.items()}
 
 
@@ -54,7 +71,7 @@ def oracle_queries() -> dict[str, str]:
         if q.sql is None:
             continue
         if q.doubles:
-            rep = ", ".join(f"round({c}, {q.digits}) + 0.0 AS {c}" for c in q.doubles)
+            rep = ", ".join(f"{_round_sql(c, q.digits, q.sig)} AS {c}" for c in q.doubles)
             out[name] = f"SELECT * REPLACE ({rep}) FROM ({q.sql}) q"
         else:
             out[name] = q.sql
@@ -87,7 +104,7 @@ def q_a5(spark, sf):
     return D.lineitem_weekly(spark, sf)
 
 
-@register("A5_weekly_rollup_gaps", f"WITH {D.NW_SQL} SELECT * FROM nw", doubles=tuple(D.NW_MEASURES), digits=4)
+@register("A5_weekly_rollup_gaps", f"WITH {D.NW_SQL} SELECT * FROM nw", doubles=tuple(D.NW_MEASURES), digits=6)
 def q_a5_gaps(spark, sf):
     return D.nation_weekly(spark, sf)
 
@@ -97,7 +114,7 @@ def q_a5_first(spark, sf):
     return D.orders_weekly_first(spark, sf)
 
 
-@register("W1_hourly_grid", f"WITH {D.EH_SQL} SELECT * FROM eh", doubles=("value",))
+@register("W1_hourly_grid", f"WITH {D.EH_SQL} SELECT * FROM eh", doubles=("value",), digits=8)
 def q_w1(spark, sf):
     return D.events_hourly(spark, sf)
 
@@ -106,7 +123,7 @@ def q_w1(spark, sf):
 WITH g AS (SELECT event_type, lo, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts
   FROM (SELECT event_type, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY ALL) b)
 SELECT g.event_type, CAST(date_diff('hour', g.lo, g.ts) AS BIGINT) AS t, g.ts, e.value
-FROM g LEFT JOIN events e USING (event_type, ts)""", doubles=("value",))
+FROM g LEFT JOIN events e USING (event_type, ts)""", doubles=("value",), digits=8)
 def q_j3(spark, sf):
     return D.events_hourly(spark, sf, mode="exact")
 
@@ -123,19 +140,19 @@ ehi AS (SELECT event_type, t, ts, value AS v, pos,
 
 @register("W2_interpolate", f"""WITH {D.EH_SQL}, {_INTERP_SQL}
 SELECT event_type, t, ts, coalesce(v, pv + (nv - pv) * (pos - pi) / (ni - pi), pv, nv) AS value FROM ehi""",
-          doubles=("value",))
+          doubles=("value",), digits=8)
 def q_w2(spark, sf):
     return interp.interpolate_linear(D.events_hourly(spark, sf), ["event_type"], ["ts"], ["value"])
 
 
 @register("W3_ffill_bfill", f"""WITH {D.EH_SQL}, {_INTERP_SQL}
-SELECT event_type, t, ts, coalesce(pv, nv) AS value FROM ehi""", doubles=("value",))
+SELECT event_type, t, ts, coalesce(pv, nv) AS value FROM ehi""", doubles=("value",), digits=8)
 def q_w3(spark, sf):
     return interp.ffill_bfill(D.events_hourly(spark, sf), ["event_type"], ["ts"], ["value"])
 
 
 @register("W4_zero_fill", f"WITH {D.EH_SQL} SELECT event_type, t, ts, coalesce(value, 0.0) AS value FROM eh",
-          doubles=("value",))
+          doubles=("value",), digits=8)
 def q_w4(spark, sf):
     return interp.zero_fill(D.events_hourly(spark, sf), ["value"])
 
@@ -207,7 +224,7 @@ nt AS (SELECT * FROM nw WHERE n_name IN (SELECT n_name FROM top))"""
 
 
 @register("P5_J4_top_semi_join", f"WITH {D.NW_SQL}, {_RANK_SQL}, {_TOP_SQL} SELECT * FROM nt",
-          doubles=tuple(D.NW_MEASURES), digits=4)
+          doubles=tuple(D.NW_MEASURES), digits=6)
 def q_p5(spark, sf):
     return _top_rows(spark, sf)
 
@@ -282,7 +299,7 @@ def q_a15(spark, sf):
 
 @register("A7_weekly_mean_by_isoweek", f"""WITH {D.EH_SQL}
 SELECT CAST(isoyear(ts) AS INTEGER) AS iso_year, CAST(week(ts) AS INTEGER) AS iso_week, avg(value) AS value FROM eh GROUP BY ALL""",
-          doubles=("value",))
+          doubles=("value",), digits=8)
 def q_a7(spark, sf):
     eh = D.events_hourly(spark, sf)
     return eh.groupBy(S.iso_year("ts").alias("iso_year"), S.iso_week("ts").alias("iso_week")).agg(F.avg("value").alias("value"))
@@ -333,13 +350,13 @@ def q_p4(spark, sf):
     return filter_upper_equals(c, "c_mktsegment", "building").select("c_custkey", "c_name")
 
 
-@register("P6_dropna_subset", f"WITH {D.EH_SQL} SELECT * FROM eh WHERE value IS NOT NULL", doubles=("value",))
+@register("P6_dropna_subset", f"WITH {D.EH_SQL} SELECT * FROM eh WHERE value IS NOT NULL", doubles=("value",), digits=8)
 def q_p6(spark, sf):
     return D.events_hourly(spark, sf).dropna(subset=["value"])
 
 
 @register("P7_dropna_any", f"WITH {D.NW_SQL} SELECT * FROM nw WHERE INF_A IS NOT NULL AND INF_B IS NOT NULL AND INF_ALL IS NOT NULL",
-          doubles=tuple(D.NW_MEASURES), digits=4)
+          doubles=tuple(D.NW_MEASURES), digits=6)
 def q_p7(spark, sf):
     return D.nation_weekly(spark, sf).dropna("any")
 
@@ -510,7 +527,7 @@ _COEF_DIG = 6
 
 @register("T1_var_k1", f"""WITH {_LV_SQL}
 SELECT series_id, 'qty' AS equation, 'const' AS term, 0 AS lag, '' AS variable, a AS value FROM k1
-UNION ALL SELECT series_id, 'qty', 'lag', 1, 'qty', b FROM k1""", doubles=("value",), digits=_COEF_DIG)
+UNION ALL SELECT series_id, 'qty', 'lag', 1, 'qty', b FROM k1""", doubles=("value",), digits=9, sig=True)
 def q_t1(spark, sf):
     return _model(spark, sf, K1)[1].coefficients()
 
@@ -521,7 +538,7 @@ UNION ALL SELECT series_id, 'disc', 'const', 0, '', ad FROM k2
 UNION ALL SELECT series_id, 'qty', 'lag', 1, 'qty', bq1 FROM k2
 UNION ALL SELECT series_id, 'disc', 'lag', 1, 'qty', bd1 FROM k2
 UNION ALL SELECT series_id, 'qty', 'lag', 1, 'disc', bq2 FROM k2
-UNION ALL SELECT series_id, 'disc', 'lag', 1, 'disc', bd2 FROM k2""", doubles=("value",), digits=_COEF_DIG)
+UNION ALL SELECT series_id, 'disc', 'lag', 1, 'disc', bd2 FROM k2""", doubles=("value",), digits=9, sig=True)
 def q_t1k2(spark, sf):
     return _model(spark, sf, K2)[1].coefficients()
 
@@ -532,7 +549,7 @@ UNION ALL SELECT series_id, 0, 1, sum(qty1) FROM lr GROUP BY series_id
 UNION ALL SELECT series_id, 0, 2, sum(qty) FROM lr GROUP BY series_id
 UNION ALL SELECT series_id, 1, 1, sum(qty1 * qty1) FROM lr GROUP BY series_id
 UNION ALL SELECT series_id, 1, 2, sum(qty1 * qty) FROM lr GROUP BY series_id
-UNION ALL SELECT series_id, 2, 2, sum(qty * qty) FROM lr GROUP BY series_id""", doubles=("value",), digits=4)
+UNION ALL SELECT series_id, 2, 2, sum(qty * qty) FROM lr GROUP BY series_id""", doubles=("value",), digits=9, sig=True)
 def q_a13(spark, sf):
     return _model(spark, sf, K1)[1].gram()
 
@@ -541,13 +558,13 @@ def q_a13(spark, sf):
 SELECT series_id, 'qty' AS row, 'qty' AS col, sig_qq AS value FROM k2
 UNION ALL SELECT series_id, 'qty', 'disc', sig_qd FROM k2
 UNION ALL SELECT series_id, 'disc', 'qty', sig_qd FROM k2
-UNION ALL SELECT series_id, 'disc', 'disc', sig_dd FROM k2""", doubles=("value",), digits=8)
+UNION ALL SELECT series_id, 'disc', 'disc', sig_dd FROM k2""", doubles=("value",), digits=9, sig=True)
 def q_a14(spark, sf):
     return _model(spark, sf, K2)[1].sigma()
 
 
 @register("T4_residuals_k1", f"""WITH {_LV_SQL}
-SELECT series_id, t, qty - a - b * qty1 AS qty FROM lr JOIN k1 USING (series_id)""", doubles=("qty",), digits=5)
+SELECT series_id, t, qty - a - b * qty1 AS qty FROM lr JOIN k1 USING (series_id)""", doubles=("qty",), digits=9, sig=True)
 def q_t4(spark, sf):
     panel, m = _model(spark, sf, K1)
     return m.residuals(panel.select("series_id", "t", "qty"))
@@ -561,7 +578,7 @@ last AS (SELECT series_id, qty AS y FROM lv WHERE (series_id, t) IN (SELECT seri
 fc AS (SELECT series_id, 0 AS step, y FROM last
   UNION ALL SELECT fc.series_id, fc.step + 1, k1.a + k1.b * fc.y FROM fc JOIN k1 USING (series_id) WHERE fc.step < {STEPS})
 SELECT series_id, CAST(step AS INTEGER) AS step, 'qty' AS variable, y AS value FROM fc WHERE step >= 1""",
-          doubles=("value",), digits=5)
+          doubles=("value",), digits=9, sig=True)
 def q_t5(spark, sf):
     panel, m = _model(spark, sf, K1)
     return forecast(m, panel.select("series_id", "t", "qty"), STEPS)
@@ -576,7 +593,7 @@ fc2 AS (SELECT series_id, 0 AS step, yq, yd FROM last2
 
 @register("S7_forecast_wide_k2", f"""WITH RECURSIVE {_LV_SQL}, {_FC2_SQL}
 SELECT series_id, CAST(step AS INTEGER) AS step, yq AS qty, yd AS disc FROM fc2 WHERE step >= 1""",
-          doubles=("qty", "disc"), digits=5)
+          doubles=("qty", "disc"), digits=9, sig=True)
 def q_s7(spark, sf):
     panel, m = _model(spark, sf, K2)
     return forecast_wide(forecast(m, panel, STEPS), K2)
@@ -587,7 +604,7 @@ HORIZON = 12
 
 @register("T6_irf_k1", f"""WITH {_LV_SQL}
 SELECT series_id, 'qty' AS shock, 'qty' AS response, CAST(h AS INTEGER) AS horizon, pow(b, h) * sqrt(rss / (n - 2)) AS value,
-  'cholesky' AS shock_kind FROM k1, range(0, {HORIZON}) r(h)""", doubles=("value",), digits=5)
+  'cholesky' AS shock_kind FROM k1, range(0, {HORIZON}) r(h)""", doubles=("value",), digits=9, sig=True)
 def q_t6(spark, sf):
     return irf(_model(spark, sf, K1)[1], HORIZON)
 
@@ -605,25 +622,25 @@ irf2 AS (SELECT series_id, 'qty' AS shock, 'qty' AS response, horizon, qq AS val
   UNION ALL SELECT series_id, 'disc', 'disc', horizon, dd, 'cholesky' FROM resp)"""
 
 
-@register("T6_irf_k2", f"WITH RECURSIVE {_LV_SQL}, {_PSI_SQL} SELECT * FROM irf2", doubles=("value",), digits=7)
+@register("T6_irf_k2", f"WITH RECURSIVE {_LV_SQL}, {_PSI_SQL} SELECT * FROM irf2", doubles=("value",), digits=9, sig=True)
 def q_t6k2(spark, sf):
     return irf(_model(spark, sf, K2)[1], HORIZON)
 
 
 @register("T7_irf_response_k2", f"WITH RECURSIVE {_LV_SQL}, {_PSI_SQL} SELECT * FROM irf2 WHERE response = 'qty'",
-          doubles=("value",), digits=7)
+          doubles=("value",), digits=9, sig=True)
 def q_t7(spark, sf):
     return irf(_model(spark, sf, K2)[1], HORIZON).filter(F.col("response") == "qty")
 
 
 @register("S8_irf_wide_k2", f"""WITH RECURSIVE {_LV_SQL}, {_PSI_SQL}
-SELECT series_id, horizon, qq AS Shock_qty, qd AS Shock_disc FROM resp""", doubles=("Shock_qty", "Shock_disc"), digits=7)
+SELECT series_id, horizon, qq AS Shock_qty, qd AS Shock_disc FROM resp""", doubles=("Shock_qty", "Shock_disc"), digits=9, sig=True)
 def q_s8(spark, sf):
     return irf_wide(irf(_model(spark, sf, K2)[1], HORIZON), K2, "qty")
 
 
 @register("A10_cumulative_irf_k2", f"""WITH RECURSIVE {_LV_SQL}, {_PSI_SQL}
-SELECT series_id, shock, response, sum(value) AS cumulative FROM irf2 GROUP BY ALL""", doubles=("cumulative",), digits=6)
+SELECT series_id, shock, response, sum(value) AS cumulative FROM irf2 GROUP BY ALL""", doubles=("cumulative",), digits=9, sig=True)
 def q_a10(spark, sf):
     return cumulative_impact(irf(_model(spark, sf, K2)[1], HORIZON))
 
@@ -661,7 +678,7 @@ eps AS (SELECT idx.series_id, idx.rep, idx.i, res.u FROM idx JOIN res ON idx.ser
 sim AS (SELECT lv.series_id, rr.rep, 0 AS t, lv.qty AS y FROM lv, range(0, {REPS_SIM}) rr(rep) WHERE lv.t = 0
   UNION ALL SELECT sim.series_id, sim.rep, sim.t + 1, k1.a + k1.b * sim.y + eps.u
   FROM sim JOIN k1 USING (series_id) JOIN eps ON eps.series_id = sim.series_id AND eps.rep = sim.rep AND eps.i = sim.t)
-SELECT series_id, CAST(rep AS INTEGER) AS rep, CAST(t AS BIGINT) AS t, y AS qty FROM sim""", doubles=("qty",), digits=4)
+SELECT series_id, CAST(rep AS INTEGER) AS rep, CAST(t AS BIGINT) AS t, y AS qty FROM sim""", doubles=("qty",), digits=9, sig=True)
 def q_t10(spark, sf):
     panel, m = _model(spark, sf, K1)
     return simulate_series(m, panel.select("series_id", "t", "qty"), REPS_SIM, SEED)
@@ -684,7 +701,7 @@ fc AS (SELECT series_id, 0 AS step, y FROM last
 h AS (SELECT series_id, t, qty, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) AS rd FROM lv),
 h30 AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY t) AS x, qty FROM h WHERE rd <= 30)
 SELECT series_id, 'qty' AS variable, x, qty AS value, 'history' AS kind FROM h30
-UNION ALL SELECT series_id, 'qty', 30 + step, y, 'forecast' FROM fc WHERE step >= 1""", doubles=("value",), digits=5)
+UNION ALL SELECT series_id, 'qty', 30 + step, y, 'forecast' FROM fc WHERE step >= 1""", doubles=("value",), digits=9, sig=True)
 def q_o6(spark, sf):
     panel, m = _model(spark, sf, K1)
     p1 = panel.select("series_id", "t", "qty")
@@ -718,7 +735,7 @@ ka AS (SELECT series_id, variable, any_value(n) AS n, sum(e * e) AS g0, sum(s *
 kt AS (SELECT *, (ss / (n * n)) / ((g0 + 2 * g1 * (1 - 1 / 2)) / n) AS stat FROM ka),
 kp AS (SELECT *, CASE {_KPSS_P} END AS p FROM kt)
 SELECT series_id, variable, CASE WHEN n >= 20 THEN stat END AS kpss_stat, CASE WHEN n >= 20 THEN p END AS kpss_p, 1 AS kpss_lags,
-  coalesce(n >= 20 AND p >= 0.05, false) AS kpss_stationary FROM kp""", doubles=("kpss_stat", "kpss_p"), digits=8)
+  coalesce(n >= 20 AND p >= 0.05, false) AS kpss_stationary FROM kp""", doubles=("kpss_stat", "kpss_p"), digits=9, sig=True)
 def q_t15(spark, sf):
     return DG.kpss(_diag_long(spark, sf), nlags=1)
 
@@ -733,7 +750,7 @@ r2 AS (SELECT *, rss1 - sep2 * sep2 / (n * (n * n - 1) * (n * n - 4) / 180.0) AS
 rf AS (SELECT series_id, variable, CASE WHEN n >= 20 AND rss2 > 0 AND n - 3 > 0 THEN (rss1 - rss2) / (rss2 / (n - 3)) END AS f,
   CAST(n - 3 AS BIGINT) AS nu FROM r2),""" + f1_tail_ctes("rf", ["series_id", "variable"], "rpv") + """
 SELECT rf.series_id, rf.variable, rf.f AS reset_f, rpv.p AS reset_p, coalesce(rpv.p >= 0.05, false) AS is_linear
-FROM rf JOIN rpv USING (series_id, variable)""", doubles=("reset_f", "reset_p"), digits=6)
+FROM rf JOIN rpv USING (series_id, variable)""", doubles=("reset_f", "reset_p"), digits=9, sig=True)
 def q_t16(spark, sf):
     return DG.reset_linearity(_diag_long(spark, sf))
 
@@ -744,7 +761,7 @@ v AS (SELECT l_returnflag AS series_id, count(*) AS n, sum(l_quantity * l_quanti
 vv AS (SELECT series_id, CASE WHEN n >= 10 THEN 1 / (1 - sab * sab / (saa * sbb)) END AS vif FROM v)
 SELECT series_id, c.variable, vif, CASE WHEN vif IS NULL OR isnan(vif) THEN 'Could not calculate' WHEN vif < 5 THEN 'OK'
   WHEN vif < 10 THEN 'Moderate' ELSE 'High' END AS vif_class
-FROM vv, (VALUES ('l_quantity'), ('l_discount')) c(variable)""", doubles=("vif",), digits=6)
+FROM vv, (VALUES ('l_quantity'), ('l_discount')) c(variable)""", doubles=("vif",), digits=9, sig=True)
 def q_t17(spark, sf):
     lw = D.lineitem_weekly(spark, sf).withColumnRenamed("l_returnflag", "series_id")
     return DG.vif(lw, ["l_quantity", "l_discount"])
@@ -826,7 +843,7 @@ def q_s12(spark, sf):
 # --------------------------------------------------------------- typed load / lag design ------
 @register("S3_W7_load_series", f"""WITH {D.NW_SQL}
 SELECT n_name AS series_id, CAST(row_number() OVER (PARTITION BY n_name ORDER BY week) - 1 AS BIGINT) AS t, INF_ALL
-FROM nw""", doubles=("INF_ALL",), digits=4)
+FROM nw""", doubles=("INF_ALL",), digits=6)
 def q_s3(spark, sf):
     from panelcast.sources.readers import load_series
     nw = D.nation_weekly(spark, sf).select("n_name", "week", "INF_ALL")
