@@ -39,20 +39,28 @@ def register(name: str, sql: str | None = None, doubles=(), digits: int = 6, sig
     return deco
 
 
+MAX_DECIMALS = 12  # below 1e-12 values are numerical noise and compare as 0
+
+
 def _round_col(c: str, digits: int, sig: bool):
     x = F.col(c)
     if not sig:
         return F.round(x, digits) + F.lit(0.0)
-    scale = F.pow(F.lit(10.0), F.ceil(F.log10(F.abs(x))))
-    return (F.when(x.isNull() | F.isnan(x) | (x == 0), x)
-            .otherwise(F.round(x / scale, digits) * scale) + F.lit(0.0))
+    # k decimals keep ``digits`` significant digits; only exact powers 10^|k| are used, so both
+    # engines produce the identical double
+    k = F.least(F.lit(digits) - F.ceil(F.log10(F.abs(x))), F.lit(MAX_DECIMALS))
+    p = F.pow(F.lit(10.0), F.abs(k))
+    r = F.when(k >= 0, F.round(x * p, 0) / p).otherwise(F.round(x / p, 0) * p)
+    return F.when(x.isNull() | F.isnan(x) | (x == 0), x).otherwise(r) + F.lit(0.0)
 
 
 def _round_sql(c: str, digits: int, sig: bool) -> str:
     if not sig:
         return f"round({c}, {digits}) + 0.0"
-    scale = f"pow(10.0, ceil(log10(abs({c}))))"
-    return f"(CASE WHEN {c} IS NULL OR isnan({c}) OR {c} = 0 THEN {c} ELSE round({c} / {scale}, {digits}) * {scale} END) + 0.0"
+    k = f"least({digits} - ceil(log10(abs({c}))), {MAX_DECIMALS})"
+    p = f"pow(10.0, abs({k}))"
+    return (f"(CASE WHEN {c} IS NULL OR isnan({c}) OR {c} = 0 THEN {c} WHEN {k} >= 0 THEN round({c} * {p}) / {p} "
+            f"ELSE round({c} / {p}) * {p} END) + 0.0")
 
 
 def _round_df(df: DataFrame, q: Query) -> DataFrame:

@@ -58,6 +58,7 @@ def _compare(spark, name):
 
 
 @pytest.mark.parametrize("name", ["A5_weekly_rollup", "W2_interpolate", "A1_A2_A3_W5_null_ranking",
-                                  "T1_T3_var_k2", "T8_T9_granger_k2", "T6_irf_k2", "T10_simulate_k1"])
+                                  "T1_T3_var_k2", "A14_sigma_k2", "T8_T9_granger_k2", "T6_irf_k2", "T10_simulate_k1",
+                                  "T16_reset_linearity"])
 def test_oracle_sample(spark, name):
     _compare(spark, name)
