@@ -26,8 +26,10 @@ def _as_number(c: str, dtype: str):
     col = F.col(c)
     if dtype == "date":
         return F.unix_date(col).cast("double")
-    if dtype.startswith("timestamp"):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
+    if dtype == "timestamp_ntz":  # zone-less, independent of the session time zone
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col).cast("double")
+    if dtype == "timestamp":
+        return F.unix_micros(col).cast("double")
     return col.cast("double")
 
 

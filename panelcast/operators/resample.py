@@ -21,20 +21,39 @@ def week_label(ts_col: str, label: str = "end"):
     raise ValueError("label must be 'end' or 'start'")
 
 
-def _fill_gaps(agg: DataFrame, keys: list[str], stamp: str, step: str, value_cols: list[str]) -> DataFrame:
+def _steps_between(lo, hi, unit: str, ntz: bool):
+    """Whole steps from lo to hi: calendar arithmetic for dates / zone-less stamps, physical
+    microseconds for zoned stamps (never the session time zone)."""
+    if unit == "WEEK":
+        return F.floor(F.datediff(hi, lo) / 7)
+    if ntz:
+        return F.timestamp_diff("HOUR", lo, hi)
+    return F.floor((F.unix_micros(hi) - F.unix_micros(lo)) / 3_600_000_000)
+
+
+def _add_steps(lo, k, unit: str, ntz: bool):
+    if unit == "WEEK":
+        return F.date_add(lo, (k * 7).cast("int"))
+    if ntz:
+        return F.timestamp_add("HOUR", k, lo)
+    return F.timestamp_micros(F.unix_micros(lo) + k * 3_600_000_000)
+
+
+def _fill_gaps(agg: DataFrame, keys: list[str], stamp: str, unit: str, ntz: bool, value_cols: list[str]) -> DataFrame:
     """Insert the missing grid points between consecutive aggregated rows of each key.
 
     Runs on the aggregated rows only (bounded by the calendar): each row emits itself and the
-    empty steps up to the next row (``lead``), and ``t`` counts steps from the key's first row.
+    empty steps up to the next row (``lead``); ``t`` counts steps from the key's first row.
     """
     w = Window.partitionBy(*keys).orderBy(stamp)
     nxt = F.lead(stamp).over(w)
     lo = F.min(stamp).over(Window.partitionBy(*keys))
     marked = agg.select("*", nxt.alias("_next"), lo.alias("_lo"))
-    upto = F.coalesce(F.col("_next") - F.expr(f"INTERVAL {step}"), F.col(stamp))
-    gen = marked.select("*", F.explode(F.sequence(F.col(stamp), upto, F.expr(f"INTERVAL {step}"))).alias("_g"))
-    own = F.col("_g") == F.col(stamp)
-    return gen.select(*keys, F.col("_g").alias(stamp), F.col("_lo"),
+    gap = F.coalesce(_steps_between(F.col(stamp), F.col("_next"), unit, ntz) - 1, F.lit(0))
+    gen = marked.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), gap.cast("bigint"))).alias("_k"))
+    own = F.col("_k") == 0
+    t = (_steps_between(F.col("_lo"), F.col(stamp), unit, ntz) + F.col("_k")).cast("bigint")
+    return gen.select(*keys, _add_steps(F.col(stamp), F.col("_k"), unit, ntz).alias(stamp), t.alias("t"),
                       *[F.when(own, F.col(c)).alias(c) for c in value_cols])
 
 
@@ -57,12 +76,11 @@ def weekly_rollup(df: DataFrame, keys: Sequence[str], ts_col: str, mean_cols: Se
     agg = df.groupBy(*keys, wk).agg(*aggs)
     values = [*mean_cols, *sum_cols, *first_cols]
     if complete:
-        agg = _fill_gaps(agg, keys, week_col, "7 DAYS", values)
-        t = (F.datediff(F.col(week_col), F.col("_lo")) / 7).cast("bigint")
+        agg = _fill_gaps(agg, keys, week_col, "WEEK", False, values)
     else:
-        t = F.lit(None).cast("bigint")
+        agg = agg.withColumn("t", F.lit(None).cast("bigint"))
     return agg.select(
-        *keys, F.col(week_col), t.alias("t"),
+        *keys, F.col(week_col), F.col("t"),
         iso_year(week_col).alias("iso_year"), iso_week(week_col).alias("iso_week"),
         (iso_year(week_col) * 100 + iso_week(week_col)).alias("isoyw"),
         *[F.col(c) for c in mean_cols],
@@ -82,18 +100,22 @@ def hourly_grid(df: DataFrame, keys: Sequence[str], ts_col: str, value_cols: Seq
     """
     keys = list(keys)
     value_cols = list(value_cols)
+    ntz = dict(df.dtypes)[ts_col] == "timestamp_ntz"
     if mode == "truncate":
-        obs = df.groupBy(*keys, F.date_trunc("hour", F.col(ts_col)).alias(ts_col)).agg(
+        c = F.col(ts_col)
+        hour = (F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.lit(0), F.lit(0)) if ntz
+                else F.date_trunc("hour", c))
+        obs = df.groupBy(*keys, hour.alias(ts_col)).agg(
             *[F.avg(c).alias(c) for c in value_cols])
-        filled = _fill_gaps(obs, keys, ts_col, "1 HOUR", value_cols)
-        t = ((F.unix_micros(F.col(ts_col).cast("timestamp")) - F.unix_micros(F.col("_lo").cast("timestamp")))
-             / 3_600_000_000).cast("bigint")
-        return filled.select(*keys, t.alias("t"), ts_col, *value_cols)
+        filled = _fill_gaps(obs, keys, ts_col, "HOUR", ntz, value_cols)
+        return filled.select(*keys, "t", ts_col, *value_cols)
     if mode != "exact":
         raise ValueError("mode must be 'truncate' or 'exact'")
     obs = df.select(*keys, ts_col, *value_cols)
     if check_unique and not obs.groupBy(*keys, ts_col).count().filter("count > 1").isEmpty():
         raise ValueError("cannot reindex on an axis with duplicate timestamps")
     bounds = obs.groupBy(*keys).agg(F.min(ts_col).alias("_lo"), F.max(ts_col).alias("_hi"))
-    grid = bounds.select(*keys, F.posexplode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 HOUR"))).alias("t", ts_col))
-    return grid.join(obs, keys + [ts_col], "left").select(*keys, F.col("t").cast("bigint").alias("t"), ts_col, *value_cols)
+    n = _steps_between(F.col("_lo"), F.col("_hi"), "HOUR", ntz).cast("bigint")
+    steps = bounds.select(*keys, "_lo", F.explode(F.sequence(F.lit(0).cast("bigint"), n)).alias("t"))
+    grid = steps.select(*keys, F.col("t"), _add_steps(F.col("_lo"), F.col("t"), "HOUR", ntz).alias(ts_col))
+    return grid.join(obs, keys + [ts_col], "left").select(*keys, "t", ts_col, *value_cols)

@@ -142,3 +142,16 @@ def test_station_file_scan(spark, tmp_path):
         read_station_file(spark, str(p), year_min=2100, check_nonempty=True)
     temps = [r[0] for r in df.select(S.scale("temperature", 10.0)).collect()]
     assert temps == [25.1, None]
+
+
+def test_hourly_index_ignores_session_time_zone(spark):
+    rows = [("s", "2024-03-10 00:10:00", 1.0), ("s", "2024-03-10 05:00:00", 2.0)]
+    df = spark.createDataFrame(rows, "k string, ts string, v double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # DST starts 2024-03-10 02:00
+        got = hourly_grid(df, ["k"], "ts", ["v"]).orderBy("ts").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert [r.t for r in got] == list(range(6))
+    assert [str(r.ts) for r in got][:3] == ["2024-03-10 00:00:00", "2024-03-10 01:00:00", "2024-03-10 02:00:00"]
