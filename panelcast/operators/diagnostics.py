@@ -60,8 +60,36 @@ def _autocov_cols(e_col: str, max_lag: int, w) -> list:
     return [F.sum(F.col(e_col) * F.lag(e_col, j).over(w)).alias(f"g{j}") for j in range(1, max_lag + 1)]
 
 
-def kpss(long: DataFrame, nlags: int | str = "auto") -> DataFrame:
-    """(series_id, variable, kpss_stat, kpss_p, kpss_lags, kpss_stationary = p >= 0.05)."""
+def _kpss_p(stat):
+    """Linear interpolation on the critical-value table, clipped to its ends."""
+    p = F.when(stat <= KPSS_CRIT[0], F.lit(KPSS_PVAL[0]))
+    for (c0, c1), (p0, p1) in zip(zip(KPSS_CRIT, KPSS_CRIT[1:]), zip(KPSS_PVAL, KPSS_PVAL[1:])):
+        p = p.when(stat <= c1, F.lit(p0) + (stat - F.lit(c0)) * F.lit((p1 - p0) / (c1 - c0)))
+    return p.otherwise(F.lit(KPSS_PVAL[-1]))
+
+
+def _kpss_long_lag_fn(schema_cols):
+    """Exact KPSS for the few series whose automatic lag is long: numpy over that series only."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        e = pdf["value"].to_numpy(float)
+        e = e - e.mean()
+        n = len(e)
+        lags = int(pdf["kpss_lags"].iloc[0])
+        s_hat = e @ e + sum(2.0 * (e[i:] @ e[:n - i]) * (1.0 - i / (lags + 1.0)) for i in range(1, lags + 1))
+        stat = float((np.cumsum(e) ** 2).sum() / n ** 2 / (s_hat / n))
+        return pd.DataFrame([(pdf["series_id"].iloc[0], pdf["variable"].iloc[0], stat, lags)], columns=schema_cols)
+    return fn
+
+
+def kpss(long: DataFrame, nlags: int | str = "auto", max_window_lags: int = 64) -> DataFrame:
+    """(series_id, variable, kpss_stat, kpss_p, kpss_lags, kpss_stationary = p >= 0.05).
+
+    Level KPSS with Bartlett long-run variance; 'auto' picks the lag from the first n^(2/9)
+    autocovariances (Hobijn et al.). Autocovariances are lag-window sums per key; keys whose
+    chosen lag exceeds ``max_window_lags`` are computed exactly one series per task instead of
+    widening every key's window.
+    """
     base = _positioned(long)
     w = Window.partitionBy(*KEYS).orderBy("t")
     feats = base.select(*KEYS, "t", "n", "e", F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
@@ -81,29 +109,35 @@ def kpss(long: DataFrame, nlags: int | str = "auto") -> DataFrame:
             s1e = s1e + F.lit(float(j)) * gj
         lag_expr = F.floor(F.lit(KPSS_AUTOLAG_C) * F.pow(F.pow(s1e / s0, 2), F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0)))
         lags_df = s1.select(*KEYS, F.least(lag_expr, n - 1).cast("int").alias("kpss_lags"))
-        max_l = lags_df.agg(F.max("kpss_lags")).first()[0] or 0
     else:
         lags_df = long.select(*KEYS).distinct().withColumn("kpss_lags", F.lit(int(nlags)))
-        max_l = int(nlags)
-    lagged = feats.select("*", *[F.lag("e", j).over(w).alias(f"el{j}") for j in range(1, max_l + 1)])
+    from panelcast.session import cut_lineage
+    lags_df = cut_lineage(lags_df)
+    max_l = min(lags_df.agg(F.max("kpss_lags")).first()[0] or 0, max_window_lags)
+    short = lags_df.filter(F.col("kpss_lags") <= max_window_lags)
+    lagged = feats.join(short, KEYS, "left_semi").select("*", *[F.lag("e", j).over(w).alias(f"el{j}") for j in range(1, max_l + 1)])
     sums = lagged.groupBy(*KEYS).agg(
         F.first("n").alias("n"), F.sum(F.col("e") * F.col("e")).alias("g0"), F.sum(F.col("s") * F.col("s")).alias("ss"),
         *[F.coalesce(F.sum(F.col("e") * F.col(f"el{j}")), F.lit(0.0)).alias(f"g{j}") for j in range(1, max_l + 1)])
-    sums = sums.join(lags_df, KEYS)
+    sums = sums.join(short, KEYS)
     n = F.col("n").cast("double")
     lrv = F.col("g0")
     for j in range(1, max_l + 1):
         lrv = lrv + F.when(F.lit(j) <= F.col("kpss_lags"),
                            2.0 * F.col(f"g{j}") * (1.0 - F.lit(float(j)) / (F.col("kpss_lags") + 1.0))).otherwise(F.lit(0.0))
-    stat = (F.col("ss") / (n * n)) / (lrv / n)
-    # linear interpolation on the critical-value table, clipped to its ends
-    p = F.when(stat <= KPSS_CRIT[0], F.lit(KPSS_PVAL[0]))
-    for (c0, c1), (p0, p1) in zip(zip(KPSS_CRIT, KPSS_CRIT[1:]), zip(KPSS_PVAL, KPSS_PVAL[1:])):
-        p = p.when(stat <= c1, F.lit(p0) + (stat - F.lit(c0)) * F.lit((p1 - p0) / (c1 - c0)))
-    p = p.otherwise(F.lit(KPSS_PVAL[-1]))
-    ok = n >= MIN_OBS
-    return sums.select(*KEYS, F.when(ok, stat).alias("kpss_stat"), F.when(ok, p).alias("kpss_p"), "kpss_lags",
-                       F.coalesce(ok & (p >= 0.05), F.lit(False)).alias("kpss_stationary"))
+    stats = sums.select(*KEYS, "n", ((F.col("ss") / (n * n)) / (lrv / n)).alias("stat"), "kpss_lags")
+    long_lag = lags_df.filter(F.col("kpss_lags") > max_window_lags)
+    if not long_lag.isEmpty():
+        cols = ["series_id", "variable", "stat", "kpss_lags"]
+        exact = (long.join(long_lag, KEYS).groupBy(*KEYS)
+                 .applyInPandas(_kpss_long_lag_fn(cols), "series_id string, variable string, stat double, kpss_lags int"))
+        counts = long.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+        stats = stats.unionByName(exact.join(counts, KEYS).select(*KEYS, "n", "stat", "kpss_lags"))
+    stat = F.col("stat")
+    p = _kpss_p(stat)
+    ok = F.col("n") >= MIN_OBS
+    return stats.select(*KEYS, F.when(ok, stat).alias("kpss_stat"), F.when(ok, p).alias("kpss_p"), "kpss_lags",
+                        F.coalesce(ok & (p >= 0.05), F.lit(False)).alias("kpss_stationary"))
 
 
 # ---------------------------------------------------------------- ADF ---------------------------

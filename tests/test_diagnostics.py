@@ -163,3 +163,13 @@ def test_report_and_log_transform(spark):
     assert "LOG_TEMPERATURE" not in added and "LOG_NEG" not in added
     if r["up"].stationarity == "Non-stationary" or not r["up"].is_linear:
         assert added == {"LOG_UP"}
+
+
+def test_kpss_long_lag_route_is_exact(spark):
+    got = {(r.series_id, r.variable): r for r in DG.kpss(_long(spark, CASES), max_window_lags=2).collect()}
+    for key, x in CASES.items():
+        if len(x) < DG.MIN_OBS:
+            continue
+        stat, p, lags = kpss_brute(x)
+        assert got[key].kpss_lags == lags
+        assert got[key].kpss_stat == pytest.approx(stat, rel=1e-8)
