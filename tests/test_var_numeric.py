@@ -147,3 +147,40 @@ def test_simulate_batch_matches_single():
         assert np.allclose(batch[r], K.simulate(y0, resid, idx[r], a, c, True, True), atol=1e-12)
     g = K.gram_batch(batch, 3, True, True)
     assert np.allclose(g[1], K.gram_of(batch[1], 3, True, True))
+
+
+def test_trend_forecast_matches_recursion(spark):
+    from panelcast.operators.forecast import forecast
+    y = _var_data(90, 21, 2)
+    panel = panel_df(spark, {"tr": y.tolist()}, 2)
+    for det in (Det.TREND, Det.CONST_TREND):
+        spec = VarSpec(2, det)
+        model = fit_var(panel, ["var0", "var1"], spec)
+        f = model.fits.first()
+        b = np.array(f.coef).reshape(-1, 2)
+        x, _ = K.design(y, 2, spec.has_const, spec.has_trend)
+        hist = [row for row in y]
+        for step in range(1, 6):
+            t1 = len(y) + step  # 1-based trend index of the forecast row
+            xrow = ([1.0] if spec.has_const else []) + [float(t1)] + list(hist[-1]) + list(hist[-2])
+            hist.append(np.array(xrow) @ b)
+        got = forecast(model, panel, 5).collect()
+        for r in got:
+            assert r.value == pytest.approx(hist[len(y) + r.step - 1][int(r.variable[-1])], rel=1e-9)
+
+
+def test_near_collinear_log_pair(spark):
+    """x beside log1p(x): a near-singular design still fits (min-norm fallback if needed)."""
+    rng = np.random.default_rng(6)
+    x = np.abs(np.cumsum(rng.standard_normal(120))) + 1.0
+    y = np.column_stack([x, np.log1p(x)])
+    panel = panel_df(spark, {"lg": y.tolist()}, 2)
+    model = fit_var(panel, ["var0", "var1"], VarSpec(2, Det.CONST))
+    f = model.fits.first()
+    assert f.status == "ok"
+    xx, yy = K.design(y, 2, True, False)
+    fitted = xx @ np.array(f.coef).reshape(-1, 2)
+    best = xx @ np.linalg.lstsq(xx, yy, rcond=None)[0]
+    assert np.allclose(fitted, best, atol=1e-6)
+    rows = granger_matrix(model).collect()
+    assert all(0.0 <= r.p_value <= 1.0 for r in rows)
