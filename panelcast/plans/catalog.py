@@ -871,3 +871,29 @@ def q_w6(spark, sf):
     d = design_columns(spec, K2)
     names = ["const", "trend", "qty__lag1", "disc__lag1", "qty__lag2", "disc__lag2"]
     return lagged.select("series_id", "t", *[c.alias(n) for c, n in zip(d, names)])
+
+
+_RESET_SQL = f"""{D.LW_SQL}, {_KL_SQL},
+rp AS (SELECT series_id, variable, row_number() OVER (PARTITION BY series_id, variable ORDER BY t) - 1 AS pos,
+  count(*) OVER (PARTITION BY series_id, variable) AS n, value - avg(value) OVER (PARTITION BY series_id, variable) AS e FROM kl),
+rs AS (SELECT series_id, variable, any_value(n) AS n, sum(e * e) AS see, sum(e * (pos - (n - 1) / 2.0)) AS sep1,
+  sum(e * ((pos - (n - 1) / 2.0) * (pos - (n - 1) / 2.0) - (n * n - 1) / 12.0)) AS sep2 FROM rp GROUP BY ALL),
+r1 AS (SELECT *, see - sep1 * sep1 / (n * (n * n - 1) / 12.0) AS rss1 FROM rs),
+r2 AS (SELECT *, rss1 - sep2 * sep2 / (n * (n * n - 1) * (n * n - 4) / 180.0) AS rss2 FROM r1),
+rf AS (SELECT series_id, variable, CASE WHEN n >= 20 AND rss2 > 0 AND n - 3 > 0 THEN (rss1 - rss2) / (rss2 / (n - 3)) END AS f,
+  CAST(n - 3 AS BIGINT) AS nu FROM r2),""" + f1_tail_ctes("rf", ["series_id", "variable"], "rpv")
+
+
+@register("T20_log_transform_given_verdicts", f"""WITH {_RESET_SQL},
+need AS (SELECT rf.series_id, rf.variable FROM rf JOIN rpv USING (series_id, variable)
+  WHERE NOT coalesce(rpv.p >= 0.05, false)
+    AND (SELECT min(value) FROM kl WHERE kl.series_id = rf.series_id AND kl.variable = rf.variable) >= 0)
+SELECT series_id, t, variable, value FROM kl
+UNION ALL SELECT kl.series_id, kl.t, 'LOG_' || upper(kl.variable), ln(1 + kl.value) FROM kl JOIN need USING (series_id, variable)""",
+          doubles=("value",), digits=9, sig=True)
+def q_t20_fixed(spark, sf):
+    """The transform step given a verdict table (here: RESET linearity only, stationarity assumed)."""
+    long = _diag_long(spark, sf)
+    verdicts = DG.reset_linearity(long).withColumn("stationarity", F.lit("Stationary"))
+    lw = D.lineitem_weekly(spark, sf).withColumnRenamed("l_returnflag", "series_id")
+    return DG.log_transform(lw, verdicts, ["l_quantity", "l_discount"])
