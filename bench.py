@@ -47,7 +47,7 @@ def main():
 
     plan = [
         ("weekly_rollup", lambda: run(D.lineitem_weekly(spark, sf_dir))),
-        ("hourly_grid_interpolate", lambda: run(interpolate_linear(D.events_hourly(spark, sf_dir), ["event_type"], ["ts"], ["value"]))),
+        ("hourly_grid_interpolate", lambda: run(interpolate_linear(D.events_hourly(spark, sf_dir), ["event_type"], ["ts"], ["value"], position="t"))),
         ("null_ranking", lambda: run(null_count_ranking(D.nation_weekly(spark, sf_dir), ["n_name"], D.NW_MEASURES))),
         ("training_table", lambda: run(PL.training_table(spark, sf_dir))),
         ("var_fit_p6", fit),

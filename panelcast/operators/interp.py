@@ -7,42 +7,59 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators.lags import positional_index
+from panelcast.operators.scan import SCAN_BLOCK, neighbours
+
 __all__ = ["interpolate_linear", "ffill_bfill", "zero_fill"]
 
 
-def _windows(keys, order):
-    base = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
-    return (base.rowsBetween(Window.unboundedPreceding, Window.currentRow),
-            base.rowsBetween(Window.currentRow, Window.unboundedFollowing), base)
+def _with_position(df: DataFrame, keys: list[str], order: list[str], position: str | None) -> tuple[DataFrame, str]:
+    if position is not None:
+        return df, position
+    if not keys:
+        w = Window.orderBy(*order)
+        return df.withColumn("_pos", (F.row_number().over(w) - 1).cast("bigint")), "_pos"
+    key = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
+    tagged = df.withColumn("_skey", key)
+    return positional_index(tagged, "_skey", order, "_pos").drop("_skey"), "_pos"
 
 
 def interpolate_linear(df: DataFrame, keys: Sequence[str], order: Sequence[str], value_cols: Sequence[str],
-                       round_digits: int | None = None) -> DataFrame:
+                       round_digits: int | None = None, position: str | None = None,
+                       block: int = SCAN_BLOCK) -> DataFrame:
     """Linear interpolation by row position (values treated as equally spaced), both ends filled
     with the nearest value. ``round_digits`` rounds half-to-even afterwards.
 
-    Each series is one window partition, streamed in order; its length is bounded by the grid.
+    ``position``: an existing 0..n-1 position column (a complete grid's ``t``); otherwise it is
+    derived with the distributed positional index. The nearest non-null neighbours come from a
+    blocked scan, so a long series is spread over many tasks.
     """
-    prev_w, next_w, base = _windows(list(keys), list(order))
-    pos = "_pos"
-    out = df.withColumn(pos, F.row_number().over(base))
+    keys, order = list(keys), list(order)
+    out, pos = _with_position(df, keys, order, position)
+    nb = neighbours(out, keys, pos, list(value_cols), block)
+    p = F.col(pos)
+    filled_cols = {}
     for c in value_cols:
-        v = F.col(c)
-        pv = F.last(v, ignorenulls=True).over(prev_w)
-        pi = F.last(F.when(v.isNotNull(), F.col(pos)), ignorenulls=True).over(prev_w)
-        nv = F.first(v, ignorenulls=True).over(next_w)
-        ni = F.first(F.when(v.isNotNull(), F.col(pos)), ignorenulls=True).over(next_w)
-        filled = F.coalesce(v, pv + (nv - pv) * (F.col(pos) - pi) / (ni - pi), pv, nv)
+        pv, pi, nv, ni = (F.col(f"{c}__{x}") for x in ("pv", "pi", "nv", "ni"))
+        filled = F.coalesce(F.col(c), pv + (nv - pv) * (p - pi) / (ni - pi), pv, nv)
         if round_digits is not None:
             filled = F.bround(filled, round_digits)
-        out = out.withColumn(c, filled.cast("double"))
-    return out.drop(pos)
+        filled_cols[c] = filled.cast("double")
+    cols = [filled_cols[c].alias(c) if c in filled_cols else F.col(c) for c in out.columns]
+    res = nb.select(*cols)
+    return res.drop("_pos") if position is None else res
 
 
-def ffill_bfill(df: DataFrame, keys: Sequence[str], order: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
-    prev_w, next_w, _ = _windows(list(keys), list(order))
-    return df.withColumns({c: F.coalesce(F.last(c, True).over(prev_w), F.first(c, True).over(next_w))
-                           for c in value_cols})
+def ffill_bfill(df: DataFrame, keys: Sequence[str], order: Sequence[str], value_cols: Sequence[str],
+                position: str | None = None, block: int = SCAN_BLOCK) -> DataFrame:
+    """Forward fill, then backward fill for the leading gap (blocked scan, as above)."""
+    keys, order = list(keys), list(order)
+    out, pos = _with_position(df, keys, order, position)
+    nb = neighbours(out, keys, pos, list(value_cols), block)
+    cols = [F.coalesce(F.col(f"{c}__pv"), F.col(f"{c}__nv")).alias(c) if c in value_cols else F.col(c)
+            for c in out.columns]
+    res = nb.select(*cols)
+    return res.drop("_pos") if position is None else res
 
 
 def zero_fill(df: DataFrame, value_cols: Sequence[str]) -> DataFrame:

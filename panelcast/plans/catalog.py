@@ -150,13 +150,13 @@ ehi AS (SELECT event_type, t, ts, value AS v, pos,
 SELECT event_type, t, ts, coalesce(v, pv + (nv - pv) * (pos - pi) / (ni - pi), pv, nv) AS value FROM ehi""",
           doubles=("value",), digits=8)
 def q_w2(spark, sf):
-    return interp.interpolate_linear(D.events_hourly(spark, sf), ["event_type"], ["ts"], ["value"])
+    return interp.interpolate_linear(D.events_hourly(spark, sf), ["event_type"], ["ts"], ["value"], position="t")
 
 
 @register("W3_ffill_bfill", f"""WITH {D.EH_SQL}, {_INTERP_SQL}
 SELECT event_type, t, ts, coalesce(pv, nv) AS value FROM ehi""", doubles=("value",), digits=8)
 def q_w3(spark, sf):
-    return interp.ffill_bfill(D.events_hourly(spark, sf), ["event_type"], ["ts"], ["value"])
+    return interp.ffill_bfill(D.events_hourly(spark, sf), ["event_type"], ["ts"], ["value"], position="t")
 
 
 @register("W4_zero_fill", f"WITH {D.EH_SQL} SELECT event_type, t, ts, coalesce(value, 0.0) AS value FROM eh",
@@ -239,8 +239,8 @@ def q_p5(spark, sf):
 
 def _top_interpolated(spark, sf):
     rows = _top_rows(spark, sf)
-    filled = interp.interpolate_linear(rows, ["n_name"], ["iso_year", "iso_week"], D.NW_MEASURES, round_digits=0)
-    filled = interp.ffill_bfill(filled, ["n_name"], ["iso_year", "iso_week"], D.NW_MEASURES)
+    filled = interp.interpolate_linear(rows, ["n_name"], ["week"], D.NW_MEASURES, round_digits=0, position="t")
+    filled = interp.ffill_bfill(filled, ["n_name"], ["week"], D.NW_MEASURES, position="t")
     return interp.zero_fill(filled, D.NW_MEASURES)
 
 

@@ -28,7 +28,7 @@ def flag_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     lw = D.lineitem_weekly(spark, sf_dir)
     panel = lw.select(F.col("l_returnflag").alias("series_id"), "t", F.col("l_quantity").alias("qty"),
                       (F.col("l_extendedprice") / 1e6).alias("price"), F.col("l_discount").alias("disc"))
-    return cut_lineage(interpolate_linear(panel, ["series_id"], ["t"], FLAG_VARS))
+    return cut_lineage(interpolate_linear(panel, ["series_id"], ["t"], FLAG_VARS, position="t"))
 
 
 def flagship_forecast(spark: SparkSession, sf_dir: str, steps: int = 10, lags: int = 2) -> DataFrame:
@@ -81,8 +81,8 @@ def training_table(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFra
     ranking = quality.null_count_ranking(nw, ["n_name"], D.NW_MEASURES)
     top = quality.top_k(ranking, top_k, ["Rank"])
     flu = quality.keep_keys(nw, top, ["n_name"])
-    flu = interp.interpolate_linear(flu, ["n_name"], ["iso_year", "iso_week"], D.NW_MEASURES, round_digits=0)
-    flu = interp.ffill_bfill(flu, ["n_name"], ["iso_year", "iso_week"], D.NW_MEASURES)
+    flu = interp.interpolate_linear(flu, ["n_name"], ["week"], D.NW_MEASURES, round_digits=0, position="t")
+    flu = interp.ffill_bfill(flu, ["n_name"], ["week"], D.NW_MEASURES, position="t")
     flu = interp.zero_fill(flu, D.NW_MEASURES)
     weather = (D.lineitem_weekly(spark, sf_dir).groupBy("iso_year", "iso_week")
                .agg(*[F.avg(c).alias(c) for c in WEATHER_VARS]))

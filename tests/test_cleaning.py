@@ -155,3 +155,24 @@ def test_hourly_index_ignores_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert [r.t for r in got] == list(range(6))
     assert [str(r.ts) for r in got][:3] == ["2024-03-10 00:00:00", "2024-03-10 01:00:00", "2024-03-10 02:00:00"]
+
+
+@pytest.mark.parametrize("block", [2, 3, 1000])
+def test_blocked_scans_cross_block_borders(spark, block):
+    from panelcast.operators.scan import prefix_sum
+    vals = {"g1": [None, None, 1.0, None, None, 4.0, None, None, None, 10.0, None],
+            "g2": [None] * 5, "g3": [5.0, None, None, None, None, None, 1.0]}
+    rows = [(k, i, v) for k, vs in vals.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "k string, i bigint, v double")
+    got = interp.interpolate_linear(df, ["k"], ["i"], ["v"], position="i", block=block).collect()
+    ff = interp.ffill_bfill(df, ["k"], ["i"], ["v"], position="i", block=block).collect()
+    ps = prefix_sum(df, ["k"], "i", "v", "cs", block=block).collect()
+    for k, vs in vals.items():
+        s = pd.Series(vs, dtype=float)
+        exp = s.interpolate(method="linear", limit_direction="both")
+        g = [r.v for r in sorted(got, key=lambda r: r.i) if r.k == k]
+        assert np.allclose(np.array(g, dtype=float), exp.to_numpy(), equal_nan=True)
+        f = [r.v for r in sorted(ff, key=lambda r: r.i) if r.k == k]
+        assert np.allclose(np.array(f, dtype=float), s.ffill().bfill().to_numpy(), equal_nan=True)
+        c = [r.cs for r in sorted(ps, key=lambda r: r.i) if r.k == k]
+        assert np.allclose(c, s.fillna(0).cumsum().to_numpy())
