@@ -12,12 +12,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.fdist import f_upper_tail
 from panelcast.functions.scalar import linearity_class, log_column_name, stationarity_class, vif_class
-from panelcast.operators.lags import gram_by_key, unpack_triu
+from panelcast.operators.lags import gram_by_key, lag_embed, positional_index, unpack_triu
+from panelcast.operators.scan import prefix_sum
 
 __all__ = ["to_long_series", "kpss", "adf", "reset_linearity", "vif", "stationarity", "diagnostics_report",
            "log_transform", "MIN_OBS", "NO_LOG_COLUMNS"]
@@ -49,17 +50,27 @@ def to_long_series(wide: DataFrame, columns: Sequence[str], series_col: str = "s
 
 
 def _positioned(long: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*KEYS).orderBy("t")
-    wall = Window.partitionBy(*KEYS)
-    return long.select(*KEYS, "t", "value", (F.row_number().over(w) - 1).alias("pos"),
-                       F.count(F.lit(1)).over(wall).alias("n"), (F.col("value") - F.avg("value").over(wall)).alias("e"))
+    """(series_id, variable, _skey, pos, n, value, e): position 0..n-1 among the non-missing values
+    (distributed index), count and mean by a grouped aggregate joined back, e = value - mean.
+    No window spans a whole series."""
+    skey = F.concat_ws("\u0001", "series_id", "variable")
+    keyed = long.select(*KEYS, skey.alias("_skey"), "t", "value")
+    stats = keyed.groupBy("_skey").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mean"))
+    pos = positional_index(keyed, "_skey", ["t"], "pos")
+    return (pos.join(stats, "_skey")
+            .select(*KEYS, "_skey", "pos", "n", "value", (F.col("value") - F.col("_mean")).alias("e")))
+
+
+def _lagged(df: DataFrame, col: str, lags: int) -> DataFrame:
+    """``col``__lag1..lags along each key's positions (halo-blocked windows)."""
+    if lags <= 0:
+        return df
+    extra = [c for c in df.columns if c not in ("_skey", "pos", col)]
+    emb = lag_embed(df.select("_skey", "pos", col), [col], lags, "_skey", "pos", keep_presample=True)
+    return emb.join(df.select("_skey", "pos", *extra), ["_skey", "pos"])
 
 
 # ---------------------------------------------------------------- KPSS --------------------------
-def _autocov_cols(e_col: str, max_lag: int, w) -> list:
-    return [F.sum(F.col(e_col) * F.lag(e_col, j).over(w)).alias(f"g{j}") for j in range(1, max_lag + 1)]
-
-
 def _kpss_p(stat):
     """Linear interpolation on the critical-value table, clipped to its ends."""
     p = F.when(stat <= KPSS_CRIT[0], F.lit(KPSS_PVAL[0]))
@@ -90,15 +101,15 @@ def kpss(long: DataFrame, nlags: int | str = "auto", max_window_lags: int = 64)
     chosen lag exceeds ``max_window_lags`` are computed exactly one series per task instead of
     widening every key's window.
     """
-    base = _positioned(long)
-    w = Window.partitionBy(*KEYS).orderBy("t")
-    feats = base.select(*KEYS, "t", "n", "e", F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
-    max_n = long.groupBy(*KEYS).count().agg(F.max("count")).first()[0] or 0
+    from panelcast.session import cut_lineage
+    base = cut_lineage(_positioned(long))
+    feats = prefix_sum(base, ["_skey"], "pos", "e", "s")
+    max_n = base.agg(F.max("n")).first()[0] or 0
     if nlags == "auto":
         covl = int(math.pow(max_n, 2.0 / 9.0))
-        lagged = feats.select("*", *[F.lag("e", j).over(w).alias(f"el{j}") for j in range(1, covl + 1)])
+        lagged = _lagged(feats, "e", covl)
         s1 = lagged.groupBy(*KEYS).agg(F.first("n").alias("n"), F.sum(F.col("e") * F.col("e")).alias("g0"),
-                                         *[F.sum(F.col("e") * F.col(f"el{j}")).alias(f"g{j}") for j in range(1, covl + 1)])
+                                         *[F.sum(F.col("e") * F.col(f"e__lag{j}")).alias(f"g{j}") for j in range(1, covl + 1)])
         n = F.col("n").cast("double")
         cl = F.floor(F.pow(n, F.lit(2.0 / 9.0)))
         s0 = F.col("g0") / n
@@ -111,14 +122,13 @@ def kpss(long: DataFrame, nlags: int | str = "auto", max_window_lags: int = 64)
         lags_df = s1.select(*KEYS, F.least(lag_expr, n - 1).cast("int").alias("kpss_lags"))
     else:
         lags_df = long.select(*KEYS).distinct().withColumn("kpss_lags", F.lit(int(nlags)))
-    from panelcast.session import cut_lineage
     lags_df = cut_lineage(lags_df)
     max_l = min(lags_df.agg(F.max("kpss_lags")).first()[0] or 0, max_window_lags)
     short = lags_df.filter(F.col("kpss_lags") <= max_window_lags)
-    lagged = feats.join(short, KEYS, "left_semi").select("*", *[F.lag("e", j).over(w).alias(f"el{j}") for j in range(1, max_l + 1)])
+    lagged = _lagged(feats.join(short.select(*KEYS), KEYS, "left_semi"), "e", max_l)
     sums = lagged.groupBy(*KEYS).agg(
         F.first("n").alias("n"), F.sum(F.col("e") * F.col("e")).alias("g0"), F.sum(F.col("s") * F.col("s")).alias("ss"),
-        *[F.coalesce(F.sum(F.col("e") * F.col(f"el{j}")), F.lit(0.0)).alias(f"g{j}") for j in range(1, max_l + 1)])
+        *[F.coalesce(F.sum(F.col("e") * F.col(f"e__lag{j}")), F.lit(0.0)).alias(f"g{j}") for j in range(1, max_l + 1)])
     sums = sums.join(short, KEYS)
     n = F.col("n").cast("double")
     lrv = F.col("g0")
@@ -176,16 +186,17 @@ def adf(long: DataFrame) -> DataFrame:
     summed in one partial Gram; the first L+1 rows are kept as separately tagged Grams so every
     lag's own sample is a sum of pieces, without a second data pass.
     """
-    max_n = long.groupBy(*KEYS).count().agg(F.max("count")).first()[0] or 0
+    from panelcast.session import cut_lineage
+    base = cut_lineage(_positioned(long))
+    max_n = base.agg(F.max("n")).first()[0] or 0
     big_l = max(_adf_maxlag(int(max_n)), 0)
-    base = _positioned(long)
-    w = Window.partitionBy(*KEYS).orderBy("pos")
-    dy = F.col("value") - F.lag("value", 1).over(w)
-    f1 = base.select(*KEYS, "pos", "n", "value", dy.alias("dy"), F.lag("value", 1).over(w).alias("ylag"))
-    f2 = f1.select(*KEYS, "pos", "n", "ylag", "dy", *[F.lag("dy", j).over(w).alias(f"dl{j}") for j in range(1, big_l + 1)])
+    f1 = _lagged(base.select(*KEYS, "_skey", "pos", "n", "value"), "value", 1)
+    f1 = f1.select(*KEYS, "_skey", "pos", "n", F.col("value__lag1").alias("ylag"),
+                   (F.col("value") - F.col("value__lag1")).alias("dy"))
+    f2 = _lagged(f1, "dy", big_l)
     f2 = f2.filter(F.col("pos") >= 1).withColumn("tag", F.when(F.col("pos") <= big_l + 1, F.col("pos")).otherwise(F.lit(-1)))
     f2 = f2.withColumn("one", F.lit(1.0))
-    cols = ["one", "ylag", *[f"dl{j}" for j in range(1, big_l + 1)], "dy"]
+    cols = ["one", "ylag", *[f"dy__lag{j}" for j in range(1, big_l + 1)], "dy"]
     grams = gram_by_key(f2.fillna(0.0, subset=cols), [*KEYS, "tag"], cols)
     counts = long.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
     per_key = (grams.groupBy(*KEYS).agg(F.collect_list(F.struct("tag", "n_rows", "g")).alias("parts"))
