@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.operators.lags import positional_index
+
 __all__ = ["to_long", "split_series", "history_forecast_overlay", "granger_labels", "relative_week",
            "last_n", "to_panel"]
 
@@ -25,15 +27,25 @@ def split_series(df: DataFrame, key_cols: Sequence[str], strain_cols: Sequence[s
     return stacked.select(sid.alias("series_id"), *key_cols, "strain", *shared_cols, target_name)
 
 
+def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, str]:
+    if not keys:
+        return df.withColumn("_rk", F.lit("")), "_rk"
+    return df.withColumn("_rk", F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])), "_rk"
+
+
 def relative_week(df: DataFrame, keys: Sequence[str], order: str, name: str = "week_no") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
-    return df.withColumn(name, F.row_number().over(w).cast("bigint"))
+    """1..n per key in ``order`` (distributed positional index, no series-wide window)."""
+    keyed, rk = _keyed(df, keys)
+    return (positional_index(keyed, rk, [order], "_p").withColumn(name, (F.col("_p") + 1).cast("bigint"))
+            .drop("_p", rk))
 
 
 def last_n(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
-    """Last n rows per key (descending row_number <= n): a per-key top-k, not a global cap."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order)) if keys else Window.orderBy(F.desc(order))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    """Last n rows per key: position >= count - n (per-key top-k, not a global cap)."""
+    keyed, rk = _keyed(df, keys)
+    pos = positional_index(keyed, rk, [order], "_p")
+    counts = keyed.groupBy(rk).agg(F.count(F.lit(1)).alias("_cnt"))
+    return pos.join(counts, rk).filter(F.col("_p") >= F.col("_cnt") - n).drop("_p", "_cnt", rk)
 
 
 def history_forecast_overlay(history_long: DataFrame, forecast_long: DataFrame, n_hist: int = 30,
@@ -42,10 +54,12 @@ def history_forecast_overlay(history_long: DataFrame, forecast_long: DataFrame,
 
     history_long: (series_id, t, variable, value); forecast_long: (series_id, step, variable, value).
     """
-    hist = last_n(history_long, [series_col, "variable"], "t", n_hist)
-    w = Window.partitionBy(series_col, "variable").orderBy("t")
-    hist = hist.select(series_col, "variable", F.row_number().over(w).cast("bigint").alias("x"), "value",
-                       F.lit("history").alias("kind"))
+    keyed, rk = _keyed(history_long, [series_col, "variable"])
+    pos = positional_index(keyed, rk, ["t"], "_p")
+    counts = keyed.groupBy(rk).agg(F.count(F.lit(1)).alias("_cnt"))
+    tail = pos.join(counts, rk).filter(F.col("_p") >= F.col("_cnt") - n_hist)
+    x = F.col("_p") - F.greatest(F.col("_cnt") - n_hist, F.lit(0)) + 1
+    hist = tail.select(series_col, "variable", x.cast("bigint").alias("x"), "value", F.lit("history").alias("kind"))
     n_per = hist.groupBy(series_col, "variable").agg(F.max("x").alias("_n"))
     fc = (forecast_long.join(n_per, [series_col, "variable"])
           .select(series_col, "variable", (F.col("_n") + F.col("step")).cast("bigint").alias("x"), "value",
