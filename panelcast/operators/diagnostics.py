@@ -93,7 +93,7 @@ def _kpss_long_lag_fn(schema_cols):
     return fn
 
 
-def kpss(long: DataFrame, nlags: int | str = "auto", max_window_lags: int = 64) -> DataFrame:
+def kpss(long: DataFrame, nlags: int | str = "auto", max_window_lags: int = 64, base: DataFrame | None = None) -> DataFrame:
     """(series_id, variable, kpss_stat, kpss_p, kpss_lags, kpss_stationary = p >= 0.05).
 
     Level KPSS with Bartlett long-run variance; 'auto' picks the lag from the first n^(2/9)
@@ -102,7 +102,7 @@ def kpss(long: DataFrame, nlags: int | str = "auto", max_window_lags: int = 64)
     widening every key's window.
     """
     from panelcast.session import cut_lineage
-    base = cut_lineage(_positioned(long))
+    base = base if base is not None else cut_lineage(_positioned(long))
     feats = prefix_sum(base, ["_skey"], "pos", "e", "s")
     max_n = base.agg(F.max("n")).first()[0] or 0
     if nlags == "auto":
@@ -178,7 +178,7 @@ def _ols_from_gram(g: np.ndarray, cols: list[int], ycol: int):
     return b, max(ssr, 0.0), xtx
 
 
-def adf(long: DataFrame) -> DataFrame:
+def adf(long: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Augmented Dickey-Fuller with constant; lag by AIC over 0..maxlag on the common sample,
     then refit with the chosen lag on its own sample; p from the MacKinnon surface.
 
@@ -187,7 +187,7 @@ def adf(long: DataFrame) -> DataFrame:
     lag's own sample is a sum of pieces, without a second data pass.
     """
     from panelcast.session import cut_lineage
-    base = cut_lineage(_positioned(long))
+    base = base if base is not None else cut_lineage(_positioned(long))
     max_n = base.agg(F.max("n")).first()[0] or 0
     big_l = max(_adf_maxlag(int(max_n)), 0)
     f1 = _lagged(base.select(*KEYS, "_skey", "pos", "n", "value"), "value", 1)
@@ -254,14 +254,14 @@ def adf(long: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- RESET -------------------------
-def reset_linearity(long: DataFrame) -> DataFrame:
+def reset_linearity(long: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """RESET on a time trend: y ~ 1 + t versus y ~ 1 + t + yhat^2, F(1, n - 3).
 
     yhat^2 is a quadratic in t, so the extended fit equals a quadratic trend; with orthogonal
     polynomials P1 = t - tbar, P2 = P1^2 - (n^2-1)/12 on equally spaced positions both RSS values
     come from four sums in one aggregation.
     """
-    base = _positioned(long)
+    base = base if base is not None else _positioned(long)
     n_d = F.col("n").cast("double")
     p1 = F.col("pos") - (n_d - 1) / 2.0
     p2 = p1 * p1 - (n_d * n_d - 1) / 12.0
@@ -324,9 +324,10 @@ def stationarity(adf_df: DataFrame, kpss_df: DataFrame) -> DataFrame:
 def diagnostics_report(wide: DataFrame, columns: Sequence[str], series_col: str = "series_id",
                        time_col: str = "t") -> DataFrame:
     from panelcast.session import cut_lineage
-    long = cut_lineage(to_long_series(wide, columns, series_col, time_col))
-    st = stationarity(adf(long), kpss(long))
-    lin = reset_linearity(long).withColumn("linearity", linearity_class("is_linear"))
+    long = to_long_series(wide, columns, series_col, time_col)
+    base = cut_lineage(_positioned(long))  # positions and moments shared by all tests
+    st = stationarity(adf(long, base), kpss(long, base=base))
+    lin = reset_linearity(long, base).withColumn("linearity", linearity_class("is_linear"))
     v = vif(wide, columns, series_col)
     return st.join(lin, KEYS, "full").join(v, KEYS, "full")
 

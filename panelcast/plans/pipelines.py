@@ -77,7 +77,7 @@ def training_table(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFra
     """
     from panelcast.operators import interp, quality, reshape
     from panelcast.operators.joins import join_many_to_one
-    nw = D.nation_weekly(spark, sf_dir)
+    nw = cut_lineage(D.nation_weekly(spark, sf_dir))  # feeds both the ranking and the series branch
     ranking = quality.null_count_ranking(nw, ["n_name"], D.NW_MEASURES)
     top = quality.top_k(ranking, top_k, ["Rank"])
     flu = quality.keep_keys(nw, top, ["n_name"])
