@@ -57,6 +57,7 @@ def main():
             D.lineitem_weekly(spark, sf_dir).withColumnRenamed("l_returnflag", "series_id"),
             ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]))),
         ("bootstrap_irf_100", lambda: run(bootstrap_irf(state["model"], state["panel"], reps=100, horizon=12, seed=1))),
+        ("bootstrap_irf_500", lambda: run(bootstrap_irf(state["model"], state["panel"], reps=500, horizon=12, seed=1))),
         ("bootstrap_granger_500", lambda: run(bootstrap_granger(state["model"], state["panel"], reps=500, seed=1))),
         ("panel_granger_all_series", lambda: run(granger_matrix(fit_var(
             PL.training_panel(spark, sf_dir), ["target", *PL.WEATHER_VARS], VarSpec(2, Det.CONST))))),

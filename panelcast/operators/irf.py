@@ -15,11 +15,15 @@ __all__ = ["irf", "irf_response", "cumulative_impact", "IRF_SCHEMA"]
 IRF_SCHEMA = "series_id string, shock string, response string, horizon int, value double, shock_kind string"
 
 
-def irf(model: VarModel, horizon: int) -> DataFrame:
-    """(series_id, shock, response, horizon 0..H-1, value, shock_kind) for every shock at once,
-    computed from the fit rows alone (no data pass)."""
+def irf(model: VarModel, horizon: int, shock: str | None = None) -> DataFrame:
+    """(series_id, shock, response, horizon 0..H-1, value, shock_kind) for every shock at once (or
+    one ``shock``), computed from the fit rows alone (no data pass)."""
     if horizon <= 0:
         raise ValueError("horizon must be > 0")
+    if shock is not None:
+        if shock not in model.variables:
+            raise ValueError(f"unknown shock variable {shock}")
+        return irf(model, horizon).filter(F.col("shock") == shock)
     variables, spec = model.variables, model.spec
     k = len(variables)
     names = np.array(variables, dtype=object)
