@@ -897,3 +897,76 @@ def q_t20_fixed(spark, sf):
     verdicts = DG.reset_linearity(long).withColumn("stationarity", F.lit("Stationary"))
     lw = D.lineitem_weekly(spark, sf).withColumnRenamed("l_returnflag", "series_id")
     return DG.log_transform(lw, verdicts, ["l_quantity", "l_discount"])
+
+
+# --------------------------------------------------------------- bootstrap with oracles -------
+BOOT_SQL_REPS = 20
+
+_SIM1_SQL = f"""
+res AS (SELECT series_id, t - 1 AS i, qty - a - b * qty1 AS u FROM lr JOIN k1 USING (series_id)),
+nreg AS (SELECT series_id, count(*) AS nr FROM res GROUP BY series_id),
+idx AS (SELECT series_id, rep, i, CAST(('0x' || substr(md5(concat_ws(':', {SEED}, series_id, rep, i)), 1, 8))::BIGINT % nr AS BIGINT) AS j
+  FROM (SELECT series_id, nr, rep, unnest(range(0, nr)) AS i FROM nreg, range(0, {BOOT_SQL_REPS}) rr(rep)) x),
+eps AS (SELECT idx.series_id, idx.rep, idx.i, res.u FROM idx JOIN res ON idx.series_id = res.series_id AND idx.j = res.i),
+sim AS (SELECT lv.series_id, rr.rep, 0 AS t, lv.qty AS y FROM lv JOIN k1 USING (series_id), range(0, {BOOT_SQL_REPS}) rr(rep) WHERE lv.t = 0
+  UNION ALL SELECT sim.series_id, sim.rep, sim.t + 1, k1.a + k1.b * sim.y + eps.u
+  FROM sim JOIN k1 USING (series_id) JOIN eps ON eps.series_id = sim.series_id AND eps.rep = sim.rep AND eps.i = sim.t),
+sl AS (SELECT series_id, rep, t, y, lag(y) OVER (PARTITION BY series_id, rep ORDER BY t) AS y1 FROM sim),
+kb AS (SELECT series_id, rep, count(*) AS n, regr_slope(y, y1) AS b,
+  regr_syy(y, y1) - regr_sxy(y, y1) * regr_sxy(y, y1) / regr_sxx(y, y1) AS rss FROM sl WHERE t >= 1 GROUP BY ALL)"""
+
+
+@register("T11_bootstrap_irf_k1", f"""WITH RECURSIVE {_LV_SQL}, {_SIM1_SQL},
+draws AS (SELECT series_id, rep, h, pow(b, h) * sqrt(rss / (n - 2)) AS v FROM kb, range(0, {HORIZON}) hh(h)),
+bands AS (SELECT series_id, h, quantile_cont(v, 0.025) AS lower, quantile_cont(v, 0.975) AS upper, count(*) AS n_reps
+  FROM draws GROUP BY ALL)
+SELECT k1.series_id, 'qty' AS shock, 'qty' AS response, CAST(hh.h AS INTEGER) AS horizon,
+  pow(k1.b, hh.h) * sqrt(k1.rss / (k1.n - 2)) AS point, bands.lower, bands.upper, bands.n_reps
+FROM k1, range(0, {HORIZON}) hh(h) JOIN bands ON bands.series_id = k1.series_id AND bands.h = hh.h""",
+          doubles=("point", "lower", "upper"), digits=9, sig=True)
+def q_t11_k1(spark, sf):
+    panel, m = _model(spark, sf, K1)
+    return bootstrap_irf(m, panel.select("series_id", "t", "qty"), reps=BOOT_SQL_REPS, horizon=HORIZON, alpha=0.05, seed=SEED)
+
+
+_SIM2_SQL = f"""
+res2 AS (SELECT series_id, t - 1 AS i, qty - aq - bq1 * qty1 - bq2 * disc1 AS uq, disc - ad - bd1 * qty1 - bd2 * disc1 AS ud
+  FROM lr2 JOIN k2 USING (series_id)),
+nreg2 AS (SELECT series_id, count(*) AS nr FROM res2 GROUP BY series_id),
+idx2 AS (SELECT series_id, rep, i, CAST(('0x' || substr(md5(concat_ws(':', {SEED}, series_id, rep, i)), 1, 8))::BIGINT % nr AS BIGINT) AS j
+  FROM (SELECT series_id, nr, rep, unnest(range(0, nr)) AS i FROM nreg2, range(0, {BOOT_SQL_REPS}) rr(rep)) x),
+eps2 AS (SELECT idx2.series_id, idx2.rep, idx2.i, res2.uq, res2.ud FROM idx2 JOIN res2 ON idx2.series_id = res2.series_id AND idx2.j = res2.i),
+sim2 AS (SELECT lv.series_id, rr.rep, 0 AS t, lv.qty AS yq, lv.disc AS yd FROM lv JOIN k2 USING (series_id), range(0, {BOOT_SQL_REPS}) rr(rep) WHERE lv.t = 0
+  UNION ALL SELECT sim2.series_id, sim2.rep, sim2.t + 1,
+    k2.aq + k2.bq1 * sim2.yq + k2.bq2 * sim2.yd + eps2.uq, k2.ad + k2.bd1 * sim2.yq + k2.bd2 * sim2.yd + eps2.ud
+  FROM sim2 JOIN k2 USING (series_id) JOIN eps2 ON eps2.series_id = sim2.series_id AND eps2.rep = sim2.rep AND eps2.i = sim2.t),
+sr AS (SELECT series_id, rep, t, yq AS qty, yd AS disc, lag(yq) OVER w AS qty1, lag(yd) OVER w AS disc1
+  FROM sim2 WINDOW w AS (PARTITION BY series_id, rep ORDER BY t)),
+srr AS (SELECT * FROM sr WHERE t >= 1),
+bm AS (SELECT series_id, rep, count(*) AS n, avg(qty1) AS m1, avg(disc1) AS m2, avg(qty) AS mq, avg(disc) AS md FROM srr GROUP BY ALL),
+bs AS (SELECT series_id, rep, any_value(n) AS n,
+  sum((qty1 - m1) * (qty1 - m1)) AS s11, sum((qty1 - m1) * (disc1 - m2)) AS s12, sum((disc1 - m2) * (disc1 - m2)) AS s22,
+  sum((qty1 - m1) * (qty - mq)) AS s1q, sum((disc1 - m2) * (qty - mq)) AS s2q,
+  sum((qty1 - m1) * (disc - md)) AS s1d, sum((disc1 - m2) * (disc - md)) AS s2d,
+  sum((qty - mq) * (qty - mq)) AS sqq, sum((disc - md) * (disc - md)) AS sdd
+  FROM srr JOIN bm USING (series_id, rep) GROUP BY ALL),
+bb AS (SELECT *, (s1q * s22 - s2q * s12) / (s11 * s22 - s12 * s12) AS bq1, (s2q * s11 - s1q * s12) / (s11 * s22 - s12 * s12) AS bq2,
+  (s1d * s22 - s2d * s12) / (s11 * s22 - s12 * s12) AS bd1, (s2d * s11 - s1d * s12) / (s11 * s22 - s12 * s12) AS bd2 FROM bs),
+bsrc AS (SELECT series_id, rep, 'disc' AS cause, 'qty' AS effect, (sqq - s1q * s1q / s11) - (sqq - bq1 * s1q - bq2 * s2q) AS num,
+    sqq - bq1 * s1q - bq2 * s2q AS rss_u, n FROM bb
+  UNION ALL SELECT series_id, rep, 'qty', 'disc', (sdd - s2d * s2d / s22) - (sdd - bd1 * s1d - bd2 * s2d), sdd - bd1 * s1d - bd2 * s2d, n FROM bb),
+bf AS (SELECT series_id, rep, cause, effect, CASE WHEN greatest(num, 0) = 0 OR rss_u <= 0 THEN 0.0
+  ELSE greatest(num, 0) / (rss_u / (n - 3)) END AS f_boot FROM bsrc)"""
+
+
+@register("T12_A12_bootstrap_granger_oracle_k2", f"""WITH RECURSIVE {_LV_SQL}, {_GR_SQL}, {_SIM2_SQL},
+ex AS (SELECT bf.series_id, bf.cause, bf.effect, count(*) FILTER (WHERE bf.f_boot >= gr.f_stat) AS n_exceed, count(*) AS n_reps
+  FROM bf JOIN gr USING (series_id, cause, effect) GROUP BY ALL)
+SELECT gr.series_id, gr.cause, gr.effect, gr.f_stat, gr.p_value AS asymptotic_p,
+  (coalesce(ex.n_exceed, 0) + 1) / {BOOT_SQL_REPS + 1} AS boot_p, gr.lags, gr.significant AS significant_asymptotic,
+  (coalesce(ex.n_exceed, 0) + 1) / {BOOT_SQL_REPS + 1} < 0.05 AS significant_bootstrap, 0.05 AS alpha, ex.n_reps
+FROM gr LEFT JOIN ex USING (series_id, cause, effect)""",
+          doubles=("f_stat", "asymptotic_p", "boot_p", "alpha"), digits=9, sig=True)
+def q_t12_oracle(spark, sf):
+    panel, m = _model(spark, sf, K2)
+    return bootstrap_granger(m, panel, reps=BOOT_SQL_REPS, alpha=0.05, seed=SEED)
