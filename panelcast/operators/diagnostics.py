@@ -178,9 +178,10 @@ def _ols_from_gram(g: np.ndarray, cols: list[int], ycol: int):
     return b, max(ssr, 0.0), xtx
 
 
-def adf(long: DataFrame, base: DataFrame | None = None) -> DataFrame:
+def adf(long: DataFrame, base: DataFrame | None = None, maxlag: int | None = None, autolag: str | None = "AIC") -> DataFrame:
     """Augmented Dickey-Fuller with constant; lag by AIC over 0..maxlag on the common sample,
-    then refit with the chosen lag on its own sample; p from the MacKinnon surface.
+    then refit with the chosen lag on its own sample; p from the MacKinnon surface. With
+    ``autolag=None`` the given ``maxlag`` is used as the lag.
 
     Gram layout per key: columns [const, y_{t-1}, dy_{t-1..t-L}, dy_t]. Rows with t > L+1 are
     summed in one partial Gram; the first L+1 rows are kept as separately tagged Grams so every
@@ -189,7 +190,7 @@ def adf(long: DataFrame, base: DataFrame | None = None) -> DataFrame:
     from panelcast.session import cut_lineage
     base = base if base is not None else cut_lineage(_positioned(long))
     max_n = base.agg(F.max("n")).first()[0] or 0
-    big_l = max(_adf_maxlag(int(max_n)), 0)
+    big_l = max(_adf_maxlag(int(max_n)), 0) if maxlag is None else int(maxlag)
     f1 = _lagged(base.select(*KEYS, "_skey", "pos", "n", "value"), "value", 1)
     f1 = f1.select(*KEYS, "_skey", "pos", "n", F.col("value__lag1").alias("ylag"),
                    (F.col("value") - F.col("value__lag1")).alias("dy"))
@@ -209,8 +210,8 @@ def adf(long: DataFrame, base: DataFrame | None = None) -> DataFrame:
             rows = []
             for sid, col, parts, n in zip(pdf["series_id"], pdf["variable"], pdf["parts"], pdf["n"]):
                 n = int(n)
-                maxlag = _adf_maxlag(n)
-                if n < MIN_OBS or maxlag < 0:
+                max_lag = _adf_maxlag(n) if maxlag is None else int(maxlag)
+                if n < MIN_OBS or max_lag < 0:
                     rows.append((sid, col, float("nan"), float("nan"), None, False))
                     continue
                 pieces = {int(pt["tag"]): unpack_triu(np.asarray(pt["g"], float), d) for pt in parts}
@@ -223,10 +224,10 @@ def adf(long: DataFrame, base: DataFrame | None = None) -> DataFrame:
                             g += gm
                     return g
 
-                g_common = sample(maxlag)
-                nobs = n - 1 - maxlag
-                best = None
-                for lag in range(0, maxlag + 1):
+                g_common = sample(max_lag)
+                nobs = n - 1 - max_lag
+                best = None if autolag else (0.0, max_lag)
+                for lag in range(0, max_lag + 1) if autolag else ():
                     idx = [0, 1] + [2 + j for j in range(lag)]
                     _, ssr, _ = _ols_from_gram(g_common, idx, ycol)
                     k = len(idx)

@@ -970,3 +970,15 @@ FROM gr LEFT JOIN ex USING (series_id, cause, effect)""",
 def q_t12_oracle(spark, sf):
     panel, m = _model(spark, sf, K2)
     return bootstrap_granger(m, panel, reps=BOOT_SQL_REPS, alpha=0.05, seed=SEED)
+
+
+@register("T14_adf_fixed_lag0", f"""WITH {D.LW_SQL}, {_KL_SQL},
+d AS (SELECT series_id, variable, t, value - lag(value) OVER w AS dy, lag(value) OVER w AS ylag,
+  count(*) OVER (PARTITION BY series_id, variable) AS n FROM kl WINDOW w AS (PARTITION BY series_id, variable ORDER BY t)),
+r AS (SELECT series_id, variable, any_value(n) AS n, count(*) AS nobs, regr_slope(dy, ylag) AS b, regr_sxx(dy, ylag) AS sxx,
+  regr_syy(dy, ylag) - regr_sxy(dy, ylag) * regr_sxy(dy, ylag) / regr_sxx(dy, ylag) AS rss FROM d WHERE ylag IS NOT NULL GROUP BY ALL)
+SELECT series_id, variable, CASE WHEN n >= 20 THEN b / sqrt(rss / (nobs - 2) / sxx) END AS adf_stat,
+  CASE WHEN n >= 20 THEN 0 END AS adf_lags FROM r""", doubles=("adf_stat",), digits=9, sig=True)
+def q_t14_fixed(spark, sf):
+    """Dickey-Fuller statistic at a fixed lag 0 (the automatic-lag query is rows-only)."""
+    return DG.adf(_diag_long(spark, sf), maxlag=0, autolag=None).select("series_id", "variable", "adf_stat", "adf_lags")

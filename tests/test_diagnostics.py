@@ -173,3 +173,19 @@ def test_kpss_long_lag_route_is_exact(spark):
         stat, p, lags = kpss_brute(x)
         assert got[key].kpss_lags == lags
         assert got[key].kpss_stat == pytest.approx(stat, rel=1e-8)
+
+
+def test_adf_fixed_lag_matches_brute_force(spark):
+    got = {(r.series_id, r.variable): r for r in DG.adf(_long(spark, CASES), maxlag=2, autolag=None).collect()}
+    for key, x in CASES.items():
+        if len(x) < DG.MIN_OBS:
+            continue
+        n = len(x)
+        dx = np.diff(x)
+        X = np.array([[1.0, x[t - 1], dx[t - 2], dx[t - 3]] for t in range(3, n)])
+        y = np.array([dx[t - 1] for t in range(3, n)])
+        b = np.linalg.lstsq(X, y, rcond=None)[0]
+        r = y - X @ b
+        tau = b[1] / math.sqrt(r @ r / (len(y) - 4) * np.linalg.inv(X.T @ X)[1, 1])
+        assert got[key].adf_lags == 2
+        assert got[key].adf_stat == pytest.approx(tau, rel=1e-7)
