@@ -982,3 +982,45 @@ SELECT series_id, variable, CASE WHEN n >= 20 THEN b / sqrt(rss / (nobs - 2) / s
 def q_t14_fixed(spark, sf):
     """Dickey-Fuller statistic at a fixed lag 0 (the automatic-lag query is rows-only)."""
     return DG.adf(_diag_long(spark, sf), maxlag=0, autolag=None).select("series_id", "variable", "adf_stat", "adf_lags")
+
+
+# --------------------------------------------------------------- file round trips -------------
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder."""
+    import uuid
+    from panelcast.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("S1_station_scan_round_trip", """SELECT event_type AS Station_ID, 'EV_' || event_type AS Station_name,
+  CAST(year(ts) - CAST(floor(value / 10) AS INTEGER) AS VARCHAR) AS Year, CAST(month(ts) AS VARCHAR) AS Month,
+  CAST(day(ts) AS VARCHAR) AS Day, CAST(hour(ts) AS VARCHAR) AS Hour, CAST(minute(ts) AS VARCHAR) AS Minute,
+  CAST(CAST(round(value * 10) AS BIGINT) AS VARCHAR) AS temperature
+FROM events WHERE year(ts) - CAST(floor(value / 10) AS INTEGER) >= 2022""")
+def q_s1(spark, sf):
+    """Events written as a '|'-separated station file (with a column outside the whitelist), then
+    scanned back: whitelist kept, strings untyped, Year >= bound applied after coercion."""
+    from panelcast.sources.readers import read_station_file
+    ev = read_test_table(spark, sf, "events")
+    station = ev.select(
+        F.col("event_type").alias("Station_ID"), F.concat(F.lit("EV_"), "event_type").alias("Station_name"),
+        (F.year("ts") - F.floor(F.col("value") / 10).cast("int")).cast("string").alias("Year"),
+        F.month("ts").cast("string").alias("Month"), F.dayofmonth("ts").cast("string").alias("Day"),
+        F.hour("ts").cast("string").alias("Hour"), F.minute("ts").cast("string").alias("Minute"),
+        F.round(F.col("value") * 10).cast("bigint").cast("string").alias("temperature"),
+        F.col("props").alias("not_in_whitelist"))
+    path = _scratch(spark, "station")
+    station.write.option("header", True).option("sep", "|").csv(path)
+    return read_station_file(spark, path, year_min=2022)
+
+
+@register("S2_S6_csv_round_trip", f"WITH {D.NW_SQL} SELECT * FROM nw", doubles=tuple(D.NW_MEASURES), digits=6)
+def q_s2(spark, sf):
+    """The weekly nation panel written as header CSV and read back with an explicit schema."""
+    from panelcast.sources.readers import read_table
+    from panelcast.sources.sinks import write_table
+    nw = D.nation_weekly(spark, sf)
+    path = _scratch(spark, "nation_weekly_csv")
+    write_table(nw, path, fmt="csv")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nw.schema.fields)
+    return read_table(spark, path, fmt="csv", schema=schema)
