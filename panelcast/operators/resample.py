@@ -90,27 +90,30 @@ def weekly_rollup(df: DataFrame, keys: Sequence[str], ts_col: str, mean_cols: Se
 
 
 def hourly_grid(df: DataFrame, keys: Sequence[str], ts_col: str, value_cols: Sequence[str],
-                mode: str = "truncate", check_unique: bool = False) -> DataFrame:
+                mode: str = "truncate", check_unique: bool = False, first_cols: Sequence[str] = ()) -> DataFrame:
     """Complete hourly grid per key from the first to the last stamp, observations left-joined.
 
-    mode='truncate' (default): stamps are truncated to the hour and duplicates averaged; the
-    missing hours are generated after that aggregation (no second scan, no join).
+    mode='truncate' (default): stamps are truncated to the hour and duplicates averaged (``first_cols``:
+    first non-null by stamp); the missing hours are generated after that aggregation (no second
+    scan, no join).
     mode='exact': grid starts at the exact first stamp; readings off the grid are dropped and,
     with ``check_unique``, duplicate stamps raise (grid = bounds aggregate + left join).
     """
     keys = list(keys)
-    value_cols = list(value_cols)
+    value_cols, first_cols = list(value_cols), list(first_cols)
     ntz = dict(df.dtypes)[ts_col] == "timestamp_ntz"
     if mode == "truncate":
         c = F.col(ts_col)
         hour = (F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.lit(0), F.lit(0)) if ntz
                 else F.date_trunc("hour", c))
         obs = df.groupBy(*keys, hour.alias(ts_col)).agg(
-            *[F.avg(c).alias(c) for c in value_cols])
-        filled = _fill_gaps(obs, keys, ts_col, "HOUR", ntz, value_cols)
-        return filled.select(*keys, "t", ts_col, *value_cols)
+            *[F.avg(v).alias(v) for v in value_cols],
+            *[F.min_by(F.col(v), F.when(F.col(v).isNotNull(), F.struct(c, F.col(v)))).alias(v) for v in first_cols])
+        filled = _fill_gaps(obs, keys, ts_col, "HOUR", ntz, value_cols + first_cols)
+        return filled.select(*keys, "t", ts_col, *value_cols, *first_cols)
     if mode != "exact":
         raise ValueError("mode must be 'truncate' or 'exact'")
+    value_cols = value_cols + first_cols
     obs = df.select(*keys, ts_col, *value_cols)
     if check_unique and not obs.groupBy(*keys, ts_col).count().filter("count > 1").isEmpty():
         raise ValueError("cannot reindex on an axis with duplicate timestamps")

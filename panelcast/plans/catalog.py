@@ -1014,6 +1014,63 @@ def q_s1(spark, sf):
     return read_station_file(spark, path, year_min=2022)
 
 
+def _station_file(spark, sf):
+    ev = read_test_table(spark, sf, "events")
+    station = ev.select(
+        F.col("event_type").alias("Station_ID"), F.concat(F.lit("EV_"), "event_type").alias("Station_name"),
+        (F.year("ts") - F.floor(F.col("value") / 10).cast("int")).cast("string").alias("Year"),
+        F.month("ts").cast("string").alias("Month"), F.dayofmonth("ts").cast("string").alias("Day"),
+        F.hour("ts").cast("string").alias("Hour"), F.minute("ts").cast("string").alias("Minute"),
+        F.round(F.col("value") * 10).cast("bigint").cast("string").alias("temperature"),
+        F.col("user_id").cast("string").alias("precipitation"),
+        F.col("props").alias("not_in_whitelist"))
+    path = _scratch(spark, "station")
+    station.write.option("header", True).option("sep", "|").csv(path)
+    return path
+
+
+_STATION_SQL = """
+st AS (SELECT event_type AS Station_ID, 'EV_' || event_type AS Station_name,
+  TRY(make_timestamp(year(ts) - CAST(floor(value / 10) AS INTEGER), month(ts), day(ts), hour(ts), minute(ts), 0)) AS datetime,
+  round(value * 10) / 10.0 AS temperature, CAST(user_id AS DOUBLE) AS precipitation
+  FROM events WHERE year(ts) - CAST(floor(value / 10) AS INTEGER) >= 2022
+    AND TRY(make_timestamp(year(ts) - CAST(floor(value / 10) AS INTEGER), month(ts), day(ts), hour(ts), minute(ts), 0)) IS NOT NULL),
+sh AS (SELECT Station_ID, date_trunc('hour', datetime) AS datetime, avg(temperature) AS temperature,
+  avg(precipitation) AS precipitation, first(Station_name ORDER BY datetime, Station_name) AS Station_name FROM st GROUP BY ALL),
+sg AS (SELECT Station_ID, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS datetime
+  FROM (SELECT Station_ID, min(datetime) AS lo, max(datetime) AS hi FROM sh GROUP BY ALL) b),
+sfull AS (SELECT g.Station_ID, g.datetime, h.temperature, h.precipitation, h.Station_name FROM sg g LEFT JOIN sh h USING (Station_ID, datetime)),"""
+
+
+@register("E2_station_weekly_job", f"""WITH {_STATION_SQL}
+{D.weekly_sql("sw", "SELECT * FROM sfull", ["Station_ID"], "datetime", ["temperature"], ["precipitation"], ["Station_name"],
+               week_col="iso_weekstartdate")}
+SELECT * FROM sw""", doubles=("temperature", "precipitation"), digits=9, sig=True)
+def q_e2_station(spark, sf):
+    """Station cleaning job over the events-derived station file: weekly table."""
+    from panelcast.sources.readers import read_station_file
+    raw = read_station_file(spark, _station_file(spark, sf), year_min=2022)
+    return PL.station_weekly(raw)[0]
+
+
+@register("E2_station_nan_summary", f"""WITH {_STATION_SQL}
+{D.weekly_sql("sw", "SELECT * FROM sfull", ["Station_ID"], "datetime", ["temperature"], ["precipitation"], ["Station_name"],
+               week_col="iso_weekstartdate")}
+SELECT 'Station_ID' AS column, count(*) FILTER (WHERE Station_ID IS NULL) AS NaN_count, count(*) FILTER (WHERE Station_ID IS NULL) / count(*) AS NaN_fraction FROM sw
+UNION ALL SELECT 'iso_weekstartdate' AS column, count(*) FILTER (WHERE iso_weekstartdate IS NULL) AS NaN_count, count(*) FILTER (WHERE iso_weekstartdate IS NULL) / count(*) AS NaN_fraction FROM sw
+UNION ALL SELECT 'iso_year' AS column, count(*) FILTER (WHERE iso_year IS NULL) AS NaN_count, count(*) FILTER (WHERE iso_year IS NULL) / count(*) AS NaN_fraction FROM sw
+UNION ALL SELECT 'iso_week' AS column, count(*) FILTER (WHERE iso_week IS NULL) AS NaN_count, count(*) FILTER (WHERE iso_week IS NULL) / count(*) AS NaN_fraction FROM sw
+UNION ALL SELECT 'isoyw' AS column, count(*) FILTER (WHERE isoyw IS NULL) AS NaN_count, count(*) FILTER (WHERE isoyw IS NULL) / count(*) AS NaN_fraction FROM sw
+UNION ALL SELECT 'temperature' AS column, count(*) FILTER (WHERE temperature IS NULL) AS NaN_count, count(*) FILTER (WHERE temperature IS NULL) / count(*) AS NaN_fraction FROM sw
+UNION ALL SELECT 'precipitation' AS column, count(*) FILTER (WHERE precipitation IS NULL) AS NaN_count, count(*) FILTER (WHERE precipitation IS NULL) / count(*) AS NaN_fraction FROM sw
+UNION ALL SELECT 'Station_name' AS column, count(*) FILTER (WHERE Station_name IS NULL) AS NaN_count, count(*) FILTER (WHERE Station_name IS NULL) / count(*) AS NaN_fraction FROM sw""", doubles=("NaN_fraction",), digits=9, sig=True)
+def q_e2_nan(spark, sf):
+    """Per-column missing counts and fractions of the station weekly table."""
+    from panelcast.sources.readers import read_station_file
+    raw = read_station_file(spark, _station_file(spark, sf), year_min=2022)
+    return PL.station_weekly(raw)[1]
+
+
 @register("S2_S6_csv_round_trip", f"WITH {D.NW_SQL} SELECT * FROM nw", doubles=tuple(D.NW_MEASURES), digits=6)
 def q_s2(spark, sf):
     """The weekly nation panel written as header CSV and read back with an explicit schema."""

@@ -56,21 +56,22 @@ def week_end_sql(expr: str) -> str:
     return f"({d} + CAST((8 - isodow({d})) % 7 AS INTEGER))"
 
 
-def weekly_sql(name: str, source: str, keys: list[str], ts: str, means=(), sums=(), firsts=()) -> str:
+def weekly_sql(name: str, source: str, keys: list[str], ts: str, means=(), sums=(), firsts=(), week_col: str = "week") -> str:
     """CTEs <name>_agg, <name>_grid, <name> reproducing weekly_rollup(complete=True)."""
     k = ", ".join(keys)
+    wk = week_col
     aggs = ([f"avg({c}) AS {c}" for c in means] + [f"sum({c}) AS {c}" for c in sums]
             + [f"first({c} ORDER BY {ts}, {c}) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in firsts])
     kg = ", ".join(f"g.{x}" for x in keys)
     vals = ([f"a.{c}" for c in means] + [f"coalesce(a.{c}, 0.0) AS {c}" for c in sums] + [f"a.{c}" for c in firsts])
     return f"""
-{name}_agg AS (SELECT {k}, {week_end_sql(ts)} AS week, {', '.join(aggs)} FROM ({source}) s GROUP BY ALL),
-{name}_grid AS (SELECT {k}, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS week
-  FROM (SELECT {k}, min(week) AS lo, max(week) AS hi FROM {name}_agg GROUP BY ALL) b),
-{name} AS (SELECT {kg}, g.week, CAST(datediff('day', g.lo, g.week) // 7 AS BIGINT) AS t,
-  CAST(isoyear(g.week) AS INTEGER) AS iso_year, CAST(week(g.week) AS INTEGER) AS iso_week,
-  CAST(isoyear(g.week) * 100 + week(g.week) AS INTEGER) AS isoyw, {', '.join(vals)}
-  FROM {name}_grid g LEFT JOIN {name}_agg a USING ({k}, week))"""
+{name}_agg AS (SELECT {k}, {week_end_sql(ts)} AS {wk}, {', '.join(aggs)} FROM ({source}) s GROUP BY ALL),
+{name}_grid AS (SELECT {k}, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS {wk}
+  FROM (SELECT {k}, min({wk}) AS lo, max({wk}) AS hi FROM {name}_agg GROUP BY ALL) b),
+{name} AS (SELECT {kg}, g.{wk}, CAST(datediff('day', g.lo, g.{wk}) // 7 AS BIGINT) AS t,
+  CAST(isoyear(g.{wk}) AS INTEGER) AS iso_year, CAST(week(g.{wk}) AS INTEGER) AS iso_week,
+  CAST(isoyear(g.{wk}) * 100 + week(g.{wk}) AS INTEGER) AS isoyw, {', '.join(vals)}
+  FROM {name}_grid g LEFT JOIN {name}_agg a USING ({k}, {wk}))"""
 
 
 LW_SQL = weekly_sql("lw", "SELECT * FROM lineitem", ["l_returnflag"], "l_shipdate", LW_MEANS, LW_SUMS, LW_FIRSTS)
