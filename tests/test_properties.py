@@ -23,9 +23,9 @@ def test_betainc_b1_closed_form(a, x):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.floats(0.01, 50), st.floats(0.01, 50), st.floats(1e-10, 1.0 - 1e-10))
+@given(st.floats(0.01, 50), st.floats(0.01, 50), st.floats(1e-6, 1.0 - 1e-6))
 def test_betainc_symmetry_and_range(a, b, x):
-    # 1 - x must be representable apart from 1 for the identity to be testable in floating point
+    # away from the ends: there the rounding of 1 - x is amplified by the steep tail (conditioning)
     v = float(betainc_reg(a, b, x))
     w = float(betainc_reg(b, a, 1 - x))
     assert 0.0 <= v <= 1.0
