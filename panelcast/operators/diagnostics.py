@@ -122,8 +122,9 @@ def kpss(long: DataFrame, nlags: int | str = "auto", max_window_lags: int = 64,
         lags_df = s1.select(*KEYS, F.least(lag_expr, n - 1).cast("int").alias("kpss_lags"))
     else:
         lags_df = long.select(*KEYS).distinct().withColumn("kpss_lags", F.lit(int(nlags)))
-    lags_df = cut_lineage(lags_df)
-    max_l = min(lags_df.agg(F.max("kpss_lags")).first()[0] or 0, max_window_lags)
+    probe = lags_df.agg(F.max(F.when(F.col("kpss_lags") <= max_window_lags, F.col("kpss_lags"))).alias("m"),
+                        F.count_if(F.col("kpss_lags") > max_window_lags).alias("n_long")).first()
+    max_l, n_long = int(probe["m"] or 0), int(probe["n_long"] or 0)
     short = lags_df.filter(F.col("kpss_lags") <= max_window_lags)
     lagged = _lagged(feats.join(short.select(*KEYS), KEYS, "left_semi"), "e", max_l)
     sums = lagged.groupBy(*KEYS).agg(
@@ -137,7 +138,7 @@ def kpss(long: DataFrame, nlags: int | str = "auto", max_window_lags: int = 64,
                            2.0 * F.col(f"g{j}") * (1.0 - F.lit(float(j)) / (F.col("kpss_lags") + 1.0))).otherwise(F.lit(0.0))
     stats = sums.select(*KEYS, "n", ((F.col("ss") / (n * n)) / (lrv / n)).alias("stat"), "kpss_lags")
     long_lag = lags_df.filter(F.col("kpss_lags") > max_window_lags)
-    if not long_lag.isEmpty():
+    if n_long:
         cols = ["series_id", "variable", "stat", "kpss_lags"]
         exact = (long.join(long_lag, KEYS).groupBy(*KEYS)
                  .applyInPandas(_kpss_long_lag_fn(cols), "series_id string, variable string, stat double, kpss_lags int"))
