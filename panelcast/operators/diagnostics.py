@@ -335,11 +335,12 @@ def diagnostics_report(wide: DataFrame, columns: Sequence[str], series_col: str
 
 
 def log_transform(wide: DataFrame, report: DataFrame, columns: Sequence[str], series_col: str = "series_id",
-                  time_col: str = "t", exclude: Sequence[str] = NO_LOG_COLUMNS) -> DataFrame:
+                  time_col: str = "t", exclude: Sequence[str] = NO_LOG_COLUMNS, replace: bool = False) -> DataFrame:
     """Add LOG_<COL> = log1p(col) (original kept) for columns that are non-stationary or
     non-linear, not excluded and with min >= 0 in that series; long output
     (series_id, t, column, value) holding the originals plus the added LOG rows, so each
-    series gets its own column set without a driver-side decision."""
+    series gets its own column set without a driver-side decision. ``replace`` drops the
+    original of every transformed column (avoids x beside log1p(x) in a later VAR fit)."""
     long = to_long_series(wide, columns, series_col, time_col)
     mins = long.groupBy(*KEYS).agg(F.min("value").alias("_min"))
     need = (report.filter((F.col("stationarity") == "Non-stationary") | ~F.coalesce(F.col("is_linear"), F.lit(False)))
@@ -349,4 +350,5 @@ def log_transform(wide: DataFrame, report: DataFrame, columns: Sequence[str], se
     added = (long.join(need, KEYS, "left_semi")
              .select("series_id", "t", F.element_at(name_map, F.col("variable")).alias("variable"),
                      F.log1p("value").alias("value")))
-    return long.select("series_id", "t", "variable", "value").unionByName(added)
+    kept = long.join(need, KEYS, "left_anti") if replace else long
+    return kept.select("series_id", "t", "variable", "value").unionByName(added)

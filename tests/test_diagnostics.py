@@ -163,6 +163,9 @@ def test_report_and_log_transform(spark):
     assert "LOG_TEMPERATURE" not in added and "LOG_NEG" not in added
     if r["up"].stationarity == "Non-stationary" or not r["up"].is_linear:
         assert added == {"LOG_UP"}
+        rep_only = DG.log_transform(wide, rep, cols, replace=True)
+        names = {x.variable for x in rep_only.select("variable").distinct().collect()}
+        assert "LOG_UP" in names and "up" not in names
 
 
 def test_kpss_long_lag_route_is_exact(spark):
