@@ -57,29 +57,59 @@ def _solve_fn(k: int, spec: VarSpec, d: int):
     return fn
 
 
-def _exact_refit_fn(variables: list[str], spec: VarSpec, d: int):
-    """Minimum-norm least squares on the design rows (relative rank cut 1e-12), for series
-    whose Gram is singular or ill-conditioned."""
-    k, p = len(variables), spec.lags
-    m = spec.n_det + p * k
+def _partial_r_fn(variables: list[str], spec: VarSpec, time_col: str):
+    """Per partition and series: R factor of Z = [X | Y] (QR, rows folded batch by batch)."""
+    x_cols = [lag_name(v, j) for j in range(1, spec.lags + 1) for v in variables]
+    d = spec.n_regressors(len(variables)) + len(variables)
+
+    def fn(batches):
+        acc: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            pdf = pdf[pdf[time_col] >= spec.lags]
+            for sid, rows in pdf.groupby("series_id", sort=False):
+                parts = []
+                if spec.has_const:
+                    parts.append(np.ones((len(rows), 1)))
+                if spec.has_trend:
+                    parts.append(rows[time_col].to_numpy(float).reshape(-1, 1) + 1.0)
+                parts.append(rows[x_cols + variables].to_numpy(float))
+                z = np.hstack(parts)
+                if sid in acc:
+                    z = np.vstack([acc[sid], z])
+                acc[sid] = np.linalg.qr(z, mode="r")
+        for sid, r in acc.items():
+            full = np.zeros((d, d))
+            full[: r.shape[0]] = r
+            yield pd.DataFrame({"series_id": [sid], "r": [full.ravel()]})
+
+    return fn
+
+
+def _tsqr_solve_fn(variables: list[str], spec: VarSpec, d: int, fits_cols: list[str]):
+    """Stack a series' partial R factors, re-factor, and solve by SVD of R_XX with the relative
+    rank cut 1e-12 (minimum-norm least squares, as on the design rows themselves)."""
+    k = len(variables)
+    m = spec.n_regressors(k)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        y = pdf[variables].to_numpy(float)
-        x, yy = K.design(y, p, spec.has_const, spec.has_trend)
-        sid = pdf["series_id"].iloc[0]
-        if not np.any(x):
+        stacked = np.vstack([np.asarray(r, float).reshape(d, d) for r in pdf["r"]])
+        r = np.linalg.qr(stacked, mode="r")
+        full = np.zeros((d, d))
+        full[: r.shape[0]] = r
+        rxx, rxy = full[:m, :m], full[:m, m:]
+        u, sv, vt = np.linalg.svd(rxx)
+        keep = sv > K.RANK_TOL * (sv[0] if sv.size else 0.0)
+        if not keep.any():
             b = np.zeros((m, k))
         else:
-            b = np.linalg.lstsq(x, yy, rcond=K.RANK_TOL)[0]
-        u = yy - x @ b
-        n_reg = yy.shape[0]
+            b = vt[keep].T @ ((u[:, keep].T @ rxy) / sv[keep][:, None])
+        res_top = rxy - rxx @ b
+        uu = res_top.T @ res_top + full[m:, m:].T @ full[m:, m:]
+        row = pdf.iloc[0]
+        n_reg = int(row["n_reg"])
         df = n_reg - m if n_reg - m > 0 else n_reg
-        z = np.hstack([x, yy])
-        g = (z.T @ z)[np.triu_indices(d)]
-        return pd.DataFrame([(sid, len(y), n_reg, m, float(df), "ok", "min_norm", b.ravel().tolist(),
-                              (u.T @ u / df).ravel().tolist(), g.tolist())],
-                            columns=[f.name for f in FIT_SCHEMA.fields])
+        return pd.DataFrame([(row["series_id"], int(row["n_obs"]), n_reg, m, float(df), "ok", "min_norm",
+                              b.ravel().tolist(), (uu / df).ravel().tolist(), list(row["g"]))], columns=fits_cols)
 
     return fn
 
@@ -173,7 +203,7 @@ def fit_var(panel: DataFrame, variables: Sequence[str], spec: VarSpec, series_co
 
     ``panel``: (series_id, t 0..T-1, variables...). Series with too few rows or NULL/NaN input
     get a status row instead of failing the job. Singular designs are refitted exactly by
-    minimum-norm least squares on their rows.
+    minimum-norm least squares through a distributed tall-skinny QR of their design.
     """
     variables = list(variables)
     df = panel if series_col == "series_id" else panel.withColumnRenamed(series_col, "series_id")
@@ -182,11 +212,16 @@ def fit_var(panel: DataFrame, variables: Sequence[str], spec: VarSpec, series_co
     fits = gram.mapInPandas(_solve_fn(len(variables), spec, d), FIT_SCHEMA)
     if checkpoint:
         fits = cut_lineage(fits)
-        bad = fits.filter(F.col("solver") == "min_norm").select("series_id")
+        bad = fits.filter(F.col("solver") == "min_norm").select("series_id", "n_obs", "n_reg", "g")
         if not bad.isEmpty():
-            rows = df.join(bad, "series_id", "left_semi").select("series_id", time_col, *variables)
-            refit = rows.groupBy("series_id").applyInPandas(_exact_refit_fn(variables, spec, d), FIT_SCHEMA)
-            fits = cut_lineage(fits.join(bad, "series_id", "left_anti").unionByName(refit))
+            # exact refit of singular / ill-conditioned designs by tall-skinny QR: partial R
+            # factors per partition, combined per series (never the series' rows in one task)
+            rows = lag_embed(df.join(bad.select("series_id"), "series_id", "left_semi"), variables, spec.lags,
+                             "series_id", time_col)
+            r_parts = rows.mapInPandas(_partial_r_fn(variables, spec, time_col), "series_id string, r array<double>")
+            refit = (r_parts.join(bad, "series_id").groupBy("series_id")
+                     .applyInPandas(_tsqr_solve_fn(variables, spec, d, [f.name for f in FIT_SCHEMA.fields]), FIT_SCHEMA))
+            fits = cut_lineage(fits.join(bad.select("series_id"), "series_id", "left_anti").unionByName(refit))
     model = VarModel(fits, variables, spec, "series_id")
     return model
 

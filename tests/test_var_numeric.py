@@ -184,3 +184,19 @@ def test_near_collinear_log_pair(spark):
     assert np.allclose(fitted, best, atol=1e-6)
     rows = granger_matrix(model).collect()
     assert all(0.0 <= r.p_value <= 1.0 for r in rows)
+
+
+def test_min_norm_refit_combines_partitions(spark):
+    """A singular series longer than several lag blocks: partial R factors from several tasks."""
+    rng = np.random.default_rng(12)
+    a = np.cumsum(rng.standard_normal(20000)) * 0.01 + 5
+    y = np.column_stack([a, 3.0 * a])
+    panel = panel_df(spark, {"long": y.tolist()}, 2).repartition(6)
+    model = fit_var(panel, ["var0", "var1"], VarSpec(1, Det.CONST))
+    f = model.fits.first()
+    assert f.solver == "min_norm"
+    x, yy = K.design(y, 1, True, False)
+    b = np.linalg.lstsq(x, yy, rcond=1e-12)[0]
+    assert np.allclose(np.array(f.coef).reshape(3, 2), b, atol=1e-6)
+    u = yy - x @ b
+    assert np.allclose(np.array(f.sigma).reshape(2, 2), u.T @ u / (len(yy) - 3), rtol=1e-6, atol=1e-9)
