@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.lags import positional_index
@@ -16,10 +16,7 @@ __all__ = ["interpolate_linear", "ffill_bfill", "zero_fill"]
 def _with_position(df: DataFrame, keys: list[str], order: list[str], position: str | None) -> tuple[DataFrame, str]:
     if position is not None:
         return df, position
-    if not keys:
-        w = Window.orderBy(*order)
-        return df.withColumn("_pos", (F.row_number().over(w) - 1).cast("bigint")), "_pos"
-    key = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
+    key = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
     tagged = df.withColumn("_skey", key)
     return positional_index(tagged, "_skey", order, "_pos").drop("_skey"), "_pos"
 
@@ -36,7 +33,9 @@ def interpolate_linear(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     keys, order = list(keys), list(order)
     out, pos = _with_position(df, keys, order, position)
-    nb = neighbours(out, keys, pos, list(value_cols), block)
+    scan_keys = keys or ["_whole"]
+    src = out if keys else out.withColumn("_whole", F.lit(0))
+    nb = neighbours(src, scan_keys, pos, list(value_cols), block)
     p = F.col(pos)
     filled_cols = {}
     for c in value_cols:
@@ -55,7 +54,9 @@ def ffill_bfill(df: DataFrame, keys: Sequence[str], order: Sequence[str], value_
     """Forward fill, then backward fill for the leading gap (blocked scan, as above)."""
     keys, order = list(keys), list(order)
     out, pos = _with_position(df, keys, order, position)
-    nb = neighbours(out, keys, pos, list(value_cols), block)
+    scan_keys = keys or ["_whole"]
+    src = out if keys else out.withColumn("_whole", F.lit(0))
+    nb = neighbours(src, scan_keys, pos, list(value_cols), block)
     cols = [F.coalesce(F.col(f"{c}__pv"), F.col(f"{c}__nv")).alias(c) if c in value_cols else F.col(c)
             for c in out.columns]
     res = nb.select(*cols)

@@ -176,3 +176,10 @@ def test_blocked_scans_cross_block_borders(spark, block):
         assert np.allclose(np.array(f, dtype=float), s.ffill().bfill().to_numpy(), equal_nan=True)
         c = [r.cs for r in sorted(ps, key=lambda r: r.i) if r.k == k]
         assert np.allclose(c, s.fillna(0).cumsum().to_numpy())
+
+
+def test_interpolation_whole_frame_without_keys(spark):
+    vals = [None, 2.0, None, None, 8.0, None]
+    df = spark.createDataFrame([(float(i), v) for i, v in enumerate(vals)], "week double, v double")
+    got = [r.v for r in interp.interpolate_linear(df, [], ["week"], ["v"], block=2).orderBy("week").collect()]
+    assert np.allclose(got, pd.Series(vals, dtype=float).interpolate(limit_direction="both").to_numpy())
