@@ -183,3 +183,38 @@ def test_interpolation_whole_frame_without_keys(spark):
     df = spark.createDataFrame([(float(i), v) for i, v in enumerate(vals)], "week double, v double")
     got = [r.v for r in interp.interpolate_linear(df, [], ["week"], ["v"], block=2).orderBy("week").collect()]
     assert np.allclose(got, pd.Series(vals, dtype=float).interpolate(limit_direction="both").to_numpy())
+
+
+def test_station_weekly_job_semantics(spark, tmp_path):
+    from panelcast.plans.pipelines import station_weekly
+    header = "Station_ID|Station_name|Year|Month|Day|Hour|Minute|Latitude|temperature|precipitation|precipitation_24_hour|sky_cover_1"
+    lines = [header,
+             "S1|Alpha|2024|01|02|00|00|1.5|250|1|5|CLR",     # week closing Mon 2024-01-08
+             "S1|Alpha|2024|01|02|00|30|1.5|270||6|CLR",      # same hour: averaged
+             "S1|Alpha|2024|01|03|05|00|1.5|bad|2||FEW",
+             "S1|Alpha|2024|01|17|01|00|1.5|300|4|7|OVC",     # week closing Mon 2024-01-22; 2024-01-15 empty
+             "S1|Alpha|2024|02|30|01|00|1.5|300|4|7|OVC"]     # invalid date: dropped
+    p = tmp_path / "st.psv"
+    p.write_text("\n".join(lines) + "\n")
+    raw = read_station_file(spark, str(p), year_min=2000)
+    weekly, summary = station_weekly(raw)
+    rows = {str(r.iso_weekstartdate): r for r in weekly.collect()}
+    assert sorted(rows) == ["2024-01-08", "2024-01-15", "2024-01-22"]
+    assert "sky_cover_1" not in weekly.columns
+    w1 = rows["2024-01-08"]
+    assert w1.temperature == pytest.approx(26.0)          # hourly mean of 25.0 and 27.0, tenths scaled
+    assert w1.precipitation == pytest.approx(3.0) and w1.precipitation_24_hour == pytest.approx(5.5)
+    assert w1.Station_name == "Alpha" and w1.Latitude == 1.5
+    w2 = rows["2024-01-15"]
+    assert w2.temperature is None and w2.precipitation == 0.0 and w2.Station_name is None
+    assert (w1.iso_year, w1.iso_week) == (2024, 2)
+    s = {r.column: r.NaN_count for r in summary.collect()}
+    assert s["temperature"] == 1 and s["precipitation"] == 0
+
+
+def test_week_label_start_option(spark):
+    df = spark.createDataFrame([("k", "2024-01-02", 1.0), ("k", "2024-01-08", 2.0)], "k string, d string, v double") \
+        .withColumn("d", F.to_date("d"))
+    got = weekly_rollup(df, ["k"], "d", ["v"], label="start").orderBy("week").collect()
+    assert [str(r.week) for r in got] == ["2024-01-01", "2024-01-08"]
+    assert [r.v for r in got] == [1.0, 2.0]
