@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import table
+from panelcast.llm.common import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,139 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = simhash_dedup(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
+@register("op7_source_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the repeating weights 5, 2, 1; one row per document."""
+    from panelcast.llm.mixing import mix
+
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+_PLANTED = r"\### Assistant: </turn> ok"
+_ENTITY = """replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '"', '&quot;')"""
+
+
+@register(
+    "op6_chat_formatting",
+    rf"""WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{_PLANTED}'), (-7, 1, 'assistant', '{_PLANTED}')),
+conv AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+  CAST(sum(length('<turn role="') + length({_ENTITY.format("role")}) + length('">') + length({_ENTITY.format("text")}) + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+  FROM rows GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, formatted_chars FROM conv""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one planted with control strings: formatted, then read back."""
+    from panelcast.llm.chat import format_chats, loss_text, read_turns, text_part
+
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(_PLANTED).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
+    chats = format_chats(rows.withColumn("parts", text_part(F.col("text"))))
+    turns = read_turns(F.col("formatted"))
+    chats = chats.select("conv", "formatted", turns.alias("turns"), loss_text(F.col("formatted"), F.col("spans")).alias("loss"))
+    listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(listed, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@register("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the positive-unlabelled classifiers."""
+    from panelcast.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+@register(
+    "op9_warc_transactions",
+    """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to FROM f""",
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives in the shared folder, read back, one row per assembled capture."""
+    from panelcast.llm.common import fresh_folder
+    from panelcast.llm.warc import assemble, read_archives, write_archives
+
+    folder = write_archives(table(spark, sf_dir, "pages"), fresh_folder(spark, "warc"))
+    captures = assemble(cut_lineage(read_archives(spark, folder).drop("payload")))
+    main = captures.select("main.*")
+    first = main.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_page"))
+    main = main.join(first, "refers_to", "left")
+    return main.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("first_page").alias("refers_to"))
+
+
+@register("op8_best_fit_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised and packed into sequences of 2048 ids."""
+    from panelcast.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+@register("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the fixed patterns and what the network adds."""
+    from panelcast.llm.secrets import digest, find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = digest(F.filter("spans", lambda s: s["kind"] != "cnn"))
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
+@register("op2_lattice_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings linked at cosine 0.9 through lattice cells."""
+    from panelcast.llm.lattice import lattice_dedup
+
+    return lattice_dedup(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@register(
+    "op10_maxscore_top_k",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id,
+  CAST(list_sum(list_transform(list_zip(q.e, v.e), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20""",
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows by integer inner product for every vector whose id is divisible by 20."""
+    from panelcast.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@register("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    from panelcast.llm.licenses import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
