@@ -144,10 +144,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "op10_maxscore_top_k",
-    """WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    """WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id,
-  CAST(list_sum(list_transform(list_zip(q.e, v.e), p -> p[1] * p[2])) AS BIGINT) AS score
+  CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, v.e)]) AS BIGINT) AS score
   FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 20""",
