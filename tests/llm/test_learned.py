@@ -1,0 +1,131 @@
+"""Toxicity, secrets: learned scores against held-out labels and fixed patterns against brute force."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from panelcast.llm import secrets as X
+from panelcast.llm import toxicity as T
+from panelcast.llm.catalog import QUERIES
+
+from odd_rows import SF, collected
+
+SF01 = "/root/testdata/sf0.01"
+LABEL = "doc_id long, quality int, toxic int, text string"
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Accuracy on rows whose labels were not read."""
+    found = QUERIES["op3_toxicity"](spark, SF01).toPandas()
+    assert len(found) == 1000
+    assert (found.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in found.doc_id]).all()
+    assert (found.predicted == (found.score >= 0.3)).all() and found.score.between(0, 1).all()
+    labels = spark.read.parquet(f"{SF01}/labels.parquet").toPandas()
+    held = found[found.held_out].merge(labels, on="doc_id")
+    toxic, clean = held[held.toxic == 1], held[held.toxic == 0]
+    assert clean.predicted.mean() <= 0.05 and toxic.predicted.mean() >= 0.6
+
+
+def test_held_out_labels_are_never_read(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    from panelcast.llm.common import held_out
+
+    flipped = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (sorted((r["id"], r["score"]) for r in T.classify(docs, own).collect()) for own in (labels, flipped))
+    assert a == b
+
+
+def test_toxicity_on_odd_rows(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1, 1, "x"), (1, 0, None, "x"), (4, 1, 0, "x"), (5, None, None, "x"), (None, 1, 1, "x"), (77, 1, 1, "x"), (8, 1, 1, "x"), (9, 0, 0, "x")], LABEL)
+    found = collected(T.classify(odd_docs, labels))
+    assert len(found) == 12 and all(0 <= r["score"] <= 1 for r in found)
+    assert all(r["held_out"] for r in found if r["id"] is None)
+    unlabelled = collected(T.classify(odd_docs, labels.where("false")))
+    assert all(r["score"] < 1e-9 and r["predicted"] == 0 for r in unlabelled)
+    assert T.classify(no_docs, labels).count() == 0
+
+
+def test_training_corrects_for_the_prior():
+    """Unlabelled rows hold positives, yet the classifier tells the classes apart."""
+    rng = np.random.default_rng(0)
+    def rows(n, rate):
+        return (rng.random((n, 6)) < np.array([rate, rate, 0.2, 0.2, 0.5, 0.5])).astype(float)
+    p, toxic, clean = rows(300, 0.8), rows(200, 0.8), rows(800, 0.02)
+    w, b = T.train(p, np.concatenate([toxic, clean]), 0.2, np.full(6, 1.0), 0)
+    assert ((toxic @ w + b) > 0).mean() > 0.9 and ((clean @ w + b) < 0).mean() > 0.9
+
+
+PATTERNS = [
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+]
+
+
+def brute_base(text):
+    spans = [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, p, good) in enumerate(PATTERNS) for m in p.finditer(text or "") if good(m)]
+    return [s for _, _, s in sorted(spans)]
+
+
+TRAPS = [
+    "password: short token=token:abcdefgh1", "API_KEY='abcdefgh' apikey=\"Zz/+_.=-1\"", "AKIAAKIA AKIA12345678 AKIA123456789012",
+    "é" * 5 + "f" * 32 + "g" + "0" * 31, "ſecret=abcdefghij toKen=abcdefghij", "secret  =  'a.b.c.d.e.f", "tokentoken=secret=12345678", "f" * 5000, "", None,
+]
+
+
+@pytest.mark.parametrize("text", TRAPS)
+def test_fixed_patterns(text):
+    assert [f"{k}:{a}:{b}" for a, b, k in X.base_spans(text or "")] == brute_base(text)
+
+
+def test_secret_query_against_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}
+    for r in QUERIES["op5_secret_scan"](spark, SF01).collect():
+        base = brute_base(docs[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert r["n_assign"] + r["n_access"] + r["n_hex"] == len(base)
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("cnn")] == base
+
+
+def planted(n, seed):
+    """Texts with keys of the fixed patterns, and with numbers that are none; some keys under other names."""
+    rng = np.random.default_rng(seed)
+    hexes, letters = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    out = []
+    for i in range(n):
+        key = "".join(rng.choice(list(hexes), 40))
+        access = "AKIA" + "".join(rng.choice(list(letters), 16))
+        card = "".join(rng.choice(list("0123456789"), 18))
+        out.append([f"the token = {key} is", f"use {access} here", f"order {card} sent", f"at host{i}.example-site.org/page{i}", "no numbers at all"][i % 5])
+    return out
+
+
+def test_network_finds_held_out_secrets(spark):
+    docs = spark.createDataFrame(list(enumerate(planted(600, 1))), "doc_id long, text string")
+    net = X.fit(docs)
+    assert net is not None and 0.5 <= net.threshold <= 1
+    fresh = planted(200, 2)
+    spots = [(t, a, b, any(a < y and x < b for x, y, _ in X.base_spans(t))) for t in fresh for a, b in X.candidates(t, X.base_spans(t))]
+    p = net.probability(X.matrix([X.window(t, a, b) for t, a, b, _ in spots]))
+    secret = np.array([s for *_, s in spots])
+    assert (p[secret] >= net.threshold).mean() >= 0.9 and (p[~secret] >= net.threshold).mean() <= 0.05
+    bare = "see 0f3a" + "9b2c7d1e" * 2 + "44ab here"  # too short for the hex pattern
+    assert X.base_spans(bare) == []
+    assert all(k in X.KINDS for _, _, k in X.scan(net, [bare])[0])
+
+
+def test_secrets_on_odd_rows(odd_docs, no_docs):
+    found = collected(X.find_secrets(odd_docs))
+    assert len(found) == 12
+    assert {str(r["id"]): len(r["spans"]) for r in found}["7"] == 1  # fifty thousand letters a are hexadecimal
+    assert X.find_secrets(no_docs).count() == 0
+
+
+def test_redaction_merges_overlaps(spark):
+    df = spark.createDataFrame([("a token=" + "0" * 40 + " b",), ("clean",), (None,)], "text string")
+    out = [r[0] for r in df.select(F.when(F.col("text").isNotNull(), X.redact(None, F.col("text")))).collect()]
+    assert out == ["a [SECRET] b", "clean", None]
