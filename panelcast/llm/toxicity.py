@@ -28,7 +28,7 @@ from panelcast.llm.common import cut_lineage, held_out
 POSITIVES, UNLABELLED = 4000, 12000  # rows of the training sample, at most
 BUCKETS, FEATURES = 1 << 20, 1024  # hash range; features kept
 LEAST_ROWS, LEAST_Z = 3, 4.0  # rows with a feature, and its z score, to be kept
-CLASSIFIERS, EPOCHS, RATE, DECAY = 3, 30, 0.02, 1e-4
+CLASSIFIERS, STEPS, RATE, DECAY = 3, 900, 0.02, 1e-4
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W_]+")
 
@@ -73,8 +73,10 @@ def train(p: np.ndarray, u: np.ndarray, prior: float, ratio: np.ndarray, seed: i
     w = np.concatenate([np.ones(p.shape[1]), [np.log(prior / (1 - prior))]])
     first, second, t = np.zeros_like(w), np.zeros_like(w), 0
     batches = max(1, len(u) // 400)
-    for _ in range(EPOCHS):
-        for own_p, own_u in zip(np.array_split(rng.permutation(max(len(p), batches)) % len(p), batches), np.array_split(rng.permutation(len(u)), batches)):
+    while t < STEPS:
+        parts_p = np.array_split(rng.permutation(max(len(p), batches)) % len(p), batches)
+        parts_u = np.array_split(rng.permutation(len(u)), batches)
+        for own_p, own_u in zip(parts_p, parts_u):
             a, b = x_p[own_p], x_u[own_u]
             s_p = 1 / (1 + np.exp(-np.clip(a @ w[:-1] + w[-1], -30, 30)))
             s_u = 1 / (1 + np.exp(-np.clip(b @ w[:-1] + w[-1], -30, 30)))
