@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import cut_lineage, held_out
 
 POSITIVES, UNLABELLED = 4000, 12000  # rows of the training sample, at most
-BUCKETS, FEATURES = 1 << 20, 1024  # hash range; features kept
-LEAST_ROWS, LEAST_Z = 3, 4.0  # rows with a feature, and its z score, to be kept
+BUCKETS, FEATURES = 1 << 20, 128  # hash range; features kept
+LEAST_ROWS, LEAST_Z = 3, 6.0  # rows with a feature, and its z score, to be kept
 CLASSIFIERS, STEPS, RATE, DECAY = 3, 900, 0.02, 1e-4
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W_]+")
