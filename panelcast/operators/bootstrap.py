@@ -2,8 +2,8 @@
 
 Replications are rows: each series' fit row is exploded into blocks of replications and the
 blocks are spread over tasks. A replication needs its whole series (the simulation is a
-recursion over t), so a task holds T x K numbers per replication, checked against
-``max_cells``. Residual rows are drawn with md5('seed:series:rep:i') indices, so any
+recursion over t); a task simulates as many replications at once as fit CELLS numbers, one at
+least, and folds their designs into triangular factors over time. Residual rows are drawn with md5('seed:series:rep:i') indices, so any
 partitioning gives the same draws; bands and p-values are Spark aggregates over all
 replications (exact percentile, exceedance count).
 """
@@ -22,17 +22,15 @@ from panelcast.operators.granger import granger_matrix
 from panelcast.operators.irf import irf
 from panelcast.operators.var import VarModel
 
+CELLS = 4_000_000  # simulated numbers a task holds at once, unless one replication has more
+
 __all__ = ["bootstrap_inputs", "simulate_series", "bootstrap_irf", "bootstrap_granger"]
 
 
-def bootstrap_inputs(model: VarModel, panel: DataFrame, time_col: str = "t", max_cells: int = 20_000_000) -> DataFrame:
+def bootstrap_inputs(model: VarModel, panel: DataFrame, time_col: str = "t") -> DataFrame:
     """One row per fitted series: coefficients, first p observations and the residual matrix."""
     variables, p = model.variables, model.spec.lags
     fits = model.fits.filter(F.col("status") == "ok")
-    stats = fits.agg(F.max("n_obs").alias("worst"), F.count(F.lit(1)).alias("n_series")).first()
-    worst = stats["worst"]
-    if worst is not None and worst * len(variables) > max_cells:
-        raise ValueError(f"a series has {worst} rows x {len(variables)} variables, above max_cells={max_cells}")
     row = F.array(*[F.col(v) for v in variables])
     resid = (model.residuals(panel, time_col).groupBy("series_id")
              .agg(F.sort_array(F.collect_list(F.struct(F.col(time_col), row.alias("u")))).alias("_r"))
@@ -40,15 +38,14 @@ def bootstrap_inputs(model: VarModel, panel: DataFrame, time_col: str = "t", max
     head = (panel.select(F.col(model.series_col).alias("series_id"), time_col, *variables).filter(F.col(time_col) < p)
             .groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct(F.col(time_col), row.alias("y")))).alias("_h"))
             .select("series_id", F.flatten(F.expr("transform(_h, x -> x.y)")).alias("y0")))
-    out = fits.select("series_id", "n_obs", "n_reg", "coef", "sigma").join(resid, "series_id").join(head, "series_id")
-    return out, int(stats["n_series"] or 0)
+    return fits.select("series_id", "n_obs", "n_reg", "coef", "sigma").join(resid, "series_id").join(head, "series_id")
 
 
-def _replicate(inputs_and_count, reps: int, block: int) -> DataFrame:
-    """(series x block) work items, one task per item up to a cap; each item runs ``block`` reps."""
-    inputs, n_series = inputs_and_count
+def _replicate(model: VarModel, panel: DataFrame, reps: int, block: int, time_col: str) -> DataFrame:
+    """(series x block) work items, one task each; each item runs ``block`` reps."""
+    inputs = bootstrap_inputs(model, panel, time_col)
     n_blocks = max(1, math.ceil(reps / block))
-    n_tasks = max(1, min(n_series * n_blocks, 4096))
+    n_tasks = max(1, model.fits.filter(F.col("status") == "ok").count() * n_blocks)
     return (inputs.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
             .withColumn("_rep_lo", F.col("_blk") * block)
             .withColumn("_rep_hi", F.least(F.lit(reps), (F.col("_blk") + 1) * block))
@@ -65,14 +62,14 @@ def _unpack(row, k: int, p: int, n_det: int):
 
 
 def _simulated(row, k: int, spec, seed: int):
-    """(rep, simulated series) for the replications of one work item, simulated as one block."""
+    """(reps, simulated series of these reps) of one work item, a bounded number of replications at a time."""
     a, c, resid, y0 = _unpack(row, k, spec.lags, spec.n_det)
-    reps = list(range(int(row["_rep_lo"]), int(row["_rep_hi"])))
-    if not reps:
-        return []
-    idx = np.stack([K.draw_index(seed, row["series_id"], rep, resid.shape[0]) for rep in reps])
-    ys = K.simulate_batch(y0, resid, idx, a, c, spec.has_const, spec.has_trend)
-    return list(zip(reps, ys))
+    lo, hi = int(row["_rep_lo"]), int(row["_rep_hi"])
+    at_once = max(1, CELLS // max(1, resid.size * (spec.lags + 1)))
+    for first in range(lo, hi, at_once):
+        reps = np.arange(first, min(hi, first + at_once))
+        idx = np.stack([K.draw_index(seed, row["series_id"], int(rep), len(resid)) for rep in reps])
+        yield reps, K.simulate_batch(y0, resid, idx, a, c, spec.has_const, spec.has_trend)
 
 
 def simulate_series(model: VarModel, panel: DataFrame, reps: int, seed: int, block: int = 50,
@@ -85,20 +82,21 @@ def simulate_series(model: VarModel, panel: DataFrame, reps: int, seed: int, blo
     def fn(batches):
         for pdf in batches:
             for _, row in pdf.iterrows():
-                for rep, y in _simulated(row, k, spec, seed):
-                    out = pd.DataFrame(y, columns=variables)
-                    out.insert(0, "t", np.arange(len(y), dtype=np.int64))
-                    out.insert(0, "rep", rep)
-                    out.insert(0, "series_id", row["series_id"])
-                    yield out
+                for reps_, ys in _simulated(row, k, spec, seed):
+                    for rep, y in zip(reps_, ys):
+                        out = pd.DataFrame(y, columns=variables)
+                        out.insert(0, "t", np.arange(len(y), dtype=np.int64))
+                        out.insert(0, "rep", np.int32(rep))
+                        out.insert(0, "series_id", row["series_id"])
+                        yield out
 
-    return _replicate(bootstrap_inputs(model, panel, time_col), reps, block).mapInPandas(fn, schema)
+    return _replicate(model, panel, reps, block, time_col).mapInPandas(fn, schema)
 
 
-def _refit_gram(g, n_obs, spec, k):
-    n_reg = n_obs - spec.lags
-    b, sigma, solver, _ = K.fit_from_gram(g, k, spec.lags, spec.n_det, n_reg)
-    return g, b, sigma, solver, n_reg
+def _refits(ys: np.ndarray, spec, k: int):
+    """Factors, coefficients, residual cross products and full-rank flags of simulated series."""
+    r = K.factors_batch(ys, spec.lags, spec.has_const, spec.has_trend)
+    return r, *K.refit_batch(r, k, spec.lags, spec.n_det, ys.shape[1] - spec.lags)
 
 
 def bootstrap_irf(model: VarModel, panel: DataFrame, reps: int = 500, horizon: int = 12, alpha: float = 0.05,
@@ -114,20 +112,17 @@ def bootstrap_irf(model: VarModel, panel: DataFrame, reps: int = 500, horizon: i
     def fn(batches):
         for pdf in batches:
             for _, row in pdf.iterrows():
-                frames = []
-                sims = _simulated(row, k, spec, seed)
-                grams = K.gram_batch(np.stack([y for _, y in sims]), p, spec.has_const, spec.has_trend) if sims else []
-                for (rep, y), g in zip(sims, grams):
-                    _, b, sigma, _, _ = _refit_gram(g, y.shape[0], spec, k)
-                    resp, _ = K.irf(K.lag_matrices(b.ravel(), k, p, spec.n_det), sigma, horizon)
-                    h_i, r_i, s_i = np.meshgrid(np.arange(horizon), np.arange(k), np.arange(k), indexing="ij")
-                    frames.append(pd.DataFrame({"series_id": row["series_id"], "rep": rep, "shock": names[s_i.ravel()],
-                                                "response": names[r_i.ravel()], "horizon": h_i.ravel().astype(np.int32),
-                                                "value": resp.ravel()}))
-                if frames:
-                    yield pd.concat(frames, ignore_index=True)
-
-    draws = _replicate(bootstrap_inputs(model, panel, time_col), reps, block).mapInPandas(
+                for reps_, ys in _simulated(row, k, spec, seed):
+                    _, b, uu, _ = _refits(ys, spec, k)
+                    n_reg = ys.shape[1] - p
+                    df = n_reg - b.shape[1] if n_reg > b.shape[1] else n_reg
+                    resp = np.stack([K.irf(K.lag_matrices(one.ravel(), k, p, spec.n_det), cross / df, horizon)[0]
+                                     for one, cross in zip(b, uu)])
+                    n, h, r, s = np.indices(resp.shape).reshape(4, -1)
+                    yield pd.DataFrame({"series_id": row["series_id"], "rep": reps_[n].astype(np.int32), "shock": names[s],
+                                        "response": names[r], "horizon": h.astype(np.int32), "value": resp.ravel()})
+
+    draws = _replicate(model, panel, reps, block, time_col).mapInPandas(
         fn, "series_id string, rep int, shock string, response string, horizon int, value double")
     bands = draws.groupBy("series_id", "shock", "response", "horizon").agg(
         F.percentile("value", F.lit(alpha / 2)).alias("lower"), F.percentile("value", F.lit(1 - alpha / 2)).alias("upper"),
@@ -143,22 +138,32 @@ def bootstrap_granger(model: VarModel, panel: DataFrame, reps: int = 500, alpha:
         alpha = 0.05
     variables, spec = model.variables, model.spec
     k, p = len(variables), spec.lags
-    names = variables
+    names = np.array(variables, dtype=object)
+    cause, effect = (np.array(x) for x in zip(*[(c, e) for c in range(k) for e in range(k) if c != e])) if k > 1 else ([], [])
+
+    def f_draws(ys: np.ndarray) -> np.ndarray:
+        r, b, uu, regular = _refits(ys, spec, k)
+        dof = ys.shape[1] - p - b.shape[1]
+        if dof <= 0:
+            return np.zeros((len(ys), k, k))
+        gain = np.empty((len(ys), k, k))
+        if regular.any():
+            gain[regular] = K.gains_batch(r[regular], b[regular], k, p, spec.n_det)
+        for i in np.flatnonzero(~regular):
+            gain[i] = K.cause_gains(r[i], k, p, spec.n_det)
+        return K.f_statistics(gain, np.diagonal(uu, axis1=1, axis2=2)[:, None, :], p, dof)
 
     def fn(batches):
         for pdf in batches:
-            rows = []
             for _, row in pdf.iterrows():
-                sims = _simulated(row, k, spec, seed)
-                grams = K.gram_batch(np.stack([y for _, y in sims]), p, spec.has_const, spec.has_trend) if sims else []
-                for (rep, y), g in zip(sims, grams):
-                    g, b, _, solver, n_reg = _refit_gram(g, y.shape[0], spec, k)
-                    for cause, effect, f, _, status in K.granger_all_pairs(g, b.ravel(), solver, k, p, spec.n_det, n_reg):
-                        rows.append((row["series_id"], rep, names[cause], names[effect], f if status == "ok" else 0.0))
-            if rows:
-                yield pd.DataFrame(rows, columns=["series_id", "rep", "cause", "effect", "f_boot"])
-
-    draws = _replicate(bootstrap_inputs(model, panel, time_col), reps, block).mapInPandas(
+                for reps_, ys in _simulated(row, k, spec, seed) if k > 1 else ():
+                    f = f_draws(ys)[:, cause, effect]
+                    n = len(cause)
+                    yield pd.DataFrame({"series_id": row["series_id"], "rep": np.repeat(reps_, n).astype(np.int32),
+                                        "cause": np.tile(names[cause], len(reps_)), "effect": np.tile(names[effect], len(reps_)),
+                                        "f_boot": f.ravel()})
+
+    draws = _replicate(model, panel, reps, block, time_col).mapInPandas(
         fn, "series_id string, rep int, cause string, effect string, f_boot double")
     base = granger_matrix(model, 0.05)
     exceed = (draws.join(base.select("series_id", "cause", "effect", "f_stat"), ["series_id", "cause", "effect"])

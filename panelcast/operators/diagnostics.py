@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.fdist import f_upper_tail
 from panelcast.functions.scalar import linearity_class, log_column_name, stationarity_class, vif_class
-from panelcast.operators.lags import gram_by_key, lag_embed, positional_index, unpack_triu
+from panelcast.operators import kernels as K
+from panelcast.operators.lags import LAG_BLOCK, lag_embed, positional_index
+from panelcast.operators.rfactor import factor, r_factors, unpack
 from panelcast.operators.scan import prefix_sum
 
 __all__ = ["to_long_series", "kpss", "adf", "reset_linearity", "vif", "stationarity", "diagnostics_report",
@@ -79,74 +81,64 @@ def _kpss_p(stat):
     return p.otherwise(F.lit(KPSS_PVAL[-1]))
 
 
-def _kpss_long_lag_fn(schema_cols):
-    """Exact KPSS for the few series whose automatic lag is long: numpy over that series only."""
+def _lag_products(base: DataFrame, lags: DataFrame, weight: bool) -> DataFrame:
+    """(_skey, products): sums over t of e_t e_{t-j} for j = 1..L of each key (``lags``: _skey, L).
+
+    Positions are cut into blocks; a block also gets the last L values of the block before, so each
+    (key, block) sums its own part and one long series spreads over many tasks, whatever its L. With
+    ``weight`` the products are added up with Bartlett weights 1 - j / (L + 1) to a single number.
+    """
+    width = F.greatest(F.lit(LAG_BLOCK), F.col("L") + 1)
+    block = F.floor(F.col("pos") / width)
+    both = F.when(F.pmod(F.col("pos"), width) >= width - F.col("L"), F.array(block, block + 1)).otherwise(F.array(block))
+    rows = base.select("_skey", "pos", "e").join(lags, "_skey").withColumn("_blk", F.explode(both)).withColumn("_own", F.col("_blk") == block)
+
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        e = pdf["value"].to_numpy(float)
-        e = e - e.mean()
-        n = len(e)
-        lags = int(pdf["kpss_lags"].iloc[0])
-        s_hat = e @ e + sum(2.0 * (e[i:] @ e[:n - i]) * (1.0 - i / (lags + 1.0)) for i in range(1, lags + 1))
-        stat = float((np.cumsum(e) ** 2).sum() / n ** 2 / (s_hat / n))
-        return pd.DataFrame([(pdf["series_id"].iloc[0], pdf["variable"].iloc[0], stat, lags)], columns=schema_cols)
-    return fn
-
-
-def kpss(long: DataFrame, nlags: int | str = "auto", max_window_lags: int = 64, base: DataFrame | None = None) -> DataFrame:
+        pdf = pdf.sort_values("pos")
+        e, own, size = pdf["e"].to_numpy(float), pdf["_own"].to_numpy(), int(pdf["L"].iloc[0])
+        first = int(np.argmax(own)) if own.any() else len(e)
+        part = [float(e[max(first, j):] @ e[max(first, j) - j: len(e) - j]) if len(e) > max(first, j) else 0.0 for j in range(1, size + 1)]
+        if weight:
+            part = [float(sum(g * (1.0 - j / (size + 1.0)) for j, g in enumerate(part, 1)))]
+        return pd.DataFrame({"_skey": [pdf["_skey"].iloc[0]], "part": [part]})
+
+    parts = rows.groupBy("_skey", "_blk").applyInPandas(fn, "_skey string, part array<double>")
+    cells = parts.select("_skey", F.posexplode("part").alias("j", "v")).groupBy("_skey", "j").agg(F.sum("v").alias("v"))
+    whole = cells.groupBy("_skey").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("c"))
+    return whole.select("_skey", F.expr("transform(c, x -> x.v)").alias("products"))
+
+
+def kpss(long: DataFrame, nlags: int | str = "auto", base: DataFrame | None = None) -> DataFrame:
     """(series_id, variable, kpss_stat, kpss_p, kpss_lags, kpss_stationary = p >= 0.05).
 
     Level KPSS with Bartlett long-run variance; 'auto' picks the lag from the first n^(2/9)
-    autocovariances (Hobijn et al.). Autocovariances are lag-window sums per key; keys whose
-    chosen lag exceeds ``max_window_lags`` are computed exactly one series per task instead of
-    widening every key's window.
+    autocovariances (Hobijn et al.). A constant series has no statistic (NULL, not stationary).
     """
     from panelcast.session import cut_lineage
     base = base if base is not None else cut_lineage(_positioned(long))
+    n = F.col("n").cast("double")
     feats = prefix_sum(base, ["_skey"], "pos", "e", "s")
-    max_n = base.agg(F.max("n")).first()[0] or 0
+    sums = cut_lineage(feats.groupBy(*KEYS, "_skey").agg(
+        F.first("n").alias("n"), F.sum(F.col("e") * F.col("e")).alias("g0"), F.sum(F.col("s") * F.col("s")).alias("ss")))
     if nlags == "auto":
-        covl = int(math.pow(max_n, 2.0 / 9.0))
-        lagged = _lagged(feats, "e", covl)
-        s1 = lagged.groupBy(*KEYS).agg(F.first("n").alias("n"), F.sum(F.col("e") * F.col("e")).alias("g0"),
-                                         *[F.sum(F.col("e") * F.col(f"e__lag{j}")).alias(f"g{j}") for j in range(1, covl + 1)])
-        n = F.col("n").cast("double")
-        cl = F.floor(F.pow(n, F.lit(2.0 / 9.0)))
-        s0 = F.col("g0") / n
-        s1e = F.lit(0.0)
-        for j in range(1, covl + 1):
-            gj = F.when(F.lit(j) <= cl, F.col(f"g{j}") / (n / 2.0)).otherwise(F.lit(0.0))
-            s0 = s0 + gj
-            s1e = s1e + F.lit(float(j)) * gj
-        lag_expr = F.floor(F.lit(KPSS_AUTOLAG_C) * F.pow(F.pow(s1e / s0, 2), F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0)))
-        lags_df = s1.select(*KEYS, F.least(lag_expr, n - 1).cast("int").alias("kpss_lags"))
+        short = sums.select("_skey", F.floor(F.pow(n, F.lit(2.0 / 9.0))).cast("int").alias("L"))
+        chosen = sums.join(_lag_products(base, short, weight=False), "_skey")
+        gammas = F.transform("products", lambda g, j: F.struct((g / (n / 2.0)).alias("g"), (j + 1).cast("double").alias("j")))
+        s0 = F.col("g0") / n + F.aggregate(gammas, F.lit(0.0), lambda a, x: a + x["g"])
+        s1 = F.aggregate(gammas, F.lit(0.0), lambda a, x: a + x["j"] * x["g"])
+        lag = F.floor(F.lit(KPSS_AUTOLAG_C) * F.pow(F.pow(F.try_divide(s1, s0), 2), F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0)))
+        chosen = chosen.select("_skey", F.coalesce(F.least(lag, n - 1), F.lit(0)).cast("int").alias("L"))
     else:
-        lags_df = long.select(*KEYS).distinct().withColumn("kpss_lags", F.lit(int(nlags)))
-    probe = lags_df.agg(F.max(F.when(F.col("kpss_lags") <= max_window_lags, F.col("kpss_lags"))).alias("m"),
-                        F.count_if(F.col("kpss_lags") > max_window_lags).alias("n_long")).first()
-    max_l, n_long = int(probe["m"] or 0), int(probe["n_long"] or 0)
-    short = lags_df.filter(F.col("kpss_lags") <= max_window_lags)
-    lagged = _lagged(feats.join(short.select(*KEYS), KEYS, "left_semi"), "e", max_l)
-    sums = lagged.groupBy(*KEYS).agg(
-        F.first("n").alias("n"), F.sum(F.col("e") * F.col("e")).alias("g0"), F.sum(F.col("s") * F.col("s")).alias("ss"),
-        *[F.coalesce(F.sum(F.col("e") * F.col(f"e__lag{j}")), F.lit(0.0)).alias(f"g{j}") for j in range(1, max_l + 1)])
-    sums = sums.join(short, KEYS)
-    n = F.col("n").cast("double")
-    lrv = F.col("g0")
-    for j in range(1, max_l + 1):
-        lrv = lrv + F.when(F.lit(j) <= F.col("kpss_lags"),
-                           2.0 * F.col(f"g{j}") * (1.0 - F.lit(float(j)) / (F.col("kpss_lags") + 1.0))).otherwise(F.lit(0.0))
-    stats = sums.select(*KEYS, "n", ((F.col("ss") / (n * n)) / (lrv / n)).alias("stat"), "kpss_lags")
-    long_lag = lags_df.filter(F.col("kpss_lags") > max_window_lags)
-    if n_long:
-        cols = ["series_id", "variable", "stat", "kpss_lags"]
-        exact = (long.join(long_lag, KEYS).groupBy(*KEYS)
-                 .applyInPandas(_kpss_long_lag_fn(cols), "series_id string, variable string, stat double, kpss_lags int"))
-        counts = long.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-        stats = stats.unionByName(exact.join(counts, KEYS).select(*KEYS, "n", "stat", "kpss_lags"))
+        chosen = sums.select("_skey", F.least(F.lit(int(nlags)), F.col("n") - 1).cast("int").alias("L"))
+    chosen = cut_lineage(chosen)
+    weighted = _lag_products(base, chosen.filter("L > 0"), weight=True).select("_skey", F.col("products")[0].alias("w"))
+    stats = sums.join(chosen, "_skey").join(weighted, "_skey", "left")
+    long_run = F.col("g0") + 2.0 * F.coalesce("w", F.lit(0.0))
+    stat = F.when(F.col("g0") > 0, F.try_divide(F.col("ss") / n, long_run))
+    stats = stats.select(*KEYS, "n", stat.alias("stat"), F.col("L").alias("kpss_lags"))
     stat = F.col("stat")
     p = _kpss_p(stat)
-    ok = F.col("n") >= MIN_OBS
+    ok = (F.col("n") >= MIN_OBS) & stat.isNotNull()
     return stats.select(*KEYS, F.when(ok, stat).alias("kpss_stat"), F.when(ok, p).alias("kpss_p"), "kpss_lags",
                         F.coalesce(ok & (p >= 0.05), F.lit(False)).alias("kpss_stationary"))
 
@@ -171,12 +163,37 @@ def mackinnon_p(tau: float) -> float:
     return _norm_cdf(sum(c * tau ** i for i, c in enumerate(coef)))
 
 
-def _ols_from_gram(g: np.ndarray, cols: list[int], ycol: int):
-    xtx = g[np.ix_(cols, cols)]
-    xty = g[cols, ycol]
-    b = np.linalg.lstsq(xtx, xty, rcond=None)[0]
-    ssr = g[ycol, ycol] - 2 * b @ xty + b @ xtx @ b
-    return b, max(ssr, 0.0), xtx
+def _adf_from_factor(r: np.ndarray, head: dict[int, np.ndarray], n: int, max_lag: int, auto: bool) -> tuple[float, int]:
+    """(tau, lag) from the factor of the rows past the common start and the few rows before it.
+
+    Columns are [1, y_{t-1}, dy_{t-1}, ..., dy_{t-L}, dy_t]; the models are nested in this order, so the
+    sums of squares of all lags are tails of the last column of one factor.
+    """
+    own = [*range(2 + max_lag), r.shape[1] - 1]
+
+    def sample(lag: int) -> np.ndarray:  # rows at positions lag + 1 and later
+        early = [head[t] for t in sorted(head) if t >= lag + 1]
+        return factor(np.vstack([r, *early])[:, own])
+
+    lag = max_lag
+    if auto:
+        y, nobs = sample(max_lag)[:, -1], n - 1 - max_lag
+        tails = np.cumsum((y * y)[::-1])[::-1]
+        ssr = np.array([tails[2 + j] if 2 + j < len(y) else 0.0 for j in range(max_lag + 1)])
+        with np.errstate(divide="ignore"):
+            aic = nobs * (np.log(2 * np.pi) + np.log(ssr / nobs) + 1) + 2 * (2 + np.arange(max_lag + 1))
+        lag = int(np.argmin(aic))
+    keep = [*range(2 + lag), len(own) - 1]
+    f = factor(sample(lag)[:, keep])
+    m = 2 + lag
+    dof = n - 1 - lag - m
+    x, norm = K.scaled(f[:m, :m])
+    sv = np.linalg.svd(x, compute_uv=False)
+    if dof <= 0 or not sv[-1] > K.RANK_TOL * sv[0] > 0:
+        return float("nan"), lag
+    inverse = np.linalg.inv(x) / norm[:, None]
+    se = math.sqrt(f[m, m] ** 2 / dof * float(inverse[1] @ inverse[1]))
+    return (float(inverse[1] @ f[:m, m] / se) if se > 0 else float("nan")), lag
 
 
 def adf(long: DataFrame, base: DataFrame | None = None, maxlag: int | None = None, autolag: str | None = "AIC") -> DataFrame:
@@ -184,72 +201,46 @@ def adf(long: DataFrame, base: DataFrame | None = None, maxlag: int | None = Non
     then refit with the chosen lag on its own sample; p from the MacKinnon surface. With
     ``autolag=None`` the given ``maxlag`` is used as the lag.
 
-    Gram layout per key: columns [const, y_{t-1}, dy_{t-1..t-L}, dy_t]. Rows with t > L+1 are
-    summed in one partial Gram; the first L+1 rows are kept as separately tagged Grams so every
-    lag's own sample is a sum of pieces, without a second data pass.
+    Lags are embedded up to the longest range of the panel (12 (n / 100)^(1/4), 38 for ten thousand values).
+    Per key one triangular factor holds all rows past the common start; the rows before it, as many as
+    lags, are kept as they are, so every lag's own sample is at hand without a second pass. Keys with
+    fewer than MIN_OBS values or without a statistic (constant series) have NULL results.
     """
     from panelcast.session import cut_lineage
     base = base if base is not None else cut_lineage(_positioned(long))
-    max_n = base.agg(F.max("n")).first()[0] or 0
-    big_l = max(_adf_maxlag(int(max_n)), 0) if maxlag is None else int(maxlag)
-    f1 = _lagged(base.select(*KEYS, "_skey", "pos", "n", "value"), "value", 1)
-    f1 = f1.select(*KEYS, "_skey", "pos", "n", F.col("value__lag1").alias("ylag"),
-                   (F.col("value") - F.col("value__lag1")).alias("dy"))
-    f2 = _lagged(f1, "dy", big_l)
-    f2 = f2.filter(F.col("pos") >= 1).withColumn("tag", F.when(F.col("pos") <= big_l + 1, F.col("pos")).otherwise(F.lit(-1)))
-    f2 = f2.withColumn("one", F.lit(1.0))
+    if maxlag is None:
+        n = F.col("n").cast("double")
+        own_range = F.least(F.floor(n / 2) - 2, F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25)))).cast("int")
+    else:
+        own_range = F.lit(int(maxlag))
+    keyed = base.withColumn("L", own_range)
+    every = keyed.groupBy(*KEYS).agg(F.first("n").alias("n"), F.first("L").alias("L"))
+    tested = keyed.filter((F.col("n") >= MIN_OBS) & (F.col("L") >= 0))
+    big_l = int(tested.agg(F.max("L")).first()[0] or 0)
+    f1 = _lagged(tested.select(*KEYS, "_skey", "pos", "n", "L", "value"), "value", 1)
+    f1 = f1.select(*KEYS, "_skey", "pos", "n", "L", F.col("value__lag1").alias("ylag"), (F.col("value") - F.col("value__lag1")).alias("dy"))
+    rows = _lagged(f1, "dy", big_l).filter(F.col("pos") >= 1).fillna(0.0)
     cols = ["one", "ylag", *[f"dy__lag{j}" for j in range(1, big_l + 1)], "dy"]
-    grams = gram_by_key(f2.fillna(0.0, subset=cols), [*KEYS, "tag"], cols)
-    counts = long.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    per_key = (grams.groupBy(*KEYS).agg(F.collect_list(F.struct("tag", "n_rows", "g")).alias("parts"))
-               .join(counts, KEYS))
+    rows = cut_lineage(rows.withColumn("one", F.lit(1.0)).select(*KEYS, "pos", "n", "L", *cols))
     d = len(cols)
-    ycol = d - 1
+    late = rows.filter(F.col("pos") > F.col("L") + 1)
+    late = r_factors(late, KEYS, d, lambda part: part[cols].to_numpy(float), lambda part: [float(len(part))])
+    early = rows.filter(F.col("pos") <= F.col("L") + 1).groupBy(*KEYS).agg(
+        F.collect_list(F.struct("pos", F.array(*cols).alias("z"))).alias("head"))  # L + 1 rows a key, at most
+    per_key = every.join(late.select(*KEYS, "r"), KEYS, "left").join(early, KEYS, "left")
 
     def fn(batches):
         for pdf in batches:
-            rows = []
-            for sid, col, parts, n in zip(pdf["series_id"], pdf["variable"], pdf["parts"], pdf["n"]):
-                n = int(n)
-                max_lag = _adf_maxlag(n) if maxlag is None else int(maxlag)
-                if n < MIN_OBS or max_lag < 0:
-                    rows.append((sid, col, float("nan"), float("nan"), None, False))
-                    continue
-                pieces = {int(pt["tag"]): unpack_triu(np.asarray(pt["g"], float), d) for pt in parts}
-                zero = np.zeros((d, d))
-
-                def sample(lag):  # Gram over rows pos >= lag + 1
-                    g = pieces.get(-1, zero).copy()
-                    for tag, gm in pieces.items():
-                        if tag >= lag + 1:
-                            g += gm
-                    return g
-
-                g_common = sample(max_lag)
-                nobs = n - 1 - max_lag
-                best = None if autolag else (0.0, max_lag)
-                for lag in range(0, max_lag + 1) if autolag else ():
-                    idx = [0, 1] + [2 + j for j in range(lag)]
-                    _, ssr, _ = _ols_from_gram(g_common, idx, ycol)
-                    k = len(idx)
-                    llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1) if ssr > 0 else float("inf")
-                    aic = -2 * llf + 2 * k
-                    if best is None or aic < best[0]:
-                        best = (aic, lag)
-                lag = best[1]
-                g = sample(lag)
-                idx = [0, 1] + [2 + j for j in range(lag)]
-                b, ssr, xtx = _ols_from_gram(g, idx, ycol)
-                nobs_b = n - 1 - lag
-                dof = nobs_b - len(idx)
-                try:
-                    se = math.sqrt(ssr / dof * np.linalg.inv(xtx)[1, 1])
-                    tau = b[1] / se
-                except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
-                    tau = float("nan")
-                pv = mackinnon_p(tau)
-                rows.append((sid, col, float(tau), pv, lag, bool(pv < 0.05) if np.isfinite(pv) else False))
-            yield pd.DataFrame(rows, columns=["series_id", "variable", "adf_stat", "adf_p", "adf_lags", "adf_stationary"])
+            out = []
+            for sid, col, n, max_lag, packed, head in zip(*(pdf[c] for c in ("series_id", "variable", "n", "L", "r", "head"))):
+                tau, lag = float("nan"), None
+                if head is not None:
+                    r = np.zeros((d, d)) if packed is None else unpack(packed, d)
+                    tau, lag = _adf_from_factor(r, {int(h["pos"]): np.asarray(h["z"], float) for h in head}, int(n), int(max_lag), bool(autolag))
+                p = mackinnon_p(tau)
+                ok = bool(np.isfinite(tau))
+                out.append((sid, col, tau if ok else None, p if ok else None, lag, ok and p < 0.05))
+            yield pd.DataFrame(out, columns=["series_id", "variable", "adf_stat", "adf_p", "adf_lags", "adf_stationary"])
 
     return per_key.mapInPandas(fn, "series_id string, variable string, adf_stat double, adf_p double, adf_lags int, "
                                    "adf_stationary boolean")
@@ -285,36 +276,29 @@ def reset_linearity(long: DataFrame, base: DataFrame | None = None) -> DataFrame
 
 # ---------------------------------------------------------------- VIF ---------------------------
 def vif(wide: DataFrame, columns: Sequence[str], series_col: str = "series_id") -> DataFrame:
-    """Uncentred VIF per column (no constant added): VIF_i = G_ii / SSR_i with SSR_i the residual
-    sum of squares of column i on the others, from one Gram per series over complete rows."""
+    """Uncentred VIF per column (no constant added): |x_i|^2 / SSR_i with SSR_i the residual sum of
+    squares of column i on the others, from one triangular factor per series over complete rows."""
     columns = list(columns)
-    complete = wide.dropna(subset=columns)
-    for c in columns:
-        complete = complete.filter(~F.isnan(c))
-    grams = gram_by_key(complete.withColumnRenamed(series_col, "series_id"), ["series_id"], columns)
+    complete = wide.withColumnRenamed(series_col, "series_id").select("series_id", *[F.col(c).cast("double").alias(c) for c in columns])
+    rows = complete.dropna(subset=columns)  # NaN counts as missing too
     d = len(columns)
+    factors = r_factors(rows, ["series_id"], d, lambda part: part[columns].to_numpy(float), lambda part: [float(len(part))])
 
     def fn(batches):
         for pdf in batches:
-            rows = []
-            for sid, n, g in zip(pdf["series_id"], pdf["n_rows"], pdf["g"]):
-                gm = unpack_triu(np.asarray(g, float), d)
+            out = []
+            for sid, counts, packed in zip(pdf["series_id"], pdf["counts"], pdf["r"]):
+                r = unpack(packed, d)
                 for i, c in enumerate(columns):
-                    if int(n) < VIF_MIN_ROWS:
-                        rows.append((sid, c, float("nan")))
-                        continue
-                    others = [j for j in range(d) if j != i]
-                    if not others:
-                        rows.append((sid, c, 1.0))
+                    if counts[0] < VIF_MIN_ROWS:
+                        out.append((sid, c, float("nan")))
                         continue
-                    goo = gm[np.ix_(others, others)]
-                    goi = gm[others, i]
-                    b = np.linalg.pinv(goo, hermitian=True) @ goi
-                    ssr = gm[i, i] - 2 * b @ goi + b @ goo @ b
-                    rows.append((sid, c, float(gm[i, i] / ssr) if ssr > 0 else float("inf")))
-            yield pd.DataFrame(rows, columns=["series_id", "variable", "vif"])
+                    rest = K.residual_part(np.delete(r, i, axis=1), r[:, i])
+                    ssr, whole = float(rest @ rest), float(r[:, i] @ r[:, i])
+                    out.append((sid, c, whole / ssr if ssr > (1e-14 * np.sqrt(d)) ** 2 * whole > 0 else float("inf")))
+            yield pd.DataFrame(out, columns=["series_id", "variable", "vif"])
 
-    return grams.mapInPandas(fn, "series_id string, variable string, vif double").withColumn("vif_class", vif_class("vif"))
+    return factors.mapInPandas(fn, "series_id string, variable string, vif double").withColumn("vif_class", vif_class("vif"))
 
 
 # ---------------------------------------------------------------- verdicts ----------------------
@@ -326,6 +310,7 @@ def stationarity(adf_df: DataFrame, kpss_df: DataFrame) -> DataFrame:
 def diagnostics_report(wide: DataFrame, columns: Sequence[str], series_col: str = "series_id",
                        time_col: str = "t") -> DataFrame:
     from panelcast.session import cut_lineage
+    wide = cut_lineage(wide.select(series_col, time_col, *columns))
     long = to_long_series(wide, columns, series_col, time_col)
     base = cut_lineage(_positioned(long))  # positions and moments shared by all tests
     st = stationarity(adf(long, base), kpss(long, base=base))

@@ -1,4 +1,4 @@
-"""Pairwise Granger-causality F tests, all ordered pairs of a series from its one Gram matrix."""
+"""Pairwise Granger-causality F tests, all ordered pairs of a series from its one triangular factor."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators import kernels as K
-from panelcast.operators.lags import unpack_triu
+from panelcast.operators.rfactor import unpack
 from panelcast.operators.var import VarModel
 
 __all__ = ["granger_matrix", "granger", "GRANGER_SCHEMA"]
@@ -28,15 +28,14 @@ def granger_matrix(model: VarModel, alpha: float = 0.05) -> DataFrame:
     def fn(batches):
         for pdf in batches:
             rows = []
-            for sid, g, coef, solver, n_reg in zip(pdf["series_id"], pdf["g"], pdf["coef"], pdf["solver"], pdf["n_reg"]):
-                gm = unpack_triu(np.asarray(g, float), d)
-                res = K.granger_all_pairs(gm, np.asarray(coef, float), solver, k, p, n_det, int(n_reg))
+            for sid, packed, coef, n_reg in zip(pdf["series_id"], pdf["r"], pdf["coef"], pdf["n_reg"]):
+                res = K.granger_all_pairs(unpack(packed, d), np.asarray(coef, float), k, p, n_det, int(n_reg))
                 for cause, effect, f, pv, status in res:
                     rows.append((sid, variables[cause], variables[effect], f, pv, p, p, int(n_reg) - m,
                                  bool(pv < alpha) if status == "ok" else False, status))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in GRANGER_SCHEMA.split(", ")])
 
-    return (model.fits.filter(F.col("status") == "ok").select("series_id", "g", "coef", "solver", "n_reg")
+    return (model.fits.filter(F.col("status") == "ok").select("series_id", "r", "coef", "n_reg")
             .mapInPandas(fn, GRANGER_SCHEMA))
 
 

@@ -1,19 +1,15 @@
-"""Lag embedding, deterministic terms and per-series cross-product (Gram) matrices."""
+"""Lag embedding, deterministic terms and positions within a series."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from panelcast.spec import VarSpec
 
-__all__ = ["lag_name", "lag_embed", "positional_index", "design_columns", "gram_by_series", "gram_by_key",
-           "unpack_triu"]
+__all__ = ["lag_name", "lag_embed", "positional_index", "design_columns"]
 
 LAG_BLOCK = 8192
 
@@ -73,8 +69,7 @@ def lag_embed(panel: DataFrame, variables: Sequence[str], lags: int, series_col:
     long series spreads over many tasks at a cost of lags/block extra rows. Rows t < lags
     have no full lag vector; they are dropped unless ``keep_presample``.
     """
-    if lags >= block:
-        raise ValueError("lags must be smaller than the lag block")
+    block = max(block, lags + 1)
     t = F.col(time_col)
     cols = [series_col, time_col, *variables]
     blk = F.floor(t / block)
@@ -101,123 +96,3 @@ def design_columns(spec: VarSpec, variables: Sequence[str], time_col: str = "t")
     for j in range(1, spec.lags + 1):
         out.extend(F.col(lag_name(v, j)) for v in variables)
     return out
-
-
-def unpack_triu(vec: np.ndarray, d: int) -> np.ndarray:
-    g = np.zeros((d, d))
-    iu = np.triu_indices(d)
-    g[iu] = vec
-    g[(iu[1], iu[0])] = vec
-    return g
-
-
-def _partial_gram_fn(x_cols: list[str], y_cols: list[str], has_const: bool, has_trend: bool,
-                     time_col: str, min_t: int, series_col: str, flush_at: int = 20000):
-    d = int(has_const) + int(has_trend) + len(x_cols) + len(y_cols)
-    iu = np.triu_indices(d)
-
-    def build(pdf: pd.DataFrame) -> np.ndarray:
-        parts = []
-        n = len(pdf)
-        if has_const:
-            parts.append(np.ones((n, 1)))
-        if has_trend:
-            parts.append(pdf[time_col].to_numpy(float).reshape(-1, 1) + 1.0)
-        parts.append(pdf[x_cols + y_cols].to_numpy(float, na_value=np.nan))
-        return np.hstack(parts)
-
-    def fn(batches):
-        acc: dict[str, list] = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            for sid, cnt in pdf[series_col].value_counts(sort=False).items():
-                acc.setdefault(sid, [0, np.zeros((d, d)), 0])[2] += int(cnt)
-            rows_all = pdf[pdf[time_col] >= min_t]
-            for sid, rows in rows_all.groupby(series_col, sort=False):
-                z = build(rows)
-                slot = acc[sid]
-                slot[0] += len(rows)
-                slot[1] += z.T @ z
-            if len(acc) >= flush_at:
-                yield _emit(acc)
-                acc = {}
-        if acc:
-            yield _emit(acc)
-
-    def _emit(acc):
-        sids = list(acc)
-        return pd.DataFrame({series_col: sids, "n_rows": [acc[s][0] for s in sids],
-                             "n_all": [acc[s][2] for s in sids],
-                             "g": [acc[s][1][iu] for s in sids]})
-
-    return fn, d
-
-
-def gram_by_series(lagged: DataFrame, spec: VarSpec, variables: Sequence[str], series_col: str = "series_id",
-                   time_col: str = "t") -> tuple[DataFrame, int]:
-    """Z'Z per series for Z = [deterministic terms, lag blocks, y], upper triangle.
-
-    Map side: each Arrow batch folds into one partial matrix per series (numpy matmul); the
-    partials are then summed cell by cell in a keyed aggregation, so no task ever holds more
-    than one partition's rows and the shuffle carries matrices, not observations. Series with
-    no regression row still appear (n_rows = 0); ``n_obs`` counts every row of the series.
-    """
-    x_cols = [lag_name(v, j) for j in range(1, spec.lags + 1) for v in variables]
-    fn, d = _partial_gram_fn(x_cols, list(variables), spec.has_const, spec.has_trend, time_col, spec.lags, series_col)
-    schema = StructType([StructField(series_col, StringType()), StructField("n_rows", LongType()),
-                         StructField("n_all", LongType()), StructField("g", ArrayType(DoubleType()))])
-    partial = lagged.select(series_col, time_col, *variables, *x_cols).mapInPandas(fn, schema)
-    cells = partial.select(series_col, F.posexplode(F.concat(F.array(F.col("n_rows").cast("double"), F.col("n_all").cast("double")), "g")).alias("pos", "v"))
-    summed = cells.groupBy(series_col, "pos").agg(F.sum("v").alias("v"))
-    gram = summed.groupBy(series_col).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("_cells"))
-    gram = gram.select(series_col, F.col("_cells")[0]["v"].cast("bigint").alias("n_rows"),
-                       F.col("_cells")[1]["v"].cast("bigint").alias("n_obs"),
-                       F.expr("transform(slice(_cells, 3, size(_cells) - 2), c -> c.v)").alias("g"))
-    return gram, d
-
-
-def gram_by_key(df: DataFrame, key_cols: Sequence[str], cols: Sequence[str], flush_at: int = 20000) -> DataFrame:
-    """Z'Z (upper triangle) and row count per key for numeric columns ``cols`` (JVM-built).
-
-    Same plan as the VAR Gram: one partial matrix per (partition, key) in numpy, then a
-    cell-wise distributed sum; the result has one row of len(cols)^2/2 numbers per key.
-    """
-    key_cols, cols = list(key_cols), list(cols)
-    d = len(cols)
-    iu = np.triu_indices(d)
-
-    def fn(batches):
-        acc: dict = {}
-
-        def emit():
-            ks = list(acc)
-            data = {c: [k[i] for k in ks] for i, c in enumerate(key_cols)}
-            data["n_rows"] = [acc[k][0] for k in ks]
-            data["g"] = [acc[k][1][iu] for k in ks]
-            return pd.DataFrame(data)
-
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            for key, grp in pdf.groupby(key_cols, sort=False, dropna=False):
-                key = key if isinstance(key, tuple) else (key,)
-                z = grp[cols].to_numpy(float, na_value=np.nan)
-                slot = acc.setdefault(key, [0, np.zeros((d, d))])
-                slot[0] += len(z)
-                slot[1] += z.T @ z
-            if len(acc) >= flush_at:
-                yield emit()
-                acc = {}
-        if acc:
-            yield emit()
-
-    key_fields = [df.schema[c] for c in key_cols]
-    schema = StructType([StructField(f.name, f.dataType) for f in key_fields]
-                        + [StructField("n_rows", LongType()), StructField("g", ArrayType(DoubleType()))])
-    partial = df.select(*key_cols, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(fn, schema)
-    cells = partial.select(*key_cols, F.posexplode(F.concat(F.array(F.col("n_rows").cast("double")), "g")).alias("pos", "v"))
-    summed = cells.groupBy(*key_cols, "pos").agg(F.sum("v").alias("v"))
-    gram = summed.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("_cells"))
-    return gram.select(*key_cols, F.col("_cells")[0]["v"].cast("bigint").alias("n_rows"),
-                       F.expr("transform(slice(_cells, 2, size(_cells) - 1), c -> c.v)").alias("g"))

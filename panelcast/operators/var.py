@@ -13,7 +13,8 @@ from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, Str
                                StructType)
 
 from panelcast.operators import kernels as K
-from panelcast.operators.lags import gram_by_series, lag_embed, lag_name, unpack_triu
+from panelcast.operators.lags import lag_embed, lag_name
+from panelcast.operators.rfactor import r_factors, unpack
 from panelcast.session import cut_lineage
 from panelcast.spec import VarSpec
 
@@ -29,10 +30,35 @@ FIT_SCHEMA = StructType([
     StructField("solver", StringType()),
     StructField("coef", ArrayType(DoubleType())),
     StructField("sigma", ArrayType(DoubleType())),
-    StructField("g", ArrayType(DoubleType())),
+    StructField("r", ArrayType(DoubleType())),
 ])
 
 
+def _design_rows(variables: list[str], spec: VarSpec, time_col: str):
+    """Rows of [X | Y] for t >= p, and the sums that tell whether t runs 0, 1, ... n - 1."""
+    names = [lag_name(v, j) for j in range(1, spec.lags + 1) for v in variables] + variables
+
+    def rows(part: pd.DataFrame) -> np.ndarray:
+        part = part[part[time_col] >= spec.lags]
+        cols = []
+        if spec.has_const:
+            cols.append(np.ones((len(part), 1)))
+        if spec.has_trend:
+            cols.append(part[time_col].to_numpy(float).reshape(-1, 1) + 1.0)
+        return np.hstack([*cols, part[names].to_numpy(float, na_value=np.nan)])
+
+    def counts(part: pd.DataFrame) -> list[float]:
+        t = part[time_col].to_numpy(float, na_value=np.nan)
+        return [float((t >= spec.lags).sum()), float(len(t)), float(t.sum()), float((t * t).sum())]
+
+    return rows, counts
+
+
+def _index_is_whole(n: float, s1: float, s2: float) -> bool:
+    """Sums of t and t^2 as those of 0..n-1."""
+    return s1 == n * (n - 1) / 2 and bool(np.isclose(s2, (n - 1) * n * (2 * n - 1) / 6, rtol=1e-12))
+
+
 def _solve_fn(k: int, spec: VarSpec, d: int):
     p, n_det = spec.lags, spec.n_det
     m = n_det + p * k
@@ -40,84 +66,26 @@ def _solve_fn(k: int, spec: VarSpec, d: int):
     def fn(batches):
         for pdf in batches:
             rows = []
-            for sid, n_reg, n_obs, g in zip(pdf["series_id"], pdf["n_rows"], pdf["n_obs"], pdf["g"]):
-                n_reg, n_obs = int(n_reg), int(n_obs)
-                if n_obs <= p or n_reg == 0:
-                    rows.append((sid, n_obs, n_reg, m, float("nan"), "too_short", None, None, None, None))
-                    continue
-                gm = unpack_triu(np.asarray(g, float), d)
-                if not np.all(np.isfinite(gm)):
-                    rows.append((sid, n_obs, n_reg, m, float("nan"), "null_input", None, None, None, None))
+            for sid, counts, packed in zip(pdf["series_id"], pdf["counts"], pdf["r"]):
+                n_reg, n_obs, s1, s2 = counts
+                own = (sid, int(n_obs), int(n_reg), m)
+                r = unpack(packed, d)
+                status = ("bad_index" if not _index_is_whole(n_obs, s1, s2) else "too_short" if n_obs <= p or not n_reg
+                          else "null_input" if not np.isfinite(r).all() else "ok")
+                if status != "ok":
+                    rows.append((*own, float("nan"), status, None, None, None, None))
                     continue
-                b, sigma, solver, df = K.fit_from_gram(gm, k, p, n_det, n_reg)
-                rows.append((sid, n_obs, n_reg, m, float(df), "ok", solver, b.ravel().tolist(),
-                             sigma.ravel().tolist(), np.asarray(g, float).tolist()))
+                b, sigma, solver, df = K.fit_from_r(r, k, p, n_det, int(n_reg))
+                rows.append((*own, float(df), status, solver, b.ravel().tolist(), sigma.ravel().tolist(), np.asarray(packed, float).tolist()))
             yield pd.DataFrame(rows, columns=[f.name for f in FIT_SCHEMA.fields])
 
     return fn
 
 
-def _partial_r_fn(variables: list[str], spec: VarSpec, time_col: str):
-    """Per partition and series: R factor of Z = [X | Y] (QR, rows folded batch by batch)."""
-    x_cols = [lag_name(v, j) for j in range(1, spec.lags + 1) for v in variables]
-    d = spec.n_regressors(len(variables)) + len(variables)
-
-    def fn(batches):
-        acc: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            pdf = pdf[pdf[time_col] >= spec.lags]
-            for sid, rows in pdf.groupby("series_id", sort=False):
-                parts = []
-                if spec.has_const:
-                    parts.append(np.ones((len(rows), 1)))
-                if spec.has_trend:
-                    parts.append(rows[time_col].to_numpy(float).reshape(-1, 1) + 1.0)
-                parts.append(rows[x_cols + variables].to_numpy(float))
-                z = np.hstack(parts)
-                if sid in acc:
-                    z = np.vstack([acc[sid], z])
-                acc[sid] = np.linalg.qr(z, mode="r")
-        for sid, r in acc.items():
-            full = np.zeros((d, d))
-            full[: r.shape[0]] = r
-            yield pd.DataFrame({"series_id": [sid], "r": [full.ravel()]})
-
-    return fn
-
-
-def _tsqr_solve_fn(variables: list[str], spec: VarSpec, d: int, fits_cols: list[str]):
-    """Stack a series' partial R factors, re-factor, and solve by SVD of R_XX with the relative
-    rank cut 1e-12 (minimum-norm least squares, as on the design rows themselves)."""
-    k = len(variables)
-    m = spec.n_regressors(k)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        stacked = np.vstack([np.asarray(r, float).reshape(d, d) for r in pdf["r"]])
-        r = np.linalg.qr(stacked, mode="r")
-        full = np.zeros((d, d))
-        full[: r.shape[0]] = r
-        rxx, rxy = full[:m, :m], full[:m, m:]
-        u, sv, vt = np.linalg.svd(rxx)
-        keep = sv > K.RANK_TOL * (sv[0] if sv.size else 0.0)
-        if not keep.any():
-            b = np.zeros((m, k))
-        else:
-            b = vt[keep].T @ ((u[:, keep].T @ rxy) / sv[keep][:, None])
-        res_top = rxy - rxx @ b
-        uu = res_top.T @ res_top + full[m:, m:].T @ full[m:, m:]
-        row = pdf.iloc[0]
-        n_reg = int(row["n_reg"])
-        df = n_reg - m if n_reg - m > 0 else n_reg
-        return pd.DataFrame([(row["series_id"], int(row["n_obs"]), n_reg, m, float(df), "ok", "min_norm",
-                              b.ravel().tolist(), (uu / df).ravel().tolist(), list(row["g"]))], columns=fits_cols)
-
-    return fn
-
-
 @dataclass
 class VarModel:
     """Fitted VAR panel. ``fits`` holds one row per series: coefficients B (m x K, row-major, rows
-    ordered const, trend, lag 1 vars, lag 2 vars...), Sigma_u (K x K) and the Gram upper triangle."""
+    ordered const, trend, lag 1 vars, lag 2 vars...), Sigma_u (K x K) and the packed factor R of [X | Y]."""
 
     fits: DataFrame
     variables: list[str]
@@ -162,13 +130,18 @@ class VarModel:
                 .select("series_id", "m.row", "m.col", F.element_at("sigma", F.col("m.idx") + 1).alias("value")))
 
     def gram(self) -> DataFrame:
-        """(series_id, i, j, value) for i <= j over Z = [deterministic terms, lag blocks, y]."""
+        """(series_id, i, j, value) for i <= j: Z'Z = R'R over Z = [deterministic terms, lag blocks, y]."""
         d = self.spec.n_regressors(self.k) + self.k
-        iu = np.triu_indices(d)
-        meta = F.array(*[F.struct(F.lit(n).alias("idx"), F.lit(int(i)).alias("i"), F.lit(int(j)).alias("j"))
-                         for n, (i, j) in enumerate(zip(*iu))])
-        return (self.fits.filter(F.col("status") == "ok").select("series_id", "g", F.explode(meta).alias("m"))
-                .select("series_id", "m.i", "m.j", F.element_at("g", F.col("m.idx") + 1).alias("value")))
+        i, j = np.triu_indices(d)
+
+        def fn(batches):
+            for pdf in batches:
+                for sid, packed in zip(pdf["series_id"], pdf["r"]):
+                    r = unpack(packed, d)
+                    yield pd.DataFrame({"series_id": sid, "i": i.astype(np.int32), "j": j.astype(np.int32), "value": (r.T @ r)[i, j]})
+
+        fits = self.fits.filter(F.col("status") == "ok").select("series_id", "r")
+        return fits.mapInPandas(fn, "series_id string, i int, j int, value double")
 
     def summary(self) -> DataFrame:
         """Per series: K, p, T, regression rows, K*K*p lag parameters, C dimensions, spec."""
@@ -199,35 +172,19 @@ class VarModel:
 
 def fit_var(panel: DataFrame, variables: Sequence[str], spec: VarSpec, series_col: str = "series_id",
             time_col: str = "t", checkpoint: bool = True) -> VarModel:
-    """OLS VAR(p) per series: lag embedding -> one Gram per series (partial sums) -> small solve.
+    """OLS VAR(p) per series: lag embedding -> one triangular factor per series -> small solve.
 
-    ``panel``: (series_id, t 0..T-1, variables...). Series with too few rows or NULL/NaN input
-    get a status row instead of failing the job. Singular designs are refitted exactly by
-    minimum-norm least squares through a distributed tall-skinny QR of their design.
+    ``panel``: (series_id, t 0..T-1, variables...). Every series gets a row; status tells of those
+    with too few rows (too_short), NULL/NaN/infinite input (null_input) or a t that does not run
+    0..T-1 without holes and repeats (bad_index). Singular designs get the minimum-norm solution.
     """
     variables = list(variables)
     df = panel if series_col == "series_id" else panel.withColumnRenamed(series_col, "series_id")
     lagged = lag_embed(df, variables, spec.lags, "series_id", time_col, keep_presample=True)
-    gram, d = gram_by_series(lagged, spec, variables, "series_id", time_col)
-    fits = gram.mapInPandas(_solve_fn(len(variables), spec, d), FIT_SCHEMA)
-    if checkpoint:
-        fits = cut_lineage(fits)
-        bad = fits.filter(F.col("solver") == "min_norm").select("series_id", "n_obs", "n_reg", "g")
-        if not bad.isEmpty():
-            # exact refit of singular / ill-conditioned designs by tall-skinny QR: partial R
-            # factors per partition, combined per series (never the series' rows in one task)
-            rows = lag_embed(df.join(bad.select("series_id"), "series_id", "left_semi"), variables, spec.lags,
-                             "series_id", time_col)
-            r_parts = rows.mapInPandas(_partial_r_fn(variables, spec, time_col), "series_id string, r array<double>")
-            refit = (r_parts.join(bad, "series_id").groupBy("series_id")
-                     .applyInPandas(_tsqr_solve_fn(variables, spec, d, [f.name for f in FIT_SCHEMA.fields]), FIT_SCHEMA))
-            fits = cut_lineage(fits.join(bad.select("series_id"), "series_id", "left_anti").unionByName(refit))
-    model = VarModel(fits, variables, spec, "series_id")
-    return model
-
-
-def lag_column_names(variables: Sequence[str], lags: int) -> list[str]:
-    return [lag_name(v, j) for j in range(1, lags + 1) for v in variables]
+    d = spec.n_regressors(len(variables)) + len(variables)
+    rows, counts = _design_rows(variables, spec, time_col)
+    fits = r_factors(lagged, ["series_id"], d, rows, counts).mapInPandas(_solve_fn(len(variables), spec, d), FIT_SCHEMA)
+    return VarModel(cut_lineage(fits) if checkpoint else fits, variables, spec, "series_id")
 
 
 def model_from_params(spark, params: dict, variables: Sequence[str], spec: VarSpec, n_obs: dict | None = None) -> VarModel:

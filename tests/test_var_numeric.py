@@ -135,7 +135,7 @@ def test_positional_index_distributed(spark):
         assert [t for _, t in vals] == list(range(len(vals)))
 
 
-def test_simulate_batch_matches_single():
+def test_simulate_batch_matches_the_recursion():
     rng = np.random.default_rng(2)
     a = rng.standard_normal((3, 2, 2)) * 0.2
     c = rng.standard_normal((2, 2))
@@ -144,9 +144,13 @@ def test_simulate_batch_matches_single():
     idx = rng.integers(0, 40, size=(5, 40))
     batch = K.simulate_batch(y0, resid, idx, a, c, True, True)
     for r in range(5):
-        assert np.allclose(batch[r], K.simulate(y0, resid, idx[r], a, c, True, True), atol=1e-12)
-    g = K.gram_batch(batch, 3, True, True)
-    assert np.allclose(g[1], K.gram_of(batch[1], 3, True, True))
+        y = [row for row in y0]
+        for t in range(3, 43):
+            y.append(c[:, 0] + c[:, 1] * (t + 1) + sum(a[j] @ y[t - 1 - j] for j in range(3)) + resid[idx[r, t - 3]])
+        assert np.allclose(batch[r], np.array(y), atol=1e-12)
+    g = K.factors_batch(batch, 3, True, True, rows=7)
+    z = np.hstack(K.design(batch[1], 3, True, True))
+    assert np.allclose(g[1].T @ g[1], z.T @ z)
 
 
 def test_trend_forecast_matches_recursion(spark):
