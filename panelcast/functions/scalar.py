@@ -9,7 +9,7 @@ __all__ = [
     "lenient_double", "lenient_int", "timestamp_from_parts", "scale", "iso_year", "iso_week", "iso_year_week",
     "log1p", "round_half_even", "parse_date", "format_date", "log_column_name", "log_name_expr", "clamp", "clamp_p",
     "significant", "vif_class", "stationarity_class", "linearity_class", "quantile_expr", "nan_to_null",
-    "week_end_monday", "week_start_monday",
+    "week_end_monday", "week_start_monday", "joined_key",
 ]
 
 
@@ -17,6 +17,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def joined_key(cols, sep: str = "|") -> Column:
+    """One text key of several columns, different for different values: separator and backslash are escaped
+    within a part, NULL is written \\N. Ordinary parts read a|b."""
+    def part(c):
+        text = F.replace(_c(c).cast("string"), F.lit("\\"), F.lit("\\\\"))
+        return F.coalesce(F.replace(text, F.lit(sep), F.lit("\\" + sep)), F.lit("\\N"))
+    return F.concat_ws(sep, *[part(c) for c in cols]) if cols else F.lit("")
+
+
 def nan_to_null(c) -> Column:
     """NaN is not 'missing' for Spark aggregates; make it NULL at the boundary."""
     c = _c(c)

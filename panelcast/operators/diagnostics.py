@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.fdist import f_upper_tail
-from panelcast.functions.scalar import linearity_class, log_column_name, stationarity_class, vif_class
+from panelcast.functions.scalar import joined_key, linearity_class, log_column_name, stationarity_class, vif_class
 from panelcast.operators import kernels as K
 from panelcast.operators.lags import LAG_BLOCK, lag_embed, positional_index
 from panelcast.operators.rfactor import factor, r_factors, unpack
@@ -55,7 +55,7 @@ def _positioned(long: DataFrame) -> DataFrame:
     """(series_id, variable, _skey, pos, n, value, e): position 0..n-1 among the non-missing values
     (distributed index), count and mean by a grouped aggregate joined back, e = value - mean.
     No window spans a whole series."""
-    skey = F.concat_ws("\u0001", "series_id", "variable")
+    skey = joined_key(["series_id", "variable"])
     keyed = long.select(*KEYS, skey.alias("_skey"), "t", "value")
     stats = keyed.groupBy("_skey").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mean"))
     pos = positional_index(keyed, "_skey", ["t"], "pos")

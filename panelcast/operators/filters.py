@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import lenient_int
 from panelcast.sources.readers import require_columns
 
-__all__ = ["filter_upper_equals", "year_at_least", "drop_if_present", "drop_incomplete"]
+__all__ = ["filter_upper_equals", "year_at_least"]
 
 
 def filter_upper_equals(df: DataFrame, col: str, code: str) -> DataFrame:
@@ -20,13 +18,5 @@ def filter_upper_equals(df: DataFrame, col: str, code: str) -> DataFrame:
 
 
 def year_at_least(df: DataFrame, col: str, year: int) -> DataFrame:
-    """Numeric coercion first (bad text -> NULL -> dropped), then the lower bound; pushes into the scan."""
+    """Numeric coercion first (bad text -> NULL -> dropped), then the lower bound. A lenient cast is not pushed to the scan."""
     return df.filter(lenient_int(col) >= F.lit(int(year)))
-
-
-def drop_if_present(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.drop(*cols)
-
-
-def drop_incomplete(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    return df.dropna(how="any", subset=list(subset) if subset else None)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions.scalar import joined_key
 from panelcast.operators.lags import positional_index
 from panelcast.operators.scan import SCAN_BLOCK, neighbours
 
@@ -16,8 +17,7 @@ __all__ = ["interpolate_linear", "ffill_bfill", "zero_fill"]
 def _with_position(df: DataFrame, keys: list[str], order: list[str], position: str | None) -> tuple[DataFrame, str]:
     if position is not None:
         return df, position
-    key = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
-    tagged = df.withColumn("_skey", key)
+    tagged = df.withColumn("_skey", joined_key(keys))
     return positional_index(tagged, "_skey", order, "_pos").drop("_skey"), "_pos"
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators.joins import join_null_safe
 from panelcast.spec import VarSpec
 
 __all__ = ["lag_name", "lag_embed", "positional_index", "design_columns"]
@@ -30,33 +31,32 @@ def _as_number(c: str, dtype: str):
 
 
 def positional_index(df: DataFrame, series_col: str, order_cols: Sequence[str], time_col: str = "t",
-                     rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """0..T-1 per series in ``order_cols`` order (must be unique within a series).
-
-    Distributed like zipWithIndex but deterministic in the data: each series' order range is
-    cut into ceil(n / rows_per_bucket) equal-width buckets (one small aggregate per series),
-    rows are numbered inside their (series, bucket) window, and each bucket is offset by the
-    running count of the buckets before it. A lost executor recomputes the same buckets; no
-    task holds more than one bucket of a series. A single order column must be numeric, date
-    or timestamp; several order columns fall back to one ordered window per series.
+                     buckets: int = 256) -> DataFrame:
+    """0..T-1 per series in ``order_cols`` order (must be unique within a series; NULL comes first).
+
+    Distributed like zipWithIndex but deterministic in the data: each series is cut at approximate
+    quantiles of its first order column, so buckets hold like counts wherever the values lie; rows are
+    numbered inside their (series, bucket) window and each bucket is offset by the rows of the buckets
+    before it. The cuts are checkpointed: a lost executor recomputes the same buckets. The first order
+    column must be numeric, a date or a timestamp (text falls in one bucket).
     """
+    from panelcast.session import cut_lineage
     order_cols = list(order_cols)
-    if len(order_cols) != 1:
-        w = Window.partitionBy(series_col).orderBy(*order_cols)
-        return df.withColumn(time_col, (F.row_number().over(w) - 1).cast("bigint"))
-    oc = order_cols[0]
-    v = _as_number(oc, dict(df.dtypes)[oc])
-    stats = df.groupBy(series_col).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(F.lit(1)).alias("_cnt"))
-    nb = F.greatest(F.ceil(F.col("_cnt") / F.lit(float(rows_per_bucket))), F.lit(1))
-    stats = stats.select(series_col, "_lo", (F.col("_hi") - F.col("_lo")).alias("_span"), nb.alias("_nb"))
-    width = F.when(F.col("_span") > 0, F.col("_span") / F.col("_nb")).otherwise(F.lit(1.0))
-    bucket = F.least(F.floor((v - F.col("_lo")) / width), F.col("_nb") - 1).cast("bigint")
-    tagged = df.join(stats, series_col).withColumn("_b", bucket).drop("_lo", "_span", "_nb")
+    dtype = dict(df.dtypes)[order_cols[0]]
+    if dtype == "string" or dtype.startswith(("array", "struct", "map", "binary")):
+        tagged = df.withColumn("_b", F.lit(0))
+    else:
+        v = _as_number(order_cols[0], dtype)
+        at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        cuts = df.groupBy(series_col).agg(F.percentile_approx(v, at, 10 * buckets).alias("_cuts"))
+        cuts = cut_lineage(cuts.withColumn("_cuts", F.array_distinct("_cuts")))
+        before = F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < v).cast("int"))
+        tagged = join_null_safe(df, cuts, [series_col]).withColumn("_b", F.coalesce(before, F.lit(-1))).drop("_cuts")
     counts = tagged.groupBy(series_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(series_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(series_col, "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy(series_col, "_b").orderBy(oc))
-    out = tagged.withColumn("_loc", local).join(offsets, [series_col, "_b"])
+    local = F.row_number().over(Window.partitionBy(series_col, "_b").orderBy(*order_cols))
+    out = join_null_safe(tagged.withColumn("_loc", local), offsets, [series_col, "_b"])
     return out.withColumn(time_col, (F.col("_off") + F.col("_loc") - 1).cast("bigint")).drop("_b", "_loc", "_off")
 
 

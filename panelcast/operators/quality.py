@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 __all__ = ["null_count_ranking", "nan_summary", "completeness", "quality_buckets", "null_totals",
-           "global_stats", "top_k", "bottom_k", "keep_keys", "column_minimums"]
+           "global_stats", "top_k", "bottom_k", "keep_keys", "column_minimums", "quantiles"]
 
 
 def null_count_ranking(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
@@ -52,10 +52,6 @@ def completeness(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
         *[F.round(F.count(c) / F.count(F.lit(1)) * 100, digits).alias(f"{c}_complete_pct") for c in value_cols])
 
 
-# Fixed quality bucket bounds (score > 90, 75-90, 50-75, <= 50).
-BUCKETS = [("Excellent", 90.0, None), ("Good", 75.0, 90.0), ("Fair", 50.0, 75.0), ("Poor", None, 50.0)]
-
-
 def quality_buckets(ranking: DataFrame, score_col: str = "Data_Quality_Score") -> DataFrame:
     s = F.col(score_col)
     return ranking.agg(
@@ -90,9 +86,33 @@ def bottom_k(df: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
 
 
 def keep_keys(df: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Membership filter against a short list (left-semi; the list side is a bounded top-k)."""
-    return df.join(F.broadcast(keys_df.select(*keys)), list(keys), "left_semi")
+    """Membership filter (left-semi). The planner broadcasts a key list that it has measured to be small."""
+    return df.join(keys_df.select(*keys), list(keys), "left_semi")
 
 
 def column_minimums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*[F.min(c).alias(c) for c in cols])
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value_col: str, wanted: dict[str, float]) -> DataFrame:
+    """One column per wanted quantile (linear between order statistics, q clamped to [0, 1]) and key.
+
+    Exact without a buffer per key: the distributed index numbers a key's values in order, and the two
+    order statistics of each quantile are picked by their number.
+    NULL values are left out; a key without values has no row.
+    """
+    from panelcast.functions.scalar import joined_key
+    from panelcast.operators.lags import positional_index
+    keys = list(keys)
+    known = df.where(F.col(value_col).isNotNull()).select(*keys, F.col(value_col).alias("_v")).withColumn("_k", joined_key(keys))
+    placed = positional_index(known, "_k", ["_v"], "_p")
+    totals = known.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    rows = placed.join(totals, "_k")
+    aggs = []
+    for name, q in wanted.items():
+        at = (F.col("_n") - 1) * F.lit(min(max(float(q), 0.0), 1.0))
+        low = F.max(F.when(F.col("_p") == F.floor(at), F.col("_v")))
+        high = F.max(F.when(F.col("_p") == F.ceil(at), F.col("_v")))
+        part = F.max(at - F.floor(at))
+        aggs.append((low * (1 - part) + high * part).alias(name))
+    return rows.groupBy(*keys).agg(*aggs)

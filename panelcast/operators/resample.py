@@ -90,14 +90,14 @@ def weekly_rollup(df: DataFrame, keys: Sequence[str], ts_col: str, mean_cols: Se
 
 
 def hourly_grid(df: DataFrame, keys: Sequence[str], ts_col: str, value_cols: Sequence[str],
-                mode: str = "truncate", check_unique: bool = False, first_cols: Sequence[str] = ()) -> DataFrame:
+                mode: str = "truncate", check_unique: bool = True, first_cols: Sequence[str] = ()) -> DataFrame:
     """Complete hourly grid per key from the first to the last stamp, observations left-joined.
 
     mode='truncate' (default): stamps are truncated to the hour and duplicates averaged (``first_cols``:
     first non-null by stamp); the missing hours are generated after that aggregation (no second
     scan, no join).
     mode='exact': grid starts at the exact first stamp; readings off the grid are dropped and,
-    with ``check_unique``, duplicate stamps raise (grid = bounds aggregate + left join).
+    unless ``check_unique`` is off, duplicate stamps raise (grid = bounds aggregate + left join).
     """
     keys = list(keys)
     value_cols, first_cols = list(value_cols), list(first_cols)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions.scalar import joined_key
 from panelcast.operators.lags import positional_index
 
 __all__ = ["to_long", "split_series", "history_forecast_overlay", "granger_labels", "relative_week",
@@ -23,14 +24,12 @@ def split_series(df: DataFrame, key_cols: Sequence[str], strain_cols: Sequence[s
     """One training table per strain -> one long panel: series_id = keys|strain, target = that strain's
     value, the shared columns repeated."""
     stacked = df.unpivot([*key_cols, *shared_cols], list(strain_cols), "strain", target_name)
-    sid = F.concat_ws(sep, *[F.col(c).cast("string") for c in key_cols], F.col("strain"))
+    sid = joined_key([*key_cols, "strain"], sep)
     return stacked.select(sid.alias("series_id"), *key_cols, "strain", *shared_cols, target_name)
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, str]:
-    if not keys:
-        return df.withColumn("_rk", F.lit("")), "_rk"
-    return df.withColumn("_rk", F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])), "_rk"
+    return df.withColumn("_rk", joined_key(keys)), "_rk"
 
 
 def relative_week(df: DataFrame, keys: Sequence[str], order: str, name: str = "week_no") -> DataFrame:
@@ -76,6 +75,6 @@ def to_panel(df: DataFrame, key_cols: Sequence[str], time_col: str, variables: S
              renames: dict[str, str] | None = None, sep: str = "|") -> DataFrame:
     """(series_id = keys joined, t, variables as double)."""
     renames = renames or {}
-    sid = F.concat_ws(sep, *[F.col(c).cast("string") for c in key_cols])
+    sid = joined_key(key_cols, sep)
     return df.select(sid.alias("series_id"), F.col(time_col).cast("bigint").alias("t"),
                      *[F.col(v).cast("double").alias(renames.get(v, v)) for v in variables])

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators.joins import join_null_safe
+
 __all__ = ["SCAN_BLOCK", "prefix_sum", "neighbours"]
 
 SCAN_BLOCK = 65536
@@ -28,7 +30,7 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], pos: str, col: str, out: str,
     totals = d.groupBy(*keys, "_sb").agg(F.sum(F.coalesce(F.col(col), F.lit(0.0))).alias("_bt"))
     carry = totals.select(*keys, "_sb", F.coalesce(F.sum("_bt").over(
         Window.partitionBy(*keys).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_carry"))
-    return (d.withColumn("_loc", local).join(carry, [*keys, "_sb"])
+    return (join_null_safe(d.withColumn("_loc", local), carry, [*keys, "_sb"])
             .withColumn(out, F.col("_carry") + F.col("_loc")).drop("_sb", "_loc", "_carry"))
 
 
@@ -65,5 +67,5 @@ def neighbours(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str]
     d = d.select("*", *local)
     summ = d.groupBy(*keys, "_sb").agg(*summary)
     carried = summ.select(*keys, "_sb", *carry)
-    j = d.join(carried, [*keys, "_sb"])
+    j = join_null_safe(d, carried, [*keys, "_sb"])
     return j.select(*df.columns, *final)

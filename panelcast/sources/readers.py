@@ -51,14 +51,24 @@ def read_station_file(spark: SparkSession, path: str | Sequence[str], year_min:
                       check_nonempty: bool = False) -> DataFrame:
     """Scan '|'-separated station files as all-string columns, keep the whitelist, filter Year >= year_min.
 
-    Several paths (or a glob) are read as one bag union; the whitelist reaches the scan as a
-    pruned read schema. Values stay strings; typing is the cleaning step's job (lenient casts).
+    Several paths (or a glob) are read as one bag union. Every file's columns follow its own header: files
+    of one header are one scan, scans are united by name, and a column that a file lacks is NULL. The
+    whitelist reaches the scans as pruned read schemas. Values stay strings; typing is the cleaning
+    step's job (lenient casts).
     """
-    header = spark.read.option("header", True).option("sep", sep).csv(path)
-    keep = present_columns(header, columns)
-    schema = StructType([StructField(c, StringType(), True) for c in header.columns])
-    raw = spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
-    out = raw.select(*keep).filter(lenient_int("Year") >= F.lit(year_min))
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):  # reads the first line of each file
+        head = spark.read.option("header", True).option("sep", sep).csv(file)
+        layouts.setdefault(tuple(head.columns), []).append(file)
+    if not layouts:
+        raise ValueError(f"no station file at {path}")
+    out = None
+    for names, files in layouts.items():
+        schema = StructType([StructField(c, StringType(), True) for c in names])
+        raw = spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").csv(files)
+        raw = raw.select(*present_columns(raw, columns))
+        out = raw if out is None else out.unionByName(raw, allowMissingColumns=True)
+    out = out.select(*present_columns(out, columns)).filter(lenient_int("Year") >= F.lit(year_min))
     if check_nonempty and out.isEmpty():
         raise ValueError(f"no rows found for Year >= {year_min}")
     return out
@@ -81,15 +91,32 @@ def read_test_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_series(df: DataFrame, variables: Sequence[str], series_col: str = "series_id",
-                order_col: str | None = None, time_col: str = "t") -> DataFrame:
+                order_col: str | None = None, time_col: str = "t", check: bool = False) -> DataFrame:
     """Typed model input: every variable cast to double (strict: bad text raises under ANSI).
 
     When ``order_col`` is given the positional index 0..T-1 is assigned per series by the
-    distributed ``positional_index`` (range partitions + offsets).
+    distributed ``positional_index``. ``check`` raises on an empty input, a NULL value or, for a given
+    ``time_col``, an index that does not run 0..T-1 (one aggregation over the input).
     """
     cols = [F.col(v).cast("double").alias(v) for v in variables]
+    series = F.col(series_col).cast("string").alias(series_col)
     if order_col is None:
-        return df.select(F.col(series_col).cast("string").alias(series_col), F.col(time_col).cast("bigint").alias(time_col), *cols)
-    from panelcast.operators.lags import positional_index
-    typed = df.select(F.col(series_col).cast("string").alias(series_col), F.col(order_col), *cols)
-    return positional_index(typed, series_col, [order_col], time_col).select(series_col, time_col, *variables)
+        out = df.select(series, F.col(time_col).cast("bigint").alias(time_col), *cols)
+    else:
+        from panelcast.operators.lags import positional_index
+        typed = df.select(series, F.col(order_col), *cols)
+        out = positional_index(typed, series_col, [order_col], time_col).select(series_col, time_col, *variables)
+    if check:
+        t = F.col(time_col)
+        bad = F.count_if(F.expr(" or ".join(f"`{c}` is null" for c in [*variables, time_col])))
+        per = out.groupBy(series_col).agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi"),
+                                          F.count_distinct(t).alias("d"), bad.alias("bad"))
+        whole = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("d") == F.col("n"))
+        found = per.agg(F.count(F.lit(1)).alias("series"), F.sum("bad").alias("bad"), F.count_if(~whole).alias("holes")).first()
+        if not found["series"]:
+            raise ValueError("the input is empty")
+        if found["bad"]:
+            raise ValueError(f"{found['bad']} rows have NULL values")
+        if found["holes"]:
+            raise ValueError(f"the index of {found['holes']} series does not run 0..T-1")
+    return out

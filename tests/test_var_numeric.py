@@ -129,7 +129,7 @@ def test_positional_index_distributed(spark):
     rng = np.random.default_rng(1)
     rows = [(s, float(x)) for s, n in (("a", 500), ("b", 37), ("c", 1)) for x in rng.permutation(n * 3)[:n]]
     df = spark.createDataFrame(rows, "series_id string, ord double").repartition(5)
-    got = positional_index(df, "series_id", ["ord"], rows_per_bucket=13).collect()
+    got = positional_index(df, "series_id", ["ord"], buckets=13).collect()
     for s in ("a", "b", "c"):
         vals = sorted((r.ord, r.t) for r in got if r.series_id == s)
         assert [t for _, t in vals] == list(range(len(vals)))
