@@ -1164,7 +1164,7 @@ def q_o3(spark, sf):
 @register("T2_min_norm_fit", f"""WITH {_LV_SQL}
 SELECT series_id, e.equation, 'const' AS term, 0 AS lag, '' AS variable, e.f * a AS value FROM k1, (VALUES ('qty', 1), ('twice', 2)) e(equation, f)
 UNION ALL SELECT series_id, e.equation, 'lag', 1, v.variable, e.f * v.f * b / 5 FROM k1, (VALUES ('qty', 1), ('twice', 2)) e(equation, f),
-  (VALUES ('qty', 1), ('twice', 2)) v(variable, f)""", doubles=("value",), digits=6, sig=True)
+  (VALUES ('qty', 1), ('twice', 2)) v(variable, f)""", doubles=("value",), digits=5, sig=True)
 def q_t2(spark, sf):
     """A singular design (a variable beside its double): the minimum-norm coefficients."""
     panel = _panel(spark, sf).select("series_id", "t", "qty", (F.col("qty") * 2).alias("twice"))
