@@ -260,16 +260,18 @@ def _top_interpolated(spark, sf):
     return interp.zero_fill(filled, D.NW_MEASURES)
 
 
+def _linear_sql(c: str, key: str) -> str:
+    """A column interpolated by ``pos`` along its key, both ends with the nearest value."""
+    back = f"PARTITION BY {key} ORDER BY iso_year, iso_week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    on = f"PARTITION BY {key} ORDER BY iso_year, iso_week ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+    pv, nv = f"last_value({c} IGNORE NULLS) OVER ({back})", f"first_value({c} IGNORE NULLS) OVER ({on})"
+    pi = f"last_value(CASE WHEN {c} IS NOT NULL THEN pos END IGNORE NULLS) OVER ({back})"
+    ni = f"first_value(CASE WHEN {c} IS NOT NULL THEN pos END IGNORE NULLS) OVER ({on})"
+    return f"coalesce({c}, {pv} + ({nv} - {pv}) * (pos - {pi}) / ({ni} - {pi}), {pv}, {nv})"
+
+
 def _nw_interp_sql() -> str:
-    win_p = "PARTITION BY n_name ORDER BY iso_year, iso_week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    win_n = "PARTITION BY n_name ORDER BY iso_year, iso_week ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
-    cols = []
-    for c in D.NW_MEASURES:
-        cols.append(f"""coalesce(round_even(coalesce({c},
-            last_value({c} IGNORE NULLS) OVER ({win_p}) + (first_value({c} IGNORE NULLS) OVER ({win_n}) - last_value({c} IGNORE NULLS) OVER ({win_p}))
-              * (pos - last_value(CASE WHEN {c} IS NOT NULL THEN pos END IGNORE NULLS) OVER ({win_p}))
-              / (first_value(CASE WHEN {c} IS NOT NULL THEN pos END IGNORE NULLS) OVER ({win_n}) - last_value(CASE WHEN {c} IS NOT NULL THEN pos END IGNORE NULLS) OVER ({win_p})),
-            last_value({c} IGNORE NULLS) OVER ({win_p}), first_value({c} IGNORE NULLS) OVER ({win_n})), 0), 0.0) AS {c}""")
+    cols = [f"coalesce(round_even({_linear_sql(c, 'n_name')}, 0), 0.0) AS {c}" for c in D.NW_MEASURES]
     rest = ["n_name", "week", "t", "iso_year", "iso_week", "isoyw"]
     return f"""ntp AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY iso_year, iso_week) AS pos FROM nt),
 ni AS (SELECT {', '.join(rest)}, {', '.join(cols)} FROM ntp)"""
@@ -832,14 +834,18 @@ def q_t12(spark, sf):
 # --------------------------------------------------------------- pipelines -------------------
 from panelcast.plans import pipelines as PL  # noqa: E402
 
-_TT_SQL = f"""WITH {D.NW_SQL}, {_RANK_SQL}, {_TOP_SQL}, {_nw_interp_sql()}, {D.LW_SQL},
-lwk AS (SELECT iso_year, iso_week, avg(l_discount) AS l_discount, avg(l_tax) AS l_tax, avg(l_quantity) AS l_quantity,
-  avg(l_extendedprice) AS l_extendedprice FROM lw GROUP BY ALL),
-m AS (SELECT ni.n_name, ni.week, ni.iso_year, ni.iso_week, ln(1 + ni.INF_A) AS LOG_INF_A, ln(1 + ni.INF_B) AS LOG_INF_B,
-  lwk.l_discount, lwk.l_tax, lwk.l_quantity, lwk.l_extendedprice FROM ni JOIN lwk USING (iso_year, iso_week))
-SELECT n_name || '|LOG_INF_A' AS series_id, n_name, 'LOG_INF_A' AS strain, week, iso_year, iso_week, LOG_INF_A AS target,
+_TT_SQL = f"""WITH {D.NW_SQL}, nt AS (SELECT * FROM nw), {_nw_interp_sql()}, {D.LW_SQL},
+cfg AS (SELECT n_name, CASE n_nationkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS source, n_nationkey % 2 = 0 AS with_tax FROM nation),
+lwp AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY iso_year, iso_week) AS pos FROM lw),
+lwi AS (SELECT l_returnflag AS source, iso_year, iso_week, {', '.join(f"{_linear_sql(c, 'l_returnflag')} AS {c}" for c in PL.COVARIATES)} FROM lwp),
+lwk AS (SELECT source, iso_year, iso_week, avg(l_discount) AS l_discount, avg(l_tax) AS l_tax, avg(l_quantity) AS l_quantity,
+  avg(l_extendedprice) AS l_extendedprice FROM lwi GROUP BY ALL),
+m AS (SELECT ni.n_name, source, ni.week, iso_year, iso_week, ln(1 + ni.INF_A) AS LOG_INF_A, ln(1 + ni.INF_B) AS LOG_INF_B,
+  lwk.l_discount, CASE WHEN cfg.with_tax THEN lwk.l_tax END AS l_tax, lwk.l_quantity, lwk.l_extendedprice
+  FROM ni JOIN cfg USING (n_name) JOIN lwk USING (source, iso_year, iso_week))
+SELECT n_name || '|LOG_INF_A' AS series_id, n_name, 'LOG_INF_A' AS strain, source, week, iso_year, iso_week, LOG_INF_A AS target,
   l_discount, l_tax, l_quantity, l_extendedprice FROM m
-UNION ALL SELECT n_name || '|LOG_INF_B', n_name, 'LOG_INF_B', week, iso_year, iso_week, LOG_INF_B,
+UNION ALL SELECT n_name || '|LOG_INF_B', n_name, 'LOG_INF_B', source, week, iso_year, iso_week, LOG_INF_B,
   l_discount, l_tax, l_quantity, l_extendedprice FROM m"""
 
 
@@ -852,13 +858,13 @@ def q_t22(spark, sf):
 @register("T21_var_report")
 def q_t21(spark, sf):
     panel = PL.flag_panel(spark, sf)
-    return PL.var_report(spark, panel, PL.FLAG_VARS, lags=6)["granger"]
+    return PL.var_report(spark, panel, PL.FLAG_VARS, lags=6, out=_scratch(spark, "var_report"))["granger"]
 
 
 @register("S12_all_series_granger")
 def q_s12(spark, sf):
     panel = PL.training_panel(spark, sf)
-    model = fit_var(panel, ["target", *PL.WEATHER_VARS], VarSpec(2, Det.CONST))
+    model = fit_var(panel, ["target", *PL.SHARED_COVARIATES], VarSpec(2, Det.CONST))
     return granger_matrix(model)
 
 

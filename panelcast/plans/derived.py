@@ -50,6 +50,26 @@ def events_hourly(spark: SparkSession, sf_dir: str, mode: str = "truncate") -> D
     return hourly_grid(ev, ["event_type"], "ts", ["value"], mode=mode)
 
 
+_DAILY = {f"{flag}_{status}_{name}": (flag, status, how, col) for flag in "ANR" for status in "FO"
+          for name, how, col in (("qty", F.sum, "l_quantity"), ("disc", F.avg, "l_discount"))}
+DAILY_VARS = [*_DAILY, "price", "tax"]
+
+
+def daily_panel(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
+    """One series of the last ``days`` days of lineitem, 14 variables; days without a line of a kind are
+    interpolated."""
+    from panelcast.operators.interp import interpolate_linear
+    from panelcast.session import cut_lineage
+    li = read_test_table(spark, sf_dir, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    aggs = [how(F.when((F.col("l_returnflag") == f) & (F.col("l_linestatus") == s), F.col(c))).alias(n) for n, (f, s, how, c) in _DAILY.items()]
+    daily = li.groupBy("day").agg(*aggs, F.sum("l_extendedprice").alias("price"), F.avg("l_tax").alias("tax"))
+    last = daily.agg(F.max("day").alias("last"))
+    grid = last.select(F.posexplode(F.sequence(F.date_sub("last", days - 1), "last")).alias("t", "day"))
+    whole = grid.join(daily, "day", "left").select(F.lit("all").alias("series_id"), F.col("t").cast("bigint").alias("t"), *DAILY_VARS)
+    filled = interpolate_linear(whole, ["series_id"], ["t"], DAILY_VARS, position="t").fillna(0.0)
+    return cut_lineage(filled)
+
+
 # ------------------------------------------------------------------ SQL twins ----------------
 def week_end_sql(expr: str) -> str:
     d = f"CAST({expr} AS DATE)"

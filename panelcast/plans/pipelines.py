@@ -38,61 +38,74 @@ def flagship_forecast(spark: SparkSession, sf_dir: str, steps: int = 10, lags: i
 
 
 def var_report(spark: SparkSession, panel: DataFrame, variables: list[str], lags: int = 6, det: Det = Det.CONST,
-               steps: int = 10, horizon: int = 12, response: str | None = None) -> dict[str, DataFrame]:
-    """Fit -> forecast -> Granger matrix -> IRF of one response to every shock; all series in one job."""
+               steps: int = 10, horizon: int = 12, response: str | None = None, out: str | None = None) -> dict[str, DataFrame]:
+    """Fit -> forecast -> Granger matrix -> IRF of one response to every shock; all series in one job.
+
+    With ``out`` every table is written below that folder in its published layout and read back.
+    """
+    from panelcast.sources.readers import read_table
+    from panelcast.sources.sinks import granger_output, irf_wide, write_table
     model = fit_var(panel, variables, VarSpec(lags, det))
     resp = response or variables[0]
-    return {
+    impulses = irf(model, horizon)
+    report = {
         "model": model.summary(),
         "forecast": forecast(model, panel, steps),
         "granger": granger_matrix(model),
-        "irf": irf(model, horizon).filter(F.col("response") == resp),
+        "irf": impulses.filter(F.col("response") == resp),
     }
+    if out is None:
+        return report
+    report |= {"forecast": forecast_wide(report["forecast"], variables), "granger": granger_output(report["granger"]),
+               "irf": irf_wide(impulses, variables, resp)}
+    for name, df in report.items():
+        write_table(df, f"{out}/{name}.parquet")
+    return {name: read_table(spark, f"{out}/{name}.parquet") for name in report}
 
 
-WEATHER_VARS = ["l_discount", "l_tax", "l_quantity", "l_extendedprice"]
-
-# Fixed weather column set of a training table; visibility is optional per station.
-STATION_WEATHER_COLUMNS = ["temperature", "dew_point_temperature", "relative_humidity", "wind_speed",
-                           "sea_level_pressure", "wet_bulb_temperature", "precipitation", "precipitation_24_hour"]
+COVARIATES = ["l_discount", "l_tax", "l_quantity", "l_extendedprice"]
+SHARED_COVARIATES = ["l_discount", "l_quantity", "l_extendedprice"]  # kept in every country
 
 
-def weather_columns(include_visibility: bool = True) -> list[str]:
-    cols = list(STATION_WEATHER_COLUMNS)
-    if include_visibility:
-        cols.insert(5, "visibility")
-    return cols
+def country_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(code, source, covariates): one row per configured country. ``source`` names the covariate
+    series that the country is joined to, ``covariates`` the columns that it keeps, in order."""
+    n = D.read_test_table(spark, sf_dir, "nation")
+    source = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    listed = F.when(F.col("n_nationkey") % 2 == 0, F.array(*map(F.lit, COVARIATES))).otherwise(F.array(*map(F.lit, SHARED_COVARIATES)))
+    return n.select(F.upper("n_name").alias("code"), source.alias("source"), listed.alias("covariates"))
 
 
-def training_table(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
-    """Training panel: best-covered nations' weekly order panel (gap-filled) joined to a shared
-    weekly covariate table on (iso_year, iso_week), log1p targets, one series per nation|strain.
+def training_table(spark: SparkSession, sf_dir: str, config: DataFrame | None = None) -> DataFrame:
+    """Training panel of all configured countries: their weekly counts, gap-filled, joined to the weekly
+    means of their covariate source on (iso_year, iso_week); log1p targets, one series per country|strain.
 
-    Mirrors the case-count + weather integration: ranking -> top-k semi-join -> interpolation
-    -> weekly covariate means -> many-to-one join -> LOG targets -> strain split.
+    Rows without a usable week key are dropped, the covariates are interpolated along their own series
+    before the weekly means are taken, and a covariate that a country's configuration leaves out is NULL.
     """
-    from panelcast.operators import interp, quality, reshape
+    from panelcast.operators import interp, reshape
     from panelcast.operators.joins import join_many_to_one
-    nw = cut_lineage(D.nation_weekly(spark, sf_dir))  # feeds both the ranking and the series branch
-    ranking = quality.null_count_ranking(nw, ["n_name"], D.NW_MEASURES)
-    top = quality.top_k(ranking, top_k, ["Rank"])
-    flu = quality.keep_keys(nw, top, ["n_name"])
+    config = country_config(spark, sf_dir) if config is None else config
+    weekly = D.nation_weekly(spark, sf_dir).drop("isoyw").where(F.col("iso_year").isNotNull() & F.col("iso_week").between(1, 53))
+    flu = join_many_to_one(weekly.withColumn("code", F.upper("n_name")), config, ["code"])
+    flu = cut_lineage(flu)
     flu = interp.interpolate_linear(flu, ["n_name"], ["week"], D.NW_MEASURES, round_digits=0, position="t")
     flu = interp.ffill_bfill(flu, ["n_name"], ["week"], D.NW_MEASURES, position="t")
     flu = interp.zero_fill(flu, D.NW_MEASURES)
-    weather = (D.lineitem_weekly(spark, sf_dir).groupBy("iso_year", "iso_week")
-               .agg(*[F.avg(c).alias(c) for c in WEATHER_VARS]))
-    merged = join_many_to_one(flu, weather, ["iso_year", "iso_week"])
-    merged = merged.withColumn("LOG_INF_A", F.log1p("INF_A")).withColumn("LOG_INF_B", F.log1p("INF_B"))
+    weather = interp.interpolate_linear(D.lineitem_weekly(spark, sf_dir), ["l_returnflag"], ["week"], COVARIATES, position="t")
+    weather = weather.groupBy(F.col("l_returnflag").alias("source"), "iso_year", "iso_week").agg(*[F.avg(c).alias(c) for c in COVARIATES])
+    merged = join_many_to_one(flu, cut_lineage(weather), ["source", "iso_year", "iso_week"])
+    kept = {c: F.when(F.array_contains("covariates", c), F.col(c)) for c in COVARIATES}
+    merged = merged.withColumns(kept | {"LOG_INF_A": F.log1p("INF_A"), "LOG_INF_B": F.log1p("INF_B")})
     return reshape.split_series(merged, ["n_name"], ["LOG_INF_A", "LOG_INF_B"],
-                                ["week", "iso_year", "iso_week", *WEATHER_VARS])
+                                ["source", "week", "iso_year", "iso_week", *COVARIATES])
 
 
-def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def training_panel(spark: SparkSession, sf_dir: str, config: DataFrame | None = None) -> DataFrame:
     """Model input from the training table: positional index per series over its weeks."""
     from panelcast.sources.readers import load_series
-    tt = training_table(spark, sf_dir)
-    return cut_lineage(load_series(tt, ["target", *WEATHER_VARS], "series_id", order_col="week"))
+    tt = cut_lineage(training_table(spark, sf_dir, config))
+    return cut_lineage(load_series(tt, ["target", *SHARED_COVARIATES], "series_id", order_col="week"))
 
 
 # Fixed column groups of the station weekly roll-up.

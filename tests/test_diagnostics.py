@@ -192,3 +192,24 @@ def test_adf_fixed_lag_matches_brute_force(spark):
         tau = b[1] / math.sqrt(r @ r / (len(y) - 4) * np.linalg.inv(X.T @ X)[1, 1])
         assert got[key].adf_lags == 2
         assert got[key].adf_stat == pytest.approx(tau, rel=1e-7)
+
+
+def test_constant_and_one_value_series_have_no_verdict(spark):
+    flat = {("c", "flat"): np.full(40, 3.0), ("c", "one"): np.array([1.0])}
+    for rows in (DG.adf(_long(spark, flat)).collect(), DG.kpss(_long(spark, flat)).collect()):
+        assert {r.variable for r in rows} == {"flat", "one"}
+        assert not any(r[name] for r in rows for name in r.asDict() if name.endswith("_stationary"))
+
+
+def test_vif_does_not_depend_on_units(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 4)) + 10
+    x[:, 3] = x[:, 0] + x[:, 1] + rng.normal(size=200) * 0.01
+    names = ["a", "b", "c", "d"]
+    found = []
+    for unit in ([1, 1, 1, 1], [1, 1e-3, 1e6, 1e3]):
+        df = spark.createDataFrame([("s", *map(float, row)) for row in x * np.array(unit)], "series_id string, a double, b double, c double, d double")
+        found.append({r.variable: r.vif for r in DG.vif(df, names).collect()})
+    g = np.linalg.inv(x.T @ x)
+    for i, n in enumerate(names):
+        assert found[0][n] == pytest.approx((x[:, i] @ x[:, i]) * g[i, i], rel=1e-5) and found[1][n] == pytest.approx(found[0][n], rel=1e-6)

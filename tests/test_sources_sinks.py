@@ -9,7 +9,6 @@ from panelcast.operators.bootstrap import bootstrap_granger, bootstrap_irf
 from panelcast.operators.forecast import forecast
 from panelcast.operators.granger import granger_matrix
 from panelcast.operators.var import fit_var
-from panelcast.plans.pipelines import weather_columns
 from panelcast.sources import sinks
 from panelcast.sources.readers import read_station_file, read_table
 from panelcast.spec import Det, VarSpec
@@ -68,6 +67,33 @@ def test_case_insensitive_lookup(spark):
     assert df.select("country_code", "inf_a").first() == ("QAT", 1.0)
 
 
-def test_weather_columns():
-    assert "visibility" in weather_columns(True) and "visibility" not in weather_columns(False)
-    assert weather_columns(True).index("visibility") == 5
+def test_configuration_drives_the_training_table(spark):
+    """Only configured countries, their own source, their own columns; a repeated code raises."""
+    from panelcast.plans import pipelines as PL
+    sf = "/root/testdata/sf0.001"
+    one, two = sorted(r.n_name for r in spark.read.parquet(f"{sf}/nation.parquet").collect())[:2]
+    config = spark.createDataFrame([(one, "A", ["l_tax"]), (two, "R", ["l_discount", "l_quantity"])],
+                                   "code string, source string, covariates array<string>")
+    rows = PL.training_table(spark, sf, config).collect()
+    assert {(r.n_name, r.source) for r in rows} == {(one, "A"), (two, "R")}
+    assert all((r.l_tax is not None, r.l_discount is None) == (r.n_name == one,) * 2 for r in rows)
+    with pytest.raises(ValueError):
+        PL.training_table(spark, sf, config.union(config))
+
+
+def test_station_files_of_different_layouts(spark, tmp_path):
+    from panelcast.sources.readers import read_station_file
+    (tmp_path / "a.csv").write_text("Station_ID|Year|temperature|wind_speed\nx|2001|7|100\n")
+    (tmp_path / "b.csv").write_text("wind_speed|temperature|Station_ID|Year|visibility\n200|8|y|2002|5\n")
+    rows = {r.Station_ID: r for r in read_station_file(spark, str(tmp_path)).collect()}
+    assert (rows["x"].temperature, rows["x"].wind_speed, rows["x"].visibility) == ("7", "100", None)
+    assert (rows["y"].temperature, rows["y"].wind_speed, rows["y"].visibility) == ("8", "200", "5")
+
+
+def test_input_checks(spark):
+    from panelcast.sources.readers import load_series
+    load = lambda rows: load_series(spark.createDataFrame(rows, "series_id string, t bigint, v double"), ["v"], check=True)
+    assert load([("a", 0, 1.0), ("a", 1, 2.0)]).count() == 2
+    for rows in ([], [("a", 0, None)], [("a", 1, 1.0), ("a", 2, 1.0)], [("a", 0, 1.0), ("a", 2, 1.0)], [("a", 0, 1.0), ("a", 0, 1.0), ("a", 1, 1.0)]):
+        with pytest.raises(ValueError):
+            load(rows)

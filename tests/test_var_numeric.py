@@ -204,3 +204,39 @@ def test_min_norm_refit_combines_partitions(spark):
     assert np.allclose(np.array(f.coef).reshape(3, 2), b, atol=1e-6)
     u = yy - x @ b
     assert np.allclose(np.array(f.sigma).reshape(2, 2), u.T @ u / (len(yy) - 3), rtol=1e-6, atol=1e-9)
+
+
+def test_results_do_not_change_with_the_level(spark):
+    """y -> a + b y with levels up to 5e5 standard deviations: F, Sigma (scaled), VIF-free fits stay."""
+    y = _var_data(300, 17, 2)
+    rows = {}
+    for level in (0.0, 1e3, 3e5, 5e5):
+        panel = panel_df(spark, {"l": (y + level).tolist()}, 2)
+        model = fit_var(panel, ["var0", "var1"], VarSpec(2, Det.CONST))
+        rows[level] = ({(r.cause, r.effect): r.f_stat for r in granger_matrix(model).collect()}, np.array(model.fits.first().sigma))
+    for level, (f, sigma) in rows.items():
+        assert sigma == pytest.approx(rows[0.0][1], rel=1e-6)
+        for pair, value in f.items():
+            assert value == pytest.approx(rows[0.0][0][pair], rel=1e-6)
+
+
+def test_index_with_holes_or_repeats_gets_a_status(spark):
+    cases = {"late": range(1, 31), "hole": [*range(0, 10), *range(11, 31)], "twice": [*range(0, 29), 5], "whole": range(30)}
+    y = _var_data(40, 4, 2)
+    rows = [(s, int(t), float(y[i][0]), float(y[i][1])) for s, ts in cases.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "series_id string, t bigint, var0 double, var1 double")
+    status = {r.series_id: r.status for r in fit_var(df, ["var0", "var1"], VarSpec(1, Det.CONST)).fits.collect()}
+    assert status == {"late": "bad_index", "hole": "bad_index", "twice": "bad_index", "whole": "ok"}
+
+
+def test_null_keys_are_kept(spark):
+    from panelcast.functions.scalar import joined_key
+    from panelcast.operators.interp import interpolate_linear
+    from panelcast.operators.lags import positional_index
+    df = spark.createDataFrame([(None, 0, 1.0), (None, 1, None), (None, 2, 3.0), ("a", 0, 5.0)], "k string, t bigint, v double")
+    assert sorted(r.v for r in interpolate_linear(df, ["k"], ["t"], ["v"], position="t").collect()) == [1.0, 2.0, 3.0, 5.0]
+    late = spark.createDataFrame([("a", None), ("a", 2.0), ("a", 1.0), (None, 7.0)], "k string, o double")
+    assert sorted((r.k or "", r.t) for r in positional_index(late, "k", ["o"]).collect()) == [("", 0), ("a", 0), ("a", 1), ("a", 2)]
+    keys = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "c"), ("\\N", "c"), ("a", "b")], "x string, y string")
+    made = [r[0] for r in keys.select(joined_key(["x", "y"])).collect()]
+    assert len(set(made)) == 5 and made[-1] == "a|b"
