@@ -308,12 +308,13 @@ def stationarity(adf_df: DataFrame, kpss_df: DataFrame) -> DataFrame:
 
 
 def diagnostics_report(wide: DataFrame, columns: Sequence[str], series_col: str = "series_id",
-                       time_col: str = "t") -> DataFrame:
+                       time_col: str = "t", adf_maxlag: int | None = None) -> DataFrame:
+    """ADF, KPSS, verdict, RESET and VIF of every (series, column), in one table."""
     from panelcast.session import cut_lineage
     wide = cut_lineage(wide.select(series_col, time_col, *columns))
     long = to_long_series(wide, columns, series_col, time_col)
     base = cut_lineage(_positioned(long))  # positions and moments shared by all tests
-    st = stationarity(adf(long, base), kpss(long, base=base))
+    st = stationarity(adf(long, base, adf_maxlag), kpss(long, base=base))
     lin = reset_linearity(long, base).withColumn("linearity", linearity_class("is_linear"))
     v = vif(wide, columns, series_col)
     return st.join(lin, KEYS, "full").join(v, KEYS, "full")

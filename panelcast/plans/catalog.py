@@ -1239,3 +1239,78 @@ def q_t14_aic(spark, sf):
     """Dickey-Fuller with the lag chosen by AIC among 0 and 1, also on a column of large units."""
     found = DG.adf(_adf_long(spark, sf), maxlag=1)
     return found.where("adf_stat is not null").select("series_id", "variable", "adf_stat", "adf_lags")
+
+
+# --------------------------------------------------------------- verdicts with oracles --------
+CATALOG["T12_A12_bootstrap_granger_k2"].sql = CATALOG["T12_A12_bootstrap_granger_oracle_k2"].sql  # 500 draws both
+CATALOG["T12_A12_bootstrap_granger_k2"].doubles = CATALOG["T12_A12_bootstrap_granger_oracle_k2"].doubles
+CATALOG["T12_A12_bootstrap_granger_k2"].digits, CATALOG["T12_A12_bootstrap_granger_k2"].sig = 9, True
+
+_VL_COLS = ["l_quantity", "l_discount", "l_extendedprice"]
+_VL_SQL = "kl AS (" + " UNION ALL ".join(
+    f"SELECT l_returnflag AS series_id, '{c}' AS variable, t, {c} AS value FROM lw WHERE {c} IS NOT NULL" for c in _VL_COLS) + ")"
+
+# KPSS with the automatic lag: all lagged products of a series by a self-join on its positions
+_KPSS_AUTO_SQL = f"""
+qe AS (SELECT series_id, variable, row_number() OVER w - 1 AS pos, value - avg(value) OVER (PARTITION BY series_id, variable) AS e,
+  count(*) OVER (PARTITION BY series_id, variable) AS n FROM kl WINDOW w AS (PARTITION BY series_id, variable ORDER BY t)),
+qs AS (SELECT *, sum(e) OVER (PARTITION BY series_id, variable ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM qe),
+qg AS (SELECT a.series_id, a.variable, a.pos - b.pos AS j, any_value(a.n) AS n, sum(a.e * b.e) AS g
+  FROM qe a JOIN qe b ON a.series_id = b.series_id AND a.variable = b.variable AND a.pos >= b.pos GROUP BY ALL),
+ql AS (SELECT series_id, variable, any_value(n) AS n,
+  sum(CASE WHEN j = 0 THEN g / n WHEN j <= floor(pow(n, 2.0 / 9.0)) THEN g / (n / 2.0) ELSE 0 END) AS s0,
+  sum(CASE WHEN j BETWEEN 1 AND floor(pow(n, 2.0 / 9.0)) THEN j * g / (n / 2.0) ELSE 0 END) AS s1 FROM qg GROUP BY ALL),
+qa AS (SELECT *, CAST(least(floor({DG.KPSS_AUTOLAG_C} * pow(pow(s1 / s0, 2), 1.0 / 3.0) * pow(n, 1.0 / 3.0)), n - 1) AS INTEGER) AS L FROM ql),
+qv AS (SELECT qg.series_id, qg.variable, any_value(qa.n) AS n, any_value(qa.L) AS L,
+  sum(CASE WHEN j = 0 THEN g WHEN j <= L THEN 2 * g * (1 - j / (L + 1.0)) ELSE 0 END) AS lrv FROM qg JOIN qa USING (series_id, variable) GROUP BY ALL),
+qss AS (SELECT series_id, variable, sum(s * s) AS ss FROM qs GROUP BY ALL),
+qt AS (SELECT series_id, variable, n, L, ss / n / lrv AS stat FROM qv JOIN qss USING (series_id, variable)),
+kpss AS (SELECT series_id, variable, n, L, stat, CASE {_KPSS_P} END AS p FROM qt)"""
+
+
+@register("T15_kpss_auto", f"""WITH {D.LW_SQL}, {_VL_SQL}, {_KPSS_AUTO_SQL}
+SELECT series_id, variable, stat AS kpss_stat, p AS kpss_p, L AS kpss_lags, coalesce(p >= 0.05, false) AS kpss_stationary
+FROM kpss WHERE n >= 20""", doubles=("kpss_stat", "kpss_p"), digits=8, sig=True)
+def q_t15_auto(spark, sf):
+    """KPSS with the automatic lag, every series long enough to be tested."""
+    return DG.kpss(_adf_long(spark, sf)).where("kpss_stat is not null")
+
+
+# Dickey-Fuller with the lag chosen among 0 and 1; p < 0.05 as a bound on the p-value surface's argument
+_SMALL_P = " + ".join(f"{c} * pow(tau, {i})" for i, c in enumerate(DG.ADF_SMALLP))
+_LARGE_P = " + ".join(f"{c} * pow(tau, {i})" for i, c in enumerate(DG.ADF_LARGEP))
+_VERDICT_SQL = f"""
+d1 AS (SELECT series_id, variable, t, value - lag(value) OVER w AS dy, lag(value) OVER w AS ylag, row_number() OVER w - 1 AS pos,
+  count(*) OVER (PARTITION BY series_id, variable) AS n FROM kl WINDOW w AS (PARTITION BY series_id, variable ORDER BY t)),
+ad AS (SELECT *, lag(dy) OVER (PARTITION BY series_id, variable ORDER BY t) AS dy1 FROM d1),
+{_adf_fit_sql("fc", "pos >= 2")}, {_adf_fit_sql("f0", "pos >= 1")},
+ta AS (SELECT fc.series_id, fc.variable, CASE WHEN fc.nobs * ln(fc.ssr1 / fc.nobs) + 6 < fc.nobs * ln(fc.ssr0 / fc.nobs) + 4
+  THEN fc.b1 / sqrt(fc.ssr1 / (fc.nobs - 3) * fc.s22 / fc.det) ELSE f0.b0 / sqrt(f0.ssr0 / (f0.nobs - 2) / f0.s11) END AS tau
+  FROM fc JOIN f0 USING (series_id, variable) WHERE fc.n >= 20),
+vd AS (SELECT series_id, variable, tau <= {DG.ADF_TAU_MAX} AND (tau < {DG.ADF_TAU_MIN}
+  OR CASE WHEN tau <= {DG.ADF_TAU_STAR} THEN {_SMALL_P} ELSE {_LARGE_P} END < -1.6448536269514722) AS adf_stationary,
+  coalesce(kpss.p >= 0.05, false) AS kpss_stationary FROM ta JOIN kpss USING (series_id, variable)),
+st AS (SELECT *, CASE WHEN adf_stationary AND kpss_stationary THEN 'Stationary' WHEN NOT adf_stationary AND NOT kpss_stationary THEN 'Non-stationary'
+  ELSE 'Partially stationary' END AS stationarity FROM vd)"""
+
+
+@register("T18_stationarity_two_lags", f"""WITH {D.LW_SQL}, {_VL_SQL}, {_KPSS_AUTO_SQL}, {_VERDICT_SQL}
+SELECT series_id, variable, adf_stationary, kpss_stationary, stationarity FROM st""")
+def q_t18_two(spark, sf):
+    """Verdicts from Dickey-Fuller (lag 0 or 1 by AIC) and KPSS (automatic lag)."""
+    long = _adf_long(spark, sf)
+    tested = DG.stationarity(DG.adf(long, maxlag=1).where("adf_stat is not null"), DG.kpss(long).where("kpss_stat is not null"))
+    return tested.select("series_id", "variable", "adf_stationary", "kpss_stationary", "stationarity")
+
+
+@register("T20_log_transform_two_lags", f"""WITH {_RESET_SQL.replace(_KL_SQL.strip(), _VL_SQL)}, {_KPSS_AUTO_SQL}, {_VERDICT_SQL},
+need AS (SELECT st.series_id, st.variable FROM st JOIN rpv USING (series_id, variable)
+  WHERE (st.stationarity = 'Non-stationary' OR NOT coalesce(rpv.p >= 0.05, false))
+    AND (SELECT min(value) FROM kl WHERE kl.series_id = st.series_id AND kl.variable = st.variable) >= 0)
+SELECT series_id, t, variable, value FROM kl
+UNION ALL SELECT kl.series_id, kl.t, 'LOG_' || upper(kl.variable), ln(1 + kl.value) FROM kl JOIN need USING (series_id, variable)""",
+          doubles=("value",), digits=9, sig=True)
+def q_t20_two(spark, sf):
+    """The whole transform: verdicts, linearity and minimum decide which columns get a logarithm."""
+    lw = D.lineitem_weekly(spark, sf).withColumnRenamed("l_returnflag", "series_id")
+    return DG.log_transform(lw, DG.diagnostics_report(lw, _VL_COLS, adf_maxlag=1), _VL_COLS)
