@@ -1314,3 +1314,13 @@ def q_t20_two(spark, sf):
     """The whole transform: verdicts, linearity and minimum decide which columns get a logarithm."""
     lw = D.lineitem_weekly(spark, sf).withColumnRenamed("l_returnflag", "series_id")
     return DG.log_transform(lw, DG.diagnostics_report(lw, _VL_COLS, adf_maxlag=1), _VL_COLS)
+
+
+@register("T21_var_report_k2", f"""WITH {_LV_SQL}, {_GR_SQL}
+SELECT series_id, cause AS CauseVar, effect AS EffectVar, f_stat AS FStatistic, p_value AS PValue, lags AS Lags,
+  significant AS Significant FROM gr""", doubles=("FStatistic", "PValue"), digits=6)
+def q_t21_k2(spark, sf):
+    """The report job with two variables: every table written, the causality table read back."""
+    panel = _panel(spark, sf)
+    usable = _model(spark, sf, K2)[1].fits.where("status = 'ok'").select("series_id")
+    return PL.var_report(spark, panel.join(usable, "series_id", "left_semi"), K2, lags=1, out=_scratch(spark, "var_report"))["granger"]
