@@ -228,3 +228,43 @@ def test_phi_and_covu_accessors(spark):
     assert co[("var0", "var0")] == 0.5 and co[("var0", "var1")] == 0.1 and co[("var1", "var0")] == 0.2
     sg = {(r.row, r.col): r.value for r in model.sigma().collect()}
     assert sg[("var0", "var0")] == 1.0 and sg[("var0", "var1")] == 0.5
+
+
+# Fixed expected values: lag count and first coefficient; covariance entries; scalar responses.
+PHI_CASES = [(2, 0.5), (1, 0.7), (3, 0.3), (1, 0.9)]
+COVU_CASES = {"a": [[1.0, 0.5], [0.5, 2.0]], "b": [[4.0]], "c": [[1.0, 0.0], [0.0, 1.0]], "d": [[2.5, 1.2], [1.2, 3.0]]}
+SCALAR_RESPONSES = {0.8: [1.0, 0.8, 0.64, 0.512], 0.5: [1.0, 0.5, 0.25, 0.125]}
+
+
+def test_phi_cases(spark):
+    for lags in {n for n, _ in PHI_CASES}:
+        own = {f"c{i}": phi for i, (n, phi) in enumerate(PHI_CASES) if n == lags}
+        params = {name: ([[[phi]]] + [[[0.1]]] * (lags - 1), None, [[1.0]]) for name, phi in own.items()}
+        model = model_from_params(spark, params, ["var0"], VarSpec(lags, Det.NONE))
+        rows = model.coefficients().collect()
+        assert {r.series_id: r.value for r in rows if r.lag == 1} == own
+        assert {r.lag for r in rows} == set(range(1, lags + 1))
+
+
+def test_covu_cases(spark):
+    for k in (1, 2):
+        own = {n: s for n, s in COVU_CASES.items() if len(s) == k}
+        names = [f"var{i}" for i in range(k)]
+        model = model_from_params(spark, {n: ([np.zeros((k, k)).tolist()], None, s) for n, s in own.items()}, names, VarSpec(1, Det.NONE))
+        got = {(r.series_id, r.row, r.col): r.value for r in model.sigma().collect()}
+        assert got == {(n, names[i], names[j]): s[i][j] for n, s in own.items() for i in range(k) for j in range(k)}
+
+
+def test_scalar_response_cases(spark):
+    model = model_from_params(spark, {str(phi): ([[[phi]]], None, [[1.0]]) for phi in SCALAR_RESPONSES}, ["var0"], VarSpec(1, Det.NONE))
+    rows = irf(model, 4).collect()
+    for phi, expected in SCALAR_RESPONSES.items():
+        assert [r.value for r in sorted((r for r in rows if r.series_id == str(phi)), key=lambda r: r.horizon)] == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("k,cause,effect", [(2, "var1", "var0"), (3, "var0", "var2")])
+def test_granger_one_lag_pairs(spark, k, cause, effect):
+    y = np.random.default_rng(k).standard_normal((40, k))
+    names = [f"var{i}" for i in range(k)]
+    row = granger(fit_var(panel_df(spark, {"s": y.tolist()}, k), names, VarSpec(1, Det.CONST)), cause, effect).first()
+    assert (row.cause, row.effect, row.lags) == (cause, effect, 1) and 0 <= row.p_value <= 1
