@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions.scalar import joined_key
+from panelcast.operators.lags import positional_index
+
 __all__ = ["null_count_ranking", "nan_summary", "completeness", "quality_buckets", "null_totals",
            "global_stats", "top_k", "bottom_k", "keep_keys", "column_minimums", "quantiles"]
 
@@ -15,8 +18,8 @@ def null_count_ranking(df: DataFrame, keys: Sequence[str], value_cols: Sequence[
     """Per group: rows, NULLs per value column, total, NaN_Percentage = round(total/(rows*n)*100, 2),
     Data_Quality_Score = round(100 - pct, 2) (half-even), Rank 1..n by total NULLs (ties by keys).
 
-    One aggregation (null-key groups dropped first); the rank is a global ordering of the small
-    per-group result.
+    One aggregation (null-key groups dropped first); the rank comes from the distributed index, so
+    many groups do not meet in one task.
     """
     keys = list(keys)
     n = len(value_cols)
@@ -27,8 +30,8 @@ def null_count_ranking(df: DataFrame, keys: Sequence[str], value_cols: Sequence[
     g = g.withColumn("Total_NaN_Count", total.cast("bigint"))
     g = g.withColumn("NaN_Percentage", F.bround(F.col("Total_NaN_Count") / (F.col("Total_Records") * n) * 100, 2))
     g = g.withColumn("Data_Quality_Score", F.bround(100 - F.col("NaN_Percentage"), 2))
-    w = Window.orderBy("Total_NaN_Count", *keys)
-    return g.select(F.row_number().over(w).cast("bigint").alias("Rank"), *keys, "Total_Records",
+    ranked = positional_index(g.withColumn("_all", F.lit("")), "_all", ["Total_NaN_Count", *keys], "_place")
+    return ranked.select((F.col("_place") + 1).cast("bigint").alias("Rank"), *keys, "Total_Records",
                     *[f"{c}_NaN_Count" for c in value_cols], "Total_NaN_Count", "NaN_Percentage",
                     "Data_Quality_Score")
 
@@ -54,12 +57,13 @@ def completeness(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
 
 def quality_buckets(ranking: DataFrame, score_col: str = "Data_Quality_Score") -> DataFrame:
     s = F.col(score_col)
-    return ranking.agg(
+    counted = ranking.agg(
         F.count_if(s > 90).cast("bigint").alias("excellent"),
         F.count_if((s > 75) & (s <= 90)).cast("bigint").alias("good"),
         F.count_if((s > 50) & (s <= 75)).cast("bigint").alias("fair"),
         F.count_if(s <= 50).cast("bigint").alias("poor"),
-        F.avg(s).alias("mean_score"), F.median(s).alias("median_score"))
+        F.avg(s).alias("mean_score"))
+    return _beside(counted, quantiles(ranking, [], score_col, {"median_score": 0.5}))
 
 
 def null_totals(df: DataFrame, value_cols: Sequence[str], label: str | None = None) -> DataFrame:
@@ -69,11 +73,16 @@ def null_totals(df: DataFrame, value_cols: Sequence[str], label: str | None = No
 
 
 def global_stats(df: DataFrame, value_col: str, distinct_col: str | None = None) -> DataFrame:
-    aggs = [F.min(value_col).alias("min"), F.max(value_col).alias("max"), F.avg(value_col).alias("mean"),
-            F.median(value_col).alias("median")]
+    aggs = [F.min(value_col).alias("min"), F.max(value_col).alias("max"), F.avg(value_col).alias("mean")]
     if distinct_col:
         aggs.append(F.count_distinct(distinct_col).cast("bigint").alias("n_distinct"))
-    return df.agg(*aggs)
+    return _beside(df.agg(*aggs), quantiles(df, [], value_col, {"median": 0.5}))
+
+
+def _beside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The columns of two one-row tables."""
+    one = F.lit(1).alias("_one")
+    return a.select("*", one).join(b.select("*", one), "_one").drop("_one")
 
 
 def top_k(df: DataFrame, k: int, order: Sequence) -> DataFrame:
@@ -101,8 +110,6 @@ def quantiles(df: DataFrame, keys: Sequence[str], value_col: str, wanted: dict[s
     order statistics of each quantile are picked by their number.
     NULL values are left out; a key without values has no row.
     """
-    from panelcast.functions.scalar import joined_key
-    from panelcast.operators.lags import positional_index
     keys = list(keys)
     known = df.where(F.col(value_col).isNotNull()).select(*keys, F.col(value_col).alias("_v")).withColumn("_k", joined_key(keys))
     placed = positional_index(known, "_k", ["_v"], "_p")
