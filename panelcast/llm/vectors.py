@@ -17,8 +17,11 @@ def usable(vec: Column) -> Column:
 
 def keyed(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(node, id, vec): ``node`` numbers the rows, repeated ones too; checkpointed, so it stays as it is.
-    Vectors that are not usable become null."""
-    vec = F.col(vec_col).cast("array<double>")
+    Vectors that are not usable become null. Single-precision vectors travel as they are; whoever computes
+    with them widens them first."""
+    vec = F.col(vec_col)
+    if dict(rows.dtypes)[vec_col] != "array<float>":
+        vec = vec.cast("array<double>")
     rows = rows.select(F.monotonically_increasing_id().alias("node"), F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
     return cut_lineage(rows.withColumn("vec", F.when(usable(F.col("vec")), F.col("vec"))))
 
