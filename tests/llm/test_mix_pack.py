@@ -1,5 +1,6 @@
 """Mixing to target weights and packing."""
 
+import functools
 import re
 import zlib
 
@@ -48,13 +49,13 @@ def test_mix_keeps_words_and_expectations(spark):
     """Over many seeds a document is taken as often as its expectation says; words stay near the target."""
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "b" if i % 3 else "a") for i in range(150)], "doc_id long, text string, source string").cache()
     total = np.zeros(150)
-    for seed in range(12):
+    for seed in range(6):
         rows = M.mix(docs, seed=seed).toPandas().sort_values("id")
         total += rows.copies.to_numpy()
         for _, own in rows.groupby("source_size"):
             assert abs((own.copies * own["size"]).sum() - own.target.iloc[0]) <= 7
     expected = (rows.target / rows.source_size).to_numpy()
-    assert abs(total.mean() / 12 - expected.mean()) < 0.05 and np.abs(total / 12 - expected).max() < 0.75
+    assert abs(total.mean() / 6 - expected.mean()) < 0.05 and np.abs(total / 6 - expected).max() < 0.9
 
 
 def test_mix_tree_of_many_levels(spark, monkeypatch):
@@ -73,13 +74,18 @@ def test_mix_on_odd_rows(odd_docs, no_docs):
     assert M.mix(no_docs).count() == 0
 
 
-def encoded(text):
+@functools.cache
+def tokenizer():
     import public_tokenizers
     import tokenizers
 
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def encoded(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def packed_right(rows, texts, capacity=2048):
