@@ -4,16 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import panelcast
 from panelcast.session import cut_lineage, ensure_checkpoint_dir
 
-# Task functions travel by value, so executors need no copy of this package on their path.
-cloudpickle.register_pickle_by_value(panelcast)
-
 WORD = r"[^\x20\x09-\x0D]+"
 
 
