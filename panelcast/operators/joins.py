@@ -1,4 +1,4 @@
-"""Joins used by the pipelines: many-to-one equi-join with a uniqueness check, joins on keys that may be NULL."""
+"""Joins used by the pipelines: many-to-one equi-join with a uniqueness check."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["join_many_to_one", "join_null_safe", "assert_unique"]
+__all__ = ["join_many_to_one", "assert_unique"]
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
@@ -26,13 +26,3 @@ def join_many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], val
     if validate:
         assert_unique(right, keys)
     return left.join(right, list(keys), "inner")
-
-
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which NULL keys are equal to one another; the keys appear once, from the left."""
-    names = {k: f"__right_{i}" for i, k in enumerate(keys)}
-    right = right.withColumnsRenamed(names)
-    match = F.lit(True)
-    for k, name in names.items():
-        match = match & left[k].eqNullSafe(right[name])
-    return left.join(right, match, how).drop(*names.values())

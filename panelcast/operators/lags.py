@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.joins import join_null_safe
+from panelcast.functions.scalar import joined_key
 from panelcast.spec import VarSpec
 
 __all__ = ["lag_name", "lag_embed", "positional_index", "design_columns"]
@@ -42,22 +42,25 @@ def positional_index(df: DataFrame, series_col: str, order_cols: Sequence[str],
     """
     from panelcast.session import cut_lineage
     order_cols = list(order_cols)
+    columns = df.columns
+    df = df.withColumn("_sk", joined_key([series_col]))
     dtype = dict(df.dtypes)[order_cols[0]]
     if dtype == "string" or dtype.startswith(("array", "struct", "map", "binary")):
         tagged = df.withColumn("_b", F.lit(0))
     else:
         v = _as_number(order_cols[0], dtype)
         at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-        cuts = df.groupBy(series_col).agg(F.percentile_approx(v, at, 10 * buckets).alias("_cuts"))
+        cuts = df.groupBy("_sk").agg(F.percentile_approx(v, at, 10 * buckets).alias("_cuts"))
         cuts = cut_lineage(cuts.withColumn("_cuts", F.array_distinct("_cuts")))
         before = F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < v).cast("int"))
-        tagged = join_null_safe(df, cuts, [series_col]).withColumn("_b", F.coalesce(before, F.lit(-1))).drop("_cuts")
-    counts = tagged.groupBy(series_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy(series_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(series_col, "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy(series_col, "_b").orderBy(*order_cols))
-    out = join_null_safe(tagged.withColumn("_loc", local), offsets, [series_col, "_b"])
-    return out.withColumn(time_col, (F.col("_off") + F.col("_loc") - 1).cast("bigint")).drop("_b", "_loc", "_off")
+        tagged = df.join(cuts, "_sk").withColumn("_b", F.coalesce(before, F.lit(-1))).drop("_cuts")
+    counts = tagged.groupBy("_sk", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w_off = Window.partitionBy("_sk").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_sk", "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_sk", "_b").orderBy(*order_cols))
+    out = tagged.withColumn("_loc", local).join(offsets, ["_sk", "_b"])
+    place = (F.col("_off") + F.col("_loc") - 1).cast("bigint").alias(time_col)
+    return out.select(*[F.col(f"`{c}`") for c in columns if c != time_col], place)
 
 
 def lag_embed(panel: DataFrame, variables: Sequence[str], lags: int, series_col: str = "series_id",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import joined_key
 from panelcast.operators.lags import positional_index
+from panelcast.session import cut_lineage
 
 __all__ = ["null_count_ranking", "nan_summary", "completeness", "quality_buckets", "null_totals",
            "global_stats", "top_k", "bottom_k", "keep_keys", "column_minimums", "quantiles"]
@@ -30,7 +31,8 @@ def null_count_ranking(df: DataFrame, keys: Sequence[str], value_cols: Sequence[
     g = g.withColumn("Total_NaN_Count", total.cast("bigint"))
     g = g.withColumn("NaN_Percentage", F.bround(F.col("Total_NaN_Count") / (F.col("Total_Records") * n) * 100, 2))
     g = g.withColumn("Data_Quality_Score", F.bround(100 - F.col("NaN_Percentage"), 2))
-    ranked = positional_index(g.withColumn("_all", F.lit("")), "_all", ["Total_NaN_Count", *keys], "_place")
+    g = cut_lineage(g.withColumn("_all", F.lit("")))  # one row per group; the index reads it several times
+    ranked = positional_index(g, "_all", ["Total_NaN_Count", *keys], "_place")
     return ranked.select((F.col("_place") + 1).cast("bigint").alias("Rank"), *keys, "Total_Records",
                     *[f"{c}_NaN_Count" for c in value_cols], "Total_NaN_Count", "NaN_Percentage",
                     "Data_Quality_Score")

@@ -3,7 +3,8 @@
 Positions are cut into blocks of ``block`` rows. Inside a block an ordinary window does the
 work; what crosses block borders (the running total, the last / next non-null value) comes
 from a per-block summary table (one row per block) scanned with a window over blocks. No task
-holds more than one block of a series, however long the series is.
+holds more than one block of a series, however long the series is. Series are told apart by one
+text key that is never NULL, so rows of a NULL key stay and all steps share one partitioning.
 """
 
 from __future__ import annotations
@@ -13,25 +14,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.joins import join_null_safe
+from panelcast.functions.scalar import joined_key
 
 __all__ = ["SCAN_BLOCK", "prefix_sum", "neighbours"]
 
 SCAN_BLOCK = 65536
 
 
+def _blocked(df: DataFrame, keys: list[str], pos: str, block: int) -> DataFrame:
+    """Adds the series' key and the block of each row; rows without a position are a block of their own."""
+    return df.withColumn("_sk", joined_key(keys)).withColumn("_sb", F.coalesce(F.floor(F.col(pos) / block), F.lit(-1)))
+
+
 def prefix_sum(df: DataFrame, keys: Sequence[str], pos: str, col: str, out: str, block: int = SCAN_BLOCK) -> DataFrame:
     """out = sum of ``col`` over rows with position <= pos (NULLs count as 0)."""
     keys = list(keys)
-    blk = F.floor(F.col(pos) / block).alias("_sb")
-    d = df.withColumn("_sb", blk)
+    d = _blocked(df, keys, pos, block)
     local = F.sum(F.coalesce(F.col(col), F.lit(0.0))).over(
-        Window.partitionBy(*keys, "_sb").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    totals = d.groupBy(*keys, "_sb").agg(F.sum(F.coalesce(F.col(col), F.lit(0.0))).alias("_bt"))
-    carry = totals.select(*keys, "_sb", F.coalesce(F.sum("_bt").over(
-        Window.partitionBy(*keys).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_carry"))
-    return (join_null_safe(d.withColumn("_loc", local), carry, [*keys, "_sb"])
-            .withColumn(out, F.col("_carry") + F.col("_loc")).drop("_sb", "_loc", "_carry"))
+        Window.partitionBy("_sk", "_sb").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    totals = d.groupBy("_sk", "_sb").agg(F.sum(F.coalesce(F.col(col), F.lit(0.0))).alias("_bt"))
+    carry = totals.select("_sk", "_sb", F.coalesce(F.sum("_bt").over(
+        Window.partitionBy("_sk").orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_carry"))
+    return (d.withColumn("_loc", local).join(carry, ["_sk", "_sb"])
+            .withColumn(out, F.col("_carry") + F.col("_loc")).drop("_sk", "_sb", "_loc", "_carry"))
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str] | str,
@@ -41,12 +46,12 @@ def neighbours(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str]
     columns in one pass: one blocked window, one per-block summary, one join."""
     keys = list(keys)
     cols = [cols] if isinstance(cols, str) else list(cols)
-    d = df.withColumn("_sb", F.floor(F.col(pos) / block))
-    wb = Window.partitionBy(*keys, "_sb").orderBy(pos)
+    d = _blocked(df, keys, pos, block)
+    wb = Window.partitionBy("_sk", "_sb").orderBy(pos)
     prev_w = wb.rowsBetween(Window.unboundedPreceding, 0)
     next_w = wb.rowsBetween(0, Window.unboundedFollowing)
     local, summary, carry, final = [], [], [], []
-    wo = Window.partitionBy(*keys).orderBy("_sb")
+    wo = Window.partitionBy("_sk").orderBy("_sb")
     before = wo.rowsBetween(Window.unboundedPreceding, -1)
     after = wo.rowsBetween(1, Window.unboundedFollowing)
     for c in cols:
@@ -65,7 +70,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str]
                   F.when(F.col(f"{c}__lni").isNotNull(), F.col(f"{c}__lnv")).otherwise(F.col(f"{c}__cnv")).alias(f"{c}__nv"),
                   F.coalesce(f"{c}__lni", f"{c}__cni").alias(f"{c}__ni")]
     d = d.select("*", *local)
-    summ = d.groupBy(*keys, "_sb").agg(*summary)
-    carried = summ.select(*keys, "_sb", *carry)
-    j = join_null_safe(d, carried, [*keys, "_sb"])
+    summ = d.groupBy("_sk", "_sb").agg(*summary)
+    carried = summ.select("_sk", "_sb", *carry)
+    j = d.join(carried, ["_sk", "_sb"])
     return j.select(*df.columns, *final)

@@ -91,8 +91,9 @@ def training_table(spark: SparkSession, sf_dir: str, config: DataFrame | None =
     flu = cut_lineage(flu)
     flu = interp.interpolate_linear(flu, ["n_name"], ["week"], D.NW_MEASURES, round_digits=0, position="t")
     flu = interp.ffill_bfill(flu, ["n_name"], ["week"], D.NW_MEASURES, position="t")
-    flu = interp.zero_fill(flu, D.NW_MEASURES)
-    weather = interp.interpolate_linear(D.lineitem_weekly(spark, sf_dir), ["l_returnflag"], ["week"], COVARIATES, position="t")
+    flu = cut_lineage(interp.zero_fill(flu, D.NW_MEASURES))
+    weather = cut_lineage(D.lineitem_weekly(spark, sf_dir))
+    weather = interp.interpolate_linear(weather, ["l_returnflag"], ["week"], COVARIATES, position="t")
     weather = weather.groupBy(F.col("l_returnflag").alias("source"), "iso_year", "iso_week").agg(*[F.avg(c).alias(c) for c in COVARIATES])
     merged = join_many_to_one(flu, cut_lineage(weather), ["source", "iso_year", "iso_week"])
     kept = {c: F.when(F.array_contains("covariates", c), F.col(c)) for c in COVARIATES}
