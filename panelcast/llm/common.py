@@ -21,11 +21,6 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-cases A-Z only; null becomes empty."""
-    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the rows whose labels no model may learn from; a null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
@@ -38,4 +33,4 @@ def numbered(df: DataFrame, key: str | list[str], name: str, *order: Column) ->
     return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
-__all__ = ["WORD", "cut_lineage", "ensure_checkpoint_dir", "fresh_folder", "held_out", "lower_ascii", "numbered", "table"]
+__all__ = ["WORD", "cut_lineage", "ensure_checkpoint_dir", "fresh_folder", "held_out", "numbered", "table"]
