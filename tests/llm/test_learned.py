@@ -118,6 +118,18 @@ def test_network_finds_held_out_secrets(spark):
     assert all(k in X.KINDS for _, _, k in X.scan(net, [bare])[0])
 
 
+def test_whole_candidates_are_read(spark):
+    net = X.fit(spark.createDataFrame(list(enumerate(planted(600, 1))), "doc_id long, text string"))
+    path, key = "/host7.example-site.org/page" * 3, "0f3a9b2c7d1e44ab5c6d7e8f9a0b1c"  # too short for the hex pattern
+    texts = [f"at {path}/{path} now", f"at {path}/{key} now", f"at {path}/{key}/{path} now", f"at {key}/{path} now"]
+    assert not any(X.base_spans(t) for t in texts)
+    plain = net.highest([X.windows(texts[0], 3, len(texts[0]) - 4)])
+    net.threshold = float(net.calibrated(plain + 0.1)[0])
+    assert [len(own) for own in X.scan(net, texts)] == [0, 1, 1, 1]
+    seen = [set(X.windows(t, 0, len(t))) for t in ("x" * 97 + "y", "x" * 98, "x" * 45 + "y" + "x" * 52)]
+    assert len(set(map(frozenset, seen))) == 3
+
+
 def test_runs_reaching_beyond_a_fixed_pattern_are_found_and_redacted(spark):
     net = X.train(X.matrix([X.window("a", 0, 1)] * 2), np.array([0, 1]))
     net.threshold = 0.0  # every candidate reaches it
