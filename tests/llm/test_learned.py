@@ -118,6 +118,16 @@ def test_network_finds_held_out_secrets(spark):
     assert all(k in X.KINDS for _, _, k in X.scan(net, [bare])[0])
 
 
+def test_threshold_keeps_recall_where_classes_overlap():
+    rng = np.random.default_rng(4)
+    y = np.repeat([1, 0], [60, 2000])
+    margin = rng.normal(size=len(y)) + y
+    net = X.calibrate(X.Network(np.zeros(1), np.zeros(1), np.zeros(1), 0.0), margin, y)
+    reached = net.calibrated(margin) >= net.threshold
+    assert reached[y == 1].mean() >= X.RECALL > (net.calibrated(margin[y == 1]) > net.threshold).mean()
+    assert net.threshold < 0.5 and net.precision == y[reached].mean()
+
+
 def test_whole_candidates_are_read(spark):
     net = X.fit(spark.createDataFrame(list(enumerate(planted(600, 1))), "doc_id long, text string"))
     path, key = "/host7.example-site.org/page" * 3, "0f3a9b2c7d1e44ab5c6d7e8f9a0b1c"  # too short for the hex pattern
