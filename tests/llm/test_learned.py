@@ -118,6 +118,19 @@ def test_network_finds_held_out_secrets(spark):
     assert all(k in X.KINDS for _, _, k in X.scan(net, [bare])[0])
 
 
+def test_network_adds_secrets_of_kinds_the_patterns_miss(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    net, rng = X.fit(docs), np.random.default_rng(6)
+    prose = [r["text"] for r in docs.where("length(text) > 200").orderBy("doc_id").limit(400).collect()]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet in (letters + "0123456789+/", "0123456789ABCDEF", letters + "+/"):  # the last has no digit
+        texts = [f"{t[:100]} {''.join(rng.choice(list(alphabet), 40))} {t[100:200]}" for t in prose[:40]]
+        found = X.scan(net, texts)
+        assert np.mean([any(k == "cnn" and a < 141 and b > 101 for a, b, k in own) for own in found]) >= 0.8
+    added = [any(k == "cnn" for *_, k in own) for own in X.scan(net, prose)]
+    assert np.mean(added) <= 0.02
+
+
 def test_threshold_keeps_recall_where_classes_overlap():
     rng = np.random.default_rng(4)
     y = np.repeat([1, 0], [60, 2000])
