@@ -93,12 +93,22 @@ class Finder:
                     own.append([start, stop])
         return out
 
+    def places(self, number: int, text: str, start: int, stop: int) -> Iterator[regex.Match]:
+        """The best place of a notice in a stretch, and all further ones before and behind it."""
+        k, pattern = self.patterns[number]
+        least, open_ = len(self.notices[number][0]) - k, [(start, stop)]
+        while open_:
+            a, b = open_.pop()
+            if b - a >= least and (m := pattern.search(text, a, b)):
+                yield m
+                open_ += [(a, m.start() - 1), (m.end(), b)]  # whole words: a space stands before the place
+
     def matches(self, text: str) -> list[Match]:
         found = []
         for number, own in self.windows(text).items():
             notice, label = self.notices[number]
             for a, b in own:
-                for m in self.patterns[number][1].finditer(text, a, min(b, len(text))):
+                for m in self.places(number, text, a, min(b, len(text))):
                     edits = sum(m.fuzzy_counts)
                     found.append(Match(label, m.start(), m.end(), edits, 1 - edits / len(notice)))
         return sorted(found, key=lambda m: (m.start, m.end, m.label))

@@ -69,6 +69,16 @@ def test_fuzzy_notices_within_and_beyond_the_bound():
     assert finder.matches("clean prose about a walk under the trees and the river") == []
 
 
+def test_weaker_places_beside_the_best_are_found():
+    finder = N.Finder()
+    weak, best, other = "released under the mit licens", "released under the mit license", "releasd under the mit licence"
+    for texts in ((weak, best), (best, weak), (weak, other, best, weak, other), (weak,) * 4, (best,) * 3, (weak, "and", best, "or", weak)):
+        text = " ".join(texts)
+        found = [(text[m.start : m.end], m.edits) for m in finder.matches(text)]
+        assert [f for f, _ in found] == [t for t in texts if len(t) > 3]
+        assert all(e == 0 for f, e in found if f == best) and all(0 < e <= 2 for f, e in found if f != best)
+
+
 def test_licenses_on_odd_rows(odd_docs, no_docs):
     found = collected(N.scan_licenses(odd_docs))
     assert len(found) == 12 and {r["n_words"] for r in found if r["id"] == 8} == {30_000}
