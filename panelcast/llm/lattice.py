@@ -21,7 +21,8 @@ from panelcast.llm.common import cut_lineage
 from panelcast.llm.components import Forest, connected_components
 from panelcast.llm.vectors import keyed, stacked, unit
 
-TABLES, VISITS, SCALE, SEED = 4, 2, 5.0, 11
+TABLES, VISITS, SCALE, SEED = 4, 2, 5.0, 11  # the scale is that of DIM dimensions
+DIM = 64
 BLOCK = 2048  # vectors of a cell or component compared with one another
 GROUP = 8192  # rows of a task's group of small cells or components, on average
 
@@ -64,8 +65,13 @@ def cell_key(points: np.ndarray, salt: int) -> np.ndarray:
 
 
 def cells(x: np.ndarray, table: int, visits: int, scale: float) -> np.ndarray:
-    """Keys of the home cell and of the visited ones, one row per vector of length one."""
+    """Keys of the home cell and of the visited ones, one row per vector of length one.
+
+    A projection to eight of ``dim`` dimensions shrinks distances by sqrt(8 / dim), and not at all below eight: the
+    scale of shorter vectors makes up for it, so that their links are no longer in cells than those of DIM dimensions.
+    """
     dim = x.shape[1]
+    scale = scale * np.sqrt(min(max(dim, 8), DIM) / DIM)
     rng = np.random.default_rng([SEED, table, dim])
     axes = np.linalg.qr(rng.normal(size=(max(dim, 8), 8)))[0][:dim]
     point = x @ axes * scale + rng.uniform(0, 1, 8)

@@ -49,6 +49,21 @@ def test_recall_and_precision(spark, clouds):
     assert (found.kept == (found.id == found.component_id)).all()
 
 
+@pytest.mark.parametrize("dim", [4, 8, 16, 32, 64, 256])
+def test_recall_in_every_dimension(dim):
+    """Pairs at a cosine of exactly 0.95, as the lattice cells meet them."""
+    rng = np.random.default_rng(dim)
+    a, b = rng.normal(size=(2, 3000, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    met = np.zeros(len(a), bool)
+    for t in range(L.TABLES):
+        own, other = (L.cells(v, t, L.VISITS, L.SCALE) for v in (a, b))
+        met |= (own[:, :1] == other).any(1) | (other[:, :1] == own).any(1)
+    assert met.mean() >= 0.95
+
+
 def test_large_cells_are_split(spark, clouds, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 8)
     monkeypatch.setattr(L, "GROUP", 64)
