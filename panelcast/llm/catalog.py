@@ -166,3 +166,37 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = scan_licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _codes_sql(entries: int = 16, parts: int = 8, rounds: int = 6) -> str:
+    """The rounds of op11 as one statement: assignment (a) and entries (b) of every round by turns."""
+    sql = [
+        """WITH kept AS (SELECT vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"""parts AS MATERIALIZED (SELECT vec_id, label, p, e[p * (len(e) // {parts}) + 1 : (p + 1) * (len(e) // {parts})] AS v
+  FROM kept, (SELECT unnest(range({parts})) AS p))""",
+        f"start AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM kept ORDER BY vec_id LIMIT {entries})",
+        "b0 AS MATERIALIZED (SELECT p, j, v FROM parts JOIN start USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        sql.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, p, any_value(v) AS v, min([d, j]) AS m FROM (
+  SELECT vec_id, parts.p, parts.v, j, CAST(list_sum([(t[1] - t[2]) * (t[1] - t[2]) FOR t IN list_zip(parts.v, b{r}.v)]) AS BIGINT) AS d
+  FROM parts JOIN b{r} ON parts.p = b{r}.p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            sql.append(f"""m{r} AS (SELECT p, j, list(x ORDER BY i) AS v FROM (SELECT p, j, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS x FROM (
+  SELECT p, j, i, sum(x) AS s, count(*) AS n FROM (SELECT p, m[2] AS j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY p, j, i)) GROUP BY p, j)""")
+            sql.append(f"b{r + 1} AS MATERIALIZED (SELECT b{r}.p, b{r}.j, coalesce(m{r}.v, b{r}.v) AS v FROM b{r} LEFT JOIN m{r} ON b{r}.p = m{r}.p AND b{r}.j = m{r}.j)")
+    sql.append(f"""coded AS (SELECT vec_id, string_agg(printf('%02x', CAST(m[2] AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m[1]) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id)""")
+    sql.append(f"digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b{rounds})")
+    return ",\n".join(sql) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest"""
+
+
+@register("op11_vector_codes", _codes_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings coded by eight codebooks of 16 entries, six rounds of integer k-means."""
+    from panelcast.llm.codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
