@@ -200,3 +200,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm.codes import compress
 
     return compress(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@register("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under two tokenizers, with the corpus-wide counts of their linked ids."""
+    from panelcast.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"))

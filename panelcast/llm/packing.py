@@ -12,6 +12,7 @@ find their place by their rank among the pieces of their length, which Spark com
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ CAPACITY = 2048
 END_ID = 0  # written after every document
 ROUNDS, GREED = 400, 0.7  # pricing rounds; strength of a price's fall
 RANKED = 400  # pieces ranked together
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -42,9 +44,22 @@ def vocabulary(path: str | None = None) -> dict[bytes, int]:
 
 
 def encoder(ranks: dict[bytes, int]):
+    """A function from text to ids. The library's pattern fails on white space of some 800,000 characters, so long runs are cut
+    out where the pattern cuts them itself: all of a run but its last character is one piece, at the end of the text all of it."""
     import tiktoken
 
-    return tiktoken.Encoding("panelcast", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    coding = tiktoken.Encoding("panelcast", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        ids, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += coding.encode_ordinary(text[at : run.start()])
+            ids += coding._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + coding.encode_ordinary(text[at:]) if at else coding.encode_ordinary(text)
+
+    return encode
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -168,7 +183,8 @@ def ranked(pieces: DataFrame, counts: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece.
 
-    Null and empty texts are a single end id. Only documents longer than the capacity are cut; repeated
+    Null and empty texts are a single end id. Texts are encoded whole, runs of white space or letters of any length
+    too; strings of special tokens, as ``<|endoftext|>``, are plain text. Only documents longer than the capacity are cut; repeated
     rows are packed once each, a null id stays null, an empty table gives an empty result.
     """
     pieces = cut_lineage(tokenize(docs, id_col, text_col, path, capacity))

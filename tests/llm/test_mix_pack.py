@@ -131,6 +131,18 @@ def test_pack_on_odd_rows(spark, odd_docs, no_docs):
     assert P.pack(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "x" + "\u00a0" * 1_000_000 + "y", "a" * 1_000_000, "ab" + " " * 900_000 + "b" + "\n" * 5000 + " c",
+                                  "x" + " \n" * 5000 + "\x1c" * 5000 + "  y", "\t" * 5000 + "\r", " \u3000" * 3000 + "\u2029x"])
+def test_long_runs_are_encoded_as_the_tokenizer_does(text):
+    assert P.encoder(P.vocabulary())(text) == encoded(text)
+
+
+def test_pack_of_a_million_spaces(spark):
+    texts = {1: " " * 1_000_000, 2: "x" + "\n" * 1_000_000 + "y"}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    packed_right(collected(P.pack(docs)), texts)
+
+
 def test_common_lengths_are_ranked_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(P, "RANKED", 7)
     docs = spark.createDataFrame([(i, "same words here" if i % 3 else f"w{i} " * (i % 40)) for i in range(400)], "doc_id long, text string")
