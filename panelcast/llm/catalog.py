@@ -208,3 +208,21 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm.alignment import align
 
     return align(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op12_line_dedup",
+    """WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+keyed AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM lines),
+held AS (SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT keyed.*, coalesce(top <> doc_id, false) AS gone FROM keyed LEFT JOIN held USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of at least 20 characters that three or more hold, but for the largest id's."""
+    from panelcast.llm.linededup import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
