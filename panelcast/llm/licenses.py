@@ -8,6 +8,7 @@ notice and gives the span and the number of edits. Exact phrases of the base lis
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,39 +79,39 @@ class Finder:
             self.automaton.add_word(piece, found)
         self.automaton.make_automaton()
 
-    def windows(self, text: str) -> dict[int, list[list[int]]]:
-        """By notice: merged stretches of the text that a hit of a piece allows it to lie in."""
-        out: dict[int, list[list[int]]] = {}
+    def windows(self, text: str) -> dict[int, set[int]]:
+        """By notice: the starts of the stretches that hits of its pieces allow it to lie in."""
+        out: dict[int, set[int]] = {}
         for end, found in self.automaton.iter(text):
             for number, offset, size in found:
-                k = self.patterns[number][0]
-                start = max(0, end + 1 - size - offset - k)
-                stop = start + len(self.notices[number][0]) + 3 * k + 1
-                own = out.setdefault(number, [])
-                if own and start <= own[-1][1]:
-                    own[-1] = [min(start, own[-1][0]), max(stop, own[-1][1])]
-                else:
-                    own.append([start, stop])
+                out.setdefault(number, set()).add(max(0, end + 1 - size - offset - self.patterns[number][0]))
         return out
 
-    def places(self, number: int, text: str, start: int, stop: int) -> Iterator[regex.Match]:
-        """The best place of a notice in a stretch, and all further ones before and behind it."""
+    def places(self, number: int, text: str, starts: set[int]) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of the places of a notice, which do not overlap: fewer edits first, then from the left.
+
+        A stretch is as long as the notice and three times its edits, so it holds one place at most, and a
+        search costs the same however often a text repeats a notice.
+        """
         k, pattern = self.patterns[number]
-        least, open_ = len(self.notices[number][0]) - k, [(start, stop)]
-        while open_:
-            a, b = open_.pop()
-            if b - a >= least and (m := pattern.search(text, a, b)):
-                yield m
-                open_ += [(a, m.start() - 1), (m.end(), b)]  # whole words: a space stands before the place
+        size, found = len(self.notices[number][0]) + 3 * k + 1, set()
+        for start in sorted(starts):
+            m = pattern.search(text, start, min(start + size, len(text)))
+            if m and (m.end() == len(text) or text[m.end()] == " ") and (not m.start() or text[m.start() - 1] == " "):
+                found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        kept: list[tuple[int, int, int]] = []
+        for edits, start, end in sorted(found):
+            at = bisect_left(kept, (start,))
+            if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+                kept.insert(at, (start, end, edits))
+        return kept
 
     def matches(self, text: str) -> list[Match]:
         found = []
-        for number, own in self.windows(text).items():
+        for number, starts in self.windows(text).items():
             notice, label = self.notices[number]
-            for a, b in own:
-                for m in self.places(number, text, a, min(b, len(text))):
-                    edits = sum(m.fuzzy_counts)
-                    found.append(Match(label, m.start(), m.end(), edits, 1 - edits / len(notice)))
+            for start, end, edits in self.places(number, text, starts):
+                found.append(Match(label, start, end, edits, 1 - edits / len(notice)))
         return sorted(found, key=lambda m: (m.start, m.end, m.label))
 
 
@@ -122,9 +123,16 @@ def base_places(reduced: str) -> list[tuple[int, str]]:
         for phrase, label in BASE:
             at = padded.find(f" {phrase} ")
             while at >= 0:
-                found.append((padded.count(" ", 0, at), label))
+                found.append((at, label))
                 at = padded.find(f" {phrase} ", at + 1)
-    return sorted(found)
+    words = word_numbers(reduced) if found else None
+    return sorted((words(at), label) for at, label in found)
+
+
+def word_numbers(reduced: str):
+    """A function from a code point's place in the reduced text to the number of words that end before it."""
+    spaces = [m.start() for m in regex.finditer(" ", reduced)]
+    return lambda at: bisect_left(spaces, at)
 
 
 def scan(text: str | None, finder: Finder) -> dict:
@@ -132,6 +140,7 @@ def scan(text: str | None, finder: Finder) -> dict:
     reduced = b" ".join(words).decode("utf-8", "replace")
     base, fuzzy = base_places(reduced), finder.matches(reduced)
     labels = {label for _, label in base}
+    word = word_numbers(reduced) if fuzzy else None
     return {
         "n_words": len(words),
         "n_base": len(base),
@@ -141,7 +150,7 @@ def scan(text: str | None, finder: Finder) -> dict:
         "labels": ",".join(sorted(labels | {m.label for m in fuzzy})),
         "score": 1.0 if base else max((m.score for m in fuzzy), default=0.0),
         "spans": [
-            {"label": m.label, "first_word": reduced.count(" ", 0, m.start), "last_word": reduced.count(" ", 0, m.end), "edits": m.edits}
+            {"label": m.label, "first_word": word(m.start), "last_word": word(m.end), "edits": m.edits}
             for m in fuzzy
         ],
     }

@@ -79,6 +79,48 @@ def test_weaker_places_beside_the_best_are_found():
         assert all(e == 0 for f, e in found if f == best) and all(0 < e <= 2 for f, e in found if f != best)
 
 
+def least_edits(notice, text):
+    """The fewest edits of any stretch of whole words, by dynamic programming."""
+    starts = {i for i in range(len(text) + 1) if i == 0 or text[i - 1] == " "}
+    row = [0 if i in starts else 99 for i in range(len(text) + 1)]
+    for i, c in enumerate(notice, 1):
+        new = [min(row[0] + 1, 99)]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(v for i, v in enumerate(row) if i == len(text) or text[i] == " ")
+
+
+def test_fuzzy_places_against_edit_distance():
+    import numpy as np
+
+    rng, finder = np.random.default_rng(8), N.Finder()
+    words = "all right reserved the mit license under apache public released gnu general work is".split()
+    for n in range(150):
+        notice, label = N.NOTICES[n % len(N.NOTICES)]
+        k = N.edits_allowed(notice)
+        filler = lambda: " ".join(rng.choice(words, rng.integers(1, 6)))
+        text = f"{filler()} {edit(notice, rng, int(rng.integers(0, k + 3)))} {filler()}"
+        text = " ".join(text.split())
+        own = [m for m in finder.matches(text) if N.NOTICES[n % len(N.NOTICES)][0] == notice and m.label == label]
+        least = least_edits(notice, text)
+        number = n % len(N.NOTICES)
+        found = finder.places(number, text, finder.windows(text).get(number, set()))
+        assert (min((e for *_, e in found), default=None) == least) if least <= k else not found, (notice, text)
+        assert all(b[0] >= a[1] for a, b in zip(found, found[1:])) and len(own) >= len(found)
+
+
+@pytest.mark.parametrize("line", ["all rights reservd ", "mit license ", "released under the mit licens and all rights reserved "])
+def test_long_pages_of_notices(line):
+    """A megabyte of repeated notices: every one found, in time that grows with the text only."""
+    import time
+
+    n, start = 1_000_000 // len(line), time.time()
+    r = N.scan(line * n, N.Finder())
+    assert time.time() - start < 30
+    assert r["n_base"] == n * ("mit license" in line) and len(r["spans"]) == n * (("reserv" in line) + ("licens " in line))
+
+
 def test_licenses_on_odd_rows(odd_docs, no_docs):
     found = collected(N.scan_licenses(odd_docs))
     assert len(found) == 12 and {r["n_words"] for r in found if r["id"] == 8} == {30_000}
