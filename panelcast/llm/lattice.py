@@ -68,10 +68,11 @@ def cells(x: np.ndarray, table: int, visits: int, scale: float) -> np.ndarray:
     """Keys of the home cell and of the visited ones, one row per vector of length one.
 
     A projection to eight of ``dim`` dimensions shrinks distances by sqrt(8 / dim), and not at all below eight: the
-    scale of shorter vectors makes up for it, so that their links are no longer in cells than those of DIM dimensions.
+    scale makes up for it, so that links are as long in cells as those of DIM dimensions, and so are the
+    distances of vectors that have nothing in common. Below DIM cells are a twentieth larger, as lengths vary less there.
     """
     dim = x.shape[1]
-    scale = scale * np.sqrt(min(max(dim, 8), DIM) / DIM)
+    scale = scale * np.sqrt(max(dim, 8) / DIM) * (0.95 if dim < DIM else 1.0)
     rng = np.random.default_rng([SEED, table, dim])
     axes = np.linalg.qr(rng.normal(size=(max(dim, 8), 8)))[0][:dim]
     point = x @ axes * scale + rng.uniform(0, 1, 8)

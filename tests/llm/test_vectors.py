@@ -64,6 +64,24 @@ def test_recall_in_every_dimension(dim):
     assert met.mean() >= 0.95
 
 
+@pytest.mark.parametrize("dim", [4, 5, 6, 8, 12, 16, 32, 64, 128, 256, 768, 1536])
+def test_recall_and_chance_meetings_in_every_dimension(dim):
+    """Pairs at a cosine of exactly 0.9 meet as a rule, vectors that have nothing in common hardly ever."""
+    rng = np.random.default_rng(dim)
+    a, b, other = rng.normal(size=(3, 2000, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.9 * a + np.sqrt(1 - 0.9**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    met, chance = np.zeros((2, len(a)), bool)
+    for t in range(L.TABLES):
+        x, y, z = (L.cells(v, t, L.VISITS, L.SCALE) for v in (a, b, other))
+        met |= (x[:, :1] == y).any(1) | (y[:, :1] == x).any(1)
+        chance |= (x[:, :1] == z).any(1) | (z[:, :1] == x).any(1)
+    assert met.mean() >= 0.9
+    assert chance.mean() <= (0.03 if dim >= 8 else 0.06)  # of four dimensions, 2 % are links by chance
+
+
 def test_large_cells_are_split(spark, clouds, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 8)
     monkeypatch.setattr(L, "GROUP", 64)
