@@ -12,15 +12,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.fdist import f_upper_tail
 from panelcast.functions.scalar import joined_key, linearity_class, log_column_name, stationarity_class, vif_class
 from panelcast.operators import kernels as K
-from panelcast.operators.lags import LAG_BLOCK, lag_embed, positional_index
-from panelcast.operators.rfactor import factor, r_factors, unpack
-from panelcast.operators.scan import prefix_sum
+from panelcast.operators.lags import LAG_BLOCK, positional_index
+from panelcast.operators.rfactor import factor, merge_factors, pack, r_factors, unpack
 
 __all__ = ["to_long_series", "kpss", "adf", "reset_linearity", "vif", "stationarity", "diagnostics_report",
            "log_transform", "MIN_OBS", "NO_LOG_COLUMNS"]
@@ -63,13 +62,60 @@ def _positioned(long: DataFrame) -> DataFrame:
             .select(*KEYS, "_skey", "pos", "n", "value", (F.col("value") - F.col("_mean")).alias("e")))
 
 
-def _lagged(df: DataFrame, col: str, lags: int) -> DataFrame:
-    """``col``__lag1..lags along each key's positions (halo-blocked windows)."""
-    if lags <= 0:
-        return df
-    extra = [c for c in df.columns if c not in ("_skey", "pos", col)]
-    emb = lag_embed(df.select("_skey", "pos", col), [col], lags, "_skey", "pos", keep_presample=True)
-    return emb.join(df.select("_skey", "pos", *extra), ["_skey", "pos"])
+BLOCK_SCHEMA = ("series_id string, variable string, _skey string, n bigint, L int, blk bigint, sums array<double>, "
+                "products array<double>, counts array<double>, r array<double>, head array<struct<pos:bigint,z:array<double>>>")
+
+
+def _block_pass(base: DataFrame, adf_range=None, products=None) -> DataFrame:
+    """Everything the tests need of a (key, block) of a series, from one pass over ``base``; checkpointed.
+
+    ``sums``: e^2, e P1, e P2 (orthogonal polynomials of the position), e, running sums of e within the block, their
+    squares, rows. ``products``: e_t e_{t-j} for j up to the column ``products``. ``r``: packed factor of the
+    Dickey-Fuller rows past the common start, as wide as the key's own range ``adf_range`` of lags asks for, and ``head``
+    the few rows before it. A block also gets the rows of the block before that its lags reach, so a long series spreads over
+    many tasks, and a key is never wider than its own lags.
+    """
+    from panelcast.session import cut_lineage
+    rows = base.withColumn("L", F.lit(None).cast("int") if adf_range is None else adf_range.cast("int"))
+    rows = rows.withColumn("P", F.lit(0) if products is None else products.cast("int"))
+    reach = F.greatest(F.coalesce(F.col("L"), F.lit(0)) + 1, F.col("P"))
+    width = F.greatest(F.lit(LAG_BLOCK), reach + 1)
+    blk = F.floor(F.col("pos") / width)
+    both = F.when(F.pmod(F.col("pos"), width) >= width - reach, F.array(blk, blk + 1)).otherwise(F.array(blk))
+    rows = rows.withColumn("blk", F.explode(both)).withColumn("own", F.col("blk") == blk)
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        first = pdf.iloc[0]
+        n, own = float(first["n"]), pdf["own"].to_numpy(bool)
+        if not own.any():  # the halo behind a series' last block
+            return pd.DataFrame(columns=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
+        pos, y, e = pdf["pos"].to_numpy(), pdf["value"].to_numpy(float), pdf["e"].to_numpy(float)
+        at = int(np.argmax(own))
+        mine, p1 = e[at:], pos[at:] - (n - 1) / 2.0
+        run = np.cumsum(mine)
+        sums = [mine @ mine, mine @ p1, mine @ (p1 * p1 - (n * n - 1) / 12.0), mine.sum(), run.sum(), run @ run, len(mine)]
+        lagged = [float(e[max(at, j):] @ e[max(at, j) - j: len(e) - j]) if len(e) > max(at, j) else 0.0 for j in range(1, int(first["P"]) + 1)]
+        r = head = None
+        if not pd.isna(first["L"]):
+            size = int(first["L"])
+            diff = np.concatenate([[0.0], np.diff(y)])  # of a halo's first row unknown, and never reached
+            diff[pos == 0] = 0.0
+            t = np.arange(max(at, 1), len(y))
+            t = t[pos[t] >= 1]
+            z = np.zeros((len(t), size + 3))
+            z[:, 0], z[:, 1], z[:, -1] = 1.0, y[t - 1], diff[t]
+            for j in range(1, size + 1):
+                has = t >= j
+                z[has, 1 + j] = diff[t[has] - j]
+            late = pos[t] > size + 1
+            r = pack(factor(z[late])) if late.any() else None
+            head = [{"pos": int(p), "z": row} for p, row in zip(pos[t[~late]], z[~late])] or None
+        return pd.DataFrame({"series_id": [first["series_id"]], "variable": [first["variable"]], "_skey": [first["_skey"]], "n": [int(n)],
+                             "L": [first["L"]], "blk": [int(first["blk"])], "sums": [np.array(sums, float)], "products": [np.array(lagged, float)],
+                             "counts": [np.array([float(len(mine))])], "r": [r], "head": [head]}).astype({"L": "Int32"})
+
+    return cut_lineage(rows.groupBy("_skey", "blk").applyInPandas(fn, BLOCK_SCHEMA))
 
 
 # ---------------------------------------------------------------- KPSS --------------------------
@@ -108,34 +154,67 @@ def _lag_products(base: DataFrame, lags: DataFrame, weight: bool) -> DataFrame:
     return whole.select("_skey", F.expr("transform(c, x -> x.v)").alias("products"))
 
 
-def kpss(long: DataFrame, nlags: int | str = "auto", base: DataFrame | None = None) -> DataFrame:
+def _adf_range(maxlag: int | None = None):
+    """Longest lag of a key's Dickey-Fuller test; NULL where it is not tested."""
+    n = F.col("n").cast("double")
+    own = F.lit(int(maxlag)) if maxlag is not None else F.least(F.floor(n / 2) - 2, F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25))))
+    return F.when((F.col("n") >= MIN_OBS) & (own >= 0), own).cast("int")
+
+
+def _kpss_range(nlags: int | str):
+    """Lagged products that the first pass computes: those the automatic choice looks at, and as many as it usually takes."""
+    n = F.col("n").cast("double")
+    if nlags != "auto":
+        return F.least(F.lit(int(nlags)), F.col("n") - 1).cast("int")
+    return F.least(F.greatest(F.floor(F.pow(n, F.lit(2.0 / 9.0))), F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25)))), n - 1).cast("int")
+
+
+def _bartlett(products, lag):
+    """Products of lags 1..``lag`` under Bartlett weights 1 - j / (lag + 1)."""
+    own = F.transform(F.slice(products, 1, F.greatest(lag, F.lit(0))), lambda g, j: g * (1.0 - (j + 1) / (lag + F.lit(1.0))))
+    return F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
+
+
+def kpss(long: DataFrame, nlags: int | str = "auto", base: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """(series_id, variable, kpss_stat, kpss_p, kpss_lags, kpss_stationary = p >= 0.05).
 
     Level KPSS with Bartlett long-run variance; 'auto' picks the lag from the first n^(2/9)
     autocovariances (Hobijn et al.). A constant series has no statistic (NULL, not stationary).
+    Running sums and lagged products come from the pass over blocks; only keys whose automatic lag is longer than
+    usual take a second one.
     """
     from panelcast.session import cut_lineage
-    base = base if base is not None else cut_lineage(_positioned(long))
+    if blocks is None:
+        base = base if base is not None else cut_lineage(_positioned(long))
+        blocks = _block_pass(base, products=_kpss_range(nlags))
     n = F.col("n").cast("double")
-    feats = prefix_sum(base, ["_skey"], "pos", "e", "s")
-    sums = cut_lineage(feats.groupBy(*KEYS, "_skey").agg(
-        F.first("n").alias("n"), F.sum(F.col("e") * F.col("e")).alias("g0"), F.sum(F.col("s") * F.col("s")).alias("ss")))
+    s = [F.col("sums")[i] for i in range(7)]
+    before = Window.partitionBy("_skey").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    runs = blocks.select(*KEYS, "_skey", "n", "sums", F.coalesce(F.sum(s[3]).over(before), F.lit(0.0)).alias("c"))
+    square = s[6] * F.col("c") * F.col("c") + 2.0 * F.col("c") * s[4] + s[5]
+    sums = runs.groupBy(*KEYS, "_skey").agg(F.first("n").alias("n"), F.sum(s[0]).alias("g0"), F.sum(square).alias("ss"))
+    cells = blocks.select("_skey", F.posexplode("products").alias("j", "v")).groupBy("_skey", "j").agg(F.sum("v").alias("v"))
+    whole = cells.groupBy("_skey").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("c"))
+    sums = sums.join(whole.select("_skey", F.expr("transform(c, x -> x.v)").alias("products")), "_skey", "left")
+    sums = sums.withColumn("products", F.coalesce("products", F.array().cast("array<double>")))
     if nlags == "auto":
-        short = sums.select("_skey", F.floor(F.pow(n, F.lit(2.0 / 9.0))).cast("int").alias("L"))
-        chosen = sums.join(_lag_products(base, short, weight=False), "_skey")
-        gammas = F.transform("products", lambda g, j: F.struct((g / (n / 2.0)).alias("g"), (j + 1).cast("double").alias("j")))
+        short = F.slice("products", 1, F.floor(F.pow(n, F.lit(2.0 / 9.0))).cast("int"))
+        gammas = F.transform(short, lambda g, j: F.struct((g / (n / 2.0)).alias("g"), (j + 1).cast("double").alias("j")))
         s0 = F.col("g0") / n + F.aggregate(gammas, F.lit(0.0), lambda a, x: a + x["g"])
         s1 = F.aggregate(gammas, F.lit(0.0), lambda a, x: a + x["j"] * x["g"])
         lag = F.floor(F.lit(KPSS_AUTOLAG_C) * F.pow(F.pow(F.try_divide(s1, s0), 2), F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0)))
-        chosen = chosen.select("_skey", F.coalesce(F.least(lag, n - 1), F.lit(0)).cast("int").alias("L"))
+        sums = sums.withColumn("lag", F.coalesce(F.least(lag, n - 1), F.lit(0)).cast("int"))
     else:
-        chosen = sums.select("_skey", F.least(F.lit(int(nlags)), F.col("n") - 1).cast("int").alias("L"))
-    chosen = cut_lineage(chosen)
-    weighted = _lag_products(base, chosen.filter("L > 0"), weight=True).select("_skey", F.col("products")[0].alias("w"))
-    stats = sums.join(chosen, "_skey").join(weighted, "_skey", "left")
-    long_run = F.col("g0") + 2.0 * F.coalesce("w", F.lit(0.0))
+        sums = sums.withColumn("lag", F.least(F.lit(int(nlags)), F.col("n") - 1).cast("int"))
+    stats = cut_lineage(sums).withColumn("w", _bartlett(F.col("products"), F.col("lag")))
+    longer = stats.where(F.col("lag") > F.size("products")).select("_skey", F.col("lag").alias("L"))
+    if not longer.isEmpty():
+        base = base if base is not None else cut_lineage(_positioned(long))
+        far = _lag_products(base, longer, weight=True).select("_skey", F.col("products")[0].alias("far"))
+        stats = stats.join(far, "_skey", "left").withColumn("w", F.coalesce("far", "w"))
+    long_run = F.col("g0") + 2.0 * F.col("w")
     stat = F.when(F.col("g0") > 0, F.try_divide(F.col("ss") / n, long_run))
-    stats = stats.select(*KEYS, "n", stat.alias("stat"), F.col("L").alias("kpss_lags"))
+    stats = stats.select(*KEYS, "n", stat.alias("stat"), F.col("lag").alias("kpss_lags"))
     stat = F.col("stat")
     p = _kpss_p(stat)
     ok = (F.col("n") >= MIN_OBS) & stat.isNotNull()
@@ -144,10 +223,6 @@ def kpss(long: DataFrame, nlags: int | str = "auto", base: DataFrame | None = No
 
 
 # ---------------------------------------------------------------- ADF ---------------------------
-def _adf_maxlag(n: int) -> int:
-    return min(n // 2 - 1 - 1, int(math.ceil(12.0 * math.pow(n / 100.0, 0.25))))
-
-
 def _norm_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2.0))
 
@@ -196,37 +271,23 @@ def _adf_from_factor(r: np.ndarray, head: dict[int, np.ndarray], n: int, max_lag
     return (float(inverse[1] @ f[:m, m] / se) if se > 0 else float("nan")), lag
 
 
-def adf(long: DataFrame, base: DataFrame | None = None, maxlag: int | None = None, autolag: str | None = "AIC") -> DataFrame:
+def adf(long: DataFrame, base: DataFrame | None = None, maxlag: int | None = None, autolag: str | None = "AIC",
+        blocks: DataFrame | None = None) -> DataFrame:
     """Augmented Dickey-Fuller with constant; lag by AIC over 0..maxlag on the common sample,
     then refit with the chosen lag on its own sample; p from the MacKinnon surface. With
     ``autolag=None`` the given ``maxlag`` is used as the lag.
 
-    Lags are embedded up to the longest range of the panel (12 (n / 100)^(1/4), 38 for ten thousand values).
-    Per key one triangular factor holds all rows past the common start; the rows before it, as many as
+    A key's lags reach 12 (n / 100)^(1/4) positions back, its own range whatever the others have. Per key one
+    triangular factor of that width holds all rows past the common start; the rows before it, as many as
     lags, are kept as they are, so every lag's own sample is at hand without a second pass. Keys with
     fewer than MIN_OBS values or without a statistic (constant series) have NULL results.
     """
     from panelcast.session import cut_lineage
-    base = base if base is not None else cut_lineage(_positioned(long))
-    if maxlag is None:
-        n = F.col("n").cast("double")
-        own_range = F.least(F.floor(n / 2) - 2, F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25)))).cast("int")
-    else:
-        own_range = F.lit(int(maxlag))
-    keyed = base.withColumn("L", own_range)
-    every = keyed.groupBy(*KEYS).agg(F.first("n").alias("n"), F.first("L").alias("L"))
-    tested = keyed.filter((F.col("n") >= MIN_OBS) & (F.col("L") >= 0))
-    big_l = int(tested.agg(F.max("L")).first()[0] or 0)
-    f1 = _lagged(tested.select(*KEYS, "_skey", "pos", "n", "L", "value"), "value", 1)
-    f1 = f1.select(*KEYS, "_skey", "pos", "n", "L", F.col("value__lag1").alias("ylag"), (F.col("value") - F.col("value__lag1")).alias("dy"))
-    rows = _lagged(f1, "dy", big_l).filter(F.col("pos") >= 1).fillna(0.0)
-    cols = ["one", "ylag", *[f"dy__lag{j}" for j in range(1, big_l + 1)], "dy"]
-    rows = cut_lineage(rows.withColumn("one", F.lit(1.0)).select(*KEYS, "pos", "n", "L", *cols))
-    d = len(cols)
-    late = rows.filter(F.col("pos") > F.col("L") + 1)
-    late = r_factors(late, KEYS, d, lambda part: part[cols].to_numpy(float), lambda part: [float(len(part))])
-    early = rows.filter(F.col("pos") <= F.col("L") + 1).groupBy(*KEYS).agg(
-        F.collect_list(F.struct("pos", F.array(*cols).alias("z"))).alias("head"))  # L + 1 rows a key, at most
+    if blocks is None:
+        blocks = _block_pass(base if base is not None else cut_lineage(_positioned(long)), _adf_range(maxlag))
+    every = blocks.groupBy(*KEYS).agg(F.first("n").alias("n"), F.first("L").alias("L"))
+    late = merge_factors(blocks.where("r is not null"), KEYS)
+    early = blocks.where("head is not null").groupBy(*KEYS).agg(F.flatten(F.collect_list("head")).alias("head"))  # L + 1 rows a key, at most
     per_key = every.join(late.select(*KEYS, "r"), KEYS, "left").join(early, KEYS, "left")
 
     def fn(batches):
@@ -235,6 +296,7 @@ def adf(long: DataFrame, base: DataFrame | None = None, maxlag: int | None = Non
             for sid, col, n, max_lag, packed, head in zip(*(pdf[c] for c in ("series_id", "variable", "n", "L", "r", "head"))):
                 tau, lag = float("nan"), None
                 if head is not None:
+                    d = int(max_lag) + 3
                     r = np.zeros((d, d)) if packed is None else unpack(packed, d)
                     tau, lag = _adf_from_factor(r, {int(h["pos"]): np.asarray(h["z"], float) for h in head}, int(n), int(max_lag), bool(autolag))
                 p = mackinnon_p(tau)
@@ -247,19 +309,18 @@ def adf(long: DataFrame, base: DataFrame | None = None, maxlag: int | None = Non
 
 
 # ---------------------------------------------------------------- RESET -------------------------
-def reset_linearity(long: DataFrame, base: DataFrame | None = None) -> DataFrame:
+def reset_linearity(long: DataFrame, base: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """RESET on a time trend: y ~ 1 + t versus y ~ 1 + t + yhat^2, F(1, n - 3).
 
     yhat^2 is a quadratic in t, so the extended fit equals a quadratic trend; with orthogonal
     polynomials P1 = t - tbar, P2 = P1^2 - (n^2-1)/12 on equally spaced positions both RSS values
     come from four sums in one aggregation.
     """
-    base = base if base is not None else _positioned(long)
-    n_d = F.col("n").cast("double")
-    p1 = F.col("pos") - (n_d - 1) / 2.0
-    p2 = p1 * p1 - (n_d * n_d - 1) / 12.0
-    s = base.groupBy(*KEYS).agg(F.first("n").alias("n"), F.sum(F.col("e") * F.col("e")).alias("see"),
-                                F.sum(F.col("e") * p1).alias("sep1"), F.sum(F.col("e") * p2).alias("sep2"))
+    from panelcast.session import cut_lineage
+    if blocks is None:
+        blocks = _block_pass(base if base is not None else cut_lineage(_positioned(long)))
+    part = [F.sum(F.col("sums")[i]) for i in range(3)]
+    s = blocks.groupBy(*KEYS).agg(F.first("n").alias("n"), part[0].alias("see"), part[1].alias("sep1"), part[2].alias("sep2"))
     n = F.col("n").cast("double")
     sp1 = n * (n * n - 1) / 12.0
     sp2 = n * (n * n - 1) * (n * n - 4) / 180.0
@@ -313,9 +374,10 @@ def diagnostics_report(wide: DataFrame, columns: Sequence[str], series_col: str
     from panelcast.session import cut_lineage
     wide = cut_lineage(wide.select(series_col, time_col, *columns))
     long = to_long_series(wide, columns, series_col, time_col)
-    base = cut_lineage(_positioned(long))  # positions and moments shared by all tests
-    st = stationarity(adf(long, base, adf_maxlag), kpss(long, base=base))
-    lin = reset_linearity(long, base).withColumn("linearity", linearity_class("is_linear"))
+    base = cut_lineage(_positioned(long))
+    blocks = _block_pass(base, _adf_range(adf_maxlag), _kpss_range("auto"))  # one pass for the three tests of a column
+    st = stationarity(adf(long, base, adf_maxlag, blocks=blocks), kpss(long, base=base, blocks=blocks))
+    lin = reset_linearity(long, base, blocks).withColumn("linearity", linearity_class("is_linear"))
     v = vif(wide, columns, series_col)
     return st.join(lin, KEYS, "full").join(v, KEYS, "full")
 

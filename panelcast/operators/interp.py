@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from panelcast.functions.scalar import joined_key
 from panelcast.operators.lags import positional_index
 from panelcast.operators.scan import SCAN_BLOCK, neighbours
+from panelcast.session import cut_lineage
 
-__all__ = ["interpolate_linear", "ffill_bfill", "zero_fill"]
+__all__ = ["interpolate_linear", "ffill_bfill", "zero_fill", "fill_gaps"]
 
 
 def _with_position(df: DataFrame, keys: list[str], order: list[str], position: str | None) -> tuple[DataFrame, str]:
@@ -63,5 +64,21 @@ def ffill_bfill(df: DataFrame, keys: Sequence[str], order: Sequence[str], value_
     return res.drop("_pos") if position is None else res
 
 
+def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], value_cols: Sequence[str],
+              round_digits: int | None = None, position: str | None = None, zero: bool = True,
+              block: int = SCAN_BLOCK) -> DataFrame:
+    """Linear interpolation, forward fill, backward fill and, with ``zero``, 0 where a series has no value at all.
+
+    Interpolation between the neighbours and the nearest value at both ends read one and the same state, so all fills
+    are one blocked scan over an input that is materialised once; forward and backward filling after interpolation
+    could not change a value.
+    """
+    out, pos = _with_position(df, list(keys), list(order), position)
+    filled = interpolate_linear(cut_lineage(out), keys, order, value_cols, round_digits, pos, block)
+    if zero:
+        filled = zero_fill(filled, value_cols)
+    return filled.drop("_pos") if position is None else filled
+
+
 def zero_fill(df: DataFrame, value_cols: Sequence[str]) -> DataFrame:
     return df.fillna(0.0, subset=list(value_cols))

@@ -19,48 +19,27 @@ def lag_name(var: str, j: int) -> str:
     return f"{var}__lag{j}"
 
 
-def _as_number(c: str, dtype: str):
-    col = F.col(c)
-    if dtype == "date":
-        return F.unix_date(col).cast("double")
-    if dtype == "timestamp_ntz":  # zone-less, independent of the session time zone
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col).cast("double")
-    if dtype == "timestamp":
-        return F.unix_micros(col).cast("double")
-    return col.cast("double")
-
-
 def positional_index(df: DataFrame, series_col: str, order_cols: Sequence[str], time_col: str = "t",
-                     buckets: int = 256) -> DataFrame:
+                     bucket: int | None = None, buckets: int | None = None) -> DataFrame:
     """0..T-1 per series in ``order_cols`` order (must be unique within a series; NULL comes first).
 
-    Distributed like zipWithIndex but deterministic in the data: each series is cut at approximate
-    quantiles of its first order column, so buckets hold like counts wherever the values lie; rows are
-    numbered inside their (series, bucket) window and each bucket is offset by the rows of the buckets
-    before it. The cuts are checkpointed: a lost executor recomputes the same buckets. The first order
-    column must be numeric, a date or a timestamp (text falls in one bucket).
+    Distributed like zipWithIndex but deterministic in the data: counting selection cuts each series into ordered
+    ranges of at most ``bucket`` rows (``buckets``: about so many ranges in all), ties by the next order column, text by
+    prefixes; rows are numbered inside their range and each range is offset by the rows of the ranges before it. The ranges
+    are checkpointed: a lost executor recomputes the same ones.
     """
-    from panelcast.session import cut_lineage
+    from panelcast.operators.selection import ordered_ranges, with_offsets
     order_cols = list(order_cols)
     columns = df.columns
-    df = df.withColumn("_sk", joined_key([series_col]))
-    dtype = dict(df.dtypes)[order_cols[0]]
-    if dtype == "string" or dtype.startswith(("array", "struct", "map", "binary")):
-        tagged = df.withColumn("_b", F.lit(0))
-    else:
-        v = _as_number(order_cols[0], dtype)
-        at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-        cuts = df.groupBy("_sk").agg(F.percentile_approx(v, at, 10 * buckets).alias("_cuts"))
-        cuts = cut_lineage(cuts.withColumn("_cuts", F.array_distinct("_cuts")))
-        before = F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < v).cast("int"))
-        tagged = df.join(cuts, "_sk").withColumn("_b", F.coalesce(before, F.lit(-1))).drop("_cuts")
-    counts = tagged.groupBy("_sk", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy("_sk").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_sk", "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_sk", "_b").orderBy(*order_cols))
-    out = tagged.withColumn("_loc", local).join(offsets, ["_sk", "_b"])
-    place = (F.col("_off") + F.col("_loc") - 1).cast("bigint").alias(time_col)
-    return out.select(*[F.col(f"`{c}`") for c in columns if c != time_col], place)
+    if buckets:
+        bucket = max(1, -(-df.count() // buckets))
+    rows, ranges = ordered_ranges(df.withColumn("_sk", joined_key([series_col])), "_sk", order_cols, bucket)
+    own = ["_sk", "_path"]
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*own).orderBy(*order_cols)) - 1)
+    if not ranges.where(F.size("_path") > 0).isEmpty():
+        rows = rows.join(with_offsets(ranges, "_sk").drop("_n"), own).withColumn("_place", F.col("_place") + F.col("_off"))
+    place = F.col("_place").cast("bigint").alias(time_col)
+    return rows.select(*[F.col(f"`{c}`") for c in columns if c != time_col], place)
 
 
 def lag_embed(panel: DataFrame, variables: Sequence[str], lags: int, series_col: str = "series_id",

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.scalar import joined_key
 from panelcast.operators.lags import positional_index
+from panelcast.operators.selection import at_ranks
 from panelcast.session import cut_lineage
 
 __all__ = ["null_count_ranking", "nan_summary", "completeness", "quality_buckets", "null_totals",
@@ -108,20 +108,17 @@ def column_minimums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def quantiles(df: DataFrame, keys: Sequence[str], value_col: str, wanted: dict[str, float]) -> DataFrame:
     """One column per wanted quantile (linear between order statistics, q clamped to [0, 1]) and key.
 
-    Exact without a buffer per key: the distributed index numbers a key's values in order, and the two
-    order statistics of each quantile are picked by their number.
+    Exact without sorting and without a buffer per key: counting selection finds the order statistics, one scan a round.
     NULL values are left out; a key without values has no row.
     """
     keys = list(keys)
-    known = df.where(F.col(value_col).isNotNull()).select(*keys, F.col(value_col).alias("_v")).withColumn("_k", joined_key(keys))
-    placed = positional_index(known, "_k", ["_v"], "_p")
-    totals = known.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    rows = placed.join(totals, "_k")
-    aggs = []
-    for name, q in wanted.items():
-        at = (F.col("_n") - 1) * F.lit(min(max(float(q), 0.0), 1.0))
-        low = F.max(F.when(F.col("_p") == F.floor(at), F.col("_v")))
-        high = F.max(F.when(F.col("_p") == F.ceil(at), F.col("_v")))
-        part = F.max(at - F.floor(at))
-        aggs.append((low * (1 - part) + high * part).alias(name))
-    return rows.groupBy(*keys).agg(*aggs)
+    known = df.where(F.col(value_col).isNotNull())
+    known = known.select((F.struct(*keys) if keys else F.lit("")).alias("_k"), F.col(value_col).alias("_given"))
+    shares = [min(max(float(q), 0.0), 1.0) for q in wanted.values()]
+    place = lambda n, q: (n - 1) * F.lit(q)
+    found = at_ranks(known, "_k", "_given", lambda n: [f(place(n, q)) for q in shares for f in (F.floor, F.ceil)])
+    out = []
+    for i, (name, q) in enumerate(zip(wanted, shares)):
+        part = place(F.col("_n"), q) - F.floor(place(F.col("_n"), q))
+        out.append((F.get("_values", F.lit(2 * i)) * (1 - part) + F.get("_values", F.lit(2 * i + 1)) * part).alias(name))
+    return found.select(*[F.col(f"_k.`{c}`") for c in keys], *out)

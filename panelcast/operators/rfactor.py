@@ -8,6 +8,7 @@ are stacked and factored again after one shuffle, so no task holds a key's rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-__all__ = ["factor", "pack", "unpack", "r_factors"]
+__all__ = ["factor", "pack", "unpack", "width", "r_factors", "merge_factors"]
 
 FLUSH_AT = 20_000  # keys whose factors a map task holds at once
 
@@ -43,6 +44,11 @@ def unpack(values, d: int) -> np.ndarray:
     return r
 
 
+def width(packed) -> int:
+    """Columns of a packed factor."""
+    return (math.isqrt(8 * len(packed) + 1) - 1) // 2
+
+
 def r_factors(df: DataFrame, key_cols: Sequence[str], d: int, rows_of: Callable[[pd.DataFrame], np.ndarray],
               counts_of: Callable[[pd.DataFrame], list[float]]) -> DataFrame:
     """(keys, counts array, r array): per key, the sums of ``counts_of`` and the packed factor of the
@@ -76,23 +82,39 @@ def r_factors(df: DataFrame, key_cols: Sequence[str], d: int, rows_of: Callable[
         if held:
             yield frame(held)
 
+    fields = [StructField(df.schema[c].name, df.schema[c].dataType) for c in key_cols]
+    numbers = ArrayType(DoubleType())
+    schema = StructType([*fields, StructField("counts", numbers), StructField("r", numbers)])
+    return merge_factors(df.mapInPandas(fold, schema), key_cols)
+
+
+def merge_factors(parts: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """One row per key of (keys, counts, r): counts added, factors stacked and factored again. Keys may have factors
+    of different widths. The rows of a key arrive sorted and are folded as they come."""
+    key_cols = list(key_cols)
+
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by key: all keys of a batch but its last are complete."""
-        held: dict = {}
+        own, counts, r = None, None, None
+
+        def row() -> pd.DataFrame:
+            return pd.DataFrame({**{c: [k] for c, k in zip(key_cols, own)}, "counts": [counts], "r": [pack(r)]})
+
         for b in batches:
-            for key, part in b.groupby(key_cols, sort=False, dropna=False):
-                for counts, r in zip(part["counts"], part["r"]):
-                    add(held, own(key), np.asarray(counts, float), unpack(r, d))
-            last = own(tuple(b[key_cols].iloc[-1])) if len(b) else None
-            done = {k: v for k, v in held.items() if k != last}
+            done = []
+            for *key, more, packed in zip(*(b[c] for c in key_cols), b["counts"], b["r"]):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                more, d = np.asarray(more, float), width(packed)
+                if key == own:
+                    counts, r = counts + more, factor(np.vstack([r, unpack(packed, d)]))
+                    continue
+                if own is not None:
+                    done.append(row())
+                own, counts, r = key, more, unpack(packed, d)
             if done:
-                yield frame(done)
-            held = {k: v for k, v in held.items() if k == last}
-        if held:
-            yield frame(held)
+                yield pd.concat(done)
+        if own is not None:
+            yield row()
 
-    fields = [StructField(df.schema[c].name, df.schema[c].dataType) for c in key_cols]
-    numbers = ArrayType(DoubleType())
-    schema = StructType([*fields, StructField("counts", numbers), StructField("r", numbers)])
-    parts = df.mapInPandas(fold, schema)
-    return parts.repartition(*[F.col(c) for c in key_cols]).sortWithinPartitions(*key_cols).mapInPandas(merge, schema)
+    parts = parts.select(*key_cols, "counts", "r")
+    ordered = parts.repartition(*[F.col(c) for c in key_cols]).sortWithinPartitions(*key_cols)
+    return ordered.mapInPandas(merge, parts.schema)

@@ -255,9 +255,7 @@ def q_p5(spark, sf):
 
 def _top_interpolated(spark, sf):
     rows = _top_rows(spark, sf)
-    filled = interp.interpolate_linear(rows, ["n_name"], ["week"], D.NW_MEASURES, round_digits=0, position="t")
-    filled = interp.ffill_bfill(filled, ["n_name"], ["week"], D.NW_MEASURES, position="t")
-    return interp.zero_fill(filled, D.NW_MEASURES)
+    return interp.fill_gaps(rows, ["n_name"], ["week"], D.NW_MEASURES, round_digits=0, position="t")
 
 
 def _linear_sql(c: str, key: str) -> str:
@@ -855,6 +853,19 @@ def q_t22(spark, sf):
     return PL.training_table(spark, sf)
 
 
+@register("S6_T22_training_folders", _TT_SQL,
+          doubles=("target", "l_discount", "l_tax", "l_quantity", "l_extendedprice"), digits=6)
+def q_s6_folders(spark, sf):
+    """The training tables written by country and strain with wrong targets, then every second country again
+    and the others again, each run replacing its own folders only; read back."""
+    from panelcast.session import cut_lineage
+    path, table = _scratch(spark, "training"), cut_lineage(PL.training_table(spark, sf))
+    second = F.pmod(F.xxhash64("n_name"), F.lit(2)) == 0
+    for rows in (table.withColumn("target", -F.col("target") - 1), table.where(second), table.where(~second)):
+        PL.write_training_tables(rows, path)
+    return PL.read_training_tables(spark, path)
+
+
 @register("T21_var_report")
 def q_t21(spark, sf):
     panel = PL.flag_panel(spark, sf)
@@ -1324,3 +1335,64 @@ def q_t21_k2(spark, sf):
     panel = _panel(spark, sf)
     usable = _model(spark, sf, K2)[1].fits.where("status = 'ok'").select("series_id")
     return PL.var_report(spark, panel.join(usable, "series_id", "left_semi"), K2, lags=1, out=_scratch(spark, "var_report"))["granger"]
+
+
+# --------------------------------------------------------------- whole reports with oracles ---
+@register("T19_diagnostics_report_two_lags", f"""WITH {_RESET_SQL}, {_KPSS_AUTO_SQL}, {_VERDICT_SQL},
+v AS (SELECT l_returnflag AS series_id, count(*) AS n, sum(l_quantity * l_quantity) AS saa, sum(l_discount * l_discount) AS sbb,
+  sum(l_quantity * l_discount) AS sab FROM lw WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL GROUP BY 1),
+vv AS (SELECT series_id, CASE WHEN n >= 10 THEN 1 / (1 - sab * sab / (saa * sbb)) END AS vif FROM v)
+SELECT st.series_id, st.variable, ta.tau AS adf_stat, kpss.stat AS kpss_stat, kpss.p AS kpss_p, kpss.L AS kpss_lags, st.adf_stationary,
+  st.kpss_stationary, st.stationarity, rf.f AS reset_f, rpv.p AS reset_p, coalesce(rpv.p >= 0.05, false) AS is_linear, vv.vif
+FROM st JOIN ta USING (series_id, variable) JOIN kpss USING (series_id, variable) JOIN rf USING (series_id, variable)
+  JOIN rpv USING (series_id, variable) JOIN vv USING (series_id)""",
+          doubles=("adf_stat", "kpss_stat", "kpss_p", "reset_f", "reset_p", "vif"), digits=7, sig=True)
+def q_t19_two(spark, sf):
+    """The report of all tests in one table, Dickey-Fuller lags 0 and 1; columns long enough to be tested."""
+    lw = D.lineitem_weekly(spark, sf).withColumnRenamed("l_returnflag", "series_id")
+    report = DG.diagnostics_report(lw, ["l_quantity", "l_discount"], adf_maxlag=1)
+    return report.where("adf_stat is not null and kpss_stat is not null").select(
+        "series_id", "variable", "adf_stat", "kpss_stat", "kpss_p", "kpss_lags", "adf_stationary", "kpss_stationary", "stationarity",
+        "reset_f", "reset_p", "is_linear", "vif")
+
+
+_ALL_LV_SQL = f"""tt AS ({_TT_SQL}),
+lv0 AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY week) - 1 AS t, target AS qty, l_discount AS disc FROM tt),
+lv AS (SELECT *, lag(qty) OVER (PARTITION BY series_id ORDER BY t) AS qty1, lag(disc) OVER (PARTITION BY series_id ORDER BY t) AS disc1 FROM lv0),
+{_LV_SQL[_LV_SQL.index("bad1 AS"):]}"""
+
+
+@register("S12_all_series_granger_k2", f"WITH {_ALL_LV_SQL}, {_GR_SQL} SELECT * FROM gr", doubles=("f_stat", "p_value"), digits=6, sig=True)
+def q_s12_k2(spark, sf):
+    """All configured countries and strains in one job: counts and one covariate, both directions."""
+    panel = PL.training_panel(spark, sf).select("series_id", "t", F.col("target").alias("qty"), F.col("l_discount").alias("disc"))
+    return granger_matrix(fit_var(panel, K2, VarSpec(1, Det.CONST)))
+
+
+_SUMMARY_ITEMS = ["k", "lags", "det", "n_obs", "n_reg", "n_lag_params", "c_rows", "c_cols", "n_params", "df_resid"]
+
+
+@register("T21_var_report_tables_k2", f"""WITH model AS ({CATALOG['T13_summary_k2'].sql}), fc AS ({CATALOG['S7_forecast_wide_k2'].sql}),
+gr AS ({CATALOG['T8_T9_granger_k2'].sql}), ir AS ({CATALOG['S8_irf_wide_k2'].sql})
+{' UNION ALL '.join(f"SELECT 'model' AS part, series_id, '{c}' AS item, 0 AS at_step, CAST({c} AS DOUBLE) AS value FROM model WHERE status = 'ok'" for c in _SUMMARY_ITEMS)}
+UNION ALL SELECT 'forecast', series_id, 'qty', step, qty FROM fc UNION ALL SELECT 'forecast', series_id, 'disc', step, disc FROM fc
+UNION ALL SELECT 'granger', series_id, cause || '>' || effect, CASE WHEN significant THEN 1 ELSE 0 END, f_stat FROM gr
+UNION ALL SELECT 'irf', series_id, 'Shock_qty', horizon, Shock_qty FROM ir UNION ALL SELECT 'irf', series_id, 'Shock_disc', horizon, Shock_disc FROM ir""",
+          doubles=("value",), digits=8, sig=True)
+def q_t21_tables(spark, sf):
+    """All four tables of the report job, written, read back and put below one another; the mark of a
+    causality row is its significance."""
+    panel = _panel(spark, sf)
+    usable = _model(spark, sf, K2)[1].fits.where("status = 'ok'").select("series_id")
+    report = PL.var_report(spark, panel.join(usable, "series_id", "left_semi"), K2, lags=1, out=_scratch(spark, "var_report"))
+
+    def rows(part, df, cols, at):
+        long = df.withColumn("_at", at).select("series_id", "_at", *[F.col(c).cast("double").alias(c) for c in cols])
+        long = long.unpivot(["series_id", "_at"], cols, "item", "value")
+        return long.select(F.lit(part).alias("part"), "series_id", "item", F.col("_at").cast("int").alias("at_step"), "value")
+
+    g = report["granger"]
+    causes = g.select(F.lit("granger").alias("part"), "series_id", F.concat("CauseVar", F.lit(">"), "EffectVar").alias("item"),
+                      F.col("Significant").cast("int").alias("at_step"), F.col("FStatistic").alias("value"))
+    return (rows("model", report["model"], _SUMMARY_ITEMS, F.lit(0)).unionByName(rows("forecast", report["forecast"], K2, F.col("step")))
+            .unionByName(causes).unionByName(rows("irf", report["irf"], ["Shock_qty", "Shock_disc"], F.col("horizon"))))

@@ -88,12 +88,9 @@ def training_table(spark: SparkSession, sf_dir: str, config: DataFrame | None =
     config = country_config(spark, sf_dir) if config is None else config
     weekly = D.nation_weekly(spark, sf_dir).drop("isoyw").where(F.col("iso_year").isNotNull() & F.col("iso_week").between(1, 53))
     flu = join_many_to_one(weekly.withColumn("code", F.upper("n_name")), config, ["code"])
-    flu = cut_lineage(flu)
-    flu = interp.interpolate_linear(flu, ["n_name"], ["week"], D.NW_MEASURES, round_digits=0, position="t")
-    flu = interp.ffill_bfill(flu, ["n_name"], ["week"], D.NW_MEASURES, position="t")
-    flu = cut_lineage(interp.zero_fill(flu, D.NW_MEASURES))
-    weather = cut_lineage(D.lineitem_weekly(spark, sf_dir))
-    weather = interp.interpolate_linear(weather, ["l_returnflag"], ["week"], COVARIATES, position="t")
+    flu = interp.fill_gaps(flu, ["n_name"], ["week"], D.NW_MEASURES, round_digits=0, position="t")
+    weather = D.lineitem_weekly(spark, sf_dir)
+    weather = interp.fill_gaps(weather, ["l_returnflag"], ["week"], COVARIATES, position="t", zero=False)
     weather = weather.groupBy(F.col("l_returnflag").alias("source"), "iso_year", "iso_week").agg(*[F.avg(c).alias(c) for c in COVARIATES])
     merged = join_many_to_one(flu, cut_lineage(weather), ["source", "iso_year", "iso_week"])
     kept = {c: F.when(F.array_contains("covariates", c), F.col(c)) for c in COVARIATES}
@@ -102,6 +99,25 @@ def training_table(spark: SparkSession, sf_dir: str, config: DataFrame | None =
                                 ["source", "week", "iso_year", "iso_week", *COVARIATES])
 
 
+STRAIN_FOLDERS = ["n_name", "strain"]
+
+
+def write_training_tables(table: DataFrame, path: str) -> None:
+    """One folder per country and strain; countries that ``table`` has no rows of stay as they are on disk."""
+    from panelcast.sources.sinks import write_table
+    write_table(table, path, partition_by=STRAIN_FOLDERS, replace_partitions=True)
+
+
+def read_training_tables(spark: SparkSession, path: str, country: str | None = None, strain: str | None = None) -> DataFrame:
+    """The written tables, in the columns of the training table; only the folders asked for are listed and read."""
+    rows = spark.read.option("recursiveFileLookup", "false").parquet(path)
+    for column, value in zip(STRAIN_FOLDERS, (country, strain)):
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    first = ["series_id", *STRAIN_FOLDERS]
+    return rows.select(*first, *[c for c in rows.columns if c not in first])
+
+
 def training_panel(spark: SparkSession, sf_dir: str, config: DataFrame | None = None) -> DataFrame:
     """Model input from the training table: positional index per series over its weeks."""
     from panelcast.sources.readers import load_series

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import csv
+from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -11,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from panelcast.functions.scalar import lenient_int
 
 __all__ = [
-    "STATION_COLUMNS", "read_station_file", "read_table", "require_columns", "present_columns",
+    "STATION_COLUMNS", "station_layouts", "read_station_file", "read_table", "require_columns", "present_columns",
     "select_present", "load_series", "read_test_table",
 ]
 
@@ -46,6 +48,36 @@ def select_present(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.select(*present_columns(df, cols))
 
 
+def station_layouts(spark: SparkSession, path: str | Sequence[str], sep: str = "|") -> dict[tuple[str, ...], list[str]]:
+    """Files by the columns of their header, found by one job however many files there are.
+
+    The scan deals one file to a task, and a task stops after the first line, so of a large file little more
+    than its head is read. Headers meet in a grouped aggregate; the driver gets one row per header. Files without a
+    line are left out.
+    """
+    scan = spark.newSession()  # settings of this scan only
+    scan.conf.set("spark.sql.files.maxPartitionBytes", str(2**44))
+    scan.conf.set("spark.sql.files.openCostInBytes", str(2**44))
+    scan.conf.set("spark.sql.files.minPartitionNum", "1")
+    scan.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = None
+        for b in batches:
+            for file, line in zip(b["file"], b["value"]):
+                if file != seen:
+                    names = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep))
+                    yield pd.DataFrame({"names": [names], "file": [file]})
+                seen = file
+            if len(b):
+                return
+
+    lines = scan.read.text(path if isinstance(path, str) else list(path)).select("value", F.input_file_name().alias("file"))
+    heads = lines.mapInPandas(first, "names array<string>, file string")
+    found = heads.groupBy("names").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    return {tuple(r["names"]): r["files"] for r in sorted(found, key=lambda r: r["files"])}
+
+
 def read_station_file(spark: SparkSession, path: str | Sequence[str], year_min: int = 2000,
                       columns: Sequence[str] = STATION_COLUMNS, sep: str = "|",
                       check_nonempty: bool = False) -> DataFrame:
@@ -56,10 +88,7 @@ def read_station_file(spark: SparkSession, path: str | Sequence[str], year_min:
     whitelist reaches the scans as pruned read schemas. Values stay strings; typing is the cleaning
     step's job (lenient casts).
     """
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(spark.read.text(path).inputFiles()):  # reads the first line of each file
-        head = spark.read.option("header", True).option("sep", sep).csv(file)
-        layouts.setdefault(tuple(head.columns), []).append(file)
+    layouts = station_layouts(spark, path, sep)
     if not layouts:
         raise ValueError(f"no station file at {path}")
     out = None

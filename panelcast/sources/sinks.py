@@ -24,12 +24,20 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),
-                mode: str = "overwrite", digits: int | None = None) -> None:
+                mode: str = "overwrite", digits: int | None = None, replace_partitions: bool = False) -> None:
+    """Write a table, with ``partition_by`` one folder per value of these columns.
+
+    Rows are rebalanced by the partition columns first, so a small partition is one file and a large one is
+    split by size, not by the number of tasks. ``replace_partitions``: only the partitions that ``df`` has rows
+    for are replaced, those of other values stay.
+    """
     if digits is not None:
         df = round_doubles(df, digits)
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode)
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic" if replace_partitions else "static")
     if fmt == "csv":
         w = w.option("header", True)
     w.format(fmt).save(path)

@@ -218,3 +218,18 @@ def test_week_label_start_option(spark):
     got = weekly_rollup(df, ["k"], "d", ["v"], label="start").orderBy("week").collect()
     assert [str(r.week) for r in got] == ["2024-01-01", "2024-01-08"]
     assert [r.v for r in got] == [1.0, 2.0]
+
+
+def test_all_fills_in_one_pass(spark):
+    """Linear, then both ends, then zero for a series without any value; one neighbour window in the plan."""
+    vals = {"g1": [None, 1.0, None, 4.0, None], "g2": [None] * 3, "g3": [5.0, None, None, None, 1.0]}
+    rows = [(k, i, v, None if v is None else -v) for k, vs in vals.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "k string, i bigint, v double, w double")
+    old = interp.interpolate_linear(df, ["k"], ["i"], ["v", "w"], round_digits=0, position="i", block=2)
+    old = interp.zero_fill(interp.ffill_bfill(old, ["k"], ["i"], ["v", "w"], position="i", block=2), ["v", "w"])
+    new = interp.fill_gaps(df, ["k"], ["i"], ["v", "w"], round_digits=0, position="i", block=2)
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [last") <= 2  # rows within blocks, and the summary of blocks
+    kept = interp.fill_gaps(df, ["k"], ["i"], ["v"], zero=False).where("k = 'g2'").collect()
+    assert [r.v for r in kept] == [None] * 3

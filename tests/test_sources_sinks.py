@@ -97,3 +97,40 @@ def test_input_checks(spark):
     for rows in ([], [("a", 0, None)], [("a", 1, 1.0), ("a", 2, 1.0)], [("a", 0, 1.0), ("a", 2, 1.0)], [("a", 0, 1.0), ("a", 0, 1.0), ("a", 1, 1.0)]):
         with pytest.raises(ValueError):
             load(rows)
+
+
+def test_station_heads_of_many_files_in_one_job(spark, tmp_path):
+    """Three layouts over sixty files, a quoted name, a byte-order mark, an empty file."""
+    from panelcast.sources.readers import station_layouts
+    heads = ["Station_ID|Year|temperature", "Year|Station_ID", '﻿"Station_ID"|temperature|Year']
+    for i in range(60):
+        body = "".join(f"{x}|{y}|{z}\n"[: 6 if i % 3 == 1 else None] for x, y, z in [(1, 2, 3)] * (i % 5))
+        (tmp_path / f"f{i:02}.psv").write_text(heads[i % 3] + "\n" + body)
+    (tmp_path / "none.psv").write_text("")
+    group = "station-heads"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = station_layouts(spark, str(tmp_path))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {k: len(v) for k, v in found.items()} == {("Station_ID", "Year", "temperature"): 20, ("Year", "Station_ID"): 20, ("Station_ID", "temperature", "Year"): 20}
+    assert len(jobs) <= 3  # the shuffle's map stage, its result, a coalesced read: whatever the number of files
+
+
+def test_partitions_are_replaced_and_pruned(spark, tmp_path):
+    from panelcast.plans import pipelines as PL
+    path = str(tmp_path / "tables")
+    rows = [(f"{c}|{s}", c, s, w, float(w)) for c in ("X", "Y", None) for s in ("A", "B") for w in range(5)]
+    table = spark.createDataFrame(rows, "series_id string, n_name string, strain string, week int, target double").repartition(7)
+    PL.write_training_tables(table, path)
+    files = len(list((tmp_path / "tables").glob("n_name=X/strain=A/*.parquet")))
+    assert files == 1  # rebalanced: not one file per task
+    PL.write_training_tables(table.where("n_name = 'X'").withColumn("target", F.lit(-1.0)), path)
+    back = PL.read_training_tables(spark, path)
+    assert back.columns == table.columns and back.count() == 30
+    assert back.where("target = -1").count() == 10 and back.where("target = -1 and n_name <> 'X'").count() == 0
+    one = PL.read_training_tables(spark, path, country="Y", strain="B")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == 5 and "PartitionFilters: [isnotnull(n_name" in plan
+    assert len(one.inputFiles()) == 1 or one.select(F.input_file_name()).distinct().count() == 1
