@@ -172,9 +172,8 @@ class LineIndex:
         delta = written(delta.select(*KEY, "doc_id", "n"), "delta")
         refs = self.refs.unionByName(delta).groupBy(*KEY, "doc_id").agg(F.sum("n").alias("n"))
         refs = written(refs.where("n > 0"), "refs")
-        touched = delta.select(*KEY).distinct()
-        found = refs.join(touched, KEY, "left_semi").groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("top"))
-        counts = written(self.counts.join(touched, KEY, "left_anti").unionByName(found), "counts")
+        found = refs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("top"))  # combines on the map side
+        counts = written(found, "counts")
         new = replace(self, refs=refs, counts=counts)
         shards = 1 << max(0, (max(1, new.repeated().count() // SHARD) - 1).bit_length())
         if shards > self.shards:  # all filters anew
@@ -182,8 +181,8 @@ class LineIndex:
             moved = new.repeated().select(*KEY, F.lit(True).alias("came"))
             old = self.filters.where("false")
         else:
-            before = self.repeated().join(touched, KEY, "left_semi").select(*KEY, F.lit(True).alias("was"))
-            after = new.repeated().join(touched, KEY, "left_semi").select(*KEY, F.lit(True).alias("came"))
+            before = self.repeated().select(*KEY, F.lit(True).alias("was"))
+            after = new.repeated().select(*KEY, F.lit(True).alias("came"))
             moved = before.join(after, KEY, "full").where("was is null or came is null")
             moved = moved.select(*KEY, F.coalesce("came", F.lit(False)).alias("came"))
             old = self.filters
