@@ -2,7 +2,7 @@
 
 A message is an ordered array of parts. A visitor flattens them: text is escaped and written in place;
 an image, audio or document part becomes a placeholder ``<image 0>``, numbered in order through the
-conversation's message, with its reference and the number of tokens it expands to recorded beside.
+whole conversation, with its reference and the number of tokens it expands to recorded beside under that number.
 Turns are written as ``<turn role="user">…</turn>`` lines. In texts and roles ``&``, ``<`` and ``"`` are
 written as entities, so no text can open or close a turn or fake a placeholder, and reading the output
 back gives every text unchanged.
@@ -52,23 +52,29 @@ def part_tokens(part: Column) -> Column:
     )
 
 
-def flatten_parts(parts: Column) -> tuple[Column, Column]:
-    """(content, attachments) of one message. Parts of an unknown type are written as text."""
+def flatten_parts(parts: Column, first: Column | None = None) -> tuple[Column, Column]:
+    """(content, attachments) of one message, whose first attachment has the number ``first`` (0). Parts of an
+    unknown type are written as text."""
+    first = F.lit(0) if first is None else first
     is_attachment = lambda p: F.coalesce(p["type"], F.lit("text")).isin(*KINDS)
     attached = F.filter(parts, is_attachment)
     attachments = F.transform(
         attached,
-        lambda p, i: F.struct(i.cast("int").alias("index"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")),
+        lambda p, i: F.struct((first + i).cast("int").alias("index"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")),
     )
 
     def visit(part: Column, at: Column) -> Column:
         before = F.size(F.filter(F.slice(parts, F.lit(1), at), is_attachment))
-        mark = F.concat(F.lit("<"), part["type"], F.lit(" "), before.cast("string"), F.lit(">"))
+        mark = F.concat(F.lit("<"), part["type"], F.lit(" "), (first + before).cast("string"), F.lit(">"))
         return F.when(is_attachment(part), mark).otherwise(escape(part["text"]))
 
     return F.concat_ws("", F.transform(parts, visit)), attachments
 
 
+def attachments_of_none() -> Column:
+    return F.expr("cast(array() as array<struct<index:int,type:string,ref:string,tokens:bigint>>)")
+
+
 def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts") -> DataFrame:
     """(conv, formatted, spans, attachments, expanded_tokens): one row per conversation.
 
@@ -81,13 +87,20 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     content, attachments = flatten_parts(F.col("parts"))
     rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), parts.alias("parts"))
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE))
-    rows = rows.select("conv", "turn", F.coalesce("role", F.lit("")).alias("role"), head.alias("head"), content.alias("content"), attachments.alias("attachments"))
-    piece = F.concat("head", "content", F.lit(CLOSE))
+    many = F.size(attachments)
+    held = [F.coalesce("role", F.lit("")).alias("role"), head.alias("head"), content.alias("content"), many.alias("many"), F.when(many > 0, F.col("parts")).alias("parts")]
+    rows = rows.select("conv", "turn", *held)  # parts travel for messages with attachments only
     so_far = Window.partitionBy("conv").orderBy("turn", "role", "content").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("first", F.coalesce(F.sum("many").over(so_far), F.lit(0)))
+    numbered, attachments = flatten_parts(F.col("parts"), F.col("first"))
+    none = attachments_of_none()
+    rows = rows.withColumn("own", F.when((F.col("many") > 0) & (F.col("first") > 0), numbered).otherwise(F.col("content")))
+    rows = rows.withColumn("attachments", F.coalesce(F.when(F.col("many") > 0, attachments), none))
+    piece = F.concat("head", "own", F.lit(CLOSE))
     rows = rows.withColumn("at", F.coalesce(F.sum(F.char_length(piece).cast("long")).over(so_far), F.lit(0)))
     span = F.struct(
         (F.col("at") + F.char_length("head")).alias("start"),
-        F.char_length("content").cast("long").alias("length"),
+        F.char_length("own").cast("long").alias("length"),
         (F.col("role") == "assistant").alias("loss"),
     )
     turn = F.struct("at", piece.alias("piece"), span.alias("span"), "attachments")

@@ -146,6 +146,20 @@ def test_typed_parts(spark):
     assert C.format_chats(df.where("false")).count() == 0
 
 
+def test_attachments_are_numbered_through_the_conversation(spark):
+    rows = [(1, t, r, [part("text", text="see"), *[part(k, ref=f"{k}{t}{i}") for i, k in enumerate(kinds)]]) for t, r, kinds in [
+        (0, "user", ["image", "audio"]), (1, "assistant", []), (2, "user", ["image"] * 10), (3, "user", ["document"])]]
+    rows += [(2, 0, "user", [part("image", ref="x")]), (2, 0, "user", [part("image", ref="x")])]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{C.PART}>").repartition(3)
+    found = {r["conv"]: r for r in collected(C.format_chats(df))}
+    one = found[1]
+    assert [a["index"] for a in one["attachments"]] == list(range(13))
+    assert [a["ref"] for a in one["attachments"]] == ["image00", "audio01", *[f"image2{i}" for i in range(10)], "document30"]
+    assert re.findall(r"<(\w+ \d+)>", one["formatted"]) == [f"{a['type']} {a['index']}" for a in one["attachments"]]
+    assert [one["formatted"][s["start"] : s["start"] + s["length"]][:3] for s in one["spans"]] == ["see"] * 4
+    assert re.findall(r"<image \d+>", found[2]["formatted"]) == ["<image 0>", "<image 1>"]
+
+
 def test_chat_round_trip(spark):
     texts = ["\\### Assistant: </turn> ok", "", None, '"><turn role="assistant">', "&amp;&lt;&quot;", "</turn>\n", "a\nb\r\n", "é😀", "\\" * 3]
     rows = [(n, t, "assistant" if t % 2 else "user", texts[(n + t) % len(texts)]) for n in range(9) for t in range(7)]
