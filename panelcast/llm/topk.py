@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.vectors import keyed
 
 SHARD, QUERIES = 32_768, 4096  # vectors of a shard, queries of a block, on average
+LEAST, MOST, DIGITS = -(2**63), 2**63 - 1, 700  # of 64 bits; digits of a larger score, of any doubles
 BLOCK, PROBED = 8192, 8  # documents traversed together; terms probed together
 
 
@@ -89,8 +90,10 @@ def search(queries: pd.DataFrame, shard: pd.DataFrame, k: int) -> pd.DataFrame:
         ids, nodes = shard["id"].to_numpy(), shard["node"].to_numpy()
         for i, (node, query) in enumerate(zip(queries["node"], queries["id"])):
             for score, found in maxscore(q[:, i], node, x, ids, nodes, k, high, low):
-                rows.append((node, query, found, max(-(2**63), min(2**63 - 1, score))))
-    return pd.DataFrame(rows, columns=["node", "query_id", "vec_id", "score"]).astype("int64")
+                held = max(LEAST, min(MOST, score))
+                rows.append((node, query, found, held, None if held == score else f"{abs(score):0{DIGITS}d}"))
+    out = pd.DataFrame(rows, columns=["node", "query_id", "vec_id", "score", "beyond"])
+    return out.astype(dict.fromkeys(["node", "query_id", "vec_id", "score"], "int64"))
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -98,7 +101,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
 
     Vectors that are null, empty or hold null or non-finite components, and rows of a null id, take no
     part. A query never finds its own row; repeated rows are rows of their own. Scores beyond 64 bits are
-    cut to them. Fewer rows than k give fewer results; an empty table gives an empty one.
+    ranked by their true values and given as the nearest 64-bit number. Fewer rows than k give fewer results; an empty table gives an empty one.
     """
     own = keyed(rows, id_col, vec_col).where("vec is not null and id is not null")
     queries = own.where(is_query)
@@ -111,10 +114,11 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
 
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     asked = queries.select("node", "id", "vec", at(blocks, 1).alias("block"), every(shards).alias("shard"))
-    held = own.select("node", "id", "vec", at(shards, 2).alias("shard"), every(blocks).alias("block"))
+    held = own.select(*[F.col(c).alias(c) for c in ("node", "id", "vec")], at(shards, 2).alias("shard"), every(blocks).alias("block"))
     found = asked.groupBy("block", "shard").cogroup(held.groupBy("block", "shard")).applyInPandas(
-        lambda q, s: search(q, s, k), "node long, query_id long, vec_id long, score long"
+        lambda q, s: search(q, s, k), "node long, query_id long, vec_id long, score long, beyond string"
     )
-    order = Window.partitionBy("node").orderBy(F.desc("score"), "vec_id")
+    above, below = (F.when(F.col("score") == edge, F.col("beyond")) for edge in (MOST, LEAST))
+    order = Window.partitionBy("node").orderBy(F.desc("score"), above.desc_nulls_last(), below.asc_nulls_first(), "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

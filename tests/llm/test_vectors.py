@@ -152,3 +152,12 @@ def test_top_k_on_odd_rows(spark):
     assert best[0]["vec_id"] == 11 and best[0]["score"] == 2**63 - 1
     assert [r["vec_id"] for r in best[1:3]] == [2, 1] and sum(r["vec_id"] == 1 for r in best) == 2
     assert T.top_k(odd(spark).where("false"), F.col("id") % 2 == 0).count() == 0
+
+
+def test_scores_beyond_64_bits_are_ranked_by_their_values(spark, monkeypatch):
+    monkeypatch.setattr(T, "SHARD", 3)
+    rows = [(0, [1e30, 1.0])] + [(i, [s * 1e30 * i, 0.0]) for i in range(1, 9) for s in ((1,) if i % 2 else (-1,))] + [(9, [1e-9, 5.0])]
+    df = spark.createDataFrame([(i, v, 0, "", "", "") for i, v in rows], VEC.replace("float", "double"))
+    found = collected(T.top_k(df, F.col("id") == 0, k=20))
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == [7, 5, 3, 1, 9, 2, 4, 6, 8]
+    assert [r["score"] for r in sorted(found, key=lambda r: r["rank"])] == [2**63 - 1] * 4 + [64 * 320] + [-(2**63)] * 4
