@@ -149,9 +149,12 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
                     yield pd.DataFrame({"host": [tile], "chunk": chunk, "tile": tile, "fps": [fps]})
 
     tiles = distinct.select("fp").mapInPandas(deal, "fp long, tile long").groupBy("tile")
-    guests = tiles.agg(F.collect_list("fp").alias("fps")).mapInPandas(
-        invite, "host long, chunk long, tile long, fps array<long>"
-    )
+    tasks = 4 * distinct.sparkSession.sparkContext.defaultParallelism
+    tiles = tiles.agg(F.collect_list("fp").alias("fps"))
+    tiles = tiles.repartition(max(1, min(len(lows), max(tasks, len(lows) // 64))), "tile")  # small rows that fan out: not for one task
+    guests = tiles.mapInPandas(invite, "host long, chunk long, tile long, fps array<long>")
+    pairs = len(lows) * chunks
+    guests = guests.repartition(max(1, min(pairs, max(tasks, pairs // 16))), "host", "chunk")  # by work, not by bytes
     return guests.groupBy("host", "chunk").applyInPandas(lambda g: near_links(g, radius), "u long, v long")
 
 
