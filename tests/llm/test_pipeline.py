@@ -13,7 +13,7 @@ SF01 = "/root/testdata/sf0.01"
 
 
 def test_names_and_order():
-    assert sorted({int(k.split("_")[0][2:]) for k in QUERIES}) == list(range(1, 11))
+    assert sorted({int(k.split("_")[0][2:]) for k in QUERIES}) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
     assert [f for _, f in corpus_pipeline.STAGES] == [stages.toxicity, stages.simhash, stages.secrets, stages.mixing, stages.packing]
 
@@ -31,6 +31,19 @@ def test_packing_stage_on_odd_rows(spark, odd_docs, no_docs):
     assert stages.packing(spark, no_docs, SF).count() == 0
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]])
+def test_columns_named_like_helpers_pass(spark, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["__score", "__row", "__key", "__id", "__hash", "__text", "__dup", "__n", "__copies", "__copy", "__KEY_"]
+    docs = docs.union(docs.limit(5)).union(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    for c in names:
+        docs = docs.withColumn(c, F.col("doc_id"))
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[c] == r["doc_id"] for r in rows for c in names)
+
+
 def test_dedup_keeps_one_of_each_group(spark, odd_docs):
     from panelcast.llm.simhash import simhash_dedup
 
