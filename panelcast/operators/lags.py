@@ -36,7 +36,7 @@ def positional_index(df: DataFrame, series_col: str, order_cols: Sequence[str],
     rows, ranges = ordered_ranges(df.withColumn("_sk", joined_key([series_col])), "_sk", order_cols, bucket)
     own = ["_sk", "_path"]
     rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*own).orderBy(*order_cols)) - 1)
-    if not ranges.where(F.size("_path") > 0).isEmpty():
+    if ranges is not None:
         rows = rows.join(with_offsets(ranges, "_sk").drop("_n"), own).withColumn("_place", F.col("_place") + F.col("_off"))
     place = F.col("_place").cast("bigint").alias(time_col)
     return rows.select(*[F.col(f"`{c}`") for c in columns if c != time_col], place)

@@ -125,17 +125,21 @@ def _refined(rows: DataFrame, own: DataFrame, key: str, kind: str, bucket: int,
         rows = joined.select(*rows.columns)
 
 
-def ordered_ranges(df: DataFrame, key: str, order_cols: Sequence[str], bucket: int | None = None) -> tuple[DataFrame, DataFrame]:
+def ordered_ranges(df: DataFrame, key: str, order_cols: Sequence[str], bucket: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(df with ``_path``, ranges): the rows of ``key`` (a column that is never NULL) in ranges ordered by ``order_cols``.
 
     ``ranges`` holds (key, _path, _n), written. A range has at most ``bucket`` rows, unless they are alike
-    in all order columns or differ in a column of a nested type only.
+    in all order columns or differ in a column of a nested type only. If no key has more rows than that, every
+    key is one range and ``ranges`` is None: one count of the rows is all it takes.
     """
     bucket = bucket or BUCKET
     types = dict(df.dtypes)
     none = F.array().cast("array<int>")
-    ranges = written_table(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(key, none.alias("_path"), "_n"))
     rows = df.withColumn("_path", none)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    if (counts.agg(F.max("_n")).first()[0] or 0) <= bucket:
+        return rows, None
+    ranges = written_table(counts.select(key, none.alias("_path"), "_n"))
     for c in order_cols:
         large, n = _near(written_table(ranges.where(F.col("_n") > bucket).select(key, "_path", F.lit(True).alias("_large"))))
         kind = _kind(types[c])
