@@ -346,7 +346,7 @@ SELECT l_returnflag, week, iso_year, iso_week, l_quantity, o_totalprice FROM lw
 def q_j1(spark, sf):
     from panelcast.operators.joins import join_many_to_one
     lw = D.lineitem_weekly(spark, sf).select("l_returnflag", "week", "iso_year", "iso_week", "l_quantity")
-    return join_many_to_one(lw, _orders_weekly_mean(spark, sf), ["iso_year", "iso_week"])
+    return join_many_to_one(lw, _orders_weekly_mean(spark, sf), ["iso_year", "iso_week"], validate="plan")
 
 
 # =============================================================== 2.2 projections / filters ====

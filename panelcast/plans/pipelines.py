@@ -92,7 +92,7 @@ def training_table(spark: SparkSession, sf_dir: str, config: DataFrame | None =
     weather = D.lineitem_weekly(spark, sf_dir)
     weather = interp.fill_gaps(weather, ["l_returnflag"], ["week"], COVARIATES, position="t", zero=False)
     weather = weather.groupBy(F.col("l_returnflag").alias("source"), "iso_year", "iso_week").agg(*[F.avg(c).alias(c) for c in COVARIATES])
-    merged = join_many_to_one(flu, cut_lineage(weather), ["source", "iso_year", "iso_week"])
+    merged = join_many_to_one(flu, weather, ["source", "iso_year", "iso_week"], validate="plan")
     kept = {c: F.when(F.array_contains("covariates", c), F.col(c)) for c in COVARIATES}
     merged = merged.withColumns(kept | {"LOG_INF_A": F.log1p("INF_A"), "LOG_INF_B": F.log1p("INF_B")})
     return reshape.split_series(merged, ["n_name"], ["LOG_INF_A", "LOG_INF_B"],

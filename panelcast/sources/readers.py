@@ -120,14 +120,21 @@ def read_test_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_series(df: DataFrame, variables: Sequence[str], series_col: str = "series_id",
-                order_col: str | None = None, time_col: str = "t", check: bool = False) -> DataFrame:
+                order_col: str | None = None, time_col: str = "t", check: bool | str = False) -> DataFrame:
     """Typed model input: every variable cast to double (strict: bad text raises under ANSI).
 
     When ``order_col`` is given the positional index 0..T-1 is assigned per series by the
     distributed ``positional_index``. ``check`` raises on an empty input, a NULL value or, for a given
-    ``time_col``, an index that does not run 0..T-1 (one aggregation over the input).
+    ``time_col``, an index that does not run 0..T-1 (one aggregation over the input). With "plan" a NULL
+    value raises when it is read, without a scan of its own; the index is not looked at.
     """
-    cols = [F.col(v).cast("double").alias(v) for v in variables]
+    def typed_value(v: str):
+        value = F.col(v).cast("double")
+        if check == "plan":
+            value = F.coalesce(value, F.raise_error(F.lit(f"NULL value in column {v}")).cast("double"))
+        return value.alias(v)
+
+    cols = [typed_value(v) for v in variables]
     series = F.col(series_col).cast("string").alias(series_col)
     if order_col is None:
         out = df.select(series, F.col(time_col).cast("bigint").alias(time_col), *cols)
@@ -135,7 +142,7 @@ def load_series(df: DataFrame, variables: Sequence[str], series_col: str = "seri
         from panelcast.operators.lags import positional_index
         typed = df.select(series, F.col(order_col), *cols)
         out = positional_index(typed, series_col, [order_col], time_col).select(series_col, time_col, *variables)
-    if check:
+    if check and check != "plan":
         t = F.col(time_col)
         bad = F.count_if(F.expr(" or ".join(f"`{c}` is null" for c in [*variables, time_col])))
         per = out.groupBy(series_col).agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi"),

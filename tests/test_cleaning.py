@@ -233,3 +233,20 @@ def test_all_fills_in_one_pass(spark):
     assert plan.count("Window [last") <= 2  # rows within blocks, and the summary of blocks
     kept = interp.fill_gaps(df, ["k"], ["i"], ["v"], zero=False).where("k = 'g2'").collect()
     assert [r.v for r in kept] == [None] * 3
+
+
+def test_checks_ride_on_the_plan(spark):
+    """Unique keys and NULL values are checked by the job that reads them, with one scan of the checked side."""
+    from panelcast.sources.readers import load_series
+    left = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "y int, w int, l string")
+    right = spark.createDataFrame([(1, 1, 5.0, None), (1, 2, None, "x")], "y int, w int, v double, s string")
+    out = join_many_to_one(left, right, ["y", "w"], validate="plan")
+    assert out.columns == ["y", "w", "l", "v", "s"]
+    assert sorted(map(tuple, out.collect())) == [(1, 1, "a", 5.0, None), (1, 2, "b", None, "x")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    with pytest.raises(Exception, match="not unique"):
+        join_many_to_one(left, right.union(right), ["y", "w"], validate="plan").collect()
+    series = spark.createDataFrame([("a", 0, 1.0), ("a", 1, None)], "series_id string, t int, v double")
+    with pytest.raises(Exception, match="NULL value in column v"):
+        load_series(series, ["v"], check="plan").collect()
+    assert load_series(series.where("v is not null"), ["v"], check="plan").count() == 1
