@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from conftest import SF001, SF01
+from f_tail_pairs import FOURTEEN_VARIABLES, THIRTEEN_VARIABLES, pairs
 from panelcast.functions.fdist import f_sf_numpy
 
 # Fixed values: (F, d1, d2, p) pairs printed to 6 decimals by the reference's causality runs.
@@ -21,6 +22,13 @@ def test_f_tail_goldens(f, d1, d2, p):
     assert float(f_sf_numpy(f, d1, d2)) == pytest.approx(p, abs=1e-6)
 
 
+@pytest.mark.parametrize("text,d2,n", [(FOURTEEN_VARIABLES, 901, 182), (THIRTEEN_VARIABLES, 689, 156)], ids=["14", "13"])
+def test_f_tail_of_whole_printed_tables(text, d2, n):
+    """Both numbers are rounded to 6 decimals, so p may be off by half a unit and by what F's half unit moves it."""
+    f, p = np.array(pairs(text)).T
+    assert len(f) == n and np.abs(f_sf_numpy(f, 6, d2) - p).max() <= 1.1e-6
+
+
 def test_f_tail_closed_form_d1_2():
     f = np.array([0.01, 0.5, 3.0, 40.0])
     for d2 in (3, 50, 700):
