@@ -1396,3 +1396,25 @@ def q_t21_tables(spark, sf):
                       F.col("Significant").cast("int").alias("at_step"), F.col("FStatistic").alias("value"))
     return (rows("model", report["model"], _SUMMARY_ITEMS, F.lit(0)).unionByName(rows("forecast", report["forecast"], K2, F.col("step")))
             .unionByName(causes).unionByName(rows("irf", report["irf"], ["Shock_qty", "Shock_disc"], F.col("horizon"))))
+
+
+# every replication's refit, Cholesky factor and responses; bands over all replications
+_q = CATALOG["T11_bootstrap_irf_k2"]
+_q.sql = f"""WITH RECURSIVE {_LV_SQL}, {_PSI_SQL}, {_SIM2_SQL},
+bq AS (SELECT series_id, rep, sum((qty - mq) * (disc - md)) AS sqd FROM srr JOIN bm USING (series_id, rep) GROUP BY ALL),
+bk AS (SELECT *, (sqq - bq1 * s1q - bq2 * s2q) / (n - 3) AS g11, (sqd - bq1 * s1d - bq2 * s2d) / (n - 3) AS g12,
+  (sdd - bd1 * s1d - bd2 * s2d) / (n - 3) AS g22 FROM bb JOIN bq USING (series_id, rep)),
+bc AS (SELECT *, sqrt(g11) AS l11, g12 / sqrt(g11) AS l21, sqrt(g22 - g12 * g12 / g11) AS l22 FROM bk),
+bpsi AS (SELECT series_id, rep, 0 AS h, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS p12, 0.0::DOUBLE AS p21, 1.0::DOUBLE AS p22 FROM bc
+  UNION ALL SELECT bpsi.series_id, bpsi.rep, bpsi.h + 1, bc.bq1 * bpsi.p11 + bc.bq2 * bpsi.p21, bc.bq1 * bpsi.p12 + bc.bq2 * bpsi.p22,
+    bc.bd1 * bpsi.p11 + bc.bd2 * bpsi.p21, bc.bd1 * bpsi.p12 + bc.bd2 * bpsi.p22
+  FROM bpsi JOIN bc USING (series_id, rep) WHERE bpsi.h < {HORIZON - 1}),
+bresp AS (SELECT series_id, CAST(h AS INTEGER) AS horizon, p11 * l11 + p12 * l21 AS qq, p12 * l22 AS qd, p21 * l11 + p22 * l21 AS dq,
+  p22 * l22 AS dd FROM bpsi JOIN bc USING (series_id, rep)),
+blong AS (SELECT series_id, 'qty' AS shock, 'qty' AS response, horizon, qq AS v FROM bresp UNION ALL SELECT series_id, 'disc', 'qty', horizon, qd FROM bresp
+  UNION ALL SELECT series_id, 'qty', 'disc', horizon, dq FROM bresp UNION ALL SELECT series_id, 'disc', 'disc', horizon, dd FROM bresp),
+bband AS (SELECT series_id, shock, response, horizon, quantile_cont(v, 0.025) AS lower, quantile_cont(v, 0.975) AS upper, count(*) AS n_reps
+  FROM blong GROUP BY ALL)
+SELECT irf2.series_id, irf2.shock, irf2.response, irf2.horizon, irf2.value AS point, lower, upper, n_reps
+FROM irf2 JOIN bband USING (series_id, shock, response, horizon)"""
+_q.doubles, _q.digits, _q.sig = ("point", "lower", "upper"), 7, True
