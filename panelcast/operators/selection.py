@@ -159,11 +159,14 @@ def at_ranks(df: DataFrame, key: str, value_col: str, ranks: Callable[[Column],
     """(key, _n, _values): the values at the ``ranks`` (0-based, from a key's row count) of every key, in the order asked for.
 
     Only ranges that hold a wanted rank are cut further. Those that end with one value need no rows any more; of the
-    others, at most ``bucket`` rows each, one list is sorted. A group of the key is never held.
+    others, at most ``bucket`` rows each, one list is sorted. A group of the key is never held. The column is numeric
+    and holds no NULL.
     """
     bucket = bucket or BUCKET
     dtype = dict(df.dtypes)[value_col]
     kind = _kind(dtype)
+    if kind not in ("float", "exact"):
+        raise TypeError(f"no order statistics of a column of type {dtype}")
     rows = df.select(key, F.col(value_col).alias("_given"), _value(value_col, dtype).alias("_cv"))
     rows = rows.withColumn("_path", F.array(_class(F.col("_cv"), kind)))
     own = _counted(rows, key)
