@@ -118,6 +118,44 @@ def test_network_finds_held_out_secrets(spark):
     assert all(k in X.KINDS for _, _, k in X.scan(net, [bare])[0])
 
 
+def test_network_learns_from_all_documents(spark):
+    """Findings that stand in the last documents of the hash order alone."""
+    ids = spark.range(33_000).orderBy(F.xxhash64("id", F.lit(29)), "id").collect()
+    texts = [""] * 32_000 + planted(1000, 1)
+    assert X.fit(spark.createDataFrame([(r["id"], t) for r, t in zip(ids, texts)], "doc_id long, text string")) is not None
+
+
+def test_every_tile_of_a_class_is_learnt_from(spark, monkeypatch):
+    keys = ["".join(k) for k in np.random.default_rng(2).choice(list("0123456789abcdef"), (2000, 40))]
+    seen = []
+    monkeypatch.setattr(X, "train_shards", lambda tiles, sizes, *_: seen.append((tiles.count(), *sizes)) or X.untrained(np.random.default_rng(0)))
+    docs = [(i, f"use {k} or site.org/{k.translate(str.maketrans('0123456789abcdef', 'ghijklmnopqrstuv'))}") for i, k in enumerate(keys)]
+    net = X.fit(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert seen[0][0] == sum(seen[0][1:]) and seen[0][2] > 6000 and 0 <= net.threshold <= 1
+
+
+def test_shards_learn_together(spark, monkeypatch):
+    monkeypatch.setattr(X, "SHARD", 400)
+    docs = spark.createDataFrame(list(enumerate(planted(1500, 1))), "doc_id long, text string")
+    net, again = X.fit(docs), X.fit(docs.repartition(7))
+    assert (net.filters == again.filters).all() and net.threshold == again.threshold
+    fresh = planted(200, 2)
+    spots = [(t, a, b, any(a < y and x < b for x, y, _ in X.base_spans(t))) for t in fresh for a, b in X.candidates(t, X.base_spans(t))]
+    p = net.probability(X.matrix([X.window(t, a, b) for t, a, b, _ in spots]))
+    secret = np.array([s for *_, s in spots])
+    assert (p[secret] >= net.threshold).mean() >= 0.9 and (p[~secret] >= net.threshold).mean() <= 0.05
+
+
+def test_calibration_of_rows_equals_that_of_arrays(spark):
+    rng = np.random.default_rng(4)
+    y = np.repeat([1, 0], [60, 2000])
+    margin = rng.normal(size=len(y)) + y
+    a, b = (X.untrained(rng) for _ in range(2))
+    X.calibrate(a, margin, y)
+    X.calibrate_rows(b, spark.createDataFrame(list(zip(y.tolist(), margin.tolist())), "secret int, margin double"), (2000, 60))
+    assert np.allclose([a.scale, a.shift, a.threshold, a.precision], [b.scale, b.shift, b.threshold, b.precision], rtol=1e-6)
+
+
 def test_network_adds_secrets_of_kinds_the_patterns_miss(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     net, rng = X.fit(docs), np.random.default_rng(6)
