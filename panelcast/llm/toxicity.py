@@ -7,8 +7,9 @@ reversed, so the classifier cannot explain the unlabelled text away. Features ar
 words and of five-letter word beginnings, hashed; those that differ most between the two samples
 are kept and weighted by the log ratio of their prior-corrected frequencies.
 
-The fit reads a bounded sample: POSITIVES toxic and UNLABELLED other training rows, taken in hash
-order of their ids; scoring reads every whole text.
+The fit reads all training rows: features are counted over all of them, and rows of equal features, which are one
+pattern with a count, are dealt to shards of about UNLABELLED rows and POSITIVES toxic ones. A task trains a shard's
+classifiers, which are averaged over the shards.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import cut_lineage, held_out
 
-POSITIVES, UNLABELLED = 4000, 12000  # rows of the training sample, at most
+POSITIVES, UNLABELLED = 4000, 12000  # rows of a shard, about
+TOGETHER = 4096  # rows counted together
+BROADCAST_IDS = 1 << 20  # toxic ids that are sent to all executors, at most; more are joined by a shuffle
 BUCKETS, FEATURES = 1 << 20, 128  # hash range; features kept
 LEAST_ROWS, LEAST_Z = 3, 6.0  # rows with a feature, and its z score, to be kept
 CLASSIFIERS, STEPS, RATE, DECAY = 3, 900, 0.02, 1e-4
@@ -39,8 +42,20 @@ def buckets_of(word: str) -> tuple[int, ...]:
     return (whole,) if len(word) <= 5 else (whole, zlib.crc32(b"^" + word[:5].encode("utf-8", "replace")) % BUCKETS)
 
 
-def features(text: str | None) -> set[int]:
-    return {b for w in set(WORDS.findall((text or "").lower())) for b in buckets_of(w)}
+class Buckets(dict):
+    """Buckets of the words met lately; of ``kept`` ones only, if given."""
+
+    def __init__(self, kept: dict[int, object] | None = None):
+        self.kept = kept
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        own = self[word] = tuple(b for b in buckets_of(word) if self.kept is None or b in self.kept)
+        return own
+
+    def features(self, text: str | None) -> set[int]:
+        return set().union(*[self[w] for w in set(WORDS.findall((text or "").lower()))])
 
 
 @dataclass
@@ -50,18 +65,10 @@ class Model:
     weights: dict[int, np.ndarray]
     offset: np.ndarray
 
-    def score_texts(self, texts, cache: dict) -> list[float]:
+    def score_texts(self, texts, known: Buckets) -> list[float]:
         out = []
         for text in texts:
-            found = set()
-            for word in set(WORDS.findall((text or "").lower())):
-                own = cache.get(word)
-                if own is None:
-                    if len(cache) > 500_000:
-                        cache.clear()
-                    own = cache[word] = tuple(b for b in buckets_of(word) if b in self.weights)
-                found.update(own)
-            margin = self.offset + sum((self.weights[b] for b in sorted(found)), np.zeros_like(self.offset))
+            margin = self.offset + sum((self.weights[b] for b in sorted(known.features(text))), np.zeros_like(self.offset))
             out.append(float(np.mean(1 / (1 + np.exp(-np.clip(margin, -30, 30))))))
         return out
 
@@ -102,29 +109,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     texts = docs.where(~held_out(F.col(id_col))).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     share = known.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0))).first()[0] or 0.0
-    order = F.xxhash64("id", F.lit(17))
-    toxic = texts.join(known.where("toxic = 1"), "id", "left_semi").select("id").distinct().orderBy(order, "id").limit(POSITIVES)
-    other = texts.select("id").distinct().orderBy(order, "id").limit(UNLABELLED)
-    chosen = toxic.select("id", F.lit(1).alias("positive")).union(other.select("id", F.lit(0)))
-    chosen = cut_lineage(chosen)  # at most POSITIVES + UNLABELLED ids
+    toxic = cut_lineage(known.where("toxic = 1").select("id", F.lit(1).alias("positive")))
+    toxic = F.broadcast(toxic) if toxic.count() <= BROADCAST_IDS else toxic
+    rows = texts.where("id is not null").join(toxic, "id", "left").select(F.coalesce("positive", F.lit(0)).alias("positive"), "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, held = Buckets(), np.zeros((2, BUCKETS + 1), np.int64)  # the last place counts the rows
         for b in batches:
-            own = [np.fromiter(features(t), np.int64) for t in b["text"]]
-            sizes = [len(x) for x in own]
-            yield pd.DataFrame({"bucket": np.concatenate([*own, np.zeros(0, np.int64)]), "positive": np.repeat(b["positive"].to_numpy(), sizes)})
-
-    sample = cut_lineage(texts.join(F.broadcast(chosen), "id").select("positive", "text"))
-    rows = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
-    n_p, n_u = rows.get(1, 0), rows.get(0, 0)
+            for start in range(0, len(b), TOGETHER):
+                part = b.iloc[start : start + TOGETHER]
+                found = [np.fromiter(known.features(t), np.int64) for t in part["text"]]
+                toxic = [x for x, positive in zip(found, part["positive"]) if positive]
+                for at, own in enumerate((toxic, found)):
+                    held[at, :BUCKETS] += np.bincount(np.concatenate([*own, np.zeros(0, np.int64)]), minlength=BUCKETS)
+                    held[at, BUCKETS] += len(own)
+        at = held[1].nonzero()[0]
+        yield pd.DataFrame({"bucket": at, "k_p": held[0, at], "k_u": held[1, at]})
+
+    held = rows.mapInPandas(count, "bucket long, k_p long, k_u long").groupBy("bucket").agg(F.sum("k_p").alias("k_p"), F.sum("k_u").alias("k_u"))
+    held = cut_lineage(held)
+    n_p, n_u = next(((r["k_p"], r["k_u"]) for r in held.where(F.col("bucket") == BUCKETS).collect()), (0, 0))
     if not n_p or not n_u or not 0 < share < 1:
         return Model({}, np.full(1, -np.inf))
-    held = sample.mapInPandas(count, "bucket long, positive int").groupBy("bucket")
-    held = held.agg(F.sum("positive").alias("k_p"), F.sum(1 - F.col("positive")).alias("k_u"))
     f_p, f_u = F.col("k_p") / n_p, F.col("k_u") / n_u
     pooled = (F.col("k_p") + F.col("k_u") + 1) / F.lit(float(n_p + n_u + 2))
     z = F.abs(f_p - f_u) / F.sqrt(pooled * (1 - pooled) * F.lit(1 / n_p + 1 / n_u))
-    kept = held.withColumn("z", z).where((F.col("k_p") + F.col("k_u") >= LEAST_ROWS) & (F.col("z") >= LEAST_Z))
+    kept = held.where(F.col("bucket") < BUCKETS).withColumn("z", z).where((F.col("k_p") + F.col("k_u") >= LEAST_ROWS) & (F.col("z") >= LEAST_Z))
     kept = kept.orderBy(F.desc("z"), "bucket").limit(FEATURES).collect()
     place = {r["bucket"]: i for i, r in enumerate(kept)}
     k_p, k_u = (np.array([r[c] for r in kept], dtype=float) for c in ("k_p", "k_u"))
@@ -132,18 +142,54 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ratio = np.log((k_p + 0.5) / (n_p + 1)) - np.log((clean * n_u + 0.5) / (n_u + 1))
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Buckets(place)
         for b in batches:
-            at = [sorted(place[x] for x in features(t) if x in place) for t in b["text"]]
+            at = [sorted(place[x] for x in known.features(t)) for t in b["text"]]
             yield pd.DataFrame({"positive": b["positive"], "at": at})
 
-    matrix = {1: np.zeros((n_p, len(kept)), np.float32), 0: np.zeros((n_u, len(kept)), np.float32)}
-    filled = {1: 0, 0: 0}
-    for r in sorted(sample.mapInPandas(locate, "positive int, at array<int>").collect()):
-        matrix[r["positive"]][filled[r["positive"]], r["at"]] = 1
-        filled[r["positive"]] += 1
-    found = [train(matrix[1], matrix[0], share, ratio.astype(np.float32), seed) for seed in range(CLASSIFIERS)]
-    weights = np.stack([w for w, _ in found], axis=1)
-    return Model({b: weights[i] for b, i in place.items()}, np.array([o for _, o in found]))
+    patterns = rows.mapInPandas(locate, "positive int, at array<int>").groupBy("at").agg(F.sum("positive").alias("1"), F.count("*").alias("0"))
+    weights, offset = train_shards(cut_lineage(patterns), n_p, n_u, share, ratio.astype(np.float32))
+    return Model({b: weights[i] for b, i in place.items()}, offset)
+
+
+def train_shards(patterns: DataFrame, n_p: int, n_u: int, prior: float, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and offsets of all classifiers, averaged over shards, from rows (at, 1, 0): the features of a pattern, and
+    how many toxic and how many unlabelled rows have it. A pattern's unlabelled rows are spread evenly over all shards.
+    Its toxic rows are spread over groups of about POSITIVES; a shard takes a whole group, as do others where groups are fewer."""
+    groups = -(-n_p // POSITIVES)
+    shards = max(groups, -(-n_u // UNLABELLED))
+    first = F.xxhash64("at", F.lit(19))
+
+    def spread(positive: int, parts: int) -> DataFrame:
+        n = F.col(str(positive))
+        own = patterns.where(n > 0).select("at", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.least(n, F.lit(parts)) - 1)).alias("k"))
+        copies = F.floor(F.col("n") / parts) + (F.col("k") < F.col("n") % parts).cast("long")
+        return own.select("at", F.lit(positive).alias("positive"), copies.alias("copies"), F.pmod(first + F.col("k"), F.lit(parts)).alias("part"))
+
+    toxic = spread(1, groups)
+    toxic = toxic.withColumn("part", F.explode(F.sequence(F.col("part"), F.lit(shards - 1).cast("long"), F.lit(groups).cast("long"))))
+
+    def learn(own: pd.DataFrame) -> pd.DataFrame:
+        matrix = []
+        for positive in (1, 0):
+            of = sorted((list(at), n) for at, n in zip(*own.loc[own["positive"] == positive, ["at", "copies"]].T.to_numpy()))
+            x = np.zeros((len(of), len(ratio)), np.float32)
+            for row, (at, _) in zip(x, of):
+                row[at] = 1
+            matrix.append(np.repeat(x, [n for _, n in of], axis=0))
+        found = [train(*matrix, prior, ratio, seed) for seed in range(CLASSIFIERS)]
+        part = int(own["part"].iloc[0])
+        return pd.DataFrame({"seed": range(CLASSIFIERS), "part": part, "values": [np.append(w.astype(float), o) for w, o in found]})
+
+    def mean(own: pd.DataFrame) -> pd.DataFrame:
+        values = np.mean(np.stack(list(own.sort_values("part")["values"])), axis=0)
+        return pd.DataFrame({"seed": own["seed"].iloc[:1], "values": [values]})
+
+    dealt = toxic.unionByName(spread(0, shards)).repartition(shards, "part")
+    learnt = dealt.groupBy("part").applyInPandas(learn, "seed int, part long, values array<double>")
+    learnt = learnt.groupBy("seed").applyInPandas(mean, "seed int, values array<double>").collect()
+    values = np.array([r["values"] for r in sorted(learnt)]).T
+    return values[:-1], values[-1]
 
 
 def score(model: Model, text: Column) -> Column:
@@ -151,9 +197,9 @@ def score(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict = {}
+        known = Buckets(model.weights)
         for texts in batches:
-            yield pd.Series(model.score_texts(texts, cache), dtype=float)
+            yield pd.Series(model.score_texts(texts, known), dtype=float)
 
     return run(text)
 

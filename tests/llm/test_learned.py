@@ -39,6 +39,34 @@ def test_held_out_labels_are_never_read(spark):
     assert a == b
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    """A word that only the last toxic rows of the hash order hold, whose other rows are clean."""
+    from panelcast.llm.common import held_out
+
+    ids = spark.range(22_000).where(~held_out(F.col("id"))).orderBy(F.xxhash64("id", F.lit(17)), "id").collect()
+    plain = ["the weather is fine", "a quiet day", "bread and butter"]
+    toxic = [i % 3 == 0 for i in range(len(ids))]
+    assert sum(toxic[:15_000]) == 5000
+    docs = [(r["id"], ("omega" if i > 15_000 else "alpha") + " words" if bad else plain[i % 2 + 1]) for i, (r, bad) in enumerate(zip(ids, toxic))]
+    labels = [(r["id"], 1, int(bad), "x") for r, bad in zip(ids, toxic)]
+    model = T.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, LABEL))
+    omega, alpha, clean = model.score_texts(["omega", "alpha", "a quiet day"], T.Buckets(model.weights))
+    assert omega >= T.THRESHOLD and alpha >= T.THRESHOLD > clean
+
+
+def test_toxic_rows_reach_every_shard(spark, monkeypatch):
+    monkeypatch.setattr(T, "POSITIVES", 30)
+    monkeypatch.setattr(T, "UNLABELLED", 50)
+    rng = np.random.default_rng(0)
+    toxic, clean = rng.random((200, 6)) < 0.8, rng.random((800, 6)) < 0.05
+    both = [[tuple(np.flatnonzero(r).tolist()) for r in own] for own in (toxic[:70], np.concatenate([toxic, clean]))]
+    patterns = [(list(at), both[0].count(at), both[1].count(at)) for at in set(both[1])]
+    patterns = spark.createDataFrame(patterns, "at array<int>, `1` long, `0` long")
+    weights, offset = T.train_shards(patterns, 70, 1000, 0.2, np.ones(6, np.float32))
+    assert weights.shape == (6, T.CLASSIFIERS)
+    assert (toxic @ weights + offset > 0).mean() > 0.9 and (clean @ weights + offset < 0).mean() > 0.9
+
+
 def test_toxicity_on_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 1, "x"), (1, 0, None, "x"), (4, 1, 0, "x"), (5, None, None, "x"), (None, 1, 1, "x"), (77, 1, 1, "x"), (8, 1, 1, "x"), (9, 0, 0, "x")], LABEL)
     found = collected(T.classify(odd_docs, labels))
