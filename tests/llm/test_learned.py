@@ -154,7 +154,7 @@ def test_network_learns_from_all_documents(spark):
 
 
 def test_every_tile_of_a_class_is_learnt_from(spark, monkeypatch):
-    keys = ["".join(k) for k in np.random.default_rng(2).choice(list("0123456789abcdef"), (2000, 40))]
+    keys = ["".join(k) for k in np.random.default_rng(2).choice(list("0123456789abcdef"), (2500, 40))]
     seen = []
     monkeypatch.setattr(X, "train_shards", lambda tiles, sizes, *_: seen.append((tiles.count(), *sizes)) or X.untrained(np.random.default_rng(0)))
     docs = [(i, f"use {k} or site.org/{k.translate(str.maketrans('0123456789abcdef', 'ghijklmnopqrstuv'))}") for i, k in enumerate(keys)]
